@@ -28,12 +28,24 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import warc_round_trip
+
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_fingerprints
+
+    return media_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op3_token_file": op3_token_file}
+    return {"op2_token_counts": op2_token_counts, "op3_token_file": op3_token_file, "op6_warc": op6_warc, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict[str, str]:
