@@ -8,6 +8,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+OP8_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS bytes FROM documents GROUP BY source
+), target AS (
+  SELECT source, bytes, pow(CAST(bytes AS DOUBLE), 0.5) AS weight FROM sizes
+), rates AS (
+  SELECT source, CASE WHEN bytes > 0 THEN weight / (SELECT sum(weight) FROM target WHERE bytes > 0) * (SELECT CAST(sum(bytes) AS DOUBLE) FROM target) / bytes ELSE 1.0 END AS rate FROM target
+), cdf AS (
+  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  UNION ALL
+  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 20)
+), drawn AS (
+  SELECT d.*, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents AS d
+), counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS n FROM drawn AS d
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS mix_copy,
+  md5('mix:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i) AS mix_key
+FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM counted WHERE n > 0)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +50,18 @@ def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_digest")
+
+
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixture import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -45,8 +79,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_token_counts": op2_token_counts, "op3_token_file": op3_token_file, "op6_warc": op6_warc, "op10_media": op10_media}
+    own = (op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op8_mixture, op10_media)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_mixture": OP8_SQL}
