@@ -34,6 +34,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents")).drop("text_digest")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op8_mixture, op10_media)
+    own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op8_mixture, op10_media)
     return {f.__name__: f for f in own}
 
 

@@ -52,5 +52,5 @@ def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
     repeat a doc_id, stay.
     """
     firsts = slim.groupBy(key).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    copies = slim.join(firsts.drop("_n"), key).filter("doc_id <> _first").select("doc_id").distinct()
-    return docs.join(small(stored(copies, "copies")), "doc_id", "left_anti")
+    copies = slim.join(firsts.drop("_n"), key).filter("doc_id <> _first").select("doc_id", key).distinct()
+    return docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti")
