@@ -62,6 +62,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_digest")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixture import mix_sources
 
@@ -85,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op8_mixture, op10_media)
+    own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op7_suffix_dedup, op8_mixture, op10_media)
     return {f.__name__: f for f in own}
 
 
