@@ -52,19 +52,24 @@ def pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word, A-Z as a-z, and where each value's words begin (n + 1 places)."""
-    word = ~_SPACE[data]
+def words_at(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where words begin: bytes of the kind inside[byte] after others, or first in their value."""
+    word = inside[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     begins = offsets[:-1][offsets[:-1] < len(data)]
     first[begins] = word[begins]
-    starts = np.flatnonzero(first)
+    return np.flatnonzero(first)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _WORD_BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (A-Z as a-z, if table isn't given), and where each value's words begin (n + 1 places). Bytes of 0 in table separate words."""
+    starts = words_at(data, offsets, table != 0)
     if not len(starts):
         return np.empty(0, np.uint64), np.zeros(len(offsets), np.int64)
     spans = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
-    value = _WORD_BYTE[data[starts[0] :]] * powers(int(spans.max()))[place]
+    value = table[data[starts[0] :]] * powers(int(spans.max()))[place]
     return mix(np.add.reduceat(value, starts - starts[0])), np.searchsorted(starts, offsets)
 
 

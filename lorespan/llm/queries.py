@@ -74,12 +74,24 @@ def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_fingerprints
 
@@ -91,7 +103,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op6_warc, op7_suffix_dedup, op8_mixture, op10_media)
+    own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op5_toxicity, op6_warc, op7_suffix_dedup, op8_mixture, op9_quality, op10_media)
     return {f.__name__: f for f in own}
 
 
