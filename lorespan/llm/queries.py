@@ -104,7 +104,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_ngram_join, op2_token_counts, op3_token_file, op4_decontaminate, op5_toxicity, op6_warc, op7_suffix_dedup, op8_mixture, op9_quality, op10_media)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
