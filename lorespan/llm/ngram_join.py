@@ -276,8 +276,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.md5(text).alias("text_digest"))
     slim = stored(docs.select("doc_id", "text_digest"), "texts")
     reps = first_copies(docs, slim, "text_digest").select("doc_id", "text")
-    n_homes = 8 * partitions(spark)
-    sent = reps.mapInArrow(_send(16 * partitions(spark), n_homes, size), _SENT)
+    n_homes = partitions(spark)
+    sent = reps.mapInArrow(_send(4 * partitions(spark), n_homes, size), _SENT)
     counted = sent.groupBy("bucket").applyInArrow(_count(n_homes), _HELD)
     profiles = stored(counted.groupBy("home").applyInArrow(_profile(percent), _PROFILE), "profiles")
     roots = components(_links(profiles.filter("size(prefix) > 0"), percent)).select(F.col("id").alias("cid"), "root")
