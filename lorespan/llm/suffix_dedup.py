@@ -438,7 +438,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     reps = first_copies(docs, slim, "digest").filter(F.octet_length("text") >= LENGTH).select("doc_id", "text")
     if slim.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         reps = reps.dropDuplicates(["doc_id"])
-    n_buckets, n_homes = 16 * partitions(spark), 8 * partitions(spark) | 1
+    n_buckets, n_homes = 2 * partitions(spark), 2 * partitions(spark) | 1
     grams = reps.mapInArrow(_send(n_buckets, n_homes), _GRAMS).groupBy("bucket").applyInArrow(_repeated(n_homes), _LIVE)
     # one exchange of the texts serves both uses
     texts = reps.select("doc_id", "text", F.pmod("doc_id", F.lit(n_homes)).cast("int").alias("home")).groupBy("home")
