@@ -21,8 +21,8 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 SPACES = " \t\n\r\f\v"
 #: Signs between which and a letter the patterns always cut (the apostrophe is not one).
 SIGNS = r"\.,!\?%&\*\$#;:\|"
-#: Parts kept by each worker before it starts anew; some 200 MB.
-MEMO_PARTS = 1_000_000
+#: Parts kept by each worker before it starts anew; some 100 MB.
+MEMO_PARTS = 500_000
 
 _ODD_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 #: Beyond these, lower case can depend on neighbours or change what is a letter; such texts are lower-cased by the library alone.
