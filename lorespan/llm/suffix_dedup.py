@@ -26,8 +26,10 @@ from .shared import first_copies, partitions, stored
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM + 1
 #: Bytes hashed at once (2 to the bits of a place), text of a piece, grams sent on together, suffixes of a batch.
-PLACE_BITS = 21
-PIECE, HELD, BATCH = 4_000_000, 1_500_000, 100_000
+PLACE_BITS = 19
+PIECE, HELD, BATCH = 2_000_000, 500_000, 60_000
+#: Live grams of a home whose text is cut out at once.
+RUNS = 6_000
 MARK = 255
 BACK = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -316,8 +318,8 @@ def _slices(n_buckets: int, n_homes: int):
         base = offsets[:-1][order][np.searchsorted(doc[order], ids)]
         notes = Notes()
         rows = []
-        for a in range(0, len(ids), 30_000):
-            s = slice(a, a + 30_000)
+        for a in range(0, len(ids), RUNS):
+            s = slice(a, a + RUNS)
             n = more[s] + LENGTH
             at = np.repeat(base[s] + start[s], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             text = data[at]
@@ -438,7 +440,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     reps = first_copies(docs, slim, "digest").filter(F.octet_length("text") >= LENGTH).select("doc_id", "text")
     if slim.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         reps = reps.dropDuplicates(["doc_id"])
-    n_buckets, n_homes = 2 * partitions(spark), 2 * partitions(spark) | 1
+    n_buckets, n_homes = 4 * partitions(spark), partitions(spark) | 1
     grams = reps.mapInArrow(_send(n_buckets, n_homes), _GRAMS).groupBy("bucket").applyInArrow(_repeated(n_homes), _LIVE)
     # one exchange of the texts serves both uses
     texts = reps.select("doc_id", "text", F.pmod("doc_id", F.lit(n_homes)).cast("int").alias("home")).groupBy("home")
