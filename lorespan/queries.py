@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+GROUPS = ("knowledge",)
+
+
+def _merged(what: str) -> dict:
+    out: dict = {}
+    for name in GROUPS:
+        out |= getattr(import_module(f"lorespan.plans.{name}"), what)
+    return out
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return _merged("Q")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _merged("SQL")
