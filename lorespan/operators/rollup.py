@@ -80,7 +80,7 @@ def quick_reference(entries: DataFrame, large: int = 500) -> DataFrame:
 
 def session_stats(events: DataFrame, shown: int = 3) -> DataFrame:
     """session, minutes, n_files, files of events(session, ts, path): the first names and how many more."""
-    stats = events.groupBy("session").agg(F.floor((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60_000_000).alias("minutes"), F.countDistinct("path").alias("n_files"))
+    stats = events.groupBy("session").agg(F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 60_000_000).alias("minutes"), F.countDistinct("path").alias("n_files"))
     names = events.select("session", "path").distinct().withColumn("k", F.row_number().over(W.partitionBy("session").orderBy("path"))).filter(F.col("k") <= shown)
     names = names.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("first"))
     more = F.when(F.col("n_files") > shown, F.concat(F.lit(" (+"), F.col("n_files") - shown, F.lit(" more)"))).otherwise("")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("knowledge",)
+GROUPS = ("knowledge", "checks")
 
 
 def _merged(what: str) -> dict:
