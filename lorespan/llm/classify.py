@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .flat import flat, pieces
+from .shared import trimmed
 
-#: Bytes of text turned to features at once.
-PIECE = 2_000_000
+#: Bytes of text, and texts, turned to features at once.
+PIECE, TEXTS = 1_000_000, 2_000
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -39,11 +40,11 @@ def features(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
         for batch in rows:
             ids = batch.column("doc_id")
             data, offsets = flat(batch.column("text"))
-            for a, b in pieces(offsets, PIECE):
+            for a, b in ((k, min(k + TEXTS, b)) for a, b in pieces(offsets, PIECE) for k in range(a, b, TEXTS)):
                 out = make(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *out], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], folds: int, held_out: int, at_least: float) -> DataFrame:

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .components import components
 from .decontaminate import LOWER, UPPER
 from .flat import flat, pieces, shingles
-from .shared import first_copies, partitions, stored
+from .shared import first_copies, partitions, stored, trim, trimmed
 
 #: Documents of a block.
 BLOCK = 256
 #: Text hashed at once, and shingles sent on together.
-PIECE, HELD = 2_000_000, 1_500_000
+PIECE, HELD = 1_000_000, 600_000
 #: Bits of a shingle's hash that are kept beside its bucket.
 LOW = np.uint64(48)
 
@@ -90,7 +90,7 @@ def _send(n_buckets: int, n_homes: int, size: int):
         if held:
             yield from out(held)
 
-    return run
+    return trimmed(run)
 
 
 _HELD = "home int, ids binary, hashes binary, counts binary"
@@ -123,6 +123,8 @@ def _count(n_homes: int):
         full, ids, df, home = full[order], ids[order], df[order], home[order]
         cuts = np.flatnonzero(np.diff(home, prepend=-1))
         out = [(int(home[a]), _numbers(ids[a:b]), full[a:b].astype("<u8").tobytes(), df[a:b].astype("<i8").tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True)]
+        del h, ids, df, full, order
+        trim()
         return pa.Table.from_batches([_batch(_HELD, list(zip(*out, strict=True)) or [[]] * 4)])
 
     return run

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,22 @@ def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
     firsts = slim.groupBy(key).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     copies = slim.join(firsts.drop("_n"), key).filter("doc_id <> _first").select("doc_id", key).distinct()
     return docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti")
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a reused Python worker does not hold the peak of its earlier work."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(work):
+    """work, a generator function over batches, with trim() when it ends."""
+
+    def run(rows):
+        try:
+            yield from work(rows)
+        finally:
+            trim()
+
+    return run

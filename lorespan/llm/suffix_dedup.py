@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .flat import BASE, BYTE, flat, mix, pieces, powers
 from .ngram_join import LOW, _back, _eight, _numbers, _six
-from .shared import first_copies, partitions, stored
+from .shared import first_copies, partitions, stored, trim, trimmed
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM + 1
@@ -160,7 +160,7 @@ def _send(n_buckets: int, n_homes: int):
         if count:
             yield from out(held)
 
-    return run
+    return trimmed(run)
 
 
 _LIVE = "home int, ids binary, starts binary, near binary, more binary"
@@ -341,7 +341,10 @@ def _slices(n_buckets: int, n_homes: int):
                 own = left[x:y]
                 body = b"".join(data[p : p + w].tobytes() for p, w in zip(begin[own].tolist(), (hi[own] - lo[own] + LENGTH).tolist(), strict=True))
                 rows.append((int(bucket[x]), _numbers(ids[s][own]), (start[s] + lo)[own].astype("<u4").tobytes(), (hi - lo)[own].astype(np.uint8).tobytes(), body))
-        return pa.Table.from_batches([_rows(_SLICES, rows + _range_rows(notes, n_homes))])
+        out = pa.Table.from_batches([_rows(_SLICES, rows + _range_rows(notes, n_homes))])
+        rows.clear()
+        trim()
+        return out
 
     return run
 
@@ -373,6 +376,8 @@ def _scan(n_homes: int):
                 count = 0
         if held:
             add()
+        family.levels.clear()
+        trim()
         return pa.Table.from_batches([_rows(_RANGES, [(-1 - h, i, a, b) for h, i, a, b, _ in _range_rows(notes, n_homes)])])
 
     return run
