@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("knowledge", "checks")
+GROUPS = ("knowledge", "checks", "stats")
 
 
 def _merged(what: str) -> dict:
