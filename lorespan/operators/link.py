@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import has_term, normalize, words
+from lorespan.sources.folders import work_dir
 
 #: Edges of one trigger beyond which it is reported.
 MASS_LINK = 50
@@ -157,14 +158,20 @@ def lineage_edges(events: DataFrame) -> DataFrame:
 
 
 def upstream(edges: DataFrame, target: str, max_rounds: int = 50) -> DataFrame:
-    """path: everything that target's making has read, directly or by others. Rounds of semi joins; stops when nothing new comes."""
+    """path: everything that target's making has read, directly or by others. Rounds of joins, each stored; stops when nothing new comes."""
+    spark = edges.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = work_dir(spark, "upstream")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     reads, writes = (edges.filter(F.col("kind") == k).select("script", "path") for k in ("read", "write"))
-    step = reads.join(writes.withColumnRenamed("path", "made"), "script").select("made", "path").distinct()
-    step = step.persist()
-    new = found = edges.sparkSession.createDataFrame([(target,)], "path string")
+    step = stored(reads.join(writes.withColumnRenamed("path", "made"), "script").select("made", "path").distinct())
+    new = found = spark.createDataFrame([(target,)], "path string")
     for _ in range(max_rounds):
-        new = step.join(new.select(F.col("path").alias("made")), "made").select("path").distinct().join(found, "path", "left_anti").persist()
+        new = stored(step.join(new.select(F.col("path").alias("made")), "made").select("path").distinct().join(found, "path", "left_anti"))
         if not new.limit(1).count():
             break
         found = found.unionByName(new)
-    return found.filter(F.col("path") != target).distinct()
+    return found.filter(F.col("path") != target)

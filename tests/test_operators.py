@@ -99,3 +99,62 @@ def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([(k, p) for k, p in enumerate([0.01, 0.04, 0.03, 0.005, 0.5])], "i long, p double")
     got = [r.bh for r in stats.adjust_pvalues(df, "i", "p").orderBy("i").collect()]
     assert got == pytest.approx([0.025, 0.05, 0.05, 0.025, 0.5])
+
+
+def test_vector_clusters_need_only_components(spark):
+    import numpy as np
+
+    from lorespan.operators import similarity as S
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(6, 16))
+    m = np.concatenate([c + 0.35 * rng.normal(size=(12, 16)) for c in centres])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>").repartition(5)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    label = S._average_linkage(unit, 0.3)
+    want = {}
+    for i, k in enumerate(label.tolist()):
+        want.setdefault(k, set()).add(i)
+    got = {}
+    for r in S.cluster_vectors(df, 0.3, 1).collect():
+        got.setdefault(r.cluster, set()).add(r.id)
+    assert {frozenset(v) for v in got.values()} == {frozenset(v) for v in want.values() if len(v) > 1}
+
+
+def test_similar_pairs_prefix_is_exact(spark):
+    from lorespan.operators import similarity as S
+
+    df = spark.createDataFrame([(1, "alpha beta gamma delta", ["x"]), (2, "alpha beta gamma delta", ["y"]), (3, "alpha beta other words", ["x"]), (4, "", []), (5, None, None)], "id long, text string, tags array<string>")
+    got = {(r.a, r.b): round(r.similarity, 4) for r in S.similar_pairs(df).collect()}
+    assert got[(1, 2)] == 0.5 and (1, 3) in got and all(4 not in k and 5 not in k for k in got)
+
+
+def test_sources(spark, tmp_path):
+    from lorespan.sources import trees
+
+    (tmp_path / "p/findings").mkdir(parents=True)
+    (tmp_path / "p/.hidden").mkdir()
+    (tmp_path / "p/learnings.md").write_text("# L-1\nbody")
+    (tmp_path / "p/findings/f.md").write_text("# F\n")
+    (tmp_path / "p/_MANIFEST.md").write_text("x")
+    (tmp_path / "p/.hidden/a.md").write_text("x")
+    (tmp_path / "p/2024-01-02-3-log.md").write_text("y" * 200)
+    (tmp_path / "p/2024-01-03-log.md").write_text("short")
+    got = {r.name: (r.kind, r["shape"]) for r in trees.scan_entries(spark, str(tmp_path)).collect()}
+    assert got["learnings.md"] == ("learning", "register") and got["f.md"] == ("finding", "whole_file")
+    assert "_MANIFEST.md" not in got and "a.md" not in got
+    assert [(r.date, r.seq) for r in trees.scan_logs(spark, str(tmp_path)).collect()] == [("2024-01-02", 3)]
+    log = tmp_path / "e.jsonl"
+    log.write_text('{"ts": "t1", "inputs": [{"path": "a"}]}\n\nnot json\n[1]\n{"agent_id": "x"}\n{"ts": "t2"}\n')
+    events, warnings = trees.read_lineage_events(spark, str(log))
+    assert [(r.ts, r.agent_id, len(r.inputs), r.io_detection) for r in events.orderBy("ts").collect()] == [("t1", "main", 1, "detected"), ("t2", "main", 0, "none")]
+    assert sorted(r.warning for r in warnings.collect()) == ["no ts", "not a JSON object", "not a JSON object"]
+    declared = spark.createDataFrame([("file:/none",)], "path string")
+    files = {r.path.rsplit("/", 1)[1]: (r.size_bytes, r.sha256) for r in trees.fingerprint_files(spark, str(tmp_path / "p"), declared, limit=100).collect()}
+    assert files["2024-01-02-3-log.md"] == (200, None) and files["none"] == (None, "_missing") and len(files["f.md"][1]) == 64
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/a.csv").write_text("h,i\n1,2\n3,4\n")
+    assert [r.n_rows for r in trees.row_counts(spark, str(tmp_path / "c"), "csv").collect()] == [2]
+    lines = spark.createDataFrame([("d", k, x) for k, x in enumerate(["| A | B |", "|---|---|", "| 1 | 2 |", "| ragged |", "text", "| 3 | 4 |"])], "doc string, pos long, line string")
+    assert [r.cells for r in trees.parse_pipe_table(lines).orderBy("pos").collect()] == [["1", "2"], ["3", "4"]]
+    assert [r.json for r in trees.canonical_json(spark.createDataFrame([(2, None), (1, "x")], "b int, a string")).collect()] == ['{"a":"x","b":1}', '{"a":null,"b":2}']
