@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("knowledge", "checks", "stats", "similarity", "lineage")
+GROUPS = ("knowledge", "checks", "stats", "similarity", "lineage", "domain")
 
 
 def _merged(what: str) -> dict:
