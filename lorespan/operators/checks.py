@@ -208,5 +208,5 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, n, n_null, n_unique, min, max, mean, std, n_outside (beyond 3 SD) of numeric columns; two passes over all of them at once."""
     stats = df.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("u", F.countDistinct), ("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))), F.count("*").alias("_all"))
     far = df.crossJoin(F.broadcast(stats)).agg(*(F.count_if(F.abs(F.col(c).cast("double") - F.col(f"m_{c}")) > 3 * F.col(f"s_{c}")).alias(f"far_{c}") for c in columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), (F.col("_all") - F.col(f"n_{c}")).alias("n_null"), F.col(f"u_{c}").alias("n_unique"), F.col(f"lo_{c}").alias("min"), F.col(f"hi_{c}").alias("max"), F.round(f"m_{c}", 6).alias("mean"), F.round(f"s_{c}", 6).alias("std"), F.col(f"far_{c}").alias("n_outside")) for c in columns))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), (F.col("_all") - F.col(f"n_{c}")).alias("n_null"), F.col(f"u_{c}").alias("n_unique"), F.col(f"lo_{c}").alias("min"), F.col(f"hi_{c}").alias("max"), F.round(f"m_{c}", 5).alias("mean"), F.round(f"s_{c}", 5).alias("std"), F.col(f"far_{c}").alias("n_outside")) for c in columns))
     return stats.crossJoin(far).select(F.explode(rows).alias("r")).select("r.*")

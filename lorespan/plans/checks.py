@@ -296,7 +296,7 @@ def excel_damage(s, d):
 _P = ("l_quantity", "l_discount", "l_suppkey")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_unique, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, (SELECT count(*) FROM lineitem WHERE abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT stddev_samp({c}) FROM lineitem)) AS n_outside FROM lineitem" for c in _P))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS n, count(*) - count({c}) AS n_null, count(DISTINCT {c}) AS n_unique, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 5) AS mean, round(stddev_samp({c}), 5) AS std, (SELECT count(*) FROM lineitem WHERE abs({c} - (SELECT avg({c}) FROM lineitem)) > 3 * (SELECT stddev_samp({c}) FROM lineitem)) AS n_outside FROM lineitem" for c in _P))
 def profile(s, d):
     return C.profile(_line(s, d), list(_P))
 
