@@ -59,6 +59,18 @@ def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
     return docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti")
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, n: int):
+    """Within it, at most n rows go to Python workers in one Arrow batch (the caller runs its job inside): bounds the buffers for whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def trim() -> None:
     """Gives freed memory back to the system, so that a reused Python worker does not hold the peak of its earlier work."""
     pa.default_memory_pool().release_unused()

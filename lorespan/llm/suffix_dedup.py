@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .flat import BASE, BYTE, flat, mix, pieces, powers
 from .ngram_join import LOW, _back, _eight, _numbers, _six
-from .shared import first_copies, partitions, stored, trim, trimmed
+from .shared import arrow_rows, first_copies, partitions, stored, trim, trimmed
 
 LENGTH, GRAM = 100, 40
 REACH = LENGTH - GRAM + 1
@@ -445,14 +445,15 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     reps = first_copies(docs, slim, "digest").filter(F.octet_length("text") >= LENGTH).select("doc_id", "text")
     if slim.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
         reps = reps.dropDuplicates(["doc_id"])
-    n_buckets, n_homes = 4 * partitions(spark), partitions(spark) | 1
+    n_buckets, n_homes = 2 * partitions(spark), 2 * partitions(spark) | 1
     grams = reps.mapInArrow(_send(n_buckets, n_homes), _GRAMS).groupBy("bucket").applyInArrow(_repeated(n_homes), _LIVE)
     # one exchange of the texts serves both uses
     texts = reps.select("doc_id", "text", F.pmod("doc_id", F.lit(n_homes)).cast("int").alias("home")).groupBy("home")
     slices = texts.cogroup(grams.groupBy("home")).applyInArrow(_slices(n_buckets, n_homes), _SLICES)
     ranges = slices.groupBy("bucket").applyInArrow(_scan(n_homes), _RANGES)
     result = texts.cogroup(ranges.groupBy("home")).applyInArrow(_remove(with_text), _RESULT)
-    result = stored(result if with_text else result.drop("kept"), "removed")
+    with arrow_rows(spark, 1_000):
+        result = stored(result if with_text else result.drop("kept"), "removed")
     first = slim.groupBy("digest").agg(F.min("doc_id").alias("_first"))
     out = slim.join(first, "digest").join(result.withColumnRenamed("doc_id", "_first"), "_first", "left")
     own = F.col("doc_id") == F.col("_first")
