@@ -19,7 +19,7 @@ from .flat import BYTE, mix, word_hashes
 SHAPES, PAIRS, REPEATS = 512, 512, 3
 TERMS = SHAPES + PAIRS + REPEATS
 #: Bound of the labelled sample for each label, latent dimensions, neighbours that vote.
-N_EACH, DIMENSIONS, NEIGHBOURS = 3_000, 48, 15
+N_EACH, DIMENSIONS, NEIGHBOURS = 2_000, 48, 15
 FOLDS, HELD_OUT, AT_LEAST = 5, 0, 0.3
 #: Documents whose cosines are computed at once.
 BLOCK = 512
