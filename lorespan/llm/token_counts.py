@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoder import batches, encoder
-from .shared import first_copies, new_dir, stored
+from .shared import arrow_rows, first_copies, new_dir, stored
 
 CACHE_SCHEMA = "digest string, version string, n_tokens long"
 
@@ -56,5 +56,6 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     slim = stored(docs.select("doc_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "digests")
     missing = first_copies(docs, slim, "digest").join(_cache(spark, cache, version), "digest", "left_anti")
     counted = missing.select("digest", "_text").mapInArrow(_count(tokenizer), "digest string, n_tokens long")
-    counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
+    with arrow_rows(spark, 1_000):
+        counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     return slim.join(_cache(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

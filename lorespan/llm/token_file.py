@@ -17,12 +17,13 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encoder import batches, encoder
 from .files import make_dir, written
-from .shared import new_dir, stored
+from .shared import arrow_rows, new_dir, stored
 
 MAGIC = b"TKB1"
 BLOCK = 65_536
@@ -157,7 +158,8 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     make_dir(folder)
     encoded = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, bounds, width), "shard int, doc_id long, ids binary")
     dealt = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    return stored(dealt.mapInArrow(_write(folder, bits, width), "shard int, n_ids long, n_docs long"), "shards")
+    with arrow_rows(docs.sparkSession, 1_000):
+        return stored(dealt.mapInArrow(_write(folder, bits, width), "shard int, n_ids long, n_docs long"), "shards")
 
 
 def _read(rows):
@@ -186,8 +188,6 @@ def read_token_shards(spark, folder: str, shards: DataFrame) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tkb").load(folder)
     rows = files.select("path", "content").mapInArrow(_read, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    from pyspark.sql import Window as W
-
     base = shards.select("shard", (F.sum("n_ids").over(W.orderBy("shard")) - F.col("n_ids")).alias("base"))
     return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
