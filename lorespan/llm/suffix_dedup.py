@@ -102,7 +102,8 @@ def _cut(x: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    return ((h >> LOW) * np.uint64(n) >> np.uint64(16)).astype(np.int32)
+    # chosen grams have small hashes, so these are mixed once more before they are dealt out
+    return ((mix(h) >> LOW) * np.uint64(n) >> np.uint64(16)).astype(np.int32)
 
 
 _GRAMS = "bucket int, hashes binary, ids binary, starts binary, near binary, more binary"
