@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import partitions, small, stored
 
-#: Means above it are refused: their first probability would vanish in a double.
+#: Above it, the first probability nears what a double can hold: distribution functions start near the mean instead, and
+#: means that a caller's own weights ask for are refused.
 MOST_RATE = 500.0
 
 
@@ -17,17 +20,26 @@ def hash_uniform(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
 
 
+def poisson_start(rate: Column) -> Column:
+    """The least count that poisson_cdf tells from 0: 0 up to MOST_RATE, else 12 standard deviations and 20 below the mean (a tail of under 2**-100)."""
+    return F.when(rate <= MOST_RATE, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate) - 20).cast("int"))
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ... as far as a number of 52 bits can tell it from 1."""
+    """The distribution function at poisson_start(rate) and on, as far as a number of 52 bits can tell it from 1. For any mean."""
+    low = poisson_start(rate)
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    first = F.exp(-rate)
+    k = F.greatest(low, F.lit(1)).cast("double")
+    d = rate - k  # the log of the first probability: Stirling's series, without taking large numbers from each other
+    log_first = k * F.log1p(d / k) - d - F.log(2 * math.pi * k) / 2 - 1 / (12.0 * k) + 1 / (360.0 * k * k * k)
+    first = F.when(rate <= MOST_RATE, F.exp(-rate)).otherwise(F.exp(log_first))
     start = F.struct(first.alias("p"), F.array(first).alias("c"))
 
     def step(s, k):
         p = s["p"] * rate / k
         return F.struct(p.alias("p"), F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p)).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["c"])
+    return F.aggregate(F.sequence(low + 1, last), start, step, lambda s: s["c"])
 
 
 def source_rates(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5) -> DataFrame:
@@ -56,16 +68,17 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, power: float
 
     A null source is a source of its own. Null and empty texts have no bytes and are repeated at their source's rate.
     Rows that repeat a doc_id draw alike; rows without doc_id draw alike. An empty table gives an empty one. Other columns
-    are kept; columns named mix_copy or mix_key are replaced. Raises ValueError for a mean above MOST_RATE.
+    are kept; columns named mix_copy or mix_key are replaced. Target weights by power take any mean, whatever the input's
+    size. Raises ValueError where weights, if given, ask for a mean above MOST_RATE.
     """
     spark = docs.sparkSession
     rates = stored(source_rates(docs, weights, power), "rates")
-    if rates.filter(F.col("rate") > MOST_RATE).limit(1).count():
+    if weights is not None and rates.filter(F.col("rate") > MOST_RATE).limit(1).count():
         raise ValueError(f"a source would have to be repeated more than {MOST_RATE:g} times")
-    table = rates.select(F.col("source").alias("_s"), poisson_cdf(F.col("rate")).alias("_cdf"))
+    table = rates.select(F.col("source").alias("_s"), poisson_start(F.col("rate")).alias("_low"), poisson_cdf(F.col("rate")).alias("_cdf"))
     names = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     drawn = docs.select(*names, hash_uniform(seed, F.col("doc_id")).alias("_u")).join(small(table, 100_000), F.col("source").eqNullSafe(F.col("_s")))
-    n = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
+    n = F.col("_low") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
     copies = drawn.select(*names, n.alias("_n")).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy"))))
     return keyed.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key", "doc_id")

@@ -1,6 +1,7 @@
 """The ten operators against brute force, on texts with every odd case and on empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -337,6 +338,31 @@ def test_mixture(spark, docs, empty):
         mix_sources(many, spark.createDataFrame([("a", 1.0)], "source string, weight double"))
 
 
+def test_mixture_takes_any_mean(spark):
+    from lorespan.llm.mixture import mix_sources, poisson_cdf, poisson_start, source_rates
+
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "x").otherwise(F.repeat(F.lit("y"), 600_000)).alias("text"), F.when(F.col("id") < 20, "tiny").otherwise("big").alias("source"))
+    rates = {r.source: r.rate for r in source_rates(docs).collect()}
+    assert rates["tiny"] > 1000  # exp(-rate) is 0 in a double
+    copies = Counter(r.doc_id for r in mix_sources(docs).select("doc_id").collect())
+
+    def inverse(lam, u):
+        c, k = math.exp(-lam), 0
+        while c <= u:
+            k += 1
+            c += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1))
+        return k
+
+    for i in range(60):
+        u = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 2**52
+        assert copies.get(i, 0) == inverse(rates["tiny" if i < 20 else "big"], u)
+    means = [0.0, 500.0, 500.001, 745.2, 5e4, 3e5]
+    for r in spark.createDataFrame([(m,) for m in means], "m double").select("m", poisson_start(F.col("m")).alias("low"), poisson_cdf(F.col("m")).alias("c")).collect():
+        assert abs(r.c[-1] - 1) < 1e-8 and r.c[0] >= 0 and (r.m <= 500 or r.low > 0)
+        for u in (1e-6, 0.3, 0.9, 0.99999):
+            assert r.low + sum(c <= u for c in r.c) == inverse(r.m, u)
+
+
 def test_mixture_sql(spark):
     import sys
 
