@@ -93,15 +93,39 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION) -> DataFrame:
-    """cluster (its smallest id), size, cohesion (mean similarity over all its pairs; pairs not in pairs count 0), max_sim_rep, band.
+def _pair_sums(entries: DataFrame, roots: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
+    """root and s: the sum of the similarities of all pairs in each cluster of roots(id, root), without making the pairs.
 
-    pairs(a, b, similarity) should hold all pairs with any similarity that matters; clusters below cohesion are dropped.
+    Cosines come from the sums of normalised vectors by term. For Jaccard, entries with equal tags in one cluster are one
+    counted set, and sets that share a tag meet.
+    """
+    weights = tfidf(entries, stop_words)
+    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
+    unit = weights.select("id", "term", (F.col("weight") / norm).alias("u")).join(roots, "id")
+    terms = unit.groupBy("root", "term").agg(F.sum("u").alias("t"), F.sum(F.col("u") ** 2).alias("q"))
+    cosines = terms.groupBy("root").agg((F.sum(F.col("t") ** 2 - F.col("q")) / 2).alias("s"))
+    tags = F.array_sort(F.array_distinct(F.transform("tags", lambda t: F.lower(t))))
+    sets = entries.select("id", tags.alias("tags")).join(roots, "id").filter(F.size("tags") > 0).groupBy("root", "tags").agg(F.count("*").alias("n"))
+    equal = sets.select("root", (F.col("n") * (F.col("n") - 1) / 2).alias("s"))
+    rows = sets.select("root", "tags", "n", F.explode("tags").alias("tag"))
+    side = lambda x: rows.select("root", "tag", F.col("tags").alias(f"{x}s"), F.col("n").alias(f"{x}n"))
+    met = side("a").join(side("b"), ["root", "tag"]).filter(F.col("as") < F.col("bs")).groupBy("root", "as", "bs", "an", "bn").agg(F.count("*").alias("k"))
+    other = met.select("root", (F.col("an") * F.col("bn") * F.col("k") / (F.size("as") + F.size("bs") - F.col("k"))).alias("s"))
+    return cosines.unionByName(equal).unionByName(other).groupBy("root").agg((F.sum("s") / 2).alias("s"))
+
+
+def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION, entries: DataFrame | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """cluster (its smallest id), size, cohesion (mean similarity over all its pairs), max_sim_rep, band.
+
+    pairs(a, b, similarity) link the clusters. With entries(id, text, tags), every pair in a cluster counts with its real
+    similarity, also those that pairs lacks; without them, these count 0. Clusters below cohesion are dropped.
     """
     roots = connected_components(pairs.select("a", "b")).persist()
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     inner = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a")
     sums = inner.groupBy("root").agg(F.sum("similarity").alias("s"), F.max(F.when(F.col("a") == F.col("root"), F.col("similarity"))).alias("m"))
+    if entries is not None:
+        sums = sums.drop("s").join(_pair_sums(entries, roots, stop_words), "root")
     n = F.col("size") * (F.col("size") - 1) / 2
     out = sizes.join(sums, "root").withColumn("cohesion", F.col("s") / n).filter(F.col("cohesion") >= cohesion)
     band = F.when(F.col("m") >= STRONG, "strong").when(F.col("m") >= PAIR, "review").otherwise("suppressed")

@@ -67,7 +67,8 @@ walk(id, r) AS (SELECT DISTINCT a, a FROM ways UNION SELECT ways.b, walk.r FROM
     "SELECT root AS cluster, size, round(s / (size * (size - 1) / 2), 6) AS cohesion, round(m, 6) AS max_sim_rep, CASE WHEN m >= 0.65 THEN 'strong' WHEN m >= 0.45 THEN 'review' ELSE 'suppressed' END AS band FROM sz JOIN sm USING (root) WHERE s / (size * (size - 1) / 2) >= 0.4"
 )
 def recurrence_clusters(s, d):
-    return S.recurrence_clusters(S.similar_pairs(_rec(s, d)))
+    rec = _rec(s, d)
+    return S.recurrence_clusters(S.similar_pairs(rec), entries=rec)
 
 
 @query(f"WITH RECURSIVE {_REC}, {_CC} SELECT id, root FROM roots")

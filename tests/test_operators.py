@@ -129,6 +129,24 @@ def test_similar_pairs_prefix_is_exact(spark):
     assert got[(1, 2)] == 0.5 and (1, 3) in got and all(4 not in k and 5 not in k for k in got)
 
 
+def test_cohesion_counts_weak_pairs(spark):
+    import itertools
+
+    from lorespan.operators import similarity as S
+
+    rows = [(1, "alpha beta gamma delta", ["x", "y", "z"]), (2, "alpha beta gamma omega", ["X", "y", "z"]), (3, "beta gamma omega sigma", ["y", "z", "w"]), (4, "omega sigma kappa beta", ["z", "w", "v"]), (5, "far other things", ["q"]), (6, "far other things", ["q"]), (7, None, [])]
+    df = spark.createDataFrame(rows, "id long, text string, tags array<string>")
+    real = {(r.a, r.b): r.similarity for r in S.similar_pairs(df, 1e-9).collect()}
+    links = S.similar_pairs(df)
+    linked = {(r.a, r.b) for r in links.collect()}
+    inside = list(itertools.combinations([1, 2, 3, 4], 2))
+    assert {(1, 2), (2, 3), (3, 4)} <= linked and not set(inside) <= linked  # a weak pair lies within
+    got = {r.cluster: r for r in S.recurrence_clusters(links, 0.0, df).collect()}
+    assert set(got) == {1, 5} and got[1].size == 4 and got[5].cohesion == 1
+    assert got[1].cohesion == pytest.approx(sum(real.get(p, 0.0) for p in inside) / 6, abs=1e-6)
+    assert got[1].cohesion > sum(real[p] for p in inside if p in linked) / 6 + 0.01
+
+
 def test_sources(spark, tmp_path):
     from lorespan.sources import trees
 
