@@ -157,8 +157,8 @@ def lineage_edges(events: DataFrame) -> DataFrame:
     return one("inputs", "read").unionByName(one("outputs", "write")).distinct()
 
 
-def upstream(edges: DataFrame, target: str, max_rounds: int = 50) -> DataFrame:
-    """path: everything that target's making has read, directly or by others. Rounds of joins, each stored; stops when nothing new comes."""
+def upstream(edges: DataFrame, target: str) -> DataFrame:
+    """path: everything that target's making has read, directly or by others, however deep. Rounds of joins, each stored; stops when nothing new comes."""
     spark = edges.sparkSession
 
     def stored(df: DataFrame) -> DataFrame:
@@ -169,9 +169,13 @@ def upstream(edges: DataFrame, target: str, max_rounds: int = 50) -> DataFrame:
     reads, writes = (edges.filter(F.col("kind") == k).select("script", "path") for k in ("read", "write"))
     step = stored(reads.join(writes.withColumnRenamed("path", "made"), "script").select("made", "path").distinct())
     new = found = spark.createDataFrame([(target,)], "path string")
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
         new = stored(step.join(new.select(F.col("path").alias("made")), "made").select("path").distinct().join(found, "path", "left_anti"))
         if not new.limit(1).count():
             break
+        rounds += 1
         found = found.unionByName(new)
+        if rounds % 20 == 0:  # one table again, so that plans stay short in deep lineage
+            found = stored(found)
     return found.filter(F.col("path") != target)

@@ -54,6 +54,19 @@ def test_upstream(spark):
     assert {r.path for r in link.upstream(link.lineage_edges(ev), "d").collect()} == {"a", "b", "c"}
 
 
+def test_upstream_of_any_depth(spark):
+    ev = spark.createDataFrame([(f"s{k}", [f"p{k}"], [f"p{k + 1}"]) for k in range(54)], "script string, inputs array<string>, outputs array<string>")
+    assert {r.path for r in link.upstream(link.lineage_edges(ev), "p54").collect()} == {f"p{k}" for k in range(54)}
+
+
+def test_comparability_takes_all_documents(spark, tmp_path):
+    from lorespan.plans.checks import comparability
+
+    spark.createDataFrame([(0, "x"), (1, "x"), (3, "only3"), (None, "none")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = comparability(spark, str(tmp_path)).collect()
+    assert len(got) == 3 and sum("only3" in r.asDict().values() for r in got) == 1
+
+
 def test_resolve_ids(spark):
     rec = spark.createDataFrame([("f1", None, "h1"), ("f2", None, "h2"), ("f2", None, "h3"), ("f9", "e-00007", "h4")], "fingerprint string, explicit_id string, content_hash string")
     led = spark.createDataFrame([("e-00003", ["f0", "f1"], "h", "active"), ("e-00007", ["f7"], "h", "active"), ("e-00005", ["gone"], "h", "active")], "id string, fingerprints array<string>, content_hash string, status string")
