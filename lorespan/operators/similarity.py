@@ -12,8 +12,8 @@ from lorespan.functions.text import tokens
 from lorespan.sources.folders import work_dir
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
-#: Members of a vector component that one task may link; beyond it cluster_vectors raises.
-MAX_COMPONENT = 5_000
+#: Vectors on a side of a block of distances, and clusters that one task links.
+BLOCK_ROWS = 2_000
 
 
 def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -132,8 +132,14 @@ def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION, entries: D
     return out.select(F.col("root").alias("cluster"), "size", F.round("cohesion", 6).alias("cohesion"), F.round("m", 6).alias("max_sim_rep"), band.alias("band"))
 
 
-def vector_pairs(vectors: DataFrame, at_most: float, blocks: int = 8) -> DataFrame:
-    """a < b and cosine distance below at_most of vectors(id, embedding): exact products of blocks, one task for each pair of blocks."""
+def _blocks(df: DataFrame, least: int = 1) -> int:
+    """How many blocks of about BLOCK_ROWS rows df makes."""
+    return max(least, -(-df.count() // BLOCK_ROWS))
+
+
+def vector_pairs(vectors: DataFrame, at_most: float, blocks: int | None = None) -> DataFrame:
+    """a < b and cosine distance below at_most of vectors(id, embedding): exact products of blocks, one group for each pair of blocks. Their number follows from the rows unless given."""
+    blocks = blocks or _blocks(vectors, 8)
     x = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
     others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
     dealt = x.withColumn("t", F.explode(F.array_distinct(others))).select("t.i", "t.j", "k", "id", "embedding")
@@ -153,12 +159,12 @@ def vector_pairs(vectors: DataFrame, at_most: float, blocks: int = 8) -> DataFra
     return dealt.groupBy("i", "j").applyInPandas(near, "a long, b long, distance double")
 
 
-def _average_linkage(m: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of average-linkage clusters of unit vectors below threshold; the closest pair merges first, ties by place."""
+def _average_linkage(m: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average-linkage clusters below threshold of unit vectors, or of means of as many as sizes has; the closest pair merges first, ties by place."""
     n = len(m)
     d = 1 - m @ m.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n), np.arange(n)
+    size, label = np.ones(n) if sizes is None else sizes.astype(np.float64), np.arange(n)
     alive = np.ones(n, bool)
     while alive.sum() > 1:
         i, j = divmod(int(np.argmin(d)), n)
@@ -175,35 +181,96 @@ def _average_linkage(m: np.ndarray, threshold: float) -> np.ndarray:
     return label
 
 
-def cluster_vectors(vectors: DataFrame, threshold: float = 0.55, least: int = 5, blocks: int = 8) -> DataFrame:
-    """id, cluster (its smallest id), size of vectors(id, embedding): average linkage on cosine distance, clusters of at least `least`.
+def _nearest(state: DataFrame, threshold: float) -> DataFrame:
+    """id, other: the nearest cluster (ties: the smallest id) of each of state(id, n, c) that has one below threshold.
 
-    Every cluster lies within a component of the pairs nearer than threshold, so components are clustered each on their
-    own. Raises, in the task, for a component of more than MAX_COMPONENT vectors.
+    The mean distance between members is 1 less the product of the mean vectors c. Each pair is measured once, in the
+    group of its two blocks, so the closest pair of all is always mutual.
     """
-    roots = connected_components(vector_pairs(vectors, threshold, blocks).select("a", "b"))
+    blocks = _blocks(state)
+    x = state.select("id", "c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
+    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
+    dealt = x.withColumn("t", F.explode(F.array_distinct(others))).select("t.i", "t.j", "k", "id", "c")
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_COMPONENT:
-            raise ValueError(f"a component has {len(pdf)} vectors; lower the threshold")
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        m = np.asarray(pdf["embedding"].tolist(), np.float64)
-        label = _average_linkage(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300), threshold)
-        return pd.DataFrame({"id": pdf["id"], "cluster": pdf["id"].to_numpy()[label]})
+        m = np.asarray(pdf["c"].tolist(), np.float64)
+        ids, k = pdf["id"].to_numpy(), pdf["k"].to_numpy()
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
+        found = []
+        if len(left) and len(right):
+            d = 1 - m[left] @ m[right].T
+            if i == j:
+                d = np.minimum(d, d.T)
+                np.fill_diagonal(d, np.inf)
+            for d, p, q in ((d, left, right), (d.T, right, left))[: 1 if i == j else 2]:
+                at = d.argmin(axis=1)
+                best = d[np.arange(len(p)), at]
+                found.append(pd.DataFrame({"id": ids[p], "other": ids[q[at]], "distance": best})[best < threshold])
+        return pd.concat(found) if found else pd.DataFrame({"id": ids[:0], "other": ids[:0], "distance": np.zeros(0)})
+
+    rows = dealt.groupBy("i", "j").applyInPandas(near, "id long, other long, distance double")
+    return rows.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b")).select("id", "b.other")
+
+
+def cluster_vectors(vectors: DataFrame, threshold: float = 0.55, least: int = 5) -> DataFrame:
+    """id, cluster (its smallest id), size of vectors(id, embedding): average linkage on cosine distance, clusters of at least `least`.
 
-    out = vectors.select("id", "embedding").join(roots, "id").groupBy("root").applyInPandas(link, "id long, cluster long")
+    Equal vectors are one weighted point from the start. Then, in rounds, clusters that are each other's nearest merge:
+    average linkage is reducible, so that gives the clusters of merging the closest pair first, but for ties. A cluster
+    with none nearer than threshold is done. Once at most BLOCK_ROWS are left, one task links them. Vectors with no other
+    nearer than threshold are left out.
+    """
+    given = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    points = _stored(given.groupBy("embedding").agg(F.min("id").alias("root"), F.count("*").alias("n")), "points")
+    owner = _stored(given.join(points.drop("n"), "embedding").select("id", "root"), "owner")
+    norm = F.greatest(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
+    state = _stored(points.withColumn("_norm", norm).select(F.col("root").alias("id"), "n", F.transform("embedding", lambda x: x / F.col("_norm")).alias("c")), "state")
+    near = _stored(_nearest(state, threshold), "near")
+    met = near.select("id").unionByName(state.filter("n > 1").select("id")).distinct()
+    owner = owner.join(met.toDF("root"), "root", "left_semi").select("id", "root")
+    rounds = []
+    while near.limit(1).count():
+        state = state.join(near.select("id"), "id", "left_semi")
+        if state.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
+
+            def link(pdf: pd.DataFrame) -> pd.DataFrame:
+                pdf = pdf.sort_values("id")
+                label = _average_linkage(np.asarray(pdf["c"].tolist(), np.float64), threshold, pdf["n"].to_numpy())
+                return pd.DataFrame({"root": pdf["id"], "to": pdf["id"].to_numpy()[label]})
+
+            rounds.append(_stored(state.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(link, "root long, to long"), "links"))
+            break
+        back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
+        gone = _stored(near.join(back, ["id", "other"]).filter("id > other").select(F.col("id").alias("root"), F.col("other").alias("to")), "links")
+        rounds.append(gone)
+        taken = state.join(gone.select(F.col("root").alias("id"), "to"), "id").select(F.col("to").alias("id"), F.col("n").alias("n2"), F.col("c").alias("c2"))
+        both = state.join(gone.select(F.col("root").alias("id")), "id", "left_anti").join(taken, "id", "left")
+        n = F.col("n") + F.coalesce("n2", F.lit(0))
+        mean = F.when(F.col("n2").isNull(), F.col("c")).otherwise(F.zip_with("c", "c2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2"))))
+        state = _stored(both.withColumn("c", mean).withColumn("n", n).select("id", "n", "c"), "state")
+        near = _stored(_nearest(state, threshold), "near")
+    for k, to in enumerate(rounds, 1):
+        owner = owner.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        if k % 10 == 0:
+            owner = _stored(owner, "owner")
+    out = owner.select("id", F.col("root").alias("cluster"))
     sizes = out.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return out.join(sizes, "cluster").select("id", "cluster", "size")
 
 
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 15, blocks: int = 8) -> DataFrame:
+def knn_predict(train: DataFrame, test: DataFrame, k: int = 15, blocks: int | None = None) -> DataFrame:
     """id, predicted of test(id, embedding): the commonest label among the k nearest of train(id, embedding, label) by cosine; ties to the least label.
 
-    train is dealt to blocks; each block gives its k nearest for every test row, and the k best of all are kept, so no
-    pair beyond k times blocks leaves a task.
+    train and test are dealt to blocks, as many as their rows need; each block of train gives its k nearest for every test
+    row, and the k best of all are kept, so no pair beyond k times blocks leaves a task.
     """
-    a = train.select(F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "embedding", F.col("label").cast("long").alias("label"))
-    b = test.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "embedding", F.lit(None).cast("long").alias("label"))
+    blocks, parts = blocks or _blocks(train, 8), _blocks(test)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    a = train.select(F.lit(0).alias("side"), dealt(blocks).alias("block"), every(parts).alias("part"), "id", "embedding", F.col("label").cast("long").alias("label"))
+    b = test.select(F.lit(1).alias("side"), every(blocks).alias("block"), dealt(parts).alias("part"), "id", "embedding", F.lit(None).cast("long").alias("label"))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         unit = lambda x: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.asarray(x.tolist(), np.float64))
@@ -218,7 +285,7 @@ def knn_predict(train: DataFrame, test: DataFrame, k: int = 15, blocks: int = 8)
             out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), top.shape[1]), "label": known["label"].to_numpy()[top].ravel(), "other": known["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()}))
         return pd.concat(out)
 
-    rows = a.unionByName(b).groupBy("block").applyInPandas(near, "id long, label long, other long, cosine double")
+    rows = a.unionByName(b).groupBy("block", "part").applyInPandas(near, "id long, label long, other long, cosine double")
     best = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k)
     votes = best.groupBy("id", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))
