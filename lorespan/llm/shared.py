@@ -8,11 +8,16 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Ids (or other narrow rows) that may be broadcast: 2 million are some 32 MB on an executor. Beyond it, joins shuffle.
-BROADCAST_ROWS = 2_000_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: What a broadcast table may hold, counted before: rows, and bytes of all its values. Beyond either, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
+#: Bytes of text for which one group of a two-sided exchange (a home, or a bucket and its likes) is meant.
+GROUP_TEXT = 10_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,15 +43,40 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it was counted and has at most limit rows; else as it is, so that joins with it shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    c = F.col(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType):
+        each = F.octet_length(F.array_join(c, "")) if isinstance(kind.elementType, T.StringType) else F.lit(0)
+        size = 8 * F.size(c) + each
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a stored table), marked for broadcast if its rows and bytes, counted first, are within bounds; else as it is, so that joins with it shuffle."""
+    width = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def groups(spark: SparkSession, text_bytes: int) -> int:
+    """How many groups the rows of a corpus of that size are dealt to: no fewer than the shuffle partitions, and more where a group would outgrow GROUP_TEXT."""
+    return max(partitions(spark), -(-text_bytes // GROUP_TEXT))
+
+
+def lower_ascii(text: Column) -> Column:
+    """text with A-Z, and no other letter, in lower case. Texts of ASCII alone take the cheaper function."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
     """The rows of docs whose doc_id is the smallest with their key.
 
@@ -54,8 +84,9 @@ def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
     few enough to broadcast (counted first), or else an anti join by doc_id shuffles. Rows without doc_id, and rows that
     repeat a doc_id, stay.
     """
-    firsts = slim.groupBy(key).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    copies = slim.join(firsts.drop("_n"), key).filter("doc_id <> _first").select("doc_id", key).distinct()
+    # the keys are stored before the join, and nothing is grouped after it, so that a join by a hot key can be split
+    firsts = stored(slim.groupBy(key).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "firsts")
+    copies = slim.join(small(firsts), key).filter("doc_id <> _first").select("doc_id", key)
     return docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti")
 
 
