@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, small, stored
 
-#: Above it, the first probability nears what a double can hold: distribution functions start near the mean instead, and
-#: means that a caller's own weights ask for are refused.
+#: Above it, the first probability nears what a double can hold: distribution functions start near the mean instead.
 MOST_RATE = 500.0
 
 
@@ -68,17 +67,16 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, power: float
 
     A null source is a source of its own. Null and empty texts have no bytes and are repeated at their source's rate.
     Rows that repeat a doc_id draw alike; rows without doc_id draw alike. An empty table gives an empty one. Other columns
-    are kept; columns named mix_copy or mix_key are replaced. Target weights by power take any mean, whatever the input's
-    size. Raises ValueError where weights, if given, ask for a mean above MOST_RATE.
+    are kept, whatever their names; columns named mix_copy or mix_key (in any case) are replaced. Rates may have any size.
     """
     spark = docs.sparkSession
     rates = stored(source_rates(docs, weights, power), "rates")
-    if weights is not None and rates.filter(F.col("rate") > MOST_RATE).limit(1).count():
-        raise ValueError(f"a source would have to be repeated more than {MOST_RATE:g} times")
-    table = rates.select(F.col("source").alias("_s"), poisson_start(F.col("rate")).alias("_low"), poisson_cdf(F.col("rate")).alias("_cdf"))
-    names = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
-    drawn = docs.select(*names, hash_uniform(seed, F.col("doc_id")).alias("_u")).join(small(table, 100_000), F.col("source").eqNullSafe(F.col("_s")))
-    n = F.col("_low") + F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.select(*names, n.alias("_n")).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy"))))
-    return keyed.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key", "doc_id")
+    table = small(stored(rates.select("source", poisson_start(F.col("rate")).alias("low"), poisson_cdf(F.col("rate")).alias("cdf")), "distributions"))
+    # the row travels as one struct, so that no name of its columns can clash with those of the drawing
+    names = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")).select("doc", F.col("doc.doc_id").cast("string").alias("id"), hash_uniform(seed, F.col("doc.doc_id")).alias("u"))
+    drawn = rows.join(table, F.col("doc.source").eqNullSafe(F.col("source")))
+    n = F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    copies = drawn.select("doc", "id", n.alias("n")).filter("n > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce("id", F.lit("")), F.col("mix_copy"))))
+    return keyed.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key", "id").select("doc.*", "mix_copy", "mix_key")

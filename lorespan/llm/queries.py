@@ -15,14 +15,17 @@ WITH RECURSIVE sizes AS (
   SELECT source, bytes, pow(CAST(bytes AS DOUBLE), 0.5) AS weight FROM sizes
 ), rates AS (
   SELECT source, CASE WHEN bytes > 0 THEN weight / (SELECT sum(weight) FROM target WHERE bytes > 0) * (SELECT CAST(sum(bytes) AS DOUBLE) FROM target) / bytes ELSE 1.0 END AS rate FROM target
+), starts AS (
+  SELECT source, rate, k, CASE WHEN rate <= 500 THEN exp(-rate) ELSE exp(k * ln(rate / k) - (rate - k) - ln(2 * pi() * k) / 2 - 1 / (12.0 * k) + 1 / (360.0 * k * k * k)) END AS p
+  FROM (SELECT source, rate, CASE WHEN rate <= 500 THEN 0 ELSE CAST(floor(rate - 12 * sqrt(rate) - 20) AS INTEGER) END AS k FROM rates)
 ), cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM rates
+  SELECT source, rate, k, p, p AS c FROM starts
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 20)
 ), drawn AS (
   SELECT d.*, CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u FROM documents AS d
 ), counted AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT count(*) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source AND cdf.c <= d.u) AS n FROM drawn AS d
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, (SELECT min(k) + count(*) FILTER (cdf.c <= d.u) FROM cdf WHERE cdf.source IS NOT DISTINCT FROM d.source) AS n FROM drawn AS d
 )
 SELECT doc_id, text, lang, source, n_chars, CAST(i AS INTEGER) AS mix_copy,
   md5('mix:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || i) AS mix_key
