@@ -19,16 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .decontaminate import LOWER, UPPER
 from .flat import flat, pieces, shingles
-from .shared import first_copies, partitions, stored, trim, trimmed
+from .shared import first_copies, groups, lower_ascii, small, stored, trim, trimmed
 
 #: Documents of a block.
 BLOCK = 256
 #: Text hashed at once, and shingles sent on together.
 PIECE, HELD = 1_000_000, 600_000
-#: Bits of a shingle's hash that are kept beside its bucket.
-LOW = np.uint64(48)
+#: Documents of one packet that make a shingle hot, and the place of hot shingles in the order from rare to common.
+HOT_HERE, HOT = 32, 1 << 62
 
 
 def _numbers(x: np.ndarray) -> bytes:
@@ -40,38 +39,64 @@ def _back(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(x), "<i8"))
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _narrow(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of numbers that need no more than width."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _eight(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+def _wide(x: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(x) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(x, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
+def _width(n_buckets: int) -> int:
+    """Bytes of a 64-bit hash divided by the number of buckets; the rest of the division is the bucket, so no bit is lost."""
+    return 7 if n_buckets >= 256 else 8
+
+
 def _batch(schema: str, cols: list) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
 
-_SENT = "bucket int, hashes binary, ids binary"
+_SENT = "bucket int, kind int, hashes binary, ids binary"
+#: Kinds of rows: shingles with their documents, marks of hot shingles; and, on their way to homes (buckets below 0), set sizes and hot shingles.
+SHINGLES, MARKS, SIZES, HOT_ONES = range(4)
 
 
 def _send(n_buckets: int, n_homes: int, size: int):
-    """Shingles to the bucket of their hash, and each document's set size (buckets below 0) on its way to its home."""
+    """Shingles to the bucket of their hash, and each document's set size on its way to its home.
+
+    Of a shingle that many documents of a packet hold, one mark goes to the bucket, and the documents go to their homes at
+    once: no task gets all documents of a very common shingle.
+    """
+    n, width = np.uint64(n_buckets), _width(n_buckets)
 
     def out(held: list) -> Iterator[pa.RecordBatch]:
-        h, ids, of, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        bucket = ((h >> LOW) * np.uint64(n_buckets) >> np.uint64(16)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        h, ids_of, bucket = h[order], ids[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = [(int(bucket[a]), _six(h[a:b]), _numbers(ids_of[a:b])) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True)]
+        h, ids, of, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        bucket = (h % n).astype(np.int32)
+        order = np.lexsort((h, bucket))
+        h, ids, bucket = h[order], ids[order], bucket[order]
+        first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+        many = np.diff(first, append=len(h))
+        hot = np.repeat(many >= HOT_HERE, many)
+        rows = []
+        marks = first[many >= HOT_HERE]
+        for a, b in _cut(bucket[marks]):
+            rows.append((int(bucket[marks[a]]), MARKS, _narrow(h[marks[a:b]] // n, width), b""))
+        home = ids[hot] % n_homes
+        by_home = np.flatnonzero(hot)[np.lexsort((ids[hot], home))]
+        for a, b in _cut(ids[by_home] % n_homes):
+            own = by_home[a:b]
+            rows.append((-1 - int(ids[own[0]] % n_homes), HOT_ONES, h[own].astype("<u8").tobytes(), _numbers(ids[own])))
+        h, ids, bucket = h[~hot], ids[~hot], bucket[~hot]
+        for a, b in _cut(bucket):
+            rows.append((int(bucket[a]), SHINGLES, _narrow(h[a:b] // n, width), _numbers(ids[a:b])))
         home = of % n_homes
         for k in np.unique(home).tolist():
-            rows.append((-1 - k, n[home == k].astype("<i8").tobytes(), _numbers(of[home == k])))
+            rows.append((-1 - k, SIZES, sizes[home == k].astype("<i8").tobytes(), _numbers(of[home == k])))
         yield _batch(_SENT, list(zip(*rows, strict=True)))
 
     def run(rows):
@@ -93,19 +118,32 @@ def _send(n_buckets: int, n_homes: int, size: int):
     return trimmed(run)
 
 
-_HELD = "home int, ids binary, hashes binary, counts binary"
+def _cut(x: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    if not len(x):
+        return []
+    at = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+    return list(zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True))
+
+
+_HELD = "home int, kind int, ids binary, hashes binary, counts binary"
 
 
-def _count(n_homes: int):
-    """Of a bucket: the shingles that several documents hold, with how many, to the documents' homes. Set sizes pass with count 0."""
+def _count(n_buckets: int, n_homes: int):
+    """Of a bucket: the shingles that several documents hold, with how many, to the documents' homes. What is on its way to a home passes."""
+    width = _width(n_buckets)
 
     def run(key, table):
         bucket = key[0].as_py()
-        rows = zip(table.column("hashes").to_pylist(), table.column("ids").to_pylist(), strict=True)
+        kind = table.column("kind").to_numpy()
         if bucket < 0:
-            out = [(-1 - bucket, i, h, b"") for h, i in rows]
-            return pa.Table.from_batches([_batch(_HELD, list(zip(*out, strict=True)))])
-        parts = [(_eight(h), _back(i)) for h, i in rows]
+            return pa.table([pa.array(np.full(len(kind), -1 - bucket, np.int32)), table.column("kind"), table.column("ids"), table.column("hashes"), pa.array([b""] * len(kind), pa.binary())], names=[x.split()[0] for x in _HELD.split(", ")])
+        hashes, packed = table.column("hashes").to_pylist(), table.column("ids").to_pylist()
+        marks = [_wide(hashes[k], width) for k in np.flatnonzero(kind == MARKS)]
+        parts = [(_wide(hashes[k], width), _back(packed[k])) for k in np.flatnonzero(kind == SHINGLES)]
+        del hashes, packed
+        if not parts:
+            return pa.Table.from_batches([_batch(_HELD, [[]] * 5)])
         h, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         del parts
         order = np.lexsort((ids, h))
@@ -116,16 +154,17 @@ def _count(n_homes: int):
         first = np.flatnonzero(np.diff(h, prepend=~h[:1]))
         n = np.diff(first, append=len(h))
         df = np.repeat(n, n)
+        if marks:
+            df[np.isin(h, np.concatenate(marks))] = HOT
         h, ids, df = h[df > 1], ids[df > 1], df[df > 1]
-        full = (np.uint64(bucket) << LOW) | h
+        full = h * np.uint64(n_buckets) + np.uint64(bucket)
         home = ids % n_homes
         order = np.lexsort((ids, home))
         full, ids, df, home = full[order], ids[order], df[order], home[order]
-        cuts = np.flatnonzero(np.diff(home, prepend=-1))
-        out = [(int(home[a]), _numbers(ids[a:b]), full[a:b].astype("<u8").tobytes(), df[a:b].astype("<i8").tobytes()) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True)]
+        out = [(int(home[a]), SHINGLES, _numbers(ids[a:b]), full[a:b].astype("<u8").tobytes(), df[a:b].astype("<i8").tobytes()) for a, b in _cut(home)]
         del h, ids, df, full, order
         trim()
-        return pa.Table.from_batches([_batch(_HELD, list(zip(*out, strict=True)) or [[]] * 4)])
+        return pa.Table.from_batches([_batch(_HELD, list(zip(*out, strict=True)) or [[]] * 5)])
 
     return run
 
@@ -138,10 +177,12 @@ def _profile(percent: int):
 
     def run(key, table):
         sizes, parts = {}, []
-        for ids, h, df in zip(*(table.column(c).to_pylist() for c in ("ids", "hashes", "counts")), strict=True):
+        for kind, ids, h, df in zip(*(table.column(c).to_pylist() for c in ("kind", "ids", "hashes", "counts")), strict=True):
             own = _back(ids)
-            if df:
+            if kind == SHINGLES:
                 parts.append((own, np.frombuffer(h, "<u8"), np.frombuffer(df, "<i8")))
+            elif kind == HOT_ONES:
+                parts.append((own, np.frombuffer(h, "<u8"), np.full(len(own), HOT)))
             else:
                 for i, n in zip(own.tolist(), np.frombuffer(h, "<i8").tolist(), strict=True):
                     sizes[i] = max(n, sizes.get(i, 0))
@@ -150,6 +191,8 @@ def _profile(percent: int):
             ids, h, df = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((h, df, ids))
             ids, h = ids[order], h[order]
+            new = np.r_[True, (ids[1:] != ids[:-1]) | (h[1:] != h[:-1])]  # texts that share a doc_id can bring a shingle twice
+            ids, h = ids[new], h[new]
             cuts = np.flatnonzero(np.diff(ids, prepend=~ids[:1]))
             held = {int(ids[a]): h[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(h)], strict=True)}
         out = []
@@ -226,17 +269,16 @@ def _multiply(percent: int):
     return run
 
 
-def _links(profiles: DataFrame, percent: int) -> DataFrame:
-    """a, b: links whose components are those of all links between documents of profiles."""
-    spark = profiles.sparkSession
+def _links(profiles: DataFrame, percent: int, n_groups: int) -> DataFrame:
+    """a, b: links whose components are those of all links between documents of profiles. Clusters of one block are dealt to n_groups tasks."""
     lists = profiles.select("cid", F.explode("prefix").alias("h"))
-    centres = lists.groupBy("h").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    centres = stored(lists.groupBy("h").agg(F.min("cid").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n"), "centres")
     lists = stored(lists.join(centres, "h"), "lists")
     clusters = components(lists.select(F.col("cid").alias("a"), F.col("centre").alias("b"))).select(F.col("id").alias("cid"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    placed = profiles.select("cid", "n_shingles", "shared").join(clusters, "cid").join(sizes, "cluster")
+    sizes = stored(clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")), "cluster-sizes")
+    placed = profiles.select("cid", "n_shingles", "shared").join(clusters.join(small(sizes), "cluster"), "cid")
     placed = stored(placed.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")), "blocks")
-    one = placed.filter("blocks = 1").select(F.lit(-1).cast("long").alias("k"), F.pmod(F.xxhash64("cluster"), F.lit(4 * partitions(spark))).cast("int").alias("i"), F.lit(0).alias("j"), "cluster", "cid", "n_shingles", "shared")
+    one = placed.filter("blocks = 1").select(F.lit(-1).cast("long").alias("k"), F.pmod(F.xxhash64("cluster"), F.lit(n_groups)).cast("int").alias("i"), F.lit(0).alias("j"), "cluster", "cid", "n_shingles", "shared")
     many = placed.filter("blocks > 1")
     first = F.when(F.col("block") == 0, F.transform(F.sequence(F.lit(1), F.col("blocks") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j"))))
     own = F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j")))
@@ -266,7 +308,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     """Of each row of docs(doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id that links reach), and text_digest.
 
     A document's set holds its distinct runs of size words (fewer words: all of them as one), A-Z in lower case. Two
-    documents link if 100 * intersection >= percent * union. Sets are compared by 64-bit hashes.
+    documents link if 100 * intersection >= percent * union. Sets are compared by all 64 bits of their
+    shingles' hashes.
 
     Null, empty and blank texts have the empty set and are linked with nothing. Equal texts (repeated rows too) are one
     candidate, and each row gets the result. Rows without doc_id are not documents and are left out; a doc_id is taken as
@@ -274,16 +317,18 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
     gives an empty result. Other columns are left out.
     """
     spark = docs.sparkSession
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
+    text = lower_ascii(F.coalesce("text", F.lit("")))
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text", F.md5(text).alias("text_digest"))
-    slim = stored(docs.select("doc_id", "text_digest"), "texts")
-    reps = first_copies(docs, slim, "text_digest").select("doc_id", "text")
-    n_homes = partitions(spark)
-    sent = reps.mapInArrow(_send(4 * partitions(spark), n_homes, size), _SENT)
-    counted = sent.groupBy("bucket").applyInArrow(_count(n_homes), _HELD)
+    slim = stored(docs.select("doc_id", "text_digest", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "texts")
+    reps = first_copies(docs, slim.drop("n_bytes"), "text_digest").select("doc_id", "text")
+    n_homes = groups(spark, slim.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
+    n_buckets = 4 * n_homes
+    sent = reps.mapInArrow(_send(n_buckets, n_homes, size), _SENT)
+    counted = sent.groupBy("bucket").applyInArrow(_count(n_buckets, n_homes), _HELD)
     profiles = stored(counted.groupBy("home").applyInArrow(_profile(percent), _PROFILE), "profiles")
-    roots = components(_links(profiles.filter("size(prefix) > 0"), percent)).select(F.col("id").alias("cid"), "root")
+    roots = components(_links(profiles.filter("size(prefix) > 0"), percent, n_buckets)).select(F.col("id").alias("cid"), "root")
     sets = profiles.select("cid", "n_shingles").join(roots, "cid", "left")
-    first = slim.groupBy("text_digest").agg(F.min("doc_id").alias("cid")).join(sets, "cid")
-    out = slim.join(first, "text_digest")
+    # stored before the join, so that a join by the digest of very many copies can be split
+    first = stored(slim.groupBy("text_digest").agg(F.min("doc_id").alias("cid")).join(sets, "cid"), "classes")
+    out = slim.join(small(first), "text_digest")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "cid")).alias("component_id"), "text_digest")

@@ -72,6 +72,21 @@ def test_ngram_join_many_blocks(spark, monkeypatch):
     assert {i: r.component_id for i, r in got.items()} == components_of(sets)
 
 
+def test_ngram_join_hot_shingles(spark, monkeypatch):
+    """Shingles that many documents hold go to their homes at once; what links is the same."""
+    from lorespan.llm import ngram_join as N
+
+    monkeypatch.setattr(N, "HOT_HERE", 3)
+    monkeypatch.setattr(N, "HELD", 700)
+    rng = np.random.default_rng(6)
+    common = " ".join(f"c{k}" for k in range(40))
+    base = [" ".join(f"w{rng.integers(0, 90)}" for _ in range(60)) for _ in range(9)]
+    rows = [(i, common + " " + " ".join(w if rng.random() > 0.01 else "edit" for w in base[i % 9].split())) for i in range(60)] + [(100, common), (101, common.upper()), (102, "alone")]
+    sets = {i: shingle_set(t) for i, t in rows}
+    got = by_id(N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), k) for i, k in components_of(sets).items()}
+
+
 def test_components_of_a_chain(spark):
     from lorespan.llm.components import components
 
@@ -183,6 +198,16 @@ def test_decontaminate(spark, docs, texts, empty):
     assert contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_decontaminate_repetitive_texts(spark):
+    """One stretch all over a long text and item: work grows with the words, not with their product."""
+    from lorespan.llm.decontaminate import contamination
+
+    df = spark.createDataFrame([(1, "ab " * 20_000), (2, "cd ab " + "ab " * 11), (3, "ab " * 13 + "xy " * 300), (None, "ab " * 20_000)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "ab " * 20_000), (8, "ab " * 14), (9, "xy xy xy xy")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in contamination(df, bench).collect()}
+    assert got == {1: (20_000, 20_000, 2, True), 2: (13, 0, 0, False), 3: (313, 313, 3, True), None: (20_000, 20_000, 2, True)}
+
+
 # 5
 def test_toxicity_learns(spark):
     from lorespan.llm.toxicity import toxicity
@@ -313,6 +338,44 @@ def test_suffix_dedup_shared_ids(spark):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == want
 
 
+def test_suffix_family_meets_earlier_batches(spark, tmp_path, monkeypatch):
+    """Batches one after the other lose the same bytes as their union, with hot grams, copies, and grams that only a later batch repeats."""
+    from lorespan.llm import suffix_dedup as S
+
+    monkeypatch.setattr(S, "BATCH", 60)
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcdef \x00é"), 170)) for _ in range(14)]
+    rows = [(i, "".join(pool[k][rng.integers(0, 40) :] for k in rng.integers(0, 4 + i // 8, 3))) for i in range(80)]
+    rows[45] = (45, rows[3][1])
+    want = removal(rows)
+    folder, got = f"file://{tmp_path}/family", {}
+    for a, b in ((0, 20), (20, 32), (32, 33), (33, 80)):
+        df = spark.createDataFrame(rows[a:b], "doc_id long, text string").repartition(3)
+        got |= by_id(S.suffix_dedup(df, with_text=True, family=folder))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans) for i, r in got.items()} == {i: v[:3] for i, v in want.items()}
+    family = S.StoredFamily(spark, folder)
+    assert family.number == 4 and len(family.levels) <= 3
+    with pytest.raises(ValueError):
+        S.suffix_dedup(spark.createDataFrame([(5, "x")], "doc_id long, text string"), family=folder)
+
+
+def test_suffix_arrays_are_in_byte_order():
+    from lorespan.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(0, 3, 3_000).astype(np.uint8)
+    text[1_000:1_400] = text[200:600]
+    notes = S.Notes()
+    x = S.suffix_array(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([2_900]), text, notes)
+    own = [text[a : a + 100].tobytes() for a in x.at]
+    assert own == sorted(set(own)) and set(own) == {text[k : k + 100].tobytes() for k in range(2_901)}
+    a, b = x.keep(np.arange(0, len(x), 2)), x.keep(np.arange(1, len(x), 2))
+    both = S.merged(a, b)
+    assert [both.text[k : k + 100].tobytes() for k in both.at] == own
+    at, same = x.find(a)
+    assert same.all() and (at == np.arange(0, len(x), 2)).all() and not b.find(a)[1].any()
+
+
 # 8
 def test_mixture(spark, docs, empty):
     from lorespan.llm.mixture import mix_sources, source_rates
@@ -333,9 +396,24 @@ def test_mixture(spark, docs, empty):
     assert mix_sources(empty).count() == 0
     only = spark.createDataFrame([("s1", 1.0)], "source string, weight double")
     assert {r.source for r in mix_sources(docs, only).collect()} <= {"s1"}
-    with pytest.raises(ValueError):
-        many = docs.select(F.col("doc_id"), F.when(F.col("doc_id") == 9, "x").otherwise(F.repeat(F.lit("y"), 900)).alias("text"), F.when(F.col("doc_id") == 9, "a").otherwise("b").alias("source"))
-        mix_sources(many, spark.createDataFrame([("a", 1.0)], "source string, weight double"))
+    # weights that a caller gives may ask for any mean too
+    many = docs.select(F.col("doc_id"), F.when(F.col("doc_id") == 9, "x").otherwise(F.repeat(F.lit("y"), 900)).alias("text"), F.when(F.col("doc_id") == 9, "a").otherwise("b").alias("source"))
+    mean = many.agg(F.sum(F.octet_length("text"))).first()[0]
+    copies = mix_sources(many, spark.createDataFrame([("a", 1.0)], "source string, weight double")).count()
+    u = int(hashlib.md5(b"mix:9").hexdigest()[:13], 16) / 2**52
+    below = lambda n: sum(math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(n))
+    assert mean > 10_000 and below(copies) <= u + 1e-6 and below(copies + 1) > u - 1e-6
+
+
+def test_mixture_names_do_not_clash(spark):
+    from lorespan.llm.mixture import mix_sources
+
+    names = ["_u", "_n", "_s", "_cdf", "_low", "u", "n", "id", "doc", "low", "cdf", "rate", "a b"]
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("text").alias("text"), F.when(F.col("id") % 2 == 0, "s").alias("source"), *(F.lit(k).alias(c) for k, c in enumerate(names)), F.lit("old").alias("Mix_Key"))
+    out = mix_sources(docs)
+    assert out.columns == [*docs.columns[:-1], "mix_copy", "mix_key"]
+    plain = mix_sources(docs.select("doc_id", "text", "source"))
+    assert sorted((r.doc_id, r.mix_copy, r.mix_key) for r in out.collect()) == sorted((r.doc_id, r.mix_copy, r.mix_key) for r in plain.collect())
 
 
 def test_mixture_takes_any_mean(spark):
