@@ -107,7 +107,9 @@ class Encoder:
         for a in (t["content"] for t in spec.get("added_tokens", [])):
             ranks.pop(a.encode(), None)
         self.end = b"\xff" if suffix else b""
-        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.merge = getattr(tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}), "_encode_single_piece", None)
+        if self.merge is None:  # it is no public name: without it, the library encodes whole texts
+            self.kind = "plain"
 
     def _library(self, texts: list[str]) -> list[bytes]:
         if self.pieces is not None:
