@@ -19,10 +19,16 @@ def make_dir(path: str) -> None:
 
 @contextmanager
 def written(path: str):
-    """An output stream whose file appears at path only when it is whole: a lost or repeated task leaves no half file."""
+    """An output stream whose file appears at path only when it is whole: a lost or repeated task leaves no half file.
+
+    A whole file that an earlier attempt at the same content has left stays, as not every store replaces a file by a move.
+    """
     store, at = _store(path)
     folder, _, name = at.rpartition("/")
     part = f"{folder}/_{name}.{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
         yield out
-    store.move(part, at)
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        store.move(part, at)
+    else:
+        store.delete_file(part)

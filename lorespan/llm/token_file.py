@@ -27,8 +27,9 @@ from .shared import arrow_rows, new_dir, stored
 
 MAGIC = b"TKB1"
 BLOCK = 65_536
-#: Bytes of text whose ids go to one shard, on average.
-SHARD_TEXT = 24_000_000
+#: Bytes of text whose ids go to one shard, on average, and shards at most: beyond so many, each holds more. A task writes
+#: its shard block by block, whatever its size; what is kept for each shard, on the driver too, is one bound and one row.
+SHARD_TEXT, MOST_SHARDS = 24_000_000, 20_000
 NO_ID = -(2**63)
 _DOCS = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 
@@ -106,18 +107,20 @@ class ShardReader:
         return np.concatenate(parts)[first - a * BLOCK : first - a * BLOCK + n]
 
 
-def _encode(tokenizer: str, end_id: int | None, bounds: list[int], width: str):
+def _encode(tokenizer: str, end_id: int | None, bounds: list[int], first: int, width: str):
+    """Shard, doc_id and ids of each row. Rows without doc_id have their shard already; the others' shards start at first."""
+
     def run(rows):
         enc = encoder(tokenizer)
         tail = b"" if end_id is None else np.asarray([end_id], "<u4").tobytes()
         for batch in rows:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            ids, texts, shards = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()], batch.column("shard").to_pylist()
             done = 0
             for part in batches(texts):
                 out = [np.frombuffer(x + tail, "<u4").astype(width).tobytes() for x in enc.encode(part)]
                 own = ids[done : done + len(part)]
                 done += len(part)
-                shard = [0 if i is None else bisect_left(bounds, i) for i in own]
+                shard = [s if i is None else first + bisect_left(bounds, i) for i, s in zip(own, shards[done - len(part) : done], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(own, pa.int64()), pa.array(out, pa.binary())], names=["shard", "doc_id", "ids"])
 
     return run
@@ -144,20 +147,25 @@ def _write(folder: str, bits: int, width: str):
 def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, shard_text: int = SHARD_TEXT) -> DataFrame:
     """Encodes docs(doc_id, text) and writes shards of ascending doc_id to folder. Returns shard, n_ids, n_docs of each (an action has run).
 
-    The scan encodes; only packed ids are shuffled, to the shard of their doc_id's range. Ranges come from the quantiles
-    of doc_id over all rows. Rows of equal doc_id lie together in byte order of their ids; rows without doc_id come first.
+    The scan encodes; only packed ids are shuffled, to the shard of their doc_id's range. Ranges come from approximate
+    quantiles of doc_id over all rows, by a sketch whose size follows from the number of shards. Rows of equal doc_id lie
+    together in byte order of their ids. Rows without doc_id come first, in shards of their own: dealt by a hash of the
+    text, in byte order within each.
     """
     n_vocab = encoder(tokenizer).n_vocab
     bits = bits_for(max(n_vocab, (end_id or 0) + 1))
     width = "<u2" if bits <= 16 else "<u4"
-    total, least = docs.agg(F.sum(F.octet_length("text").cast("long")), F.min("doc_id")).first()
-    n = max(1, -(-(total or 0) // shard_text))
+    size = F.octet_length("text").cast("long")
+    total, nameless, least = docs.agg(F.sum(size), F.sum(F.when(F.col("doc_id").isNull(), size)), F.min("doc_id")).first()
+    n = min(MOST_SHARDS, max(1, -(-(total or 0) // shard_text)))
+    first = max(1, n * (nameless or 0) // (total or 1)) if nameless is not None else 0
     bounds = []
     if n > 1 and least is not None:
-        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0]))
+        bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]))
     make_dir(folder)
-    encoded = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer, end_id, bounds, width), "shard int, doc_id long, ids binary")
-    dealt = encoded.repartition(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    shard_of_nameless = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(max(1, first))).cast("int"))
+    encoded = docs.select("doc_id", "text", shard_of_nameless.alias("shard")).mapInArrow(_encode(tokenizer, end_id, bounds, first, width), "shard int, doc_id long, ids binary")
+    dealt = encoded.repartition(len(bounds) + 1 + first, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     with arrow_rows(docs.sparkSession, 1_000):
         return stored(dealt.mapInArrow(_write(folder, bits, width), "shard int, n_ids long, n_docs long"), "shards")
 
@@ -184,7 +192,8 @@ def _read(rows):
 def read_token_shards(spark, folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards of folder, read back from the files.
 
-    start counts the ids of all documents before it; the totals come from shards, one row for each file.
+    start counts the ids of all documents before it; the totals come from shards, one row for each file (MOST_SHARDS at
+    most). Files that shards doesn't list, left by another job, give no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tkb").load(folder)
     rows = files.select("path", "content").mapInArrow(_read, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
@@ -196,8 +205,9 @@ def token_file(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder:
     """Writes docs(doc_id, text) as token shards and returns what the files hold: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty text: only the end id. Repeated rows, and several texts of one doc_id, are documents of their own,
-    in byte order of their ids. Rows without doc_id come first. An empty table writes no shard and gives no row. Other
-    columns are left out. One document's ids are held by one task; nothing else is.
+    in byte order of their ids. Rows without doc_id come first, in an order of their own that hangs on their texts alone.
+    An empty table writes no shard and gives no row. Other columns are left out. One document's ids, and the rows of one
+    doc_id, are written by one task, block by block.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
