@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from .shared import new_dir, partitions, small, stored
 FILE_PAYLOAD = 64_000_000
 #: Payloads below this are always written whole.
 LEAST_REVISIT = 1_000
+#: Captures of a range of the merged index, and those of one run that are unpacked at once.
+RANGE_ROWS, READ = 1_000_000, 1_000
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RUN_SCHEMA = "run string, urlkey string, ts string, page_id long, offset long, length long"
 
@@ -83,11 +86,13 @@ def parse(content: bytes) -> dict:
 
 def _write(folder: str):
     def run(rows):
-        part = TaskContext.get().partitionId()
+        context = TaskContext.get()
+        # named by attempt: what a lost attempt has left is in no index, and is not read
+        attempt = f"{context.partitionId():06d}-{context.taskAttemptId():x}-{uuid.uuid4().hex[:8]}"
         rows = (x for b in rows for x in zip(*(b.column(k).to_pylist() for k in ("page_id", "url", "html", "digest", "refers_to", "urlkey")), strict=True))
         row, n = next(rows, None), 0
         while row is not None:
-            name, index, size, at = f"captures-{part:06d}-{n:04d}.warc.gz", [], 0, 0
+            name, index, size, at = f"captures-{attempt}-{n:04d}.warc.gz", [], 0, 0
             with written(f"{folder}/{name}") as out:
                 while row is not None and size < FILE_PAYLOAD:
                     page_id, url, html, digest, refers_to, key = row
@@ -109,20 +114,17 @@ _RUN_KINDS = [pa.string() if x.endswith("string") else pa.int64() for x in RUN_S
 
 
 class LoserTree:
-    """Merges sorted lists: the root's winner is taken, and only the path of its list is played again."""
+    """Merges sorted runs, any iterables: the root's winner is taken, and only the path of its run is played again. Of each run one item is held."""
 
-    def __init__(self, runs: list[list[tuple]]):
-        self.runs, self.k = runs, max(1, len(runs))
-        self.at = [0] * len(runs)
+    def __init__(self, runs: list[Iterable[tuple]]):
+        self.runs, self.k = [iter(r) for r in runs], max(1, len(runs))
+        self.top = [next(r, None) for r in self.runs]
         self.tree = [-1] * self.k  # the loser of each match; [0] is the overall winner
         for i in range(len(runs)):
             self._play(i)
 
-    def _key(self, i: int):
-        return self.runs[i][self.at[i]] if self.at[i] < len(self.runs[i]) else None
-
     def _beats(self, i: int, j: int) -> bool:
-        a, b = self._key(i), self._key(j)
+        a, b = self.top[i], self.top[j]
         return a is not None and (b is None or (a, i) < (b, j))
 
     def _play(self, i: int) -> None:
@@ -138,21 +140,40 @@ class LoserTree:
         self.tree[0] = i
 
     def __iter__(self):
-        while self.runs and (top := self._key(i := self.tree[0])) is not None:
+        while self.runs and (top := self.top[i := self.tree[0]]) is not None:
             yield top
-            self.at[i] += 1
+            self.top[i] = next(self.runs[i], None)
             self._play(i)
 
 
+class _Run:
+    """One run's share of a range: Arrow columns, of which READ rows at a time are turned to Python values."""
+
+    def __init__(self):
+        self.parts: list[pa.RecordBatch] = []
+
+    def __iter__(self):
+        for part in self.parts:
+            for a in range(0, part.num_rows, READ):
+                few = part.slice(a, READ)
+                for run, key, ts, page_id, offset, length in zip(*(few.column(k).to_pylist() for k in _RUN_NAMES), strict=True):
+                    yield key, ts, -1 if page_id is None else page_id, run, offset, length
+
+
 def _merge(rows):
     """One range of the keys: its rows come run by run, each run sorted; out come all in order."""
     part, runs, last = TaskContext.get().partitionId(), [], None
     for b in rows:
-        for run, key, ts, page_id, offset, length in zip(*(b.column(k).to_pylist() for k in _RUN_NAMES), strict=True):
-            if run != last:
-                runs.append([])
-                last = run
-            runs[-1].append((key, ts, -1 if page_id is None else page_id, run, offset, length))
+        names = b.column("run")
+        a = 0
+        while a < b.num_rows:
+            name = names[a].as_py()
+            end = a + 1 + next((k for k, x in enumerate(names.slice(a + 1).to_pylist()) if x != name), b.num_rows - a - 1)
+            if name != last:
+                runs.append(_Run())
+                last = name
+            runs[-1].parts.append(b.slice(a, end - a))
+            a = end
     out = []
 
     def batch():
@@ -171,14 +192,16 @@ def _merge(rows):
 def merge_runs(runs: DataFrame) -> DataFrame:
     """All captures in one global order of URL key, time and page: position, urlkey, ts, run, offset, length.
 
-    Rows are dealt to ranges of that order; a task merges the runs' shares of its range. A URL with very many captures
-    is cut by time, so no range grows with it. Runs without rows, and no runs, give no rows.
+    Rows are dealt to ranges of that order of about RANGE_ROWS rows; a task merges the runs' shares of its range, which it
+    holds as packed columns, and of which it unpacks READ rows of each run at a time. A URL with very many captures is cut
+    by time, so no range grows with it. Runs without rows, and no runs, give no rows.
     """
     spark = runs.sparkSession
-    dealt = runs.repartitionByRange(partitions(spark), "urlkey", "ts", "page_id").sortWithinPartitions("run", "urlkey", "ts", "page_id", "offset")
+    n = max(partitions(spark), -(-runs.count() // RANGE_ROWS))
+    dealt = runs.repartitionByRange(n, "urlkey", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "urlkey", "ts", "page_id", "offset")
     merged = stored(dealt.mapInArrow(_merge, "part long, row long, urlkey string, ts string, run string, offset long, length long"), "captures")
     sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
-    base = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    base = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row for each range
     return merged.join(F.broadcast(base), "part").select((F.col("base") + F.col("row")).alias("position"), "urlkey", "ts", "run", "offset", "length")
 
 
@@ -187,13 +210,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     Which payloads repeat is settled on digests alone, before any payload moves; payloads are never shuffled.
     """
+    spark = pages.sparkSession
     pages = pages.select(F.col("page_id").cast("long"), "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
     slim = stored(pages.filter(F.octet_length("html") >= LEAST_REVISIT).select("page_id", "digest", F.octet_length("html").alias("n_bytes")), "payloads")
-    kept = slim.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = stored(slim.join(kept, ["digest", "n_bytes"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct(), "revisits")
+    # stored before the join, and nothing grouped after it, so that a join by the digest of very many copies can be split
+    kept = stored(slim.groupBy("digest", "n_bytes").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"), "kept")
+    revisits = stored(slim.join(small(kept), ["digest", "n_bytes"]).filter("page_id <> refers_to").select("page_id", "digest", "refers_to"), "revisits")
+    if revisits.groupBy("page_id", "digest").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # rows that repeat a page
+        revisits = stored(revisits.distinct(), "revisits")
     make_dir(folder)
     rows = pages.join(small(revisits), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to", url_key(F.col("url")).alias("urlkey"))
-    return stored(rows.mapInArrow(_write(folder), RUN_SCHEMA), "runs")
+    rows.mapInArrow(_write(folder), RUN_SCHEMA).write.mode("overwrite").parquet(f"{folder}/index")
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{folder}/index")
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, run string, offset long, payload binary"
@@ -222,8 +250,10 @@ def _read(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records of all archives in folder: page_id, payload_bytes, payload_digest, record_type, refers_to, run, offset, payload (null for revisits)."""
+    """The records of the archives that folder's index lists: page_id, payload_bytes, payload_digest, record_type, refers_to, run, offset, payload (null for revisits)."""
+    listed = spark.read.schema(RUN_SCHEMA).parquet(f"{folder}/index").select("run").distinct()
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    files = files.withColumn("run", F.substring_index("path", "/", -1)).join(F.broadcast(listed), "run", "left_semi")  # a row for each file
     return files.select("path", "content").mapInArrow(_read(with_payload), _READ)
 
 
