@@ -33,8 +33,9 @@ def some(rows: DataFrame, n: int) -> DataFrame:
 
 
 def features(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
-    """schema's columns for each row of docs(doc_id, text): doc_id, and what make(data, offsets) gives for a piece of texts."""
-    names = [x.split()[0] for x in schema.split(", ")]
+    """schema's columns for each row of docs(doc_id, text): doc_id, and what make(data, offsets) gives for a piece of texts. A column text_digest of docs passes."""
+    passed = [c for c in ("text_digest",) if c in docs.columns]
+    names = [x.split()[0] for x in schema.split(", ")] + passed
 
     def run(rows):
         for batch in rows:
@@ -42,12 +43,12 @@ def features(docs: DataFrame, make: Callable, schema: str) -> DataFrame:
             data, offsets = flat(batch.column("text"))
             for a, b in ((k, min(k + TEXTS, b)) for a, b in pieces(offsets, PIECE) for k in range(a, b, TEXTS)):
                 out = make(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *out], names=names)
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *out, *(batch.column(c).slice(a, b - a) for c in passed)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), schema)
+    return docs.select(F.col("doc_id").cast("long"), "text", *passed).mapInArrow(trimmed(run), schema + "".join(f", {c} string" for c in passed))
 
 
 def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], folds: int, held_out: int, at_least: float) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of docs."""
+    """doc_id, held_out, score, predicted (and text_digest, if docs has it) of each row of docs."""
     rows = features(docs, lambda data, offsets: [pa.array(np.clip(score(data, offsets), 0, 1).astype(np.float64))], "doc_id long, score double")
-    return rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
+    return rows.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"), *rows.columns[2:])
