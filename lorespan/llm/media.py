@@ -122,10 +122,10 @@ def media_features(media: DataFrame) -> DataFrame:
 def media_fingerprints(docs: DataFrame) -> DataFrame:
     """Stores every whole text of docs(doc_id, text) as a media column in the shared folder and returns its features, one row for each row.
 
-    feature is the SHA-256 of the arrays, written as numbers with commas. Null and empty text: 192 spaces. Equal texts
-    have equal values. Repeated rows and rows without doc_id keep a row each; an empty table gives none; other columns
-    are left out.
+    peak_time and peak_code are the fingerprint; feature is the SHA-256 of both arrays, written as numbers with commas.
+    Null and empty text: 192 spaces. Equal texts have equal values. Repeated rows and rows without doc_id keep a row
+    each; an empty table gives none; other columns are left out.
     """
     rows = media_features(stored(media_column(docs.select(F.col("doc_id").cast("long"), "text")), "media"))
     numbers = F.concat_ws(";", F.concat_ws(",", F.col("peak_time").cast("array<string>")), F.concat_ws(",", F.col("peak_code").cast("array<string>")))
-    return rows.select(*(c for c in rows.columns if not c.startswith("peak_")), F.sha2(numbers, 256).alias("feature"), F.size("peak_time").alias("n_pairs"))
+    return rows.select(*(c for c in rows.columns if not c.startswith("peak_")), F.sha2(numbers, 256).alias("feature"), F.size("peak_time").alias("n_pairs"), "peak_time", "peak_code")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What a broadcast table may hold, counted before: rows, and bytes of all its values. Beyond either, joins shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64_000_000
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 16_000_000
 #: Bytes of text for which one group of a two-sided exchange (a home, or a bucket and its likes) is meant.
 GROUP_TEXT = 10_000_000
 
@@ -78,16 +78,21 @@ def lower_ascii(text: Column) -> Column:
 
 
 def first_copies(docs: DataFrame, slim: DataFrame, key: str) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest with their key.
+    """The rows of docs whose doc_id is the smallest with their key; of rows without doc_id, one for each key that no other row has.
 
     slim has (doc_id, key) of every row and should be stored. The texts are not shuffled: the ids of the other copies are
-    few enough to broadcast (counted first), or else an anti join by doc_id shuffles. Rows without doc_id, and rows that
-    repeat a doc_id, stay.
+    few enough to broadcast (counted first), or else an anti join by doc_id shuffles. Rows that repeat a doc_id and key
+    stay. Only texts of rows without doc_id are shuffled, one of each key from each task.
     """
     # the keys are stored before the join, and nothing is grouped after it, so that a join by a hot key can be split
     firsts = stored(slim.groupBy(key).agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "firsts")
     copies = slim.join(small(firsts), key).filter("doc_id <> _first").select("doc_id", key)
-    return docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti")
+    out = docs.join(small(stored(copies, "copies")), ["doc_id", key], "left_anti").select(*docs.columns)
+    if not slim.filter("doc_id is null").limit(1).count():
+        return out
+    named = small(stored(slim.filter("doc_id is null").select(key).distinct().join(slim.filter("doc_id is not null").select(key), key, "left_semi"), "named"))
+    nameless = docs.filter("doc_id is null").dropDuplicates([key]).join(named, key, "left_anti").select(*docs.columns)
+    return out.filter("doc_id is not null").unionByName(nameless)
 
 
 @contextlib.contextmanager

@@ -84,6 +84,24 @@ def _lists(data, offsets):
     return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(f, pa.int64()))]
 
 
+def nnpu_step(sets: list[tuple], owns: list[np.ndarray], w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray]:
+    """The risk of the linear classifier (w, b) with logistic loss over parts of the positive and the unlabelled texts, and the step (of w, then b) against it.
+
+    sets has (number of texts, rows, columns) of both kinds, owns the texts that take part. Where the negatives' risk is
+    below 0, the risk leaves it out, and the step is the way that raises it again.
+    """
+    found = []
+    for (n, row, col), own in zip(sets, owns, strict=True):
+        on, many = own[row], max(1, own.sum())
+        g = np.bincount(row, w[col], minlength=n) + b
+        s = 1 / (1 + np.exp(-g))
+        slope = lambda d: np.r_[np.bincount(col[on], d[row[on]], minlength=len(w)), d[own].sum()] / many  # noqa: B023, E731
+        found.append((slope(s - 1), slope(s), np.logaddexp(0, -g)[own].sum() / many, np.logaddexp(0, g)[own].sum() / many))
+    (pos_up, pos_down, as_positive, pos_loss), (_, unl_down, _, unl_loss) = found
+    down, negatives = unl_down - prior * pos_down, unl_loss - prior * pos_loss
+    return prior * as_positive + max(0.0, negatives), prior * pos_up + down if negatives >= 0 else -down
+
+
 def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, seed: int = 1) -> Chosen:
     """Weights of the chosen features, none below 0, and the bias. Each text is its distinct features."""
     names, n_pos = np.unique(np.concatenate(positive), return_counts=True)
@@ -117,17 +135,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     for _ in range(rounds):
         shares = [rng.integers(0, parts, n) for n, _, _ in sets]
         for k in range(parts):
-            found = []
-            for (n, row, col), share in zip(sets, shares, strict=True):
-                own = share == k
-                on, many = own[row], max(1, own.sum())
-                g = np.bincount(row, w[col], minlength=n) + b
-                s = 1 / (1 + np.exp(-g))
-                slope = lambda d: np.r_[np.bincount(col[on], d[row[on]], minlength=len(w)), d[own].sum()] / many  # noqa: B023, E731
-                found.append((slope(s - 1), slope(s), np.logaddexp(0, g)[own].sum() / many))
-            (pos_up, pos_down, pos_loss), (_, unl_down, unl_loss) = found
-            down = unl_down - prior * pos_down
-            step = prior * pos_up + down if unl_loss - prior * pos_loss >= 0 else -down
+            _, step = nnpu_step(sets, [share == k for share in shares], w, b, prior)
             step[:-1] += 1e-5 * w
             t += 1
             m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
