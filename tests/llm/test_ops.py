@@ -112,6 +112,26 @@ def test_token_counts_and_cache(spark, docs, texts, empty, tmp_path):
     assert token_counts(empty, path).count() == 0
 
 
+def test_token_counts_query_meets_the_cache(spark, tmp_path):
+    """The registered query, run twice with a named cache: the second run counts nothing anew, and gives the same rows."""
+    from lorespan.llm import token_counts as C
+    from lorespan.llm.queries import op2_token_counts
+
+    rows = [(k, f"text {k % 5} of this table") for k in range(20)] + [(30, None), (None, "text 1 of this table")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.conf.set(C.CACHE_SETTING, f"file://{tmp_path}/cache")
+    try:
+        first = sorted(map(tuple, op2_token_counts(spark, f"{tmp_path}/in").collect()), key=str)
+        assert len(first) == 22 and spark.read.parquet(f"{tmp_path}/cache").count() == 6
+        spark.read.parquet(f"{tmp_path}/cache").select("digest", "version", (F.col("n_tokens") + 1000).alias("n_tokens")).write.parquet(f"{tmp_path}/marked")
+        spark.conf.set(C.CACHE_SETTING, f"file://{tmp_path}/marked")
+        second = sorted(map(tuple, op2_token_counts(spark, f"{tmp_path}/in").collect()), key=str)
+        assert spark.read.parquet(f"{tmp_path}/marked").count() == 6
+        assert [(i, b, n + 1000, True) for i, b, n, _ in first] == second
+    finally:
+        spark.conf.unset(C.CACHE_SETTING)
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name, texts):
     from hypothesis import given, settings
@@ -157,6 +177,25 @@ def test_token_file(docs, texts, empty, tmp_path):
     assert token_file(empty, path).count() == 0
 
 
+def test_token_shards_of_nameless_rows(spark, tmp_path):
+    """Several shards; rows without doc_id have shards of their own, before the others; a shard that is there already stays."""
+    from lorespan.llm import token_file as T
+
+    path = TOKENIZERS.path("word_bpe_49k.json")
+    rows = [(None if k % 3 == 0 else k % 40, f"some words {k} and more") for k in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    folder = f"file://{tmp_path}/tokens"
+    shards = T.write_token_shards(df, path, folder, 1, shard_text=400)
+    got = T.read_token_shards(spark, folder, shards).orderBy("start").collect()
+    assert len(got) == 120 and shards.count() > 4
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(120)]
+    ids = [r.doc_id for r in got]
+    assert ids[:40] == [None] * 40 and ids[40:] == sorted(k % 40 for k in range(120) if k % 3)
+    again = T.write_token_shards(df, path, folder, 1, shard_text=400)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, shards.collect()))
+    assert sorted(map(tuple, T.read_token_shards(spark, folder, again).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 32])
 def test_bit_packing(bits):
     from lorespan.llm.token_file import pack, unpack
@@ -245,7 +284,50 @@ def test_nnpu_keeps_the_prior():
     assert (m.weights >= 0).all()
 
 
+def test_nnpu_risk_and_step():
+    """The risk against its formula, text by text; the step against finite differences, on both sides of the bound."""
+    from lorespan.llm.toxicity import nnpu_step
+
+    rng = np.random.default_rng(2)
+    texts = [[np.unique(rng.integers(0, 6, 4)) for _ in range(n)] for n in (9, 14)]
+    sets = [(len(x), np.repeat(np.arange(len(x)), [len(t) for t in x]), np.concatenate(x)) for x in texts]
+    owns = [rng.random(n) < 0.8 for n, _, _ in sets]
+    log_loss = lambda z: math.log1p(math.exp(-z))
+
+    def parts(w, b, prior):
+        pos, unl = ([w[t].sum() + b for t, own in zip(x, o, strict=True) if own] for x, o in zip(texts, owns, strict=True))
+        mean = lambda v: sum(v) / len(v)
+        return prior * mean([log_loss(g) for g in pos]), mean([log_loss(-g) for g in unl]) - prior * mean([log_loss(-g) for g in pos])
+
+    seen = set()
+    for prior, b in ((0.1, -1.0), (0.9, 2.0), (0.95, 0.1), *[(0.99, 0.5)] * 8):
+        w = rng.normal(size=6)
+        risk, step = nnpu_step(sets, owns, w, b, prior)
+        as_positive, negatives = parts(w, b, prior)
+        assert risk == pytest.approx(as_positive + max(0.0, negatives))
+        seen.add(negatives >= 0)
+        value = (lambda w, b: sum(parts(w, b, prior))) if negatives >= 0 else (lambda w, b: -parts(w, b, prior)[1])  # noqa: B023
+        for k in range(7):
+            d = np.eye(7)[k] * 1e-6
+            assert step[k] == pytest.approx((value(w + d[:6], b + d[6]) - value(w - d[:6], b - d[6])) / 2e-6, abs=1e-6)
+    assert seen == {True, False}
+
+
 # 6
+def test_warc_leaves_lost_attempts_out(spark, tmp_path):
+    """An archive that no index lists, left by a lost attempt, is not read."""
+    from lorespan.llm.warc import merge_runs, read_archives, write_archives
+
+    df = spark.createDataFrame([(k, f"http://h{k % 3}.example/{k}", "x" * 50) for k in range(30)], "page_id long, url string, html string").repartition(3)
+    folder = f"file://{tmp_path}/warc"
+    runs = write_archives(df, folder)
+    whole = next((tmp_path / "warc").glob("*.warc.gz"))
+    (tmp_path / "warc" / "captures-000000-ffff-0000.warc.gz").write_bytes(whole.read_bytes())
+    assert sorted(r.page_id for r in read_archives(spark, folder).collect()) == list(range(30))
+    merged = merge_runs(runs.union(runs.limit(0))).orderBy("position").collect()
+    assert [(r.urlkey, r.ts) for r in merged] == sorted((r.urlkey, r.ts) for r in runs.collect())
+
+
 def test_warc_round_trip(spark, tmp_path):
     from lorespan.llm.warc import read_archives, warc_round_trip
 
@@ -478,7 +560,51 @@ def test_quality_learns(spark):
     assert {r.score for r in quality(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_votes_row_by_row():
+    """Cosines, ties and weights of the vote against plain loops; the axes against a whole decomposition."""
+    from lorespan.llm.flat import flat
+    from lorespan.llm.quality import NEIGHBOURS, LatentVotes, main_axes, terms
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(rng.choice(["good", "fine", "Word", "x1", "!!", "long", "tail"], rng.integers(1, 30)))
+    known, asked = [text() for _ in range(60)], [text() for _ in range(40)]
+    known += known[:30]  # equal voters, with other labels
+    y = rng.integers(0, 2, 90)
+    model = LatentVotes(terms(*flat(pa.array(known))), y)
+    x = terms(*flat(pa.array([*asked, None, "  "])))
+    got = model.score(x)
+    z = model.latent(x).astype(np.float64)
+    for i in range(40):
+        cos = [round(float(np.dot(z[i], v)), 6) for v in model.known.astype(np.float64)]
+        near = sorted(range(90), key=lambda j: (-cos[j], j))[:NEIGHBOURS]
+        vote = [max(cos[j], 0) + 1e-6 for j in near]
+        assert got[i] == pytest.approx(sum(v * y[j] for v, j in zip(vote, near, strict=True)) / sum(vote), abs=0.02)
+    assert got[40] == got[41] == pytest.approx(y.mean())
+    v = rng.normal(size=(50, 30)).astype(np.float32) * np.r_[[9, 5, 3], np.ones(27)].astype(np.float32)
+    _, _, axes = np.linalg.svd(v)
+    assert np.abs(np.linalg.svd(main_axes(v, 3).T @ axes[:3].T)[1] - 1).max() < 1e-3
+
+
 # 10
+def test_peaks_by_direct_transform():
+    """Peaks and pairs of a short sound against a transform written out as sums."""
+    from lorespan.llm.media import FAN, FRAME, HOP, PEAKS, REACH, peak_pairs, spectral_peaks
+
+    x = np.random.default_rng(4).integers(32, 127, FRAME * 4).astype(np.uint8)
+    found = []
+    for f in range((len(x) - FRAME) // HOP + 1):
+        part = [(float(v) - 128) * (0.5 - 0.5 * math.cos(2 * math.pi * k / (FRAME - 1))) for k, v in enumerate(x[f * HOP : f * HOP + FRAME])]
+        power = [abs(sum(v * complex(math.cos(2 * math.pi * b * k / FRAME), -math.sin(2 * math.pi * b * k / FRAME)) for k, v in enumerate(part))) ** 2 for b in range(FRAME // 2 + 1)]
+        tops = [b for b in range(1, FRAME // 2) if power[b] > power[b - 1] and power[b] >= power[b + 1] and power[b] > 1]
+        found += [(f, b) for b in sorted(tops, key=lambda b: -power[b])[:PEAKS]]  # noqa: B023
+    times, bins = spectral_peaks(x.tobytes())
+    assert list(zip(times.tolist(), bins.tolist(), strict=True)) == found
+    want = sorted((t, (b << 16) | (c << 8) | (u - t)) for i, (t, b) in enumerate(found) for u, c in found[i + 1 : i + PEAKS + FAN] if 0 < u - t <= REACH)
+    assert list(zip(*(v.tolist() for v in peak_pairs(times, bins)), strict=True)) == want
+
+
 def test_media(docs, texts, empty):
     from lorespan.llm.media import media_fingerprints, peak_pairs, spectral_peaks, to_wav
 
@@ -490,6 +616,7 @@ def test_media(docs, texts, empty):
         r = got[3 * k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == (len(d), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest())
         at, code = peak_pairs(*spectral_peaks(p))
+        assert (r.peak_time, r.peak_code, r.n_pairs) == (at.tolist(), code.tolist(), len(at))
         assert r.feature == hashlib.sha256((",".join(map(str, at)) + ";" + ",".join(map(str, code))).encode()).hexdigest()
     assert len({got[3 * k].feature for k in (10, 30, 31, 32, 33)}) == 1
     assert media_fingerprints(empty).count() == 0
@@ -504,15 +631,115 @@ def test_tone_is_found():
 
 
 # pipeline
-def test_pipeline_stages(spark, tmp_path):
+def contaminated(t, windows):
+    x, hit = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t)), set()
+    for m in {len(v) for v in windows}:
+        for a in range(len(x) - m + 1):
+            if tuple(x[a : a + m]) in windows:
+                hit.update(range(a, a + m))
+    return bool(hit) and 20 * len(hit) >= len(x)
+
+
+def windows_of(spark, sf):
+    out = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        x = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(r.text))
+        m = min(13, len(x))
+        out |= {tuple(x[k : k + m]) for k in range(len(x) - m + 1)} if x else set()
+    return out
+
+
+def copies_of(rows):
+    """Rows (doc_id, text, source) and how often each is repeated."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").encode())
+    whole = sum(b**0.5 for b in sizes.values())
+    out = Counter()
+    for i, t, s in rows:
+        lam = sizes[s] ** 0.5 / whole * sum(sizes.values()) / sizes[s]
+        u, k = int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52, 0
+        p = c = math.exp(-lam)
+        while c <= u:
+            k += 1
+            p *= lam / k
+            c += p
+        out[(i, t, s)] += k
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage on the whole table that the one before kept, and run(), against plain loops (the classifier: its own scores of the same rows)."""
     import corpus_pipeline as P
     from compare import SF
+    from tokenizers import Tokenizer
+
+    from lorespan.llm.quality import quality
 
     assert [n for n, _ in P.STAGES] == ["quality", "ngram_join", "decontaminate", "mixture", "token_file"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
-    kept = P.keep_one_of_each(spark, docs, SF)
-    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect()}
-    want = {i for i, root in components_of(sets).items() if i == root}
-    assert {r.doc_id for r in kept.collect()} == want and kept.columns == docs.columns
-    assert P.mix(spark, docs, SF).columns == docs.columns
-    assert P.run.__doc__
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    scores = {r.doc_id: r.predicted for r in quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    first = [r for r in rows if scores[r[0]]]
+    root = components_of({i: shingle_set(t) for i, t, _ in first})
+    second = [r for r in first if root[r[0]] == r[0]]
+    windows = windows_of(spark, SF)
+    third = [r for r in second if not contaminated(r[1], windows)]
+    fourth = copies_of(third)
+    assert len(rows) > len(first) > len(second) > len(third) > 0
+    steps, now = [], docs
+    for name, stage in P.STAGES[:4]:
+        now = stage(spark, now, SF)
+        assert now.columns == docs.columns, name
+        now.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        steps.append(Counter((r.doc_id, r.text, r.source) for r in now.collect()))
+    assert steps == [Counter(first), Counter(second), Counter(third), +fourth]
+    library = Tokenizer.from_file(TOKENIZERS.path("word_bpe_49k.json"))
+    start, want = 0, []
+    for (i, t, _), n in sorted(fourth.items()):
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
+        for _ in range(n):
+            want.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+            start += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in P.run(spark, SF).collect())
+    assert got == want
+
+
+def test_pipeline_odd_rows(spark):
+    """Rows without doc_id, with one doc_id for two texts, and repeated rows: each text is judged by itself."""
+    import corpus_pipeline as P
+    from compare import SF
+
+    words = [f"w{k}" for k in range(40)]
+    t, near, other = " ".join(words), " ".join(words[:-1]), " ".join(reversed(words))
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(5, t), (9, near), (None, t), (None, other), (None, other), (7, passage), (7, "clean words stay here " + other), (8, passage), (3, None), (None, None), (None, ""), (4, "  "), (6, other), (6, other)]
+    df = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = Counter((r.doc_id, r.text) for r in P.keep_one_of_each(spark, df, SF).collect())
+    assert (9, near) not in kept and (None, t) not in kept and (None, other) not in kept and kept[(6, other)] == 1 and kept[(5, t)] == 1
+    assert kept[(3, None)] == 1 and kept[(4, "  ")] == 1 and kept[(None, None)] + kept[(None, "")] == 1
+    clean = Counter((r.doc_id, r.text) for r in P.keep_clean(spark, df, SF).collect())
+    assert clean == Counter(r for r in rows if r[1] != passage)
+    for stage in (P.keep_good, P.keep_one_of_each, P.keep_clean, P.mix):
+        assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_odd_columns_and_ids(spark):
+    """Columns that clash with inner names, and null ids, change nothing and break nothing."""
+    from lorespan.llm.decontaminate import contamination
+    from lorespan.llm.media import media_fingerprints
+    from lorespan.llm.ngram_join import ngram_join
+    from lorespan.llm.quality import quality
+    from lorespan.llm.suffix_dedup import suffix_dedup
+    from lorespan.llm.token_counts import token_counts
+    from lorespan.llm.toxicity import toxicity
+
+    names = ["_u", "_h", "_g", "_m", "_p", "_f", "_id", "_d", "_key", "_first", "_text", "words", "digest", "text_digest", "home", "bucket", "fp", "pos", "size", "y", "kind", "own_id", "n_bytes"]
+    plain = spark.createDataFrame([(1, "a b c d e f"), (None, "a b c d e f"), (2, None), (None, None)], "doc_id long, text string")
+    odd = plain.select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    bench = spark.createDataFrame([(1, "b c d")], "item_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(20)], "doc_id long, quality int, toxic int")
+    path = TOKENIZERS.path("byte_bpe_50k.json")
+    for f in (lambda d: contamination(d, bench), media_fingerprints, ngram_join, lambda d: quality(d, labels), suffix_dedup, lambda d: token_counts(d, path), lambda d: toxicity(d, labels)):
+        assert sorted(map(str, f(odd).collect())) == sorted(map(str, f(plain).collect()))
