@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespan.llm.decontaminate import contamination
@@ -17,24 +17,43 @@ from lorespan.llm.token_file import token_file
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less those whose doc_id is in ids: no text is shuffled while the ids, counted first, are few enough to broadcast."""
-    return docs.join(small(stored(ids.select("doc_id").filter("doc_id is not null").distinct(), "dropped")), "doc_id", "left_anti").select(*COLUMNS)
+def _digest() -> Column:
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id (null too) and text are in judged(doc_id, text_digest). No text is shuffled while these are few enough to broadcast."""
+    gone = small(stored(judged.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_d")), "dropped"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_digest() == F.col("_d")), "left_anti").select(*COLUMNS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that it rejects (predicted 0) go."""
-    judged = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Quality classifier: rows that it rejects (predicted 0) go. Each row is judged by its own text, whatever rows share its doc_id or have none."""
+    judged = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), digests=True)
     return _without(docs, judged.filter("predicted = 0"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: of each group that links join, the document with the smallest doc_id stays."""
-    return _without(docs, ngram_join(docs).filter("doc_id <> component_id"))
+    """N-gram Jaccard join: of each group that links join, the document with the smallest doc_id stays.
+
+    Rows without doc_id come after all others: each different text of theirs is a document. Texts that share a doc_id are
+    one document and stay or go together. Of rows that repeat a document's text, one stays. Texts without words are
+    linked with nothing and stay.
+    """
+    nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id"), nameless).alias("_key"), _digest().alias("_d"))
+    joined = ngram_join(rows.select(F.col("_key").alias("doc_id"), "text"))
+    gone = small(stored(joined.filter("doc_id <> component_id").select(F.col("doc_id").alias("_key")), "dropped"))
+    kept = rows.join(gone, "_key", "left_anti")
+    again = stored(rows.select("_key", "_d").groupBy("_key", "_d").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if again.limit(1).count():
+        once = kept.join(small(again), ["_key", "_d"], "left_semi").dropDuplicates(["_key", "_d"])
+        kept = kept.join(small(again), ["_key", "_d"], "left_anti").unionByName(once)
+    return kept.select(*COLUMNS)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: contaminated documents go."""
+    """Benchmark decontamination: contaminated rows go. Each row is judged by its own text."""
     return _without(docs, contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter("contaminated"))
 
 
@@ -69,5 +88,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Classifier and tokenizer can't be written in SQL; tests hold each stage against brute force.
+#: Classifier and tokenizer can't be written in SQL: tests/llm holds each stage, and run(), against brute force.
 ORACLE_SQL = None
