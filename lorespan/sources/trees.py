@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+from functools import reduce
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Schema of a line of an event log.
@@ -12,14 +17,90 @@ EVENT_SCHEMA = f"ts STRING, agent_id STRING, agent_type STRING, bash_cmd STRING,
 HASH_LIMIT = 100 * 1024 * 1024
 
 
-def scan_entries(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, kind, shape, text of the Markdown files under root, without manifests and hidden folders."""
-    df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+#: Files and folders of a `.living` folder that hold no entries, and files that hold many.
+NO_ENTRIES = ("INDEX.md", "MENU.md", "LOG_REGISTRY.md", "FINDINGS_REGISTRY.md", "last-session.md")
+NO_ENTRY_FOLDERS = ("generated-conventions", "graph")
+AGGREGATES = (("learnings.md", "learning"), ("decisions.md", "decision"), ("findings.md", "finding"))
+#: Folders whose files are an entry each, with its kind and shape.
+FOLDERS = (("learnings", "learning", "per_entry_file"), ("findings", "finding", "standalone_finding_file"), ("decisions", "decision", "per_entry_file"))
+
+
+def classify(rel: Column) -> Column:
+    """kind and shape of a file by its path within its `.living` folder; null where it holds no entries."""
+    parts = F.split(rel, "/")
+    name, top = F.element_at(parts, -1), F.get(parts, F.lit(0))
+    pair = lambda kind, shape: F.struct(F.lit(kind).alias("kind"), F.lit(shape).alias("shape"))
+    gone = ~F.endswith(name, F.lit(".md")) | name.isin(*NO_ENTRIES) | F.endswith(name, F.lit("_MANIFEST.md")) | top.isin(*NO_ENTRY_FOLDERS, "log") | F.array_contains(parts, "generated-conventions") | F.array_contains(parts, ".living")
+    out = F.when(gone, None).when(name == "conventions.md", pair("convention", "aggregate_section"))
+    for file, kind in AGGREGATES:
+        out = out.when(rel == file, pair(kind, "aggregate_section"))
+    for folder, kind, shape in FOLDERS:
+        out = out.when((top == folder) & (F.size(parts) > 1), pair(kind, shape))
+    return out
+
+
+def inclusion_flags(files: DataFrame, projects: DataFrame | None = None, kinds: tuple[str, ...] = ()) -> DataFrame:
+    """files(path) with project, rel (within the project's `.living` folder), kind, shape, included.
+
+    Included are files that hold entries, of projects(project, has_living) that have such a folder if projects are given,
+    and of the asked kinds if there are any. Files outside of every `.living` folder are not.
+    """
+    living = F.instr("path", "/.living/")
+    rel = F.when(living > 0, F.expr("substring(path, instr(path, '/.living/') + 9)"))
+    df = files.withColumn("rel", rel).withColumn("project", F.when(living > 0, F.expr("substring(path, 1, instr(path, '/.living/') - 1)"))).withColumn("_c", F.when(F.col("rel").isNotNull(), classify(F.col("rel"))))
+    df = df.select(*files.columns, "project", "rel", "_c.kind", "_c.shape")
+    on = F.col("kind").isNotNull()
+    if kinds:
+        on = on & F.col("kind").isin(*kinds)
+    if projects is None:
+        return df.withColumn("included", on)
+    df = df.join(projects.select("project", F.col("has_living").alias("_has")), "project", "left")
+    return df.withColumn("included", on & F.coalesce("_has", F.lit(False))).drop("_has")
+
+
+def living_folders(spark: SparkSession, root: str) -> list[str]:
+    """The `.living` folders under root, however deep, but those within another one: a listing of folders, level by level."""
+    jvm, found, level = spark._jvm, [], [root.rstrip("/")]
+    store = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    while level:
+        below = []
+        for folder in level:
+            for status in store.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
+                if status.isDirectory():
+                    path = status.getPath().toString()
+                    (found if path.endswith("/.living") else below).append(path)
+        level = below
+    return found
+
+
+def scan_entries(spark: SparkSession, *roots: str) -> DataFrame:
+    """path, project, rel, name, kind, shape, text of the Markdown files with entries under the roots.
+
+    Files in a `.living` folder go by their place in it (classify()); project is the folder that holds it, below the root.
+    Files of a plain tree, outside of every such folder, go by names and folders alone; its hidden folders and manifests
+    are left out.
+    """
+    files = None
+    for root in roots:
+        folders = living_folders(spark, root)
+        for paths in ([root], folders):  # the reader passes hidden folders over unless it is given them
+            if paths:
+                df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+                bare = F.regexp_replace("path", "^file:/+", "/")
+                df = df.withColumn("_in", F.concat(F.lit("/"), F.regexp_replace(F.replace(bare, F.lit(file_prefix(root).removeprefix("file://")), F.lit("")), "^/+", "")))
+                files = df if files is None else files.unionByName(df)
+    living = inclusion_flags(files.withColumnRenamed("path", "_path").withColumnRenamed("_in", "path")).filter("included").select(F.col("_path").alias("path"), F.regexp_replace("project", "^/+", "").alias("project"), "rel", "kind", "shape", "text")
+    plain = files.filter(~F.contains("_in", F.lit("/.living/")) & ~F.regexp_like("_in", F.lit(r"/\.[^/]+/")) & ~F.endswith("path", F.lit("_MANIFEST.md")))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    kind = F.when(F.contains("path", F.lit("/findings/")), "finding").when(name.startswith("learnings"), "learning").when(name.startswith("decisions"), "decision").when(F.contains("path", F.lit("/conventions/")), "convention").otherwise("other")
-    shape = F.when(kind.isin("finding", "convention"), "whole_file").otherwise("register")
-    out = df.select("path", name.alias("name"), kind.alias("kind"), shape.alias("shape"), "text")
-    return out.filter((F.col("name") != "_MANIFEST.md") & ~F.regexp_like("path", F.lit(r"/\.[^/]+/")))
+    kind = F.when(F.contains("_in", F.lit("/findings/")), "finding").when(name.startswith("learnings"), "learning").when(name.startswith("decisions"), "decision").when(F.contains("_in", F.lit("/conventions/")), "convention").otherwise("other")
+    plain = plain.withColumn("kind", kind).select("path", F.lit(None).cast("string").alias("project"), F.regexp_replace("_in", "^/", "").alias("rel"), "kind", F.when(F.col("kind").isin("finding", "convention"), "whole_file").otherwise("register").alias("shape"), "text")
+    return living.unionByName(plain).withColumn("name", name)
+
+
+def file_prefix(root: str) -> str:
+    """A root as file paths begin with it."""
+    bare = root.rstrip("/")
+    return bare if "://" in bare else f"file://{bare.removeprefix('file:')}"
 
 
 def scan_logs(spark: SparkSession, root: str, least: int = 150) -> DataFrame:
@@ -30,6 +111,24 @@ def scan_logs(spark: SparkSession, root: str, least: int = 150) -> DataFrame:
     return df.select("path", F.nullif(F.regexp_extract(name, r"^(\d{4}-\d{2}-\d{2})", 1), F.lit("")).alias("date"), seq.alias("seq"), "text").filter(F.length(F.trim("text")) >= least)
 
 
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes files(path, text) as files below root, a task its own rows; paths are relative. A repeated task writes the same again."""
+    store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+
+    def run(rows):
+        n = 0
+        for batch in rows:
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                where = f"{at}/{path}"
+                store.create_dir(where.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(where) as out:
+                    out.write((text or "").encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    files.select("path", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()  # one number
+
+
 def read_lineage_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, warnings): JSON lines by schema; lines that are no JSON object or have no ts are warnings, blank lines nothing."""
     lines = spark.read.text(path).filter(F.trim("value") != "").select("value", F.from_json("value", f"{EVENT_SCHEMA}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"))
@@ -48,7 +147,8 @@ def fingerprint_files(spark: SparkSession, path: str, declared: DataFrame | None
     small = files.filter(F.col("length") <= limit).select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
     out = small.unionByName(files.filter(F.col("length") > limit).select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256")))
     if declared is not None:
-        gone = declared.select("path").join(out, "path", "left_anti")
+        # one spelling of local paths, whatever the number of slashes
+        gone = declared.select(F.regexp_replace("path", "^file:/+", "file:/").alias("path")).join(out, "path", "left_anti")
         out = out.unionByName(gone.select("path", F.lit(None).cast("long").alias("size_bytes"), F.lit("_missing").alias("sha256")))
     return out
 
@@ -78,20 +178,57 @@ def canonical_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json")).orderBy("json")
 
 
+def graph_lines(tables: dict[str, DataFrame], version: int = 1) -> DataFrame:
+    """part, json: all tables of a graph as one artefact of canonical lines, by part and line, headed by its schema version.
+
+    The same rows give the same lines, whatever their order; nothing else, such as a time, is in it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    rows = spark.createDataFrame([("", json.dumps({"parts": sorted(tables), "schema_version": version}, sort_keys=True, separators=(",", ":")))], "part string, json string")
+    for name, df in sorted(tables.items()):
+        rows = rows.unionByName(df.select(F.lit(name).alias("part"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("json")))
+    return rows.orderBy("part", "json")
+
+
+def write_graph(tables: dict[str, DataFrame], path: str, version: int = 1) -> None:
+    """graph_lines() as text files in order."""
+    graph_lines(tables, version).select(F.concat_ws("\t", "part", "json").alias("value")).write.mode("overwrite").text(path)
+
+
 def declared_but_missing(declared: DataFrame, files: DataFrame) -> DataFrame:
     """Of declared(path): the ones that files(path, size) lacks, or has empty."""
     there = files.filter(F.col("size") > 0).select("path")
     return declared.select("path").join(there, "path", "left_anti")
 
 
-def load_registry(concepts: DataFrame, projects: DataFrame) -> DataFrame:
-    """error, subject of each fault: slugs that are no slugs or repeat, missing labels, unknown modes, repeated project ids and paths."""
-    modes = ("alias", "keyword", "hybrid")
-    one = lambda df, cond, name, c: df.filter(cond).select(F.lit(name).alias("error"), F.col(c).alias("subject"))
-    twice = lambda df, c, name: df.groupBy(c).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(name).alias("error"), F.col(c).alias("subject"))
-    out = one(concepts, ~F.regexp_like("slug", F.lit(r"^[a-z0-9]+(-[a-z0-9]+)*$")), "bad_slug", "slug")
-    for x in (one(concepts, F.coalesce(F.trim("label"), F.lit("")) == "", "no_label", "slug"), one(concepts, ~F.col("match_mode").isin(*modes), "bad_mode", "slug"), twice(concepts, "slug", "duplicate_slug"), twice(projects, "id", "duplicate_project"), twice(projects, "path", "duplicate_path")):
-        out = out.unionByName(x)
-    return out
-
-
+#: What a registry's columns may hold.
+MODES, STATUSES, ACTIONS = ("alias", "keyword", "hybrid"), ("candidate", "confirmed", "curated_singleton"), ("force", "block")
+
+
+def load_registry(concepts: DataFrame, projects: DataFrame, overrides: DataFrame | None = None, version: int = 1) -> DataFrame:
+    """error, subject of each fault; the caller decides whether to go on.
+
+    concepts(slug, label, definition, status, match_mode): slugs that are no slugs or repeat, labels and definitions that
+    are missing, unknown statuses and modes. projects(id, name, path, family, has_living): missing fields, ids and
+    resolved paths that repeat. overrides(entry, slug, action): unknown actions, and concepts that are not there. A column
+    schema_version of any of them must be version throughout.
+    """
+    empty = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    one = lambda df, cond, name, c: df.filter(cond).select(F.lit(name).alias("error"), F.col(c).cast("string").alias("subject"))
+    twice = lambda df, c, name: df.groupBy(c).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(name).alias("error"), F.col(c).cast("string").alias("subject"))
+    known = lambda c, values: ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"(^|/)(\./)+", "$1"), r"[^/]+/\.\./", ""), "/+$", "")
+    out = [
+        one(concepts, ~F.coalesce(F.regexp_like("slug", F.lit(r"^[a-z0-9][a-z0-9-]*$")), F.lit(False)), "bad_slug", "slug"),
+        *(one(concepts, empty(c), f"no_{c}", "slug") for c in ("label", "definition") if c in concepts.columns),
+        *([one(concepts, known("status", STATUSES), "bad_status", "slug")] if "status" in concepts.columns else []),
+        one(concepts, known("match_mode", MODES), "bad_mode", "slug"), twice(concepts, "slug", "duplicate_slug"),
+        *(one(projects, F.col(c).isNull(), f"no_{c}", "id") for c in ("name", "path", "family", "has_living") if c in projects.columns),
+        twice(projects, "id", "duplicate_project"), twice(projects.filter("path is not null").select(bare.alias("path")), "path", "duplicate_path"),
+    ]
+    if overrides is not None:
+        out += [one(overrides, known("action", ACTIONS), "bad_action", "slug"), one(overrides.join(concepts.select("slug"), "slug", "left_anti"), F.lit(True), "unknown_concept", "slug")]
+    for name, df in (("concepts", concepts), ("projects", projects), ("overrides", overrides)):
+        if df is not None and "schema_version" in df.columns:
+            out.append(df.filter(~F.col("schema_version").eqNullSafe(F.lit(version))).select(F.lit("schema_version").alias("error"), F.lit(name).alias("subject")).distinct())
+    return reduce(lambda a, b: a.unionByName(b), out)
