@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespan.functions.text import tokens
+from lorespan.functions.text import slugify, tokens
 from lorespan.sources.folders import work_dir
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
@@ -33,42 +33,65 @@ def cosine_pairs(weights: DataFrame, at_least: float) -> DataFrame:
     the candidates' full products are summed.
     """
     norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = weights.select("id", "term", "df", (F.col("weight") / norm).alias("u"))
-    left = F.sqrt(F.sum(F.col("u") ** 2).over(W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)))
-    prefix = unit.withColumn("left", left).filter(F.col("left") >= at_least - 1e-9).select("id", "term")
-    cand = prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
-    mine = cand.join(unit.select(F.col("id").alias("a"), "term", F.col("u").alias("ua")), "a")
-    both = mine.join(unit.select(F.col("id").alias("b"), "term", F.col("u").alias("ub")), ["b", "term"])
-    return both.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine")).filter(F.col("cosine") >= at_least)
+    unit = _stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
+    return _dots(_stored(_term_candidates(unit, at_least), "candidates"), unit).filter(F.col("cosine") >= at_least)
+
+
+def tag_jaccard_pairs(entries: DataFrame, above: float = 0.0) -> DataFrame:
+    """a < b and Jaccard of the lower-cased tag sets of all pairs with more than above. At 0 all pairs that share a tag come out, so a common tag makes many."""
+    sets = _stored(_tag_sets(entries), "tag-sets")
+    pairs = _tag_candidates(sets, above).join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    return pairs.select("a", "b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).filter(F.col("jaccard") > above)
 
 
-def tag_jaccard_pairs(entries: DataFrame) -> DataFrame:
-    """a < b and Jaccard of the lower-cased tag sets of all pairs that share a tag. Common tags make many pairs: give it tags that tell entries apart."""
-    sets = entries.select("id", F.array_distinct(F.transform("tags", lambda t: F.lower(t))).alias("tags"))
+def _tag_sets(entries: DataFrame) -> DataFrame:
+    return entries.select("id", F.array_sort(F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t)))).alias("tags"))
+
+
+def _tag_candidates(sets: DataFrame, above: float) -> DataFrame:
+    """a < b of all pairs of tag sets with a Jaccard above `above`, and of others: of each set, tags from rare to common meet, so many that one of a similar set must be among them. A tag that nearly all entries have joins nothing."""
     rows = sets.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    both = rows.select(F.col("id").alias("a"), F.col("n").alias("na"), "tag").join(rows.select(F.col("id").alias("b"), F.col("n").alias("nb"), "tag"), "tag").filter("a < b")
-    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k")).select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("jaccard"))
+    counts = _stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "tag"))
+    first = rows.join(counts, "tag").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.floor(F.col("n") * above)).select("id", "tag")
+    return first.select(F.col("id").alias("a"), "tag").join(first.select(F.col("id").alias("b"), "tag"), "tag").filter("a < b").select("a", "b").distinct()
 
 
-def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """a < b, jaccard, cosine, similarity = (jaccard + cosine) / 2 of all pairs with at least threshold, exactly.
+def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple[str, ...] = (), tags_above: float = 0.5) -> DataFrame:
+    """a < b, jaccard, cosine, similarity = (jaccard + cosine) / 2 of all pairs of entries(id, text, tags) with at least threshold, exactly.
 
-    Without a shared tag the cosine alone must reach twice the threshold; pairs that share a tag come from the tag join.
+    A pair whose tags have a Jaccard above tags_above comes from the entries' rarest tags; any other needs a cosine of at
+    least 2 * threshold - tags_above, and comes from their rarest terms. So neither a common tag nor a common term makes
+    pairs, and whole vectors meet for these candidates alone.
     """
-    weights = tfidf(entries, stop_words).persist()
-    tagged = tag_jaccard_pairs(entries)
+    sets = _stored(_tag_sets(entries), "tag-sets")
+    weights = _stored(tfidf(entries, stop_words), "weights")
     norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = weights.select("id", "term", (F.col("weight") / norm).alias("u"))
-    both = tagged.join(unit.select(F.col("id").alias("a"), "term", F.col("u").alias("ua")), "a").join(unit.select(F.col("id").alias("b"), "term", F.col("u").alias("ub")), ["b", "term"])
-    dots = both.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
-    with_tags = tagged.join(dots, ["a", "b"], "left").fillna(0.0, ["cosine"])
-    out = with_tags
-    if 2 * threshold <= 1:
-        alone = cosine_pairs(weights, 2 * threshold).join(tagged.select("a", "b"), ["a", "b"], "left_anti").withColumn("jaccard", F.lit(0.0))
-        out = out.unionByName(alone)
+    unit = _stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
+    pairs = _tag_candidates(sets, tags_above).unionByName(_term_candidates(unit, max(2 * threshold - tags_above, 1e-6))).distinct()
+    with_tags = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+    both = F.size(F.array_intersect("ta", "tb"))
+    all_ = F.size(F.array_union("ta", "tb"))
+    with_tags = with_tags.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
+    with_tags = _stored(with_tags, "candidates")
+    out = with_tags.join(_dots(with_tags, unit), ["a", "b"], "left").fillna(0.0, ["cosine"])
     return out.withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2).filter(F.col("similarity") >= threshold)
 
 
+def _term_candidates(unit: DataFrame, at_least: float) -> DataFrame:
+    """a < b of all pairs with a cosine of at least at_least, and of others (a prefix filter): terms from rare to common meet, as long as the norm that is left reaches at_least."""
+    left = F.sqrt(F.sum(F.col("u") ** 2).over(W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)))
+    prefix = unit.withColumn("left", left).filter(F.col("left") >= at_least - 1e-9).select("id", "term")
+    return prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
+
+
+def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
+    """a, b, cosine of pairs(a, b)."""
+    mine = pairs.select("a", "b").join(unit.select(F.col("id").alias("a"), "term", F.col("u").alias("ua")), "a")
+    both = mine.join(unit.select(F.col("id").alias("b"), "term", F.col("u").alias("ub")), ["b", "term"])
+    return both.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+
+
 def _stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there."""
     path = work_dir(df.sparkSession, name)
@@ -115,21 +138,114 @@ def _pair_sums(entries: DataFrame, roots: DataFrame, stop_words: tuple[str, ...]
 
 
 def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION, entries: DataFrame | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """cluster (its smallest id), size, cohesion (mean similarity over all its pairs), max_sim_rep, band.
+    """cluster (its smallest id), size, cohesion (mean similarity over all its pairs), max_sim_rep, max_sim_pair, band.
 
     pairs(a, b, similarity) link the clusters. With entries(id, text, tags), every pair in a cluster counts with its real
-    similarity, also those that pairs lacks; without them, these count 0. Clusters below cohesion are dropped.
+    similarity, also those that pairs lacks; without them, these count 0. Clusters below cohesion are dropped. The band
+    goes by the greatest similarity to the smallest id, which may be 1.
     """
-    roots = connected_components(pairs.select("a", "b")).persist()
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
+    return _clusters(pairs, connected_components(pairs.select("a", "b")), cohesion, entries, stop_words)
+
+
+def _clusters(pairs, roots, cohesion, entries, stop_words) -> DataFrame:
+    roots = _stored(roots, "roots")
+    sizes = _stored(roots.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     inner = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a")
-    sums = inner.groupBy("root").agg(F.sum("similarity").alias("s"), F.max(F.when(F.col("a") == F.col("root"), F.col("similarity"))).alias("m"))
+    sums = inner.groupBy("root").agg(F.sum("similarity").alias("s"), F.max(F.when(F.col("a") == F.col("root"), F.col("similarity"))).alias("m"), F.max("similarity").alias("p"))
     if entries is not None:
         sums = sums.drop("s").join(_pair_sums(entries, roots, stop_words), "root")
     n = F.col("size") * (F.col("size") - 1) / 2
     out = sizes.join(sums, "root").withColumn("cohesion", F.col("s") / n).filter(F.col("cohesion") >= cohesion)
     band = F.when(F.col("m") >= STRONG, "strong").when(F.col("m") >= PAIR, "review").otherwise("suppressed")
-    return out.select(F.col("root").alias("cluster"), "size", F.round("cohesion", 6).alias("cohesion"), F.round("m", 6).alias("max_sim_rep"), band.alias("band"))
+    return out.select(F.col("root").alias("cluster"), "size", F.round("cohesion", 6).alias("cohesion"), F.round("m", 6).alias("max_sim_rep"), F.round("p", 6).alias("max_sim_pair"), band.alias("band"))
+
+
+def band_clusters(entries: DataFrame, cohesion: float = COHESION, stop_words: tuple[str, ...] = ()) -> DataFrame:
+    """id, cluster, band of each of entries(id, text, tags): those in no kept cluster stand alone (cluster null, band standalone)."""
+    pairs = _stored(similar_pairs(entries, PAIR, stop_words), "pairs")
+    roots = _stored(connected_components(pairs.select("a", "b")), "roots")
+    kept = _clusters(pairs, roots, cohesion, entries, stop_words).select(F.col("cluster").alias("root"), "band")
+    held = roots.join(kept, "root").select("id", F.col("root").alias("cluster"), "band")
+    return entries.select("id").join(held, "id", "left").select("id", "cluster", F.coalesce("band", F.lit("standalone")).alias("band"))
+
+
+def cluster_theme(members: DataFrame, entries: DataFrame, weights: DataFrame, n: int = 3) -> DataFrame:
+    """cluster, theme of members(id, cluster): the n commonest tags of entries(id, tags), case ignored; without tags the n terms of most weight; else unclassified. Ties by name."""
+    top = lambda rows: rows.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("w"), "t"))).filter(F.col("k") <= n).groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]), " / ").alias("theme"))
+    tags = members.join(entries.select("id", F.explode("tags").alias("t")), "id").groupBy("cluster", F.lower("t").alias("t")).agg(F.count("*").cast("double").alias("w"))
+    terms = members.join(weights.select("id", F.col("term").alias("t"), "weight"), "id").groupBy("cluster", "t").agg(F.round(F.sum("weight"), 6).alias("w"))
+    named = members.select("cluster").distinct().join(top(tags).withColumnRenamed("theme", "a"), "cluster", "left").join(top(terms).withColumnRenamed("theme", "b"), "cluster", "left")
+    return named.select("cluster", F.coalesce("a", "b", F.lit("unclassified")).alias("theme"))
+
+
+def suggest_action(members: DataFrame) -> DataFrame:
+    """cluster, n, n_ambient, action of members(cluster, mitigation): what the kinds of mitigation in a cluster call for.
+
+    all_structural: consolidate what covers one invariant; all_convention: one convention, perhaps a structural one;
+    promote_ambient: ambient awareness, but nothing structural; check_cover: both; review: all else.
+    """
+    x = members.groupBy("cluster").agg(F.count("*").alias("n"), F.collect_set("mitigation").alias("s"), F.count_if(F.col("mitigation") == "ambient-awareness").alias("n_ambient"))
+    only = lambda v: (F.size("s") == 1) & F.array_contains("s", v)
+    has = lambda v: F.array_contains("s", v)
+    action = F.when(only("structural"), "all_structural").when(only("convention"), "all_convention").when(has("ambient-awareness") & ~has("structural"), "promote_ambient").when(has("ambient-awareness"), "check_cover").otherwise("review")
+    return x.select("cluster", "n", "n_ambient", action.alias("action"))
+
+
+def transfer_candidates(entries: DataFrame, pairs: DataFrame, baseline: DataFrame, since: str, near: float = STRONG) -> DataFrame:
+    """entry, target (a project), similarity, like: recent entries(id, project_id, date) that resemble another project's entry, once for each such project.
+
+    pairs(a, b, similarity) are similar_pairs(). Left out are entries of baseline(id), and those to which a recent entry of
+    the target is nearly the same (near). Likeness stands in for a reader's judgement of what is worth passing on.
+    """
+    side = lambda x: entries.select(F.col("id").alias(x), F.col("project_id").alias(f"p{x}"), F.col("date").alias(f"d{x}"))
+    both = pairs.select("a", "b", "similarity").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    met = both.join(side("a"), "a").join(side("b"), "b").filter((F.col("pa") != F.col("pb")) & (F.col("da") >= since)).join(baseline.select(F.col("id").alias("a")), "a", "left_anti")
+    best = met.groupBy(F.col("a").alias("entry"), F.col("pb").alias("target")).agg(F.max("similarity").alias("similarity"), F.max_by("b", F.struct(F.round("similarity", 9), -F.col("b"))).alias("like"), F.max(F.when(F.col("db") >= since, F.col("similarity"))).alias("_near"))
+    return best.filter(~F.coalesce(F.col("_near") >= near, F.lit(False))).select("entry", "target", F.round("similarity", 6).alias("similarity"), "like")
+
+
+def cluster_terms(texts: DataFrame, members: DataFrame, stop_words: tuple[str, ...] = (), min_df: int = 2, features: int = 5_000, n: int = 10) -> DataFrame:
+    """cluster, k, term, score: the n terms (words and pairs of neighbours) of greatest mean TF-IDF among members(id, cluster) of texts(id, text).
+
+    Words have two letters or digits and more, and are no stop words. Terms of min_df texts and more count, the features
+    commonest of them (ties by name); weights are count * (ln((1 + N) / (1 + df)) + 1), each text scaled to length 1.
+    """
+    word = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(*stop_words) if stop_words else F.lit(True))
+    words = texts.select("id", word.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    tf = _stored(words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "tf")
+    kept = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(features)
+    many = texts.agg(F.count("*").alias("_n"))
+    w = tf.join(F.broadcast(kept.drop("total")), "term").crossJoin(F.broadcast(many)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).alias("w"))  # features rows at most
+    unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(W.partitionBy("id"))))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    mean = members.join(unit, "id").groupBy("cluster", "term").agg(F.sum("u").alias("s")).join(F.broadcast(sizes), "cluster").select("cluster", "term", F.round(F.col("s") / F.col("size"), 6).alias("score"))
+    return mean.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("score"), "term"))).filter(F.col("k") <= n).select("cluster", "k", "term", "score")
+
+
+def summarize_clusters(members: DataFrame, entries: DataFrame, vectors: DataFrame, shown: int = 8) -> DataFrame:
+    """cluster, size, families, projects, examples of members(id, cluster): entries(id, project_id, family), and the members whose vectors(id, embedding) are nearest to the cluster's mean.
+
+    rank orders clusters by families, then size (both descending), then cluster.
+    """
+    own = members.join(vectors.select("id", F.col("embedding").cast("array<double>").alias("v")), "id")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    unit = own.withColumn("_n", F.greatest(norm, F.lit(1e-300))).select("id", "cluster", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+    centre = unit.select("cluster", F.posexplode("v").alias("k", "x")).groupBy("cluster", "k").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("c"))
+    near = unit.join(centre, "cluster").withColumn("near", F.round(F.aggregate(F.zip_with("v", "c", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 9))
+    top = near.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("near"), "id"))).filter(F.col("k") <= shown)
+    top = top.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda s: s["id"]).alias("examples"))
+    facts = members.join(entries.select("id", "project_id", "family"), "id").groupBy("cluster").agg(F.count("*").alias("size"), F.array_sort(F.collect_set("family")).alias("families"), F.array_sort(F.collect_set("project_id")).alias("projects"))
+    order = F.row_number().over(W.orderBy(F.desc(F.size("families")), F.desc("size"), "cluster"))  # a row for each cluster
+    return facts.join(top, "cluster").withColumn("rank", order)
+
+
+def label_clusters(terms: DataFrame, summaries: DataFrame, keywords: int = 6) -> DataFrame:
+    """cluster, slug, label, keywords, size, examples: names from the first two of cluster_terms(), with summarize_clusters()."""
+    own = terms.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "term"))), lambda x: x["term"]).alias("t"))
+    rows = summaries.join(own, "cluster", "left")
+    two = F.when(F.size("t") > 0, F.slice("t", 1, 2)).otherwise(F.array(F.lit("concept")))
+    return rows.select("cluster", slugify(F.array_join(two, "-")).alias("slug"), F.array_join(F.transform(two, lambda x: F.initcap(x)), " ").alias("label"), F.coalesce(F.slice("t", 1, keywords), F.array().cast("array<string>")).alias("keywords"), "size", "examples")
 
 
 def _blocks(df: DataFrame, least: int = 1) -> int:
