@@ -6,22 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.functions.text import token_set
+from lorespan.sources.folders import stored
+
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     """df with 1, 2, ... in order, without a window over all rows: rows are dealt to ranges, numbered within their range,
     and moved on by the sizes of the ranges before. order must be total, or ties fall in any order."""
-    # the ranges are stored, so that sizes and rows come from one and the same dealing out
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    # the ranges are stored, so that sizes and rows come from one and the same dealing out, and a lost executor changes nothing
+    dealt = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     base = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_base"))
     inner = dealt.withColumn("_k", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return inner.join(F.broadcast(base), "_part").withColumn(name, F.col("_base") + F.col("_k")).drop("_part", "_k", "_base")
 
 
-def resolve_ids(records: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_ids(records: DataFrame, ledger: DataFrame, prefix: str = "e-") -> tuple[DataFrame, DataFrame]:
     """(records with id, ledger after). records(fingerprint, explicit_id, content_hash), ledger(id, fingerprints, content_hash, status).
 
-    An explicit id that the ledger has wins, then any present or former fingerprint; others get new ids e-00001 onward
+    An explicit id that the ledger has wins, then any present or former fingerprint; others get new ids, prefix and 00001 onward
     above the ledger's largest, in the order of their fingerprints. Records that share a fingerprint are told apart by
     their content hash: the first keeps it, others get '#2', '#3'. Ledger ids not seen become tombstones, seen ones active.
     """
@@ -31,10 +34,10 @@ def resolve_ids(records: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataF
     known = ledger.select(F.col("id").alias("_by_id"))
     prints = ledger.select(F.explode("fingerprints").alias("fingerprint"), F.col("id").alias("_by_print")).groupBy("fingerprint").agg(F.min("_by_print").alias("_by_print"))
     rows = rows.join(known, rows.explicit_id == F.col("_by_id"), "left").join(prints, "fingerprint", "left").withColumn("id", F.coalesce("_by_id", "_by_print")).drop("_by_id", "_by_print")
-    top = ledger.agg(F.coalesce(F.max(F.try_to_number(F.substring("id", 3, 20), F.lit("99999999999")).cast("long")), F.lit(0)).alias("_top"))
+    top = ledger.agg(F.coalesce(F.max(F.when(F.startswith("id", F.lit(prefix)), F.substring("id", len(prefix) + 1, 20).try_cast("long"))), F.lit(0)).alias("_top"))
     minted = global_rank(rows.filter("id is null"), [F.col("fingerprint")], "_rank").crossJoin(F.broadcast(top))
     number = (F.col("_rank") + F.col("_top")).cast("string")
-    minted = minted.withColumn("id", F.concat(F.lit("e-"), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))).drop("_rank", "_top")
+    minted = minted.withColumn("id", F.concat(F.lit(prefix), F.when(F.length(number) < 5, F.lpad(number, 5, "0")).otherwise(number))).drop("_rank", "_top")
     out = rows.filter("id is not null").unionByName(minted)
     seen = out.groupBy("id").agg(F.min("fingerprint").alias("_now"), F.min("content_hash").alias("_hash"))
     after = ledger.join(seen, "id", "full")
@@ -75,13 +78,56 @@ def namespace_of(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, r"^.*/analysis/([^/]+)/", 1), F.lit(""))
 
 
-def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path") -> DataFrame:
-    """key and change (added, removed, changed): any column that differs, null-safe."""
+def snapshot_diff(before: DataFrame, after: DataFrame, key: str = "path", activity: DataFrame | None = None, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """key and change (added, removed, changed): any column that differs, null-safe. Keys of activity(key) that both snapshots hold alike are 'touched'; keys that begin with one of excluded are left out."""
     cols = [c for c in before.columns if c != key]
     a = before.select(key, F.struct(*cols).alias("_a"))
     b = after.select(key, F.struct(*cols).alias("_b"))
     rows = a.join(b, key, "full").filter(~F.col("_a").eqNullSafe(F.col("_b")))
-    return rows.select(key, F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed").alias("change"))
+    rows = rows.select(key, F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").otherwise("changed").alias("change"))
+    if activity is not None:
+        rows = rows.unionByName(activity.select(key).distinct().join(rows.select(key), key, "left_anti").withColumn("change", F.lit("touched")))
+    for prefix in excluded:
+        rows = rows.filter(~F.startswith(F.col(key), F.lit(prefix)))
+    return rows
+
+
+def log_ids(logs: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """resolve_ids() for logs(project, path, content_hash): a log is known by its project and path; new ids are l-00001 onward in their order."""
+    rows = logs.withColumn("fingerprint", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x00", "project", "path"), 256))).withColumn("explicit_id", F.lit(None).cast("string"))
+    return resolve_ids(rows, ledger, "l-")
+
+
+def rename_match(new: DataFrame, old: DataFrame, keys: list[str], least: float = 0.8) -> DataFrame:
+    """new_id, old_id, jaccard, unsure of new(id, keys, text) that are old(id, keys, text, status) under another title.
+
+    Both have the same keys (null-safe), old is active, and the sets of their normalized words have a Jaccard of at least
+    `least`. Pairs are taken one to one, the most alike first, ties by the smaller ids: in rounds, every pair that is the
+    best for both of its sides, until none is left. unsure marks those within 0.05 of the bound. Of each set the rarest
+    words meet, so many that one of a similar set must be among them: a block of any size makes no pairs beyond these.
+    """
+    block = F.concat_ws("\x00", *(F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in keys))
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", block.alias("block"), token_set(F.col("text")).alias("words"))
+    both = stored(side(new, "new").unionByName(side(old.filter("status = 'active'"), "old")), "renames")
+    rows = both.select("side", "id", "block", F.size("words").alias("n"), F.explode("words").alias("w"))
+    df = stored(rows.groupBy("block", "w").agg(F.count("*").alias("df")), "word-counts")
+    place = F.row_number().over(W.partitionBy("side", "id").orderBy("df", "w"))
+    first = rows.join(df, ["block", "w"]).withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    side = lambda name: first.filter(F.col("side") == name).select("block", "w", F.col("id").alias(f"{name}_id"))
+    pairs = side("new").join(side("old"), ["block", "w"]).select("new_id", "old_id").distinct()
+    words = lambda name: both.filter(F.col("side") == name).select(F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
+    pairs = pairs.join(words("new"), "new_id").join(words("old"), "old_id")
+    jaccard = F.size(F.array_intersect("new_words", "old_words")) / F.size(F.array_union("new_words", "old_words"))
+    left = stored(pairs.select("new_id", "old_id", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least), "rename-pairs")
+    taken = left.limit(0)
+    while left.limit(1).count():
+        best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("jaccard"), other))
+        won = stored(left.withColumn("a", best("new_id", "old_id")).withColumn("b", best("old_id", "new_id")).filter("a = 1 and b = 1").drop("a", "b"), "renamed")
+        if not won.limit(1).count():  # only ties in a ring: the smallest ids break it
+            won = stored(left.orderBy(F.desc("jaccard"), "new_id", "old_id").limit(1), "renamed")
+        taken = taken.unionByName(won)
+        left = stored(left.join(won.select("new_id"), "new_id", "left_anti").join(won.select("old_id"), "old_id", "left_anti"), "rename-pairs")
+    return taken.withColumn("unsure", F.col("jaccard") < least + 0.05)
 
 
 def committed_paths(log: DataFrame, since: Column, tree: DataFrame) -> DataFrame:
@@ -96,6 +142,12 @@ def edge_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return added.unionByName(baseline.select(*cols).exceptAll(current.select(*cols)).withColumn("change", F.lit("removed")))
 
 
+def mass_new_links(current: DataFrame, baseline: DataFrame, limit: int = 50) -> DataFrame:
+    """trigger, n_entries of triggers that newly link more than limit entries, against the baseline."""
+    added = current.select("entry", "slug", "trigger").join(baseline.select("entry", "slug"), ["entry", "slug"], "left_anti").filter("trigger is not null")
+    return added.groupBy("trigger").agg(F.countDistinct("entry").alias("n_entries")).filter(F.col("n_entries") > limit)
+
+
 def dedupe(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_k = 1").drop("_k")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import has_term, normalize, words
-from lorespan.sources.folders import work_dir
+from lorespan.operators.identity import global_rank
+from lorespan.sources.folders import stored
 
 #: Edges of one trigger beyond which it is reported.
 MASS_LINK = 50
@@ -109,12 +110,13 @@ def orphans(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def validate_graph(entries: DataFrame, concepts: DataFrame, edges: DataFrame, follows: DataFrame, logs: DataFrame) -> DataFrame:
-    """violation, subject: duplicate ids and slugs, edges without an end, and follows edges across projects."""
+    """violation, subject: duplicate ids and slugs, edges without an end, follows edges across projects, and concepts called confirmed without any edge."""
     twice = lambda df, c, name: df.groupBy(c).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(name).alias("violation"), F.col(c).cast("string").alias("subject"))
     gone = lambda df, other, c, k, name: df.join(other.select(F.col(k).alias(c)), c, "left_anti").select(F.lit(name).alias("violation"), F.col(c).cast("string").alias("subject")).distinct()
     p = logs.select("id", "project")
     across = follows.join(p.toDF("from_id", "p1"), "from_id").join(p.toDF("to_id", "p2"), "to_id").filter("p1 <> p2").select(F.lit("follows_across_projects").alias("violation"), F.col("from_id").cast("string").alias("subject"))
-    parts = (twice(entries, "id", "duplicate_entry"), twice(concepts, "slug", "duplicate_concept"), gone(edges, entries, "entry", "id", "dangling_entry"), gone(edges, concepts, "slug", "slug", "dangling_concept"), across)
+    bare = [concepts.filter("status = 'confirmed'").join(edges.select("slug"), "slug", "left_anti").select(F.lit("confirmed_without_evidence").alias("violation"), F.col("slug").alias("subject"))] if "status" in concepts.columns else []
+    parts = (*bare, twice(entries, "id", "duplicate_entry"), twice(concepts, "slug", "duplicate_concept"), gone(edges, entries, "entry", "id", "dangling_entry"), gone(edges, concepts, "slug", "slug", "dangling_concept"), across)
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
@@ -139,16 +141,21 @@ def concepts_touched(entries: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def attach_commits(clusters: DataFrame, commits: DataFrame, n: int = 5) -> DataFrame:
-    """cluster, commit, ts: the first n commits(commit, ts, message) of a repair between first and last of clusters(cluster, first, last).
+    """cluster, commit, ts, rank: the first n commits(commit, ts, message) of a repair from first to last of clusters(cluster, first, last).
 
-    A range join; commits are bucketed by month and clusters by the months that they span, so it is an equi join with a filter.
+    Repairs are numbered in the order of time, and a cluster's first repair follows from its place among them, so each
+    cluster meets n numbers by an equi join, whatever its span holds.
     """
-    month = lambda c: F.date_trunc("month", c)
-    spans = _bounded(clusters.withColumn("month", F.explode(F.sequence(month(F.col("first")), month(F.col("last")), F.expr("interval 1 month")))))
-    repairs = commits.filter(F.regexp_like(F.lower("message"), F.lit(r"\b(fix|revert|again|broke|regress)"))).withColumn("month", month(F.col("ts")))
-    met = repairs.join(spans, "month").filter("ts between first and last")
-    w = W.partitionBy("cluster").orderBy("ts", "commit")
-    return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("cluster", "commit", "ts", "rank")
+    repairs = stored(commits.filter(F.regexp_like(F.lower("message"), F.lit(r"\b(fix|revert|again|broke|regress)"))).select("commit", "ts"), "repairs")
+    starts = stored(clusters.select("cluster", "first", "last"), "clusters")
+    numbered = global_rank(repairs, [F.col("ts"), F.col("commit")], "_number")
+    mixed = starts.select(F.col("first").alias("_ts"), F.lit(0).alias("_kind"), F.col("cluster").cast("string").alias("_id")).unionByName(repairs.select(F.col("ts").alias("_ts"), F.lit(1).alias("_kind"), F.col("commit").cast("string").alias("_id")))
+    place = global_rank(mixed, [F.col("_ts"), F.col("_kind"), F.col("_id")], "_all").filter("_kind = 0").select("_id", "_all")
+    own = global_rank(starts.select(F.col("first").alias("_ts"), F.col("cluster").cast("string").alias("_id")), [F.col("_ts"), F.col("_id")], "_own").select("_id", "_own")
+    before = place.join(own, "_id").select("_id", (F.col("_all") - F.col("_own")).alias("_before"))
+    asked = starts.join(before, F.col("cluster").cast("string") == F.col("_id")).select("cluster", "last", "_before", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rank"))
+    met = asked.withColumn("_number", F.col("_before") + F.col("rank")).join(numbered, "_number").filter(F.col("ts") <= F.col("last"))
+    return met.select("cluster", "commit", "ts", "rank")
 
 
 def lineage_edges(events: DataFrame) -> DataFrame:
@@ -158,24 +165,22 @@ def lineage_edges(events: DataFrame) -> DataFrame:
 
 
 def upstream(edges: DataFrame, target: str) -> DataFrame:
-    """path: everything that target's making has read, directly or by others, however deep. Rounds of joins, each stored; stops when nothing new comes."""
-    spark = edges.sparkSession
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = work_dir(spark, "upstream")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    """path: everything that target's making has read, directly or by others, however deep.
 
-    reads, writes = (edges.filter(F.col("kind") == k).select("script", "path") for k in ("read", "write"))
-    step = stored(reads.join(writes.withColumnRenamed("path", "made"), "script").select("made", "path").distinct())
-    new = found = spark.createDataFrame([(target,)], "path string")
+    Rounds of two joins, each stored: what wrote the new paths, and what those scripts, if new, have read. A script that
+    reads and writes much is met once. Stops when nothing new comes.
+    """
+    spark = edges.sparkSession
+    reads, writes = (stored(edges.filter(F.col("kind") == k).select("script", "path").distinct(), k) for k in ("read", "write"))
+    new = found = stored(spark.createDataFrame([(target,)], "path string"), "found")
+    met = spark.createDataFrame([], "script string")
     rounds = 0
     while True:
-        new = stored(step.join(new.select(F.col("path").alias("made")), "made").select("path").distinct().join(found, "path", "left_anti"))
+        scripts = stored(writes.join(new, "path").select("script").distinct().join(met, "script", "left_anti"), "scripts")
+        new = stored(reads.join(scripts, "script").select("path").distinct().join(found, "path", "left_anti"), "new")
         if not new.limit(1).count():
-            break
+            return found.filter(F.col("path") != target)
         rounds += 1
-        found = found.unionByName(new)
+        met, found = met.unionByName(scripts), found.unionByName(new)
         if rounds % 20 == 0:  # one table again, so that plans stay short in deep lineage
-            found = stored(found)
-    return found.filter(F.col("path") != target)
+            met, found = stored(met, "met"), stored(found, "found")

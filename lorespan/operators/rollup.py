@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.functions.text import topic_of
+
 #: Fixed values, strongest first.
 STATUS_ORDER = ("contradicted", "robust", "supported", "preliminary")
 
@@ -19,12 +21,14 @@ def effective_status(concepts: DataFrame, edges: DataFrame, entries: DataFrame)
 
 
 def cross_family_concepts(status: DataFrame, edges: DataFrame, entries: DataFrame, examples: int = 3) -> DataFrame:
-    """slug, span, n_entries, families, example_ids of confirmed concepts; examples are the smallest ids."""
-    rows = edges.join(status.filter("effective = 'confirmed'").select("slug"), "slug", "left_semi").join(entries.select(F.col("id").alias("entry"), "family"), "entry").select("slug", "entry", "family").distinct()
-    top = rows.select("slug", "entry").distinct().withColumn("k", F.row_number().over(W.partitionBy("slug").orderBy("entry"))).filter(F.col("k") <= examples)
-    top = top.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list("entry")).cast("array<string>"), ",").alias("example_ids"))
+    """slug, span, n_entries, families, projects ('name: count', by name), example_ids, titles of confirmed concepts; examples are the first by project, title and id."""
+    rows = edges.join(status.filter("effective = 'confirmed'").select("slug"), "slug", "left_semi").select("slug", "entry").distinct().join(entries.select(F.col("id").alias("entry"), "family", "project_id", "title"), "entry")
+    top = rows.withColumn("k", F.row_number().over(W.partitionBy("slug").orderBy("project_id", "title", "entry"))).filter(F.col("k") <= examples)
+    ordered = F.array_sort(F.collect_list(F.struct("k", "entry", "title")))
+    top = top.groupBy("slug").agg(F.array_join(F.transform(ordered, lambda x: x["entry"].cast("string")), ",").alias("example_ids"), F.array_join(F.transform(ordered, lambda x: x["title"]), " | ").alias("titles"))
     spans = rows.groupBy("slug").agg(F.countDistinct("family").alias("span"), F.countDistinct("entry").alias("n_entries"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"))
-    return spans.join(top, "slug")
+    counts = rows.groupBy("slug", "project_id").agg(F.count("*").alias("n")).groupBy("slug").agg(F.array_join(F.array_sort(F.collect_list(F.concat("project_id", F.lit(": "), "n"))), ", ").alias("projects"))
+    return spans.join(counts, "slug").join(top, "slug")
 
 
 def lifecycle_matrix(entries: DataFrame, stages: tuple[str, ...]) -> DataFrame:
@@ -50,8 +54,9 @@ def status_rank(status: Column) -> Column:
 
 
 def topic_rollup(findings: DataFrame) -> DataFrame:
-    """topic, n_projects, n_findings, n_open, strongest of findings(topic, project, status, n_findings, n_open)."""
-    return findings.groupBy("topic").agg(F.countDistinct("project").alias("n_projects"), F.sum("n_findings").alias("n_findings"), F.sum("n_open").alias("n_open"), F.min_by("status", status_rank(F.col("status"))).alias("strongest"))
+    """topic, n_projects, n_findings, n_open, strongest, description (the first by project that is not empty) of findings(topic, project, status, n_findings, n_open, description)."""
+    said = F.nullif(F.trim("description"), F.lit("")) if "description" in findings.columns else F.lit(None).cast("string")
+    return findings.groupBy("topic").agg(F.countDistinct("project").alias("n_projects"), F.sum("n_findings").alias("n_findings"), F.sum("n_open").alias("n_open"), F.min_by("status", status_rank(F.col("status"))).alias("strongest"), F.min_by(said, F.when(said.isNotNull(), F.struct("project", said))).alias("description"))
 
 
 def stale_topics(files: DataFrame, now: Column, days: int = 90) -> DataFrame:
@@ -72,10 +77,16 @@ def inverted_index(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(F.array_distinct("tags")).alias("tag"), "id")
 
 
-def quick_reference(entries: DataFrame, large: int = 500) -> DataFrame:
-    """path, n_entries, n_lines, is_large, updated of each file."""
+def quick_reference(entries: DataFrame, logs: DataFrame | None = None, large: int = 500, shown: int = 5) -> DataFrame:
+    """path, n_entries, n_lines, is_large, updated, topics (cleaned titles of the first entries) of each file; with logs(project_id) also n_logs of its project."""
     lines = F.size(F.split("body", "\n"))
-    return entries.groupBy("path").agg(F.count("*").alias("n_entries"), F.sum(lines).cast("long").alias("n_lines"), (F.sum(lines) > large).alias("is_large"), F.max("date").alias("updated"))
+    out = entries.groupBy("path").agg(F.count("*").alias("n_entries"), F.sum(lines).cast("long").alias("n_lines"), (F.sum(lines) > large).alias("is_large"), F.max("date").alias("updated"), F.min("project_id").alias("_p"))
+    first = entries.withColumn("_k", F.row_number().over(W.partitionBy("path").orderBy("id"))).filter(F.col("_k") <= shown)
+    topics = first.groupBy("path").agg(F.array_join(F.filter(F.transform(F.array_sort(F.collect_list(F.struct("_k", topic_of(F.col("title")).alias("t")))), lambda x: x["t"]), lambda t: t.isNotNull()), " | ").alias("topics"))
+    out = out.join(topics, "path")
+    if logs is not None:
+        out = out.join(logs.groupBy(F.col("project_id").alias("_p")).agg(F.count("*").alias("n_logs")), "_p", "left").fillna(0, ["n_logs"])
+    return out.drop("_p")
 
 
 def session_stats(events: DataFrame, shown: int = 3) -> DataFrame:
@@ -113,17 +124,29 @@ def projected_coverage(entries: DataFrame, edges: DataFrame) -> DataFrame:
     return entries.join(linked, "id", "left").agg(F.count("*").alias("total"), F.count("on").alias("connected")).withColumn("pct", F.when(F.col("total") > 0, F.round(100 * F.col("connected") / F.col("total"), 1)).otherwise(F.lit(0.0)))
 
 
+def projected_gain(entries: DataFrame, edges: DataFrame, summaries: DataFrame) -> DataFrame:
+    """total, connected, pct, and what clusters of summaries(size, families) of unlinked entries would add: absorbed and projected share of all clusters, and of those of two families and more."""
+    x = projected_coverage(entries, edges)
+    across = F.size("families") >= 2
+    add = summaries.agg(F.count("*").alias("n_clusters"), F.count_if(across).alias("n_across"), F.coalesce(F.sum("size"), F.lit(0)).alias("absorbed"), F.coalesce(F.sum(F.when(across, F.col("size"))), F.lit(0)).alias("absorbed_across"))
+    share = lambda n: F.when(F.col("total") > 0, F.round(100 * (F.col("connected") + n) / F.col("total"), 1)).otherwise(F.lit(0.0))
+    return x.crossJoin(add).select(*x.columns, *add.columns, share(F.col("absorbed")).alias("pct_all"), share(F.col("absorbed_across")).alias("pct_across"))  # a row each
+
+
 def crystallization_candidates(edges: DataFrame, entries: DataFrame, least: int = 3, families: int = 2) -> DataFrame:
-    """Concepts with enough entries over enough families."""
-    rows = edges.join(entries.select(F.col("id").alias("entry"), "family"), "entry")
-    return rows.groupBy("slug").agg(F.countDistinct("entry").alias("n_entries"), F.countDistinct("family").alias("n_families")).filter((F.col("n_entries") >= least) & (F.col("n_families") >= families))
+    """kind, name, n_entries, n_families: concepts with enough entries over enough families, and tags of enough learnings, over any families."""
+    rows = edges.join(entries.select(F.col("id").alias("entry"), "family"), "entry").select(F.lit("concept").alias("kind"), F.col("slug").alias("name"), "entry", "family")
+    tags = entries.filter("kind = 'learning'").select(F.lit("tag").alias("kind"), F.explode(F.array_distinct("tags")).alias("name"), F.col("id").alias("entry"), "family")
+    out = rows.unionByName(tags).groupBy("kind", "name").agg(F.countDistinct("entry").alias("n_entries"), F.countDistinct("family").alias("n_families"))
+    return out.filter((F.col("n_entries") >= least) & ((F.col("kind") == "tag") | (F.col("n_families") >= families)))
 
 
 def lineage_manifest(events: DataFrame) -> DataFrame:
     """One row for each session of events(session, ts, seq, agent, exit_code, wall_s, script, inputs, outputs).
 
-    Missing agents are 'main'. total_wall is null when nothing was timed, and rounded half to even. Inputs and outputs
-    are distinct; first_script is that of the earliest event.
+    Missing agents are 'main'. total_wall is null when nothing was timed, and rounded half to even. inputs, outputs and
+    scripts list each once, in the order in which they first came; first_script is that of the earliest event. If events
+    has git_sha or warnings, the first sha and the distinct warnings are there too. A session is held by one task.
     """
     base = events.groupBy("session").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_actions"),
@@ -132,8 +155,15 @@ def lineage_manifest(events: DataFrame) -> DataFrame:
         F.count_if(F.col("exit_code") == 0).alias("n_passed"), F.count_if(F.col("exit_code") != 0).alias("n_failed"), F.count_if(F.col("exit_code").isNull()).alias("n_unknown"),
         F.min_by("script", F.struct("ts", "seq")).alias("first_script"),
     )
-    count = lambda c, name: events.select("session", F.explode(c).alias("p")).groupBy("session").agg(F.countDistinct("p").alias(name))
-    return base.join(count("inputs", "n_inputs"), "session", "left").join(count("outputs", "n_outputs"), "session", "left").fillna(0, ["n_inputs", "n_outputs"])
+    once = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", c.alias("x")))), lambda e: F.coalesce(e["x"], F.array().cast("array<string>")))))
+    more = []
+    if "git_sha" in events.columns:
+        more.append(F.min_by("git_sha", F.when(F.col("git_sha").isNotNull(), F.struct("ts", "seq"))).alias("git_sha"))
+    if "warnings" in events.columns:
+        more.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
+    lists = events.groupBy("session").agg(once(F.col("inputs")).alias("inputs"), once(F.col("outputs")).alias("outputs"), once(F.array("script")).alias("scripts"), *more)
+    rows = base.join(lists, "session")
+    return rows.select("*", F.size("inputs").cast("long").alias("n_inputs"), F.size("outputs").cast("long").alias("n_outputs"))
 
 
 def recent(entries: DataFrame, n: int = 10) -> DataFrame:

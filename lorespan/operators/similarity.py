@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import slugify, tokens
-from lorespan.sources.folders import work_dir
+from lorespan.sources.folders import stored
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
 #: Vectors on a side of a block of distances, and clusters that one task links.
@@ -33,13 +33,13 @@ def cosine_pairs(weights: DataFrame, at_least: float) -> DataFrame:
     the candidates' full products are summed.
     """
     norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = _stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
-    return _dots(_stored(_term_candidates(unit, at_least), "candidates"), unit).filter(F.col("cosine") >= at_least)
+    unit = stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
+    return _dots(stored(_term_candidates(unit, at_least), "candidates"), unit).filter(F.col("cosine") >= at_least)
 
 
 def tag_jaccard_pairs(entries: DataFrame, above: float = 0.0) -> DataFrame:
     """a < b and Jaccard of the lower-cased tag sets of all pairs with more than above. At 0 all pairs that share a tag come out, so a common tag makes many."""
-    sets = _stored(_tag_sets(entries), "tag-sets")
+    sets = stored(_tag_sets(entries), "tag-sets")
     pairs = _tag_candidates(sets, above).join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     return pairs.select("a", "b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).filter(F.col("jaccard") > above)
 
@@ -51,7 +51,7 @@ def _tag_sets(entries: DataFrame) -> DataFrame:
 def _tag_candidates(sets: DataFrame, above: float) -> DataFrame:
     """a < b of all pairs of tag sets with a Jaccard above `above`, and of others: of each set, tags from rare to common meet, so many that one of a similar set must be among them. A tag that nearly all entries have joins nothing."""
     rows = sets.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    counts = _stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
+    counts = stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
     place = F.row_number().over(W.partitionBy("id").orderBy("df", "tag"))
     first = rows.join(counts, "tag").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.floor(F.col("n") * above)).select("id", "tag")
     return first.select(F.col("id").alias("a"), "tag").join(first.select(F.col("id").alias("b"), "tag"), "tag").filter("a < b").select("a", "b").distinct()
@@ -64,16 +64,16 @@ def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple
     least 2 * threshold - tags_above, and comes from their rarest terms. So neither a common tag nor a common term makes
     pairs, and whole vectors meet for these candidates alone.
     """
-    sets = _stored(_tag_sets(entries), "tag-sets")
-    weights = _stored(tfidf(entries, stop_words), "weights")
+    sets = stored(_tag_sets(entries), "tag-sets")
+    weights = stored(tfidf(entries, stop_words), "weights")
     norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = _stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
+    unit = stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
     pairs = _tag_candidates(sets, tags_above).unionByName(_term_candidates(unit, max(2 * threshold - tags_above, 1e-6))).distinct()
     with_tags = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     all_ = F.size(F.array_union("ta", "tb"))
     with_tags = with_tags.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
-    with_tags = _stored(with_tags, "candidates")
+    with_tags = stored(with_tags, "candidates")
     out = with_tags.join(_dots(with_tags, unit), ["a", "b"], "left").fillna(0.0, ["cosine"])
     return out.withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2).filter(F.col("similarity") >= threshold)
 
@@ -92,24 +92,17 @@ def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
     return both.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
-    path = work_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reached) of every end of edges(a, b): each round maps all vertices to their smallest neighbour and the edges with them."""
-    left = everyone = _stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = everyone = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     rounds = []
     left = left.filter("a <> b")
     while left.limit(1).count():
         ends = left.select(F.col("a").alias("id"), F.col("a").alias("to")).unionAll(left.select(F.col("b"), F.col("a")))
-        rounds.append(_stored(ends.groupBy("id").agg(F.min("to").alias("to")), "labels"))
+        rounds.append(stored(ends.groupBy("id").agg(F.min("to").alias("to")), "labels"))
         to = rounds[-1]
         moved = left.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b")
-        left = _stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
+        left = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
     out = everyone.select(F.col("a").alias("id")).unionAll(everyone.select("b")).distinct().withColumn("root", F.col("id"))
     for to in rounds:
         out = out.join(to.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
@@ -148,8 +141,8 @@ def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION, entries: D
 
 
 def _clusters(pairs, roots, cohesion, entries, stop_words) -> DataFrame:
-    roots = _stored(roots, "roots")
-    sizes = _stored(roots.groupBy("root").agg(F.count("*").alias("size")), "sizes")
+    roots = stored(roots, "roots")
+    sizes = stored(roots.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     inner = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a")
     sums = inner.groupBy("root").agg(F.sum("similarity").alias("s"), F.max(F.when(F.col("a") == F.col("root"), F.col("similarity"))).alias("m"), F.max("similarity").alias("p"))
     if entries is not None:
@@ -162,8 +155,8 @@ def _clusters(pairs, roots, cohesion, entries, stop_words) -> DataFrame:
 
 def band_clusters(entries: DataFrame, cohesion: float = COHESION, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """id, cluster, band of each of entries(id, text, tags): those in no kept cluster stand alone (cluster null, band standalone)."""
-    pairs = _stored(similar_pairs(entries, PAIR, stop_words), "pairs")
-    roots = _stored(connected_components(pairs.select("a", "b")), "roots")
+    pairs = stored(similar_pairs(entries, PAIR, stop_words), "pairs")
+    roots = stored(connected_components(pairs.select("a", "b")), "roots")
     kept = _clusters(pairs, roots, cohesion, entries, stop_words).select(F.col("cluster").alias("root"), "band")
     held = roots.join(kept, "root").select("id", F.col("root").alias("cluster"), "band")
     return entries.select("id").join(held, "id", "left").select("id", "cluster", F.coalesce("band", F.lit("standalone")).alias("band"))
@@ -213,7 +206,7 @@ def cluster_terms(texts: DataFrame, members: DataFrame, stop_words: tuple[str, .
     word = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(*stop_words) if stop_words else F.lit(True))
     words = texts.select("id", word.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = _stored(words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "tf")
+    tf = stored(words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "tf")
     kept = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(features)
     many = texts.agg(F.count("*").alias("_n"))
     w = tf.join(F.broadcast(kept.drop("total")), "term").crossJoin(F.broadcast(many)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).alias("w"))  # features rows at most
@@ -339,11 +332,11 @@ def cluster_vectors(vectors: DataFrame, threshold: float = 0.55, least: int = 5)
     nearer than threshold are left out.
     """
     given = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    points = _stored(given.groupBy("embedding").agg(F.min("id").alias("root"), F.count("*").alias("n")), "points")
-    owner = _stored(given.join(points.drop("n"), "embedding").select("id", "root"), "owner")
+    points = stored(given.groupBy("embedding").agg(F.min("id").alias("root"), F.count("*").alias("n")), "points")
+    owner = stored(given.join(points.drop("n"), "embedding").select("id", "root"), "owner")
     norm = F.greatest(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
-    state = _stored(points.withColumn("_norm", norm).select(F.col("root").alias("id"), "n", F.transform("embedding", lambda x: x / F.col("_norm")).alias("c")), "state")
-    near = _stored(_nearest(state, threshold), "near")
+    state = stored(points.withColumn("_norm", norm).select(F.col("root").alias("id"), "n", F.transform("embedding", lambda x: x / F.col("_norm")).alias("c")), "state")
+    near = stored(_nearest(state, threshold), "near")
     met = near.select("id").unionByName(state.filter("n > 1").select("id")).distinct()
     owner = owner.join(met.toDF("root"), "root", "left_semi").select("id", "root")
     rounds = []
@@ -356,21 +349,21 @@ def cluster_vectors(vectors: DataFrame, threshold: float = 0.55, least: int = 5)
                 label = _average_linkage(np.asarray(pdf["c"].tolist(), np.float64), threshold, pdf["n"].to_numpy())
                 return pd.DataFrame({"root": pdf["id"], "to": pdf["id"].to_numpy()[label]})
 
-            rounds.append(_stored(state.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(link, "root long, to long"), "links"))
+            rounds.append(stored(state.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(link, "root long, to long"), "links"))
             break
         back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
-        gone = _stored(near.join(back, ["id", "other"]).filter("id > other").select(F.col("id").alias("root"), F.col("other").alias("to")), "links")
+        gone = stored(near.join(back, ["id", "other"]).filter("id > other").select(F.col("id").alias("root"), F.col("other").alias("to")), "links")
         rounds.append(gone)
         taken = state.join(gone.select(F.col("root").alias("id"), "to"), "id").select(F.col("to").alias("id"), F.col("n").alias("n2"), F.col("c").alias("c2"))
         both = state.join(gone.select(F.col("root").alias("id")), "id", "left_anti").join(taken, "id", "left")
         n = F.col("n") + F.coalesce("n2", F.lit(0))
         mean = F.when(F.col("n2").isNull(), F.col("c")).otherwise(F.zip_with("c", "c2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2"))))
-        state = _stored(both.withColumn("c", mean).withColumn("n", n).select("id", "n", "c"), "state")
-        near = _stored(_nearest(state, threshold), "near")
+        state = stored(both.withColumn("c", mean).withColumn("n", n).select("id", "n", "c"), "state")
+        near = stored(_nearest(state, threshold), "near")
     for k, to in enumerate(rounds, 1):
         owner = owner.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
         if k % 10 == 0:
-            owner = _stored(owner, "owner")
+            owner = stored(owner, "owner")
     out = owner.select("id", F.col("root").alias("cluster"))
     sizes = out.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
     return out.join(sizes, "cluster").select("id", "cluster", "size")

@@ -133,12 +133,58 @@ def union_recovered(s, d):
     return I.union_recovered(docs.filter("doc_id % 2 = 0").select(p.alias("path")), docs.filter("doc_id % 3 = 0").select(F.concat(F.lit("./"), F.regexp_replace(p, "/", "//")).alias("path")))
 
 
-@query("WITH l AS (SELECT DISTINCT host || '/' || name AS path, name FROM (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, 'p' || CAST(page_id % 97 AS VARCHAR) AS name FROM pages)), u AS (SELECT name, min(path) AS path FROM l GROUP BY name HAVING count(*) = 1), r AS (SELECT 'x/p' || CAST(page_id AS VARCHAR) AS ref, 'p' || CAST(page_id AS VARCHAR) AS name FROM pages) SELECT ref, path FROM r JOIN u USING (name)")
+_BASE = "p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, CASE WHEN page_id % 3 = 0 THEN 'all' ELSE 'p' || page_id END AS name FROM pages)"
+
+
+@query(f"WITH {_BASE}, u AS (SELECT name, min(host || '/' || name) AS path FROM (SELECT DISTINCT host, name FROM p) GROUP BY name HAVING count(*) = 1) SELECT 'x/' || name AS ref, path FROM p JOIN u USING (name)")
 def recover_unique_basename(s, d):
-    p = table(s, d, "pages")
-    host = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    listing = p.select(F.concat(host, F.lit("/p"), (F.col("page_id") % 97).cast("string")).alias("path")).distinct()
-    return I.recover_unique_basename(p.select(F.concat(F.lit("x/p"), F.col("page_id").cast("string")).alias("ref")), listing)
+    i = F.col("page_id")
+    p = table(s, d, "pages").select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"), F.when(i % 3 == 0, "all").otherwise(F.concat(F.lit("p"), i.cast("string"))).alias("name"))
+    return I.recover_unique_basename(p.select(F.concat(F.lit("x/"), "name").alias("ref")), p.select(F.concat("host", F.lit("/"), "name").alias("path")).distinct())
+
+
+@query(
+    "WITH a AS (SELECT doc_id, 'd' || doc_id % 3 || '/' || doc_id AS path, n_chars AS size FROM documents WHERE doc_id % 10 <> 3), b AS (SELECT 'd' || doc_id % 3 || '/' || doc_id AS path, n_chars + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS size FROM documents), c AS (SELECT path, CASE WHEN a.size IS NULL THEN 'added' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.size IS DISTINCT FROM b.size) "
+    "SELECT * FROM (SELECT path, change FROM c UNION ALL SELECT DISTINCT path, 'touched' FROM a WHERE doc_id % 5 = 0 AND path NOT IN (SELECT path FROM c)) WHERE NOT starts_with(path, 'd2/')"
+)
+def activity_diff(s, d):
+    i = F.col("doc_id")
+    docs = table(s, d, "documents").select(i, F.concat(F.lit("d"), (i % 3).cast("string"), F.lit("/"), i.cast("string")).alias("path"), F.col("n_chars").alias("size"))
+    a = docs.filter(i % 10 != 3)
+    return I.snapshot_diff(a.select("path", "size"), docs.select("path", (F.col("size") + F.when(i % 7 == 0, 1).otherwise(0)).alias("size")), activity=a.filter(i % 5 == 0).select("path"), excluded=("d2/",))
+
+
+@query("SELECT 't' || (doc_id % 7) AS trigger, count(*) AS n_entries FROM documents WHERE doc_id % 2 = 1 GROUP BY 1 HAVING count(*) > 10")
+def mass_new_links(s, d):
+    e = table(s, d, "documents").select(F.col("doc_id").alias("entry"), F.col("source").alias("slug"), F.concat(F.lit("t"), (F.col("doc_id") % 7).cast("string")).alias("trigger"))
+    return I.mass_new_links(e, e.filter("entry % 2 = 0"), 10)
+
+
+_LOGS = "lg AS (SELECT conv_id, turn, 'sha256:' || sha256(CAST(conv_id AS VARCHAR) || chr(0) || turn) AS fp FROM conversations), ol AS (SELECT fp, 'l-' || lpad(CAST(row_number() OVER (ORDER BY fp) AS VARCHAR), 5, '0') AS id FROM lg WHERE turn = 0)"
+
+
+@query(f"WITH {_LOGS}, nw AS (SELECT fp, (SELECT count(*) FROM ol) + row_number() OVER (ORDER BY fp) AS n FROM lg WHERE turn > 0 AND turn < 3) SELECT fp AS fingerprint, id FROM ol UNION ALL SELECT fp, 'l-' || CASE WHEN n < 100000 THEN lpad(CAST(n AS VARCHAR), 5, '0') ELSE CAST(n AS VARCHAR) END FROM nw")
+def log_ids(s, d):
+    c = table(s, d, "conversations")
+    logs = c.filter("turn < 3").select(F.col("conv_id").cast("string").alias("project"), F.col("turn").cast("string").alias("path"), F.md5("text").alias("content_hash"))
+    old = logs.filter("path = '0'").select(F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("\x00", "project", "path"), 256)).alias("fp"))
+    old = I.global_rank(old, [F.col("fp")], "k").select(F.concat(F.lit("l-"), F.lpad(F.col("k").cast("string"), 5, "0")).alias("id"), F.array("fp").alias("fingerprints"), F.lit("").alias("content_hash"), F.lit("active").alias("status"))
+    return I.log_ids(logs, old)[0].select("fingerprint", "id")
+
+
+_WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(t), '\\s+', ' ', 'g')), ' '), lambda x: x <> ''))"
+
+
+@query(
+    f"WITH w AS (SELECT doc_id AS id, {_WORDS} AS o, {_WORDS.replace('(t)', chr(40) + 'n' + chr(41))} AS n FROM (SELECT doc_id, text AS t, text || ' newword' || CASE WHEN doc_id % 3 = 0 THEN ' and more words than that here' ELSE '' END AS n FROM documents WHERE doc_id % 4 <> 1)), j AS (SELECT id, len(list_intersect(o, n)) / len(list_distinct(list_concat(o, n))) AS j FROM w) "
+    "SELECT -id AS new_id, id AS old_id, round(j, 6) AS jaccard, j < 0.85 AS unsure FROM j WHERE j >= 0.8"
+)
+def rename_match(s, d):
+    i = F.col("doc_id")
+    docs = table(s, d, "documents")
+    old = docs.select(i.alias("id"), i.alias("path"), "text", F.when(i % 4 == 1, "tombstone").otherwise("active").alias("status"))
+    new = docs.select((-i).alias("id"), i.alias("path"), F.concat("text", F.lit(" newword"), F.when(i % 3 == 0, " and more words than that here").otherwise("")).alias("text"))
+    return I.rename_match(new, old, ["path"]).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def _line(s, d):

@@ -104,7 +104,7 @@ def orphans(s, d):
     "fol AS (SELECT from_id, to_id FROM (SELECT id AS from_id, lag(id) OVER (ORDER BY id) AS to_id FROM logs) WHERE to_id IS NOT NULL) "
     "SELECT 'duplicate_entry' AS violation, CAST(id AS VARCHAR) AS subject FROM entries GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'dangling_entry', CAST(entry AS VARCHAR) FROM bad WHERE entry NOT IN (SELECT id FROM entries) "
     "UNION ALL SELECT DISTINCT 'dangling_concept', slug FROM bad WHERE slug NOT IN (SELECT slug FROM concepts) "
-    "UNION ALL SELECT 'follows_across_projects', CAST(from_id AS VARCHAR) FROM fol WHERE from_id // 1000 <> to_id // 1000"
+    "UNION ALL SELECT 'confirmed_without_evidence', slug FROM concepts WHERE status = 'confirmed' AND slug NOT IN (SELECT slug FROM bad) UNION ALL SELECT 'follows_across_projects', CAST(from_id AS VARCHAR) FROM fol WHERE from_id // 1000 <> to_id // 1000"
 )
 def validate_graph(s, d):
     e, c, x = _graph(s, d)
@@ -135,13 +135,14 @@ def concepts_touched(s, d):
 
 
 @query(
-    f"{GRAPH}, {STATUS}, r AS (SELECT DISTINCT slug, entry, family FROM edges JOIN entries ON entry = id WHERE slug IN (SELECT slug FROM status WHERE effective = 'confirmed')), "
-    "top AS (SELECT slug, string_agg(CAST(entry AS VARCHAR), ',' ORDER BY entry) AS example_ids FROM (SELECT slug, entry, row_number() OVER (PARTITION BY slug ORDER BY entry) AS k FROM (SELECT DISTINCT slug, entry FROM r)) WHERE k <= 3 GROUP BY slug) "
-    "SELECT slug, count(DISTINCT family) AS span, count(DISTINCT entry) AS n_entries, string_agg(DISTINCT family, ',' ORDER BY family) AS families, any_value(example_ids) AS example_ids FROM r JOIN top USING (slug) GROUP BY slug"
+    f"{GRAPH}, {STATUS}, r AS (SELECT DISTINCT slug, entry, family, project_id, title FROM edges JOIN entries ON entry = id WHERE slug IN (SELECT slug FROM status WHERE effective = 'confirmed')), "
+    "top AS (SELECT slug, string_agg(CAST(entry AS VARCHAR), ',' ORDER BY k) AS example_ids, string_agg(title, ' | ' ORDER BY k) AS titles FROM (SELECT slug, entry, title, row_number() OVER (PARTITION BY slug ORDER BY project_id, title, entry) AS k FROM r) WHERE k <= 3 GROUP BY slug), "
+    "pr AS (SELECT slug, string_agg(project_id || ': ' || n, ', ' ORDER BY project_id || ': ' || n) AS projects FROM (SELECT slug, project_id, count(*) AS n FROM r GROUP BY ALL) GROUP BY slug) "
+    "SELECT slug, count(DISTINCT family) AS span, count(DISTINCT entry) AS n_entries, string_agg(DISTINCT family, ',' ORDER BY family) AS families, any_value(projects) AS projects, any_value(example_ids) AS example_ids, md5(any_value(titles)) AS titles FROM r JOIN top USING (slug) JOIN pr USING (slug) GROUP BY slug"
 )
 def cross_family_concepts(s, d):
     e, c, x = _graph(s, d)
-    return R.cross_family_concepts(R.effective_status(c, x, e), x, e)
+    return R.cross_family_concepts(R.effective_status(c, x, e), x, e).withColumn("titles", F.md5("titles"))
 
 
 _NAMES = T.STAGES[:-1]
@@ -168,7 +169,10 @@ def stale_concepts(s, d):
     return R.stale_concepts(R.effective_status(c, x, e))
 
 
-@query(f"{GRAPH} SELECT slug, count(DISTINCT entry) AS n_entries, count(DISTINCT family) AS n_families FROM edges JOIN entries ON entry = id GROUP BY slug HAVING count(DISTINCT entry) >= 3 AND count(DISTINCT family) >= 2")
+@query(
+    f"{GRAPH} SELECT 'concept' AS kind, slug AS name, count(DISTINCT entry) AS n_entries, count(DISTINCT family) AS n_families FROM edges JOIN entries ON entry = id GROUP BY slug HAVING count(DISTINCT entry) >= 3 AND count(DISTINCT family) >= 2 "
+    "UNION ALL SELECT 'tag', tag, count(DISTINCT id), count(DISTINCT family) FROM (SELECT id, family, unnest(tags) AS tag FROM entries WHERE kind = 'learning') GROUP BY tag HAVING count(DISTINCT id) >= 3"
+)
 def crystallization_candidates(s, d):
     e, _, x = _graph(s, d)
     return R.crystallization_candidates(x, e)
@@ -193,9 +197,14 @@ def inverted_index(s, d):
     return R.inverted_index(entries(s, d))
 
 
-@query(f"WITH {ENTRIES} SELECT path, count(*) AS n_entries, CAST(sum(len(string_split(body, chr(10)))) AS BIGINT) AS n_lines, sum(len(string_split(body, chr(10)))) > 500 AS is_large, max(date) AS updated FROM entries GROUP BY path")
+@query(
+    f"WITH {ENTRIES}, t AS (SELECT path, md5(string_agg(t, ' | ' ORDER BY id)) AS topics FROM (SELECT path, id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(title, '\\[\\d{{4}}-\\d{{2}}-\\d{{2}}\\]', '', 'g'), '\\*\\*([^*]+)\\*\\*', '\\1', 'g'), '\\[[^\\]]+\\]', '', 'g'), '^#+\\s*', ''), ' :-–—'), '') AS t, row_number() OVER (PARTITION BY path ORDER BY id) AS k FROM entries) WHERE k <= 5 GROUP BY path), "
+    "lg AS (SELECT 'src' || CAST(conv_id % 20 AS VARCHAR) AS p, count(*) AS n FROM conversations GROUP BY 1) "
+    "SELECT path, count(*) AS n_entries, CAST(sum(len(string_split(body, chr(10)))) AS BIGINT) AS n_lines, sum(len(string_split(body, chr(10)))) > 500 AS is_large, max(date) AS updated, coalesce(any_value(topics), md5('')) AS topics, coalesce(any_value(n), 0) AS n_logs FROM entries JOIN t USING (path) LEFT JOIN lg ON p = project_id GROUP BY path"
+)
 def quick_reference(s, d):
-    return R.quick_reference(entries(s, d))
+    logs = table(s, d, "conversations").select(F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("project_id"))
+    return R.quick_reference(entries(s, d), logs).withColumn("topics", F.md5("topics"))
 
 
 @query(f"WITH {ENTRIES} SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("learning", "decision", "finding", "convention")) + ", max(date) AS newest, count(*) AS n_entries FROM entries")
@@ -218,18 +227,18 @@ def last_n_per_group(s, d):
     return R.last_n_per_group(entries(s, d), ["project_id"], [F.col("date").desc_nulls_last(), F.col("id")], 5).select("id", "project_id", "rank")
 
 
-_FIND = "findings AS (SELECT 't' || CAST(length(title) % 17 AS VARCHAR) AS topic, project_id AS project, ['robust', 'supported', 'preliminary', 'contradicted', 'other'][CAST(id % 5 + 1 AS INTEGER)] AS status, id % 4 AS n_findings, id % 3 AS n_open, date FROM entries)"
+_FIND = "findings AS (SELECT 't' || CAST(length(title) % 17 AS VARCHAR) AS topic, project_id AS project, ['robust', 'supported', 'preliminary', 'contradicted', 'other'][CAST(id % 5 + 1 AS INTEGER)] AS status, id % 4 AS n_findings, id % 3 AS n_open, CASE WHEN id % 4 = 1 THEN 'about ' || id WHEN id % 4 = 2 THEN ' ' END AS description, date FROM entries)"
 
 
 def _findings(s, d):
     e = entries(s, d)
     names = F.array(*(F.lit(x) for x in ("robust", "supported", "preliminary", "contradicted", "other")))
-    return e.select(F.concat(F.lit("t"), (F.length("title") % 17).cast("string")).alias("topic"), F.col("project_id").alias("project"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("status"), (F.col("id") % 4).alias("n_findings"), (F.col("id") % 3).alias("n_open"), "date")
+    return e.select(F.concat(F.lit("t"), (F.length("title") % 17).cast("string")).alias("topic"), F.col("project_id").alias("project"), F.element_at(names, (F.col("id") % 5 + 1).cast("int")).alias("status"), (F.col("id") % 4).alias("n_findings"), (F.col("id") % 3).alias("n_open"), F.when(F.col("id") % 4 == 1, F.concat(F.lit("about "), F.col("id").cast("string"))).when(F.col("id") % 4 == 2, " ").alias("description"), "date")
 
 
 @query(
     f"WITH {ENTRIES}, {_FIND} SELECT topic, count(DISTINCT project) AS n_projects, CAST(sum(n_findings) AS BIGINT) AS n_findings, CAST(sum(n_open) AS BIGINT) AS n_open, "
-    "['contradicted', 'robust', 'supported', 'preliminary', 'other'][min(CASE status WHEN 'contradicted' THEN 1 WHEN 'robust' THEN 2 WHEN 'supported' THEN 3 WHEN 'preliminary' THEN 4 ELSE 5 END)] AS strongest FROM findings GROUP BY topic"
+    "['contradicted', 'robust', 'supported', 'preliminary', 'other'][min(CASE status WHEN 'contradicted' THEN 1 WHEN 'robust' THEN 2 WHEN 'supported' THEN 3 WHEN 'preliminary' THEN 4 ELSE 5 END)] AS strongest, arg_min(nullif(trim(description), ''), (project, description)) FILTER (trim(description) <> '') AS description FROM findings GROUP BY topic"
 )
 def topic_rollup(s, d):
     return R.topic_rollup(_findings(s, d))
@@ -267,3 +276,14 @@ def entry_text_fields(s, d):
 def tokenize(s, d):
     rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"), ("the", "and", "for"))).alias("token"))
     return rows.groupBy("id", "token").agg(F.count("*").alias("tf"))
+
+
+@query(
+    f"{GRAPH}, cl AS (SELECT doc_id % 6 AS c, count(*) AS size, count(DISTINCT lang) AS f FROM documents WHERE doc_id % 6 < 3 AND (doc_id % 6 < 2 OR lang = 'en') GROUP BY 1), a AS (SELECT count(*) AS total, count(x.entry) AS connected FROM entries LEFT JOIN (SELECT DISTINCT entry FROM edges) x ON entry = id), b AS (SELECT count(*) AS n_clusters, count(*) FILTER (f >= 2) AS n_across, CAST(sum(size) AS BIGINT) AS absorbed, CAST(coalesce(sum(size) FILTER (f >= 2), 0) AS BIGINT) AS absorbed_across FROM cl) "
+    "SELECT total, connected, round(100.0 * connected / total, 1) AS pct, n_clusters, n_across, absorbed, absorbed_across, round(100.0 * (connected + absorbed) / total, 1) AS pct_all, round(100.0 * (connected + absorbed_across) / total, 1) AS pct_across FROM a, b"
+)
+def projected_gain(s, d):
+    e, _, x = _graph(s, d)
+    c = F.col("doc_id") % 6
+    clusters = table(s, d, "documents").filter((c < 3) & ((c < 2) | (F.col("lang") == "en"))).groupBy(c.alias("c")).agg(F.count("*").alias("size"), F.collect_set("lang").alias("families"))
+    return R.projected_gain(e, x, clusters)

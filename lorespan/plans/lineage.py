@@ -41,13 +41,20 @@ def _events(s, d):
     )
 
 
+def _once(column: str, name: str) -> str:
+    """Distinct values of a list column of ev in the order in which they first came."""
+    return f"{name} AS (SELECT session, string_agg(x, ',' ORDER BY r, j) AS l, count(*) AS n FROM (SELECT session, x, r, j, row_number() OVER (PARTITION BY session, x ORDER BY r, j) AS k FROM (SELECT session, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS r, unnest({column}) AS x, generate_subscripts({column}, 1) AS j FROM ev)) WHERE k = 1 GROUP BY session)"
+
+
 @query(
-    f"WITH {_EV}, i AS (SELECT session, count(DISTINCT p) AS n FROM (SELECT session, unnest(inputs) AS p FROM ev) GROUP BY 1), o AS (SELECT session, count(DISTINCT p) AS n FROM (SELECT session, unnest(outputs) AS p FROM ev) GROUP BY 1), f AS (SELECT session, script FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS r FROM ev) WHERE r = 1) "
+    f"WITH {_EV}, {_once('inputs', 'i')}, {_once('outputs', 'o')}, {_once('[script]', 'c')}, f AS (SELECT session, script FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, seq) AS r FROM ev) WHERE r = 1) "
     "SELECT session, count(*) AS n_actions, string_agg(DISTINCT coalesce(agent, 'main'), ',' ORDER BY coalesce(agent, 'main')) AS agents, count(wall_s) AS n_timed, round_even(sum(wall_s), 3) AS total_wall, count(*) FILTER (exit_code = 0) AS n_passed, count(*) FILTER (exit_code <> 0) AS n_failed, count(*) FILTER (exit_code IS NULL) AS n_unknown, "
-    "any_value(f.script) AS first_script, any_value(i.n) AS n_inputs, any_value(o.n) AS n_outputs FROM ev JOIN f USING (session) JOIN i USING (session) JOIN o USING (session) GROUP BY session"
+    "any_value(f.script) AS first_script, any_value(i.n) AS n_inputs, any_value(o.n) AS n_outputs, any_value(i.l) AS inputs, any_value(o.l) AS outputs, any_value(c.l) AS scripts, arg_min('g' || seq, (ts, seq)) FILTER (seq % 3 = 0) AS git_sha, coalesce(string_agg(DISTINCT 'w' || (seq % 4), ',' ORDER BY 'w' || (seq % 4)) FILTER (seq % 5 = 0), '') AS warnings FROM ev JOIN f USING (session) JOIN i USING (session) JOIN o USING (session) JOIN c USING (session) GROUP BY session"
 )
 def lineage_manifest(s, d):
-    return R.lineage_manifest(_events(s, d)).drop("started", "ended")
+    q = F.col("seq")
+    e = _events(s, d).withColumn("git_sha", F.when(q % 3 == 0, F.concat(F.lit("g"), q.cast("string")))).withColumn("warnings", F.when(q % 5 == 0, F.array(F.concat(F.lit("w"), (q % 4).cast("string")))).otherwise(F.array().cast("array<string>")))
+    return R.lineage_manifest(e).drop("started", "ended").withColumns({c: F.array_join(c, ",") for c in ("inputs", "outputs", "scripts", "warnings")})
 
 
 @query(f"WITH {_EV} SELECT DISTINCT script, unnest(inputs) AS path, 'read' AS kind FROM ev UNION SELECT DISTINCT script, unnest(outputs), 'write' FROM ev")
@@ -56,11 +63,10 @@ def lineage_edges(s, d):
 
 
 @query(
-    f"WITH RECURSIVE {_EV}, st AS (SELECT DISTINCT o.path AS made, i.path FROM (SELECT script, unnest(outputs) AS path FROM ev WHERE event_day) o JOIN (SELECT script, unnest(inputs) AS path FROM ev WHERE event_day) i USING (script)), up(path) AS (SELECT 'f40' UNION SELECT st.path FROM up JOIN st ON st.made = up.path) SELECT path FROM up WHERE path <> 'f40'".replace("event_day", "ts < TIMESTAMP '2024-01-08'")
+    f"WITH RECURSIVE {_EV}, st AS (SELECT DISTINCT 'p' AS k0, unnest(outputs) AS x0, 's' AS k1, script AS x1 FROM ev UNION SELECT DISTINCT 's', script, 'p', unnest(inputs) FROM ev), up(k, x) AS (SELECT 'p', 'f40' UNION SELECT k1, x1 FROM up JOIN st ON k0 = k AND x0 = x) SELECT x AS path FROM up WHERE k = 'p' AND x <> 'f40'"
 )
 def upstream(s, d):
-    e = _events(s, d)
-    return L.upstream(L.lineage_edges(e.filter(F.col("ts") < F.lit("2024-01-08").cast(e.schema["ts"].dataType))), "f40")
+    return L.upstream(L.lineage_edges(_events(s, d)), "f40")
 
 
 @query(
@@ -76,10 +82,10 @@ def read_telemetry(s, d):
     return R.read_telemetry(_events(s, d).select(F.explode("inputs").alias("path"), "ts"))
 
 
-@query("SELECT c.cluster, e.event_id AS \"commit\", e.ts, CAST(row_number() OVER (PARTITION BY c.cluster ORDER BY e.ts, e.event_id) AS INTEGER) AS rank FROM (SELECT user_id AS cluster, min(ts) AS f, max(ts) AS l FROM events WHERE event_type = 'error' AND event_id % 3 = 0 GROUP BY 1) c JOIN events e ON e.ts BETWEEN c.f AND c.l AND e.event_type = 'click' QUALIFY rank <= 5")
+@query("SELECT c.cluster, e.event_id AS \"commit\", e.ts, CAST(row_number() OVER (PARTITION BY c.cluster ORDER BY e.ts, e.event_id) AS INTEGER) AS rank FROM (SELECT user_id AS cluster, min(ts) AS f, max(ts) AS l FROM events WHERE event_type = 'error' GROUP BY 1) c JOIN events e ON e.ts BETWEEN c.f AND c.l AND e.event_type = 'click' QUALIFY rank <= 5")
 def attach_commits(s, d):
     e = table(s, d, "events")
-    clusters = e.filter("event_type = 'error' and event_id % 3 = 0").groupBy(F.col("user_id").alias("cluster")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    clusters = e.filter("event_type = 'error'").groupBy(F.col("user_id").alias("cluster")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     commits = e.select(F.col("event_id").alias("commit"), "ts", F.when(F.col("event_type") == "click", "Fix it again").otherwise("other").alias("message"))
     return L.attach_commits(clusters, commits)
 
