@@ -29,10 +29,6 @@ def _row(check: str, column, group, observed: Column, expected: Column, bad: Col
     return [F.lit(check).alias("check"), text(column).alias("column"), text(group).alias("group"), observed.cast("double").alias("observed"), expected.cast("double").alias("expected"), F.when(bad, severity).otherwise("ok").alias("severity"), n.cast("long").alias("n")]
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
 def row_delta(before: DataFrame, after: DataFrame, expected: int = 0) -> DataFrame:
     a, b = before.agg(F.count("*").alias("a")), after.agg(F.count("*").alias("b"))
     d = F.col("b") - F.col("a")
@@ -59,10 +55,11 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def type_contract(df: DataFrame, expected: dict[str, str]) -> DataFrame:
-    """A row for each column of expected: whether it is there with that type."""
+    """A row for each column of expected: whether it is there with that type, and how many values it has."""
     have = dict(df.dtypes)
-    rows = [("type_contract", c, have.get(c), float(have.get(c) == t), 1.0, "ok" if have.get(c) == t else "error", 0) for c, t in expected.items()]
-    return df.sparkSession.createDataFrame(rows, "check string, column string, group string, observed double, expected double, severity string, n long")
+    one = df.agg(*(F.count(c).alias(f"n{k}") if c in have else F.lit(0).alias(f"n{k}") for k, c in enumerate(expected)))
+    rows = [F.struct(*_row("type_contract", c, have.get(c), F.lit(int(have.get(c) == t)), F.lit(1), F.lit(have.get(c) != t), F.col(f"n{k}"))) for k, (c, t) in enumerate(expected.items())]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def null_audit(df: DataFrame, columns: list[str], group: str | None = None) -> DataFrame:
@@ -80,15 +77,19 @@ def non_castable(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.agg(F.count_if(lost).alias("k"), F.count("*").alias("n")).select(*_row("non_castable", column, kind, F.col("k"), F.lit(0), F.col("k") > 0, F.col("n")))
 
 
+def _exploded(one: DataFrame, rows: list[list[Column]]) -> DataFrame:
+    """Check rows from one row of aggregates, which is computed once."""
+    return one.select(F.explode(F.array(*(F.struct(*r) for r in rows))).alias("r")).select("r.*")
+
+
 def phantom_levels(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of each column that hold a string for a missing value, or differ from another level by white space at the ends."""
-    parts = []
-    for c in columns:
+    """Rows of each column that hold a string for a missing value, or differ from another level by white space at the ends. One pass for all columns."""
+    aggs, rows = [F.count("*").alias("n")], []
+    for k, c in enumerate(columns):
         x = F.col(c)
-        agg = df.agg(F.count_if(F.lower(F.trim(x)).isin(*PHANTOMS)).alias("k"), (F.countDistinct(x) - F.countDistinct(F.trim(x))).alias("v"), F.count("*").alias("n"))
-        parts.append(agg.select(*_row("phantom_levels", c, "missing", F.col("k"), F.lit(0), F.col("k") > 0, F.col("n"))))
-        parts.append(agg.select(*_row("phantom_levels", c, "white_space", F.col("v"), F.lit(0), F.col("v") > 0, F.col("n"))))
-    return _union(parts)
+        aggs += [F.count_if(F.lower(F.trim(x)).isin(*PHANTOMS)).alias(f"k{k}"), (F.countDistinct(x) - F.countDistinct(F.trim(x))).alias(f"v{k}")]
+        rows += [_row("phantom_levels", c, "missing", F.col(f"k{k}"), F.lit(0), F.col(f"k{k}") > 0, F.col("n")), _row("phantom_levels", c, "white_space", F.col(f"v{k}"), F.lit(0), F.col(f"v{k}") > 0, F.col("n"))]
+    return _exploded(df.agg(*aggs), rows)
 
 
 def range_check(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -101,7 +102,7 @@ def double_transform(df: DataFrame, column: str) -> DataFrame:
     a = df.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.min(column).alias("lo"), F.count(column).alias("n"))
     std = (F.abs("m") < 0.01) & (F.abs(F.col("s") - 1) < 0.01)
     log = (F.col("lo") < -10) & (F.col("s") < 2)
-    return _union([a.select(*_row("double_transform", column, k, F.when(b, 1).otherwise(0), F.lit(0), b, F.col("n"), "warning")) for k, b in (("standardised", std), ("logged", log))])
+    return _exploded(a, [_row("double_transform", column, k, F.when(b, 1).otherwise(0), F.lit(0), b, F.col("n"), "warning") for k, b in (("standardised", std), ("logged", log))])
 
 
 def split_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
@@ -115,8 +116,8 @@ def normalization_leak(train: DataFrame, test: DataFrame, columns: list[str]) ->
     parts = []
     for c in columns:
         bad = F.coalesce((F.col(f"a_{c}") == F.col(f"b_{c}")) | (F.abs(f"b_{c}") < 1e-9), F.lit(False))
-        parts.append(a.select(*_row("normalization_leak", c, None, F.round(f"b_{c}", 6), F.round(f"a_{c}", 6), bad, F.col("n"))))
-    return _union(parts)
+        parts.append(_row("normalization_leak", c, None, F.round(f"b_{c}", 6), F.round(f"a_{c}", 6), bad, F.col("n")))
+    return _exploded(a, parts)
 
 
 def temporal_split_check(train: DataFrame, test: DataFrame, ts: str, group: str) -> DataFrame:
@@ -145,14 +146,14 @@ def n_drift(before: DataFrame, after: DataFrame, ledger: DataFrame, key: str) ->
     """Ids lost between two stages without a reason in ledger(key, allowed), and those whose reason is not allowed."""
     lost = before.select(key).join(after.select(key), key, "left_anti").join(ledger.select(key, "allowed"), key, "left")
     a = lost.agg(F.count_if(F.col("allowed").isNull()).alias("unexplained"), F.count_if(~F.col("allowed")).alias("forbidden"), F.count("*").alias("n"))
-    return _union([a.select(*_row("n_drift", key, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n"))) for k in ("unexplained", "forbidden")])
+    return _exploded(a, [_row("n_drift", key, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n")) for k in ("unexplained", "forbidden")])
 
 
 def reconcile(data: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
     a = data.select(key).distinct().withColumn("_a", F.lit(1))
     b = metadata.select(key).distinct().withColumn("_b", F.lit(1))
     n = a.join(b, key, "full").agg(F.count_if(F.col("_b").isNull()).alias("data_only"), F.count_if(F.col("_a").isNull()).alias("metadata_only"), F.count("*").alias("n"))
-    return _union([n.select(*_row("reconcile", key, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n"))) for k in ("data_only", "metadata_only")])
+    return _exploded(n, [_row("reconcile", key, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n")) for k in ("data_only", "metadata_only")])
 
 
 def comparability(inputs: dict[str, DataFrame], column: str) -> DataFrame:
@@ -201,7 +202,7 @@ def excel_damage(df: DataFrame, column: str) -> DataFrame:
     x = F.col(column)
     date, exp = F.regexp_like(x, F.lit(r"^\d{1,2}-(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)$")), F.regexp_like(x, F.lit(r"^\d(\.\d+)?E\+?\d+$"))
     a = df.agg(F.count_if(date).alias("date"), F.count_if(exp).alias("exponent"), F.count("*").alias("n"))
-    return _union([a.select(*_row("excel_damage", column, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n"))) for k in ("date", "exponent")])
+    return _exploded(a, [_row("excel_damage", column, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n")) for k in ("date", "exponent")])
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.operators.identity import global_rank
+from lorespan.sources.folders import stored
+
 Z95 = 1.959963984540054
 
 
@@ -14,22 +17,23 @@ def hash_share(ident: Column, replica: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(ident.cast("string"), F.lit(":"), replica.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def threshold_sweep(df: DataFrame, column: str, thresholds: list[float], value: str, chosen: float) -> DataFrame:
-    """threshold, n, mean of value among rows at or above each threshold, chosen; one scan for all thresholds."""
+def threshold_sweep(df: DataFrame, column: str, thresholds: list[float], value: str, chosen: float, tolerance: float = 0.1) -> DataFrame:
+    """threshold, n, mean of value among rows at or above each threshold, chosen, stable (within tolerance of the chosen one's mean); one scan for all thresholds."""
+    at = thresholds.index(chosen)
     aggs = [x for k, t in enumerate(thresholds) for x in (F.count_if(F.col(column) >= t).alias(f"n{k}"), F.avg(F.when(F.col(column) >= t, F.col(value))).alias(f"m{k}"))]
-    rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{k}").alias("n"), F.round(f"m{k}", 6).alias("mean"), F.lit(t == chosen).alias("chosen")) for k, t in enumerate(thresholds)))
+    rows = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"n{k}").alias("n"), F.round(f"m{k}", 6).alias("mean"), F.lit(t == chosen).alias("chosen"), (F.abs(F.col(f"m{k}") - F.col(f"m{at}")) <= tolerance * F.abs(F.col(f"m{at}"))).alias("stable")) for k, t in enumerate(thresholds)))
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def method_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n and adjusted Rand index of two labelings, from their contingency counts."""
+    """n, adjusted Rand index and Jaccard (of the pairs that each puts together) of two labelings, from their contingency counts."""
     pairs = lambda n: n * (n - 1) / 2
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     both = cells.agg(F.sum(pairs(F.col("n"))).alias("s"), F.sum("n").alias("t"))
     side = lambda c, name: cells.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(pairs(F.col("n"))).alias(name))
     x = both.crossJoin(side(a, "sa")).crossJoin(side(b, "sb"))
     expected = F.col("sa") * F.col("sb") / pairs(F.col("t"))
-    return x.select(F.col("t").alias("n"), F.round((F.col("s") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), 6).alias("ari"))
+    return x.select(F.col("t").alias("n"), F.round((F.col("s") - expected) / ((F.col("sa") + F.col("sb")) / 2 - expected), 6).alias("ari"), F.round(F.col("s") / (F.col("sa") + F.col("sb") - F.col("s")), 6).alias("jaccard"))
 
 
 def preprocessing_sweep(df: DataFrame, variants: dict[str, Column], value: str) -> DataFrame:
@@ -47,27 +51,50 @@ def subsample_stability(df: DataFrame, ident: str, value: str, label: Column, n:
     return df.agg(*aggs).select(F.explode(rows).alias("r")).select("r.*")
 
 
-def permutation_test(df: DataFrame, unit: str, value: str, label: Column, n: int = 100) -> DataFrame:
+def stability_verdict(replicas: DataFrame, observed: DataFrame, least: float = 0.8) -> DataFrame:
+    """n, holds (the share of replicas(diff) with the sign of observed(diff)), fragile (below least)."""
+    x = replicas.crossJoin(F.broadcast(observed.select(F.col("diff").alias("_o")))).agg(F.count("*").alias("n"), F.round(F.avg((F.signum("diff") == F.signum("_o")).cast("double")), 6).alias("holds"))  # one row of observed
+    return x.withColumn("fragile", F.col("holds") < least)
+
+
+def seed_stability(df: DataFrame, ident: str, value: str, label: Column, seeds: tuple[int, ...] = (42, 123, 456, 789, 2024), share: float = 0.5) -> DataFrame:
+    """n, mean, sd, low, high of the label's effect in parts drawn by the hash of id and each seed: one scan."""
+    on = [hash_share(F.col(ident), F.lit(k)) < share for k in seeds]
+    x = df.agg(*(F.avg(F.when(o & c, F.col(value))).alias(f"{n}{k}") for k, o in enumerate(on) for n, c in (("a", label), ("b", ~label))))
+    rows = x.select(F.explode(F.array(*(F.col(f"a{k}") - F.col(f"b{k}") for k in range(len(seeds))))).alias("d"))
+    return rows.agg(F.count("d").alias("n"), *(F.round(f("d"), 6).alias(k) for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("low", F.min), ("high", F.max))))
+
+
+def permutation_test(df: DataFrame, unit: str, value: str, label: Column, n: int = 1_000) -> DataFrame:
     """observed, p_value, n: labels dealt anew by the order of hashes within each replica, at the level of units.
 
-    Rows are first summed to units, so a replica holds units only; a replica is a partition of its window.
+    Rows are first summed to units, so a replica holds units only. The units with the k least hashes of a replica get the
+    label: whole ranges of hashes by their counts, and only the range at the border is put in order.
     """
-    units = df.groupBy(unit).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.max(label).alias("l")).persist()
+    units = stored(df.groupBy(unit).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.max(label).alias("l")), "units")
     k = units.agg(F.count_if("l").alias("k"))
-    rep = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    order = F.row_number().over(W.partitionBy("rep").orderBy(F.md5(F.concat(F.col(unit).cast("string"), F.lit(":"), F.col("rep").cast("string"))), unit))
+    rep = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("h", F.md5(F.concat(F.col(unit).cast("string"), F.lit(":"), F.col("rep").cast("string")))).withColumn("range", F.substring("h", 1, 2))
+    sums = rep.groupBy("rep", "range").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("rep").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = stored(sums.withColumn("before", before).crossJoin(F.broadcast(k)), "hash-ranges")
+    border = ranges.filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("n") > F.col("k"))).select("rep", "range", (F.col("k") - F.col("before")).alias("need"))
+    order = F.row_number().over(W.partitionBy("rep").orderBy("h", unit))
+    some = rep.join(border, ["rep", "range"]).withColumn("o", order).filter(F.col("o") <= F.col("need")).select("rep", "s", "c")
+    chosen = ranges.filter(F.col("before") + F.col("n") <= F.col("k")).select("rep", "s", "c").unionByName(some).groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    whole = units.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
     mean = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("c")))
-    null = rep.withColumn("o", order).crossJoin(F.broadcast(k)).groupBy("rep").agg((mean(F.col("o") <= F.col("k")) - mean(F.col("o") > F.col("k"))).alias("d"))
     seen = units.agg((mean(F.col("l")) - mean(~F.col("l"))).alias("obs"))
-    return null.crossJoin(F.broadcast(seen)).groupBy("obs").agg(F.avg((F.abs("d") >= F.abs("obs")).cast("double")).alias("p"), F.count("*").alias("n")).select(F.round("obs", 6).alias("observed"), F.round("p", 6).alias("p_value"), "n")
+    null = chosen.crossJoin(F.broadcast(whole)).select((F.col("s") / F.col("c") - (F.col("_s") - F.col("s")) / (F.col("_c") - F.col("c"))).alias("d"))
+    return null.crossJoin(F.broadcast(seen)).groupBy("obs").agg(F.avg((F.abs("d") >= F.abs("obs") - 1e-12).cast("double")).alias("p"), F.count("*").alias("n")).select(F.round("obs", 6).alias("observed"), F.round("p", 6).alias("p_value"), "n")
 
 
-def poisson_bootstrap(df: DataFrame, ident: str, value: str, n: int = 50) -> DataFrame:
-    """replica and mean under Poisson(1) weights drawn by hash: the scalable bootstrap, which is not the fixed-size one."""
+def poisson_bootstrap(df: DataFrame, unit: str, value: str, n: int = 2_000) -> DataFrame:
+    """replica and mean under Poisson(1) weights of the units, drawn by hash: the scalable bootstrap, which is not the fixed-size one. Rows are first summed to units."""
     cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    rep = df.select(ident, value).withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", hash_share(F.col(ident), F.col("replica")))
+    units = df.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    rep = units.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", hash_share(F.col(unit), F.col("replica")))
     weight = sum((F.col("u") >= c).cast("int") for c in cdf)
-    return rep.withColumn("w", weight).groupBy("replica").agg(F.round(F.sum(F.col("w") * F.col(value)) / F.sum("w"), 6).alias("mean"))
+    return rep.withColumn("w", weight).groupBy("replica").agg(F.round(F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c")), 6).alias("mean"))
 
 
 def bootstrap_ci(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -89,11 +116,10 @@ def effect_size(df: DataFrame, label: Column, value: str) -> DataFrame:
 
 def adjust_pvalues(df: DataFrame, ident: str, p: str) -> DataFrame:
     """ident, p, bonferroni, bh (Benjamini-Hochberg) of all tests; in ranges of p, so no task holds all of them."""
-    from lorespan.operators.identity import global_rank
-
-    ranked = global_rank(df.select(ident, F.col(p).alias("p")).filter("p is not null"), [F.col("p"), F.col(ident)], "rank").persist()
+    ranked = stored(global_rank(df.select(ident, F.col(p).alias("p")).filter("p is not null"), [F.col("p"), F.col(ident)], "rank"), "ranked")
     total = ranked.agg(F.count("*").alias("m"))
-    rows = ranked.crossJoin(F.broadcast(total)).withColumn("q", F.col("p") * F.col("m") / F.col("rank")).repartitionByRange(F.col("rank")).withColumn("_part", F.spark_partition_id()).persist()
+    rows = ranked.crossJoin(F.broadcast(total)).withColumn("q", F.col("p") * F.col("m") / F.col("rank")).repartitionByRange(F.col("rank")).withColumn("_part", F.spark_partition_id())
+    rows = stored(rows, "rank-ranges")
     least = rows.groupBy("_part").agg(F.min("q").alias("_q"))
     after = least.select("_part", F.min("_q").over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
     inner = rows.withColumn("_own", F.min("q").over(W.partitionBy("_part").orderBy(F.desc("rank"))))
@@ -113,15 +139,101 @@ def outliers(df: DataFrame, ident: str, metric: str, n: int = 5) -> DataFrame:
     return low.unionByName(df.select(ident, metric).orderBy(F.desc(metric), ident).limit(n).withColumn("side", F.lit("top")))
 
 
+def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group, median, n of the values that are there, exactly: rows are ranked in ranges, so no task holds a whole group."""
+    rows = df.filter(F.col(value).isNotNull()).select(*group, F.col(value).cast("double").alias("_v"))
+    ranked = stored(global_rank(rows, [*(F.col(g) for g in group), F.col("_v")], "_r"), "ranked")
+    first = ranked.groupBy(*group).agg(F.min("_r").alias("_first"), F.count("*").alias("n"))
+    on = F.lit(True)
+    for g in group:
+        on = on & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    first = first.select(*(F.col(g).alias(f"_{g}") for g in group), "_first", "n")
+    place = F.col("_r") - F.col("_first") + 1
+    mid = ranked.join(F.broadcast(first) if not group else first, on).filter((place >= F.col("n") / 2) & (place <= F.col("n") / 2 + 1))
+    return mid.groupBy(*group).agg(F.avg("_v").alias("median"), F.max("n").alias("n"))
+
+
 def near_median(df: DataFrame, ident: str, metric: str, n: int = 5) -> DataFrame:
-    m = df.agg(F.median(metric).alias("_m"))
+    """ident, metric, distance of the n members nearest to the median."""
+    m = medians(df, [], metric).select(F.col("median").alias("_m"))
     return df.crossJoin(F.broadcast(m)).select(ident, metric, F.round(F.abs(F.col(metric) - F.col("_m")), 6).alias("distance")).orderBy("distance", ident).limit(n)
 
 
+def beyond_sd(df: DataFrame, ident: str, metric: str, k: float = 3.0) -> DataFrame:
+    """ident, metric, z of members more than k standard deviations from the mean."""
+    m = df.agg(F.avg(metric).alias("_m"), F.stddev_samp(metric).alias("_s"))
+    z = (F.col(metric) - F.col("_m")) / F.col("_s")
+    return df.crossJoin(F.broadcast(m)).select(ident, metric, F.round(z, 6).alias("z")).filter(F.abs("z") > k)
+
+
 def group_spotcheck(df: DataFrame, group: str, ident: str, value: str) -> DataFrame:
-    """Of each group the greatest member, and the group's mean without it."""
+    """Of each group the greatest member, the median one (the lower of two), and the group's mean without the greatest."""
     x = df.groupBy(group).agg(F.max_by(ident, F.struct(F.col(value), -F.col(ident))).alias("extreme"), F.max(value).alias("v"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    return x.select(group, "extreme", F.round(F.col("s") / F.col("n"), 6).alias("mean"), F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("v")) / (F.col("n") - 1)), 6).alias("mean_without"))
+    ranked = stored(global_rank(df.filter(F.col(value).isNotNull()).select(group, value, ident), [F.col(group), F.col(value), F.col(ident)], "_r"), "ranked")
+    first = ranked.groupBy(group).agg(F.min("_r").alias("_first"), F.count("*").alias("_n"))
+    mid = ranked.join(first, group).filter(F.col("_r") - F.col("_first") + 1 == F.ceil(F.col("_n") / 2)).select(group, F.col(ident).alias("median"))
+    return x.join(mid, group).select(group, "extreme", "median", F.round(F.col("s") / F.col("n"), 6).alias("mean"), F.round(F.when(F.col("n") > 1, (F.col("s") - F.col("v")) / (F.col("n") - 1)), 6).alias("mean_without"))
+
+
+def association(df: DataFrame, label: Column, outcome: Column, value: str) -> DataFrame:
+    """odds_ratio, risk_ratio and phi of outcome by label, and r between label and value."""
+    yes, no = label.cast("int"), (~label).cast("int")
+    x = df.agg(*(F.sum(p * q).cast("double").alias(k) for k, p, q in (("a", yes, outcome.cast("int")), ("b", yes, (~outcome).cast("int")), ("c", no, outcome.cast("int")), ("d", no, (~outcome).cast("int")))), F.corr(yes.cast("double"), F.col(value)).alias("r"))
+    a, b, c, d = (F.col(k) for k in "abcd")
+    phi = (a * d - b * c) / F.sqrt((a + b) * (c + d) * (a + c) * (b + d))
+    return x.select(F.round(F.try_divide(a * d, b * c), 6).alias("odds_ratio"), F.round(F.try_divide(a / (a + b), c / (c + d)), 6).alias("risk_ratio"), F.round(phi, 6).alias("phi"), F.round("r", 6).alias("r"))
+
+
+def significance_counts(adjusted: DataFrame) -> DataFrame:
+    """n tests of adjust_pvalues(), and how many are below 0.05 and 0.01, as they are, by Bonferroni and by Benjamini-Hochberg."""
+    return adjusted.agg(F.count("*").alias("n"), *(F.count_if(F.col(c) < t).alias(f"{c}_{k}") for c in ("p", "bonferroni", "bh") for k, t in (("05", 0.05), ("01", 0.01))))
+
+
+def proportion_interval(df: DataFrame, group: str, flag: Column) -> DataFrame:
+    """group, n, share, lo, hi by the normal approximation, within 0 and 1."""
+    x = df.groupBy(group).agg(F.count("*").alias("n"), F.avg(flag.cast("double")).alias("p"))
+    e = Z95 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return x.select(group, "n", F.round("p", 6).alias("share"), F.round(F.greatest(F.lit(0.0), F.col("p") - e), 6).alias("lo"), F.round(F.least(F.lit(1.0), F.col("p") + e), 6).alias("hi"))
+
+
+def correlation_interval(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """group, n, r, lo, hi: by Fisher's transformation; null with fewer than four rows."""
+    a = df.groupBy(group).agg(F.count("*").alias("n"), F.corr(x, y).alias("r"))
+    z, e = F.atanh("r"), F.when(F.col("n") > 3, Z95 / F.sqrt(F.greatest(F.col("n") - 3, F.lit(1)).cast("double")))
+    return a.select(group, "n", F.round("r", 6).alias("r"), F.round(F.tanh(z - e), 6).alias("lo"), F.round(F.tanh(z + e), 6).alias("hi"))
+
+
+def negative_controls(df: DataFrame, control: str, value: str, baseline: float, tolerance: float) -> DataFrame:
+    """control, n, mean, near: whether negative controls lie within tolerance of the baseline."""
+    x = df.groupBy(control).agg(F.count("*").alias("n"), F.avg(value).alias("m"))
+    return x.select(control, "n", F.round("m", 6).alias("mean"), (F.abs(F.col("m") - baseline) <= tolerance).alias("near"))
+
+
+def variance_ratio(df: DataFrame, group: str, value: str, most: float = 4.0) -> DataFrame:
+    """ratio of the greatest to the least variance of groups of two rows and more, and unequal (above most)."""
+    v = df.groupBy(group).agg(F.var_samp(value).alias("v")).filter(F.col("v").isNotNull())
+    x = v.agg((F.max("v") / F.min("v")).alias("x"))
+    return x.select(F.round("x", 6).alias("ratio"), (F.col("x") > most).alias("unequal"))
+
+
+def stratified_effect(df: DataFrame, strata: list[str], label: Column, value: str) -> DataFrame:
+    """n_strata, crude and stratified effect: the label's mean difference over all rows, and within strata, weighted by their rows; strata without both sides are left out."""
+    part = lambda c: (F.avg(F.when(c, F.col(value))), F.count_if(c))
+    (a, n), (b, m) = part(label), part(~label)
+    x = df.groupBy(*strata).agg((a - b).alias("e"), (n + m).alias("n"), n.alias("_a"), m.alias("_b")).filter("_a > 0 and _b > 0").agg(F.count("*").alias("n_strata"), (F.sum(F.col("e") * F.col("n")) / F.sum("n")).alias("w"))
+    return x.crossJoin(df.agg((a - b).alias("c"))).select("n_strata", F.round("c", 6).alias("crude"), F.round("w", 6).alias("stratified"))
+
+
+def fold_scores(df: DataFrame, fold: Column, truth: str, guess: str) -> DataFrame:
+    """n_folds, mean and sd of the folds' mean absolute errors."""
+    x = df.groupBy(fold.alias("_f")).agg(F.avg(F.abs(F.col(truth) - F.col(guess))).alias("e"))
+    return x.agg(F.count("*").alias("n_folds"), F.round(F.avg("e"), 6).alias("mean"), F.round(F.stddev_samp("e"), 6).alias("sd"))
+
+
+def calibration_bins(df: DataFrame, p: str, outcome: str, bins: int = 10) -> DataFrame:
+    """bin (0 to bins - 1, the last with 1), n, predicted and observed share."""
+    at = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
+    return df.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.round(F.avg(p), 6).alias("predicted"), F.round(F.avg(F.col(outcome).cast("double")), 6).alias("observed"))
 
 
 def characterize_failures(df: DataFrame, failed: Column, numeric: list[str], category: str) -> DataFrame:

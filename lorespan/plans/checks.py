@@ -212,7 +212,12 @@ def duplicate_keys(s, d):
     return C.duplicate_keys(_line(s, d), ["l_orderkey", "l_suppkey"])
 
 
-@query(None)
+@query(
+    " UNION ALL ".join(
+        "SELECT " + sel("type_contract", f"'{c}'", f"'{g}'" if g else "NULL", f"CASE WHEN typeof(any_value({x})) = '{t}' THEN {k} ELSE 0 END", "1", f"NOT {bool(k)}", f"count({x})") + " FROM lineitem"
+        for c, x, g, t, k in (("l_orderkey", "l_orderkey", "bigint", "BIGINT", 1), ("l_tax", "l_tax", "double", "DOUBLE", 1), ("l_shipdate", "l_shipdate", "timestamp_ntz", "VARCHAR", 0), ("absent", "NULL", None, "INTEGER", 0))
+    )
+)
 def type_contract(s, d):
     return C.type_contract(_line(s, d), {"l_orderkey": "bigint", "l_tax": "double", "l_shipdate": "string", "absent": "int"})
 
@@ -293,7 +298,7 @@ def reconcile(s, d):
     return C.reconcile(table(s, d, "documents").filter("doc_id % 3 <> 0"), table(s, d, "labels"), "doc_id")
 
 
-@query("SELECT " + sel("comparability", "'v'", "v", "count(DISTINCT i)", "2", "count(DISTINCT i) < 2", "count(DISTINCT i)", "warning") + " FROM (SELECT 'a' AS i, source AS v FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'b', source FROM documents WHERE doc_id % 7 = 1) GROUP BY v")
+@query("SELECT " + sel("comparability", "'v'", "v", "count(DISTINCT i)", "2", "count(DISTINCT i) < 2", "count(DISTINCT i)", "warning") + " FROM (SELECT 'a' AS i, source AS v FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT 'b', source FROM documents WHERE NOT coalesce(doc_id % 7 = 0, false)) GROUP BY v")
 def comparability(s, d):
     docs = table(s, d, "documents").select("doc_id", F.col("source").alias("v"))
     return C.comparability({"a": docs.filter("doc_id % 7 = 0"), "b": docs.filter("not (doc_id % 7 <=> 0)")}, "v")

@@ -32,14 +32,14 @@ def _returned():
 _T = (5.0, 10.0, 25.0, 40.0)
 
 
-@query(" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS n, round(avg(l_tax), 6) AS mean, {str(t == 10.0).lower()} AS chosen FROM lineitem WHERE l_quantity >= {t}" for t in _T))
+@query(" UNION ALL ".join(f"SELECT CAST({t} AS DOUBLE) AS threshold, count(*) AS n, round(avg(l_tax), 6) AS mean, {str(t == 10.0).lower()} AS chosen, abs(avg(l_tax) - (SELECT avg(l_tax) FROM lineitem WHERE l_quantity >= 10)) <= 0.1 * (SELECT avg(l_tax) FROM lineitem WHERE l_quantity >= 10) AS stable FROM lineitem WHERE l_quantity >= {t}" for t in _T))
 def threshold_sweep(s, d):
     return S.threshold_sweep(_line(s, d), "l_quantity", list(_T), "l_tax", 10.0)
 
 
 @query(
     "WITH c AS (SELECT label AS a, CAST(floor(embedding[1] * 4) AS INTEGER) AS b, count(*) AS n FROM embeddings GROUP BY ALL), x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS s, (SELECT sum(n) FROM c) AS t, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY a)) AS sa, (SELECT sum(n * (n - 1) / 2) FROM (SELECT sum(n) AS n FROM c GROUP BY b)) AS sb) "
-    "SELECT CAST(t AS BIGINT) AS n, round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari FROM x"
+    "SELECT CAST(t AS BIGINT) AS n, round((s - sa * sb / (t * (t - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (t * (t - 1) / 2)), 6) AS ari, round(s / (sa + sb - s), 6) AS jaccard FROM x"
 )
 def method_agreement(s, d):
     e = table(s, d, "embeddings").select(F.col("label").alias("a"), F.floor(F.get("embedding", F.lit(0)).cast("double") * 4).cast("int").alias("b"))
@@ -62,23 +62,23 @@ def subsample_stability(s, d):
 
 @query(
     "WITH u AS (SELECT l_suppkey AS unit, sum(l_quantity) AS s, count(*) AS c, l_suppkey % 2 = 0 AS l FROM lineitem GROUP BY ALL), k AS (SELECT count(*) FILTER (l) AS k FROM u), "
-    "r AS (SELECT u.*, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(CAST(unit AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), unit) AS o FROM u, range(40) t(rep)), "
+    "r AS (SELECT u.*, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(CAST(unit AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), unit) AS o FROM u, range(1000) t(rep)), "
     "n AS (SELECT rep, sum(s) FILTER (o <= k) / sum(c) FILTER (o <= k) - sum(s) FILTER (o > k) / sum(c) FILTER (o > k) AS d FROM r, k GROUP BY rep), b AS (SELECT sum(s) FILTER (l) / sum(c) FILTER (l) - sum(s) FILTER (NOT l) / sum(c) FILTER (NOT l) AS obs FROM u) "
-    "SELECT round(obs, 6) AS observed, round(avg(CASE WHEN abs(d) >= abs(obs) THEN 1.0 ELSE 0.0 END), 6) AS p_value, count(*) AS n FROM n, b GROUP BY obs"
+    "SELECT round(obs, 6) AS observed, round(avg(CASE WHEN abs(d) >= abs(obs) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_value, count(*) AS n FROM n, b GROUP BY obs"
 )
 def permutation_test(s, d):
-    return S.permutation_test(_line(s, d), "l_suppkey", "l_quantity", F.col("l_suppkey") % 2 == 0, 40)
+    return S.permutation_test(_line(s, d), "l_suppkey", "l_quantity", F.col("l_suppkey") % 2 == 0, 1_000)
 
 
-_BOOT = "SELECT replica, round(sum(w * o_totalprice) / sum(w), 6) AS mean FROM (SELECT replica, o_totalprice, " + " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)) + " AS w FROM (SELECT replica, o_totalprice, " + _U.format(i="o_orderkey", r="replica") + " AS u FROM orders, range(20) t(replica))) GROUP BY replica"
+_BOOT = "SELECT replica, round(sum(w * s) / sum(w * c), 6) AS mean FROM (SELECT replica, s, c, " + " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)) + " AS w FROM (SELECT replica, s, c, " + _U.format(i="o_custkey", r="replica") + " AS u FROM (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS c FROM orders GROUP BY 1), range(2000) t(replica))) GROUP BY replica"
 
 
 @query(f"SELECT CAST(replica AS INTEGER) AS replica, mean FROM ({_BOOT})")
 def poisson_bootstrap(s, d):
-    return S.poisson_bootstrap(table(s, d, "orders"), "o_orderkey", "o_totalprice", 20)
+    return S.poisson_bootstrap(table(s, d, "orders"), "o_custkey", "o_totalprice", 2_000)
 
 
-@query(f"SELECT min(mean) FILTER (r >= ceil(20 * 0.025)) AS lo, min(mean) FILTER (r >= ceil(20 * 0.975)) AS hi FROM (SELECT mean, row_number() OVER (ORDER BY mean, replica) AS r FROM ({_BOOT}))")
+@query(f"SELECT min(mean) FILTER (r >= ceil(2000 * 0.025)) AS lo, min(mean) FILTER (r >= ceil(2000 * 0.975)) AS hi FROM (SELECT mean, row_number() OVER (ORDER BY mean, replica) AS r FROM ({_BOOT}))")
 def bootstrap_ci(s, d):
     return S.bootstrap_ci(poisson_bootstrap(s, d))
 
@@ -115,7 +115,7 @@ def near_median(s, d):
     return S.near_median(table(s, d, "orders"), "o_orderkey", "o_totalprice")
 
 
-@query("SELECT o_orderpriority, extreme, round(s / n, 6) AS mean, round(CASE WHEN n > 1 THEN (s - v) / (n - 1) END, 6) AS mean_without FROM (SELECT o_orderpriority, (SELECT p.o_orderkey FROM orders p WHERE p.o_orderpriority = o.o_orderpriority ORDER BY p.o_totalprice DESC, p.o_orderkey LIMIT 1) AS extreme, max(o_totalprice) AS v, sum(o_totalprice) AS s, count(*) AS n FROM orders o GROUP BY o_orderpriority)")
+@query("SELECT o_orderpriority, extreme, median, round(s / n, 6) AS mean, round(CASE WHEN n > 1 THEN (s - v) / (n - 1) END, 6) AS mean_without FROM (SELECT o_orderpriority, (SELECT p.o_orderkey FROM orders p WHERE p.o_orderpriority = o.o_orderpriority ORDER BY p.o_totalprice DESC, p.o_orderkey LIMIT 1) AS extreme, (SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS k, count(*) OVER () AS n FROM orders p WHERE p.o_orderpriority = o.o_orderpriority) WHERE k = ceil(n / 2)) AS median, max(o_totalprice) AS v, sum(o_totalprice) AS s, count(*) AS n FROM orders o GROUP BY o_orderpriority)")
 def group_spotcheck(s, d):
     return S.group_spotcheck(table(s, d, "orders"), "o_orderpriority", "o_orderkey", "o_totalprice")
 
@@ -169,3 +169,69 @@ def pseudoreplication_check(s, d):
 @query("SELECT user_id, round(avg(abs(value - m)), 6) AS mae_mean, round(avg(abs(value - p)), 6) AS mae_previous FROM (SELECT user_id, value, avg(value) OVER (PARTITION BY user_id) AS m, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY user_id")
 def baseline_model_check(s, d):
     return S.baseline_model_check(table(s, d, "events"), "user_id", ["ts", "event_id"], "value")
+
+
+_SUB = "sub AS (" + SQL["subsample_stability"] + ")"
+
+
+@query(f"WITH {_SUB}, o AS (SELECT avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R') AS d FROM lineitem) SELECT count(*) AS n, round(avg(CASE WHEN sign(diff) = sign(d) THEN 1.0 ELSE 0.0 END), 6) AS holds, avg(CASE WHEN sign(diff) = sign(d) THEN 1.0 ELSE 0.0 END) < 0.8 AS fragile FROM sub, o")
+def stability_verdict(s, d):
+    return S.stability_verdict(subsample_stability(s, d), S.effect_size(_line(s, d), _returned(), "l_quantity").select(F.col("mean_diff").alias("diff")))
+
+
+@query("SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(min(d), 6) AS low, round(max(d), 6) AS high FROM (" + " UNION ALL ".join(f"SELECT avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R') AS d FROM lineitem WHERE {_U.format(i='l_orderkey', r=k)} < 0.5" for k in (42, 123, 456, 789, 2024)) + ")")
+def seed_stability(s, d):
+    return S.seed_stability(_line(s, d), "l_orderkey", "l_quantity", _returned())
+
+
+@query("SELECT o_orderkey, o_totalprice, round(z, 6) AS z FROM (SELECT o_orderkey, o_totalprice, (o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_samp(o_totalprice) FROM orders) AS z FROM orders) WHERE abs(z) > 1.7")
+def beyond_sd(s, d):
+    return S.beyond_sd(table(s, d, "orders"), "o_orderkey", "o_totalprice", 1.7)
+
+
+@query(
+    "WITH x AS (SELECT CAST(count(*) FILTER (l AND o) AS DOUBLE) AS a, CAST(count(*) FILTER (l AND NOT o) AS DOUBLE) AS b, CAST(count(*) FILTER (NOT l AND o) AS DOUBLE) AS c, CAST(count(*) FILTER (NOT l AND NOT o) AS DOUBLE) AS d, corr(CASE WHEN l THEN 1.0 ELSE 0.0 END, q) AS r FROM (SELECT l_returnflag = 'R' AS l, l_discount > 0.05 AS o, l_quantity AS q FROM lineitem)) "
+    "SELECT round(a * d / (b * c), 6) AS odds_ratio, round((a / (a + b)) / (c / (c + d)), 6) AS risk_ratio, round((a * d - b * c) / sqrt((a + b) * (c + d) * (a + c) * (b + d)), 6) AS phi, round(r, 6) AS r FROM x"
+)
+def association(s, d):
+    return S.association(_line(s, d), _returned(), F.col("l_discount") > 0.05, "l_quantity")
+
+
+@query("SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER ({c} < 0.{k}) AS {c}_{k}" for c in ("p", "bonferroni", "bh") for k in ("05", "01")) + " FROM (" + SQL["adjust_pvalues"] + ")")
+def significance_counts(s, d):
+    return S.significance_counts(adjust_pvalues(s, d))
+
+
+@query("SELECT l_returnflag, n, round(p, 6) AS share, round(greatest(0.0, p - e), 6) AS lo, round(least(1.0, p + e), 6) AS hi FROM (SELECT *, 1.959963984540054 * sqrt(p * (1 - p) / n) AS e FROM (SELECT l_returnflag, count(*) AS n, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS p FROM lineitem GROUP BY 1))")
+def proportion_interval(s, d):
+    return S.proportion_interval(_line(s, d), "l_returnflag", F.col("l_discount") > 0.05)
+
+
+@query("SELECT l_returnflag, n, round(r, 6) AS r, round(tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)), 6) AS hi FROM (SELECT l_returnflag, count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1)")
+def correlation_interval(s, d):
+    return S.correlation_interval(_line(s, d), "l_returnflag", "l_quantity", "l_extendedprice")
+
+
+@query("SELECT p_brand, count(*) AS n, round(avg(p_size), 6) AS mean, abs(avg(p_size) - 25) <= 3 AS near FROM part GROUP BY 1")
+def negative_controls(s, d):
+    return S.negative_controls(table(s, d, "part"), "p_brand", "p_size", 25.0, 3.0)
+
+
+@query("SELECT round(max(v) / min(v), 6) AS ratio, max(v) / min(v) > 4 AS unequal FROM (SELECT var_samp(p_retailprice) AS v FROM part GROUP BY p_brand HAVING count(*) > 1)")
+def variance_ratio(s, d):
+    return S.variance_ratio(table(s, d, "part"), "p_brand", "p_retailprice")
+
+
+@query("SELECT (SELECT count(*) FROM g) AS n_strata, (SELECT round(avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R'), 6) FROM lineitem) AS crude, (SELECT round(sum(e * n) / sum(n), 6) FROM g) AS stratified FROM (SELECT 1)".replace("SELECT (SELECT count(*) FROM g)", "WITH g AS (SELECT avg(l_quantity) FILTER (l_returnflag = 'R') - avg(l_quantity) FILTER (l_returnflag <> 'R') AS e, count(*) AS n FROM lineitem GROUP BY l_linenumber, l_linestatus HAVING count(*) FILTER (l_returnflag = 'R') > 0 AND count(*) FILTER (l_returnflag <> 'R') > 0) SELECT (SELECT count(*) FROM g)"))
+def stratified_effect(s, d):
+    return S.stratified_effect(_line(s, d), ["l_linenumber", "l_linestatus"], _returned(), "l_quantity")
+
+
+@query("SELECT count(*) AS n_folds, round(avg(e), 6) AS mean, round(stddev_samp(e), 6) AS sd FROM (SELECT avg(abs(l_extendedprice - 1500 * l_quantity)) AS e FROM lineitem GROUP BY l_orderkey % 5)")
+def fold_scores(s, d):
+    return S.fold_scores(_line(s, d).withColumn("guess", 1500 * F.col("l_quantity")), F.col("l_orderkey") % 5, "l_extendedprice", "guess")
+
+
+@query("SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM (SELECT l_quantity / 50 AS p, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem) GROUP BY 1")
+def calibration_bins(s, d):
+    return S.calibration_bins(_line(s, d).select((F.col("l_quantity") / 50).alias("p"), _returned().cast("int").alias("y")), "p", "y")

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS = ("knowledge", "checks", "stats", "similarity", "lineage", "domain", "segments", "corpus")
+GROUPS = ("knowledge", "checks", "stats", "similarity", "lineage", "domain", "segments", "corpus", "audits")
 
 
 def _merged(what: str) -> dict:
