@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.operators.identity import global_rank
+from lorespan.operators.stats import medians
+from lorespan.sources.folders import stored
+
 
 def low_count_filter(counts: DataFrame, gene: str, n: str, least: float = 10) -> DataFrame:
     """counts without the genes whose total is below least."""
@@ -20,6 +24,12 @@ def cell_qc(counts: DataFrame, cell: str, gene: str, n: str, mito: Column, low:
     return x.select(cell, "n_features", F.round("m", 6).alias("mito_share"), reason.alias("reason"))
 
 
+def gene_qc(counts: DataFrame, cell: str, gene: str, n: str, least_cells: int) -> DataFrame:
+    """gene, n_cells (that have it), reason (null: kept): genes of too few cells."""
+    x = counts.groupBy(gene).agg(F.countDistinct(F.when(F.col(n) > 0, F.col(cell))).alias("n_cells"))
+    return x.withColumn("reason", F.when(F.col("n_cells") < least_cells, "few_cells"))
+
+
 def pseudobulk(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(n).alias("total"))
 
@@ -31,17 +41,17 @@ def volcano_classes(df: DataFrame, fc: str, p: str, min_fc: float = 1.0, max_p:
 
 
 def rank_sum_markers(df: DataFrame, gene: str, value: str, label: Column) -> DataFrame:
-    """gene, n1, n2, u, z: Wilcoxon's rank sum with average ranks for ties, normal approximation with tie correction.
+    """gene, n1, n2, u, z: Wilcoxon's rank sum with average ranks for ties, normal approximation with tie correction; log2_fc of the means (1 added to both), and the shares pct1 and pct2 above 0.
 
     Values are counted first, so a gene's window holds its distinct values, not its rows.
     """
     levels = df.groupBy(gene, value).agg(F.count_if(label).alias("a"), F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy(gene).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
     ranked = levels.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
-    x = ranked.groupBy(gene).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("t"))
+    x = ranked.groupBy(gene).agg(F.sum("a").alias("n1"), F.sum(F.col("n") - F.col("a")).alias("n2"), F.sum(F.col("rank") * F.col("a")).alias("r"), F.sum(F.col("n") * F.col("n") * F.col("n") - F.col("n")).cast("double").alias("t"), *(x for k, w in ((1, F.col("a")), (2, F.col("n") - F.col("a"))) for x in ((F.sum(F.col(value) * w) / F.sum(w)).alias(f"m{k}"), (F.sum(F.when(F.col(value) > 0, w).otherwise(0)) / F.sum(w)).alias(f"p{k}"))))
     n, u = F.col("n1") + F.col("n2"), F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2
     var = F.col("n1") * F.col("n2") / 12.0 * ((n + 1) - F.col("t") / (n * (n - 1)))
-    return x.select(gene, "n1", "n2", F.round(u, 6).alias("u"), F.round(F.when(var > 0, (u - F.col("n1") * F.col("n2") / 2) / F.sqrt(var)), 6).alias("z"))
+    return x.select(gene, "n1", "n2", F.round(u, 6).alias("u"), F.round(F.when(var > 0, (u - F.col("n1") * F.col("n2") / 2) / F.sqrt(var)), 6).alias("z"), F.round(F.log2((F.col("m1") + 1) / (F.col("m2") + 1)), 6).alias("log2_fc"), F.round("p1", 6).alias("pct1"), F.round("p2", 6).alias("pct2"))
 
 
 def over_representation(sets: DataFrame, hits: DataFrame, background: DataFrame, gene: str) -> DataFrame:
@@ -71,15 +81,14 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n < 15, F.log(F.factorial(F.greatest(F.lit(0), n.cast("int"))).cast("double"))).otherwise(series)
 
 
-def running_enrichment(ranked: DataFrame, sets: DataFrame, gene: str) -> DataFrame:
-    """set, score (the running sum's greatest excursion), at (its rank) of sets(set, gene) along ranked(rank, gene)."""
-    total = ranked.agg(F.count("*").alias("n_all"))
-    names = sets.groupBy("set").agg(F.count("*").alias("_m"))
-    sized = sets.join(ranked.select(gene, "rank"), gene).groupBy("set").agg(F.count("*").alias("m"))
+def running_enrichment(ranked: DataFrame, sets: DataFrame, gene: str, total: int | None = None) -> DataFrame:
+    """set, score (the running sum's greatest excursion), at (its rank) of sets(set, gene) along ranked(rank, gene), of total genes (counted if not given)."""
+    n_all = ranked.agg(F.count("*").alias("n_all")) if total is None else ranked.sparkSession.range(1).select(F.lit(total).alias("n_all"))
     # only the members' ranks matter: the sum falls evenly between them, so extremes are at members or just before them
-    rows = sets.join(ranked.select(gene, "rank"), gene).join(sized, "set").join(names, "set").crossJoin(F.broadcast(total))
-    i = F.row_number().over(W.partitionBy("set").orderBy("rank"))
-    rows = rows.withColumn("i", i)
+    rows = sets.join(ranked.select(gene, "rank"), gene)
+    sized = rows.groupBy("set").agg(F.count("*").alias("m"))
+    rows = rows.join(sized, "set").crossJoin(F.broadcast(n_all))  # one row
+    rows = rows.withColumn("i", F.row_number().over(W.partitionBy("set").orderBy("rank")))
     after = F.col("i") / F.col("m") - (F.col("rank") - F.col("i")) / (F.col("n_all") - F.col("m"))
     before = (F.col("i") - 1) / F.col("m") - (F.col("rank") - F.col("i")) / (F.col("n_all") - F.col("m"))
     points = rows.select("set", F.explode(F.array(F.struct(after.alias("s"), F.col("rank").alias("at")), F.struct(before.alias("s"), (F.col("rank") - 1).alias("at")))).alias("p"))
@@ -87,6 +96,26 @@ def running_enrichment(ranked: DataFrame, sets: DataFrame, gene: str) -> DataFra
     return best.select("set", F.round("p.s", 6).alias("score"), F.col("p.at").alias("at"))
 
 
+def leading_edge(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame) -> DataFrame:
+    """set, gene, rank of the members up to where running_enrichment() has its excursion, or after it where the score is below 0."""
+    rows = sets.join(ranked.select(gene, "rank"), gene).join(scores.select("set", "score", "at"), "set")
+    return rows.filter(F.when(F.col("score") >= 0, F.col("rank") <= F.col("at")).otherwise(F.col("rank") > F.col("at"))).select("set", gene, "rank")
+
+
+def enrichment_pvalues(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame, n: int = 100) -> DataFrame:
+    """set, score, p: the share of n hash-drawn orders of the genes whose score is at least as far from 0."""
+    total = ranked.count()
+    order = F.md5(F.concat(F.col(gene).cast("string"), F.lit(":"), F.col("rep").cast("string")))
+    reps = ranked.select(gene, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    dealt = global_rank(reps.withColumn("h", order), [F.col("rep"), F.col("h"), F.col(gene)], "_r")
+    key = lambda c: F.concat(F.col("rep").cast("string"), F.lit("~"), F.col(c).cast("string"))
+    mixed = dealt.select(key(gene).alias("g"), (F.col("_r") - F.col("rep") * total).alias("rank"))
+    many = sets.select("set", gene, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).select(key("set").alias("set"), key(gene).alias("g"))
+    null = running_enrichment(mixed, many, "g", total).select(F.substring_index("set", "~", -1).alias("_s"), F.col("score").alias("_n"))
+    x = scores.join(null, F.col("set").cast("string") == F.col("_s"))
+    return x.groupBy("set", "score").agg(F.round(F.avg((F.abs("_n") >= F.abs("score")).cast("double")), 6).alias("p"))
+
+
 def sample_qc_summary(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """sample, metric, passed of metrics(sample, metric, value) against thresholds(metric, low, high)."""
     return metrics.join(F.broadcast(thresholds), "metric").select("sample", "metric", ((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high"))).alias("passed"))
@@ -103,9 +132,58 @@ def match_objects(pixels: DataFrame, least: float = 0.5) -> DataFrame:
     return n.join(m, "image", "left").fillna(0, ["matched"]).select("image", "n_true", "n_pred", "matched", F.round(2 * F.col("matched") / (F.col("n_true") + F.col("n_pred")), 6).alias("f1"), "mean_iou")
 
 
+def segmentation_errors(pixels: DataFrame, least: float = 0.5) -> DataFrame:
+    """image, split, merged, false_positives, missed of pixels(image, t, p), 0 for none.
+
+    split: true objects in which several predicted ones lie with over `least` of their own area; merged: predicted ones in
+    which several true ones do; false positives and missed: objects that overlap none of the other side.
+    """
+    over = pixels.groupBy("image", "t", "p").agg(F.count("*").alias("o"))
+    area = lambda c: over.filter(f"{c} <> 0").groupBy("image", c).agg(F.sum("o").alias(f"{c}a"))
+    met = over.filter("t <> 0 and p <> 0").join(area("t"), ["image", "t"]).join(area("p"), ["image", "p"])
+    several = lambda c, part: met.filter(part > least).groupBy("image", c).agg(F.count("*").alias("k")).filter("k > 1").groupBy("image").agg(F.count("*").alias("k"))
+    alone = lambda c: area(c).join(met.select("image", c), ["image", c], "left_anti").groupBy("image").agg(F.count("*").alias("k"))
+    out = pixels.select("image").distinct()
+    for name, df in (("split", several("t", F.col("o") / F.col("pa"))), ("merged", several("p", F.col("o") / F.col("ta"))), ("false_positives", alone("p")), ("missed", alone("t"))):
+        out = out.join(df.withColumnRenamed("k", name), "image", "left")
+    return out.fillna(0)
+
+
+def nearest_neighbor(points: DataFrame, image: str, ident: str, x: str, y: str, cell: float) -> DataFrame:
+    """image, id, neighbor, distance of each point with another in its image (ties: the smallest id), exactly.
+
+    Points are dealt to squares of side cell and meet those of the nine squares around; who has found none within cell
+    tries again with squares of twice the side, until all have. Choose cell near the usual distance.
+    """
+    at = stored(points.select(F.col(image).alias("_i"), F.col(ident).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "points")
+    crowd = at.groupBy("_i").agg(F.count("*").alias("_n")).filter("_n > 1").select("_i")
+    left, found = stored(at.join(crowd, "_i", "left_semi"), "left"), None
+    while left.limit(1).count():
+        square = lambda c, d=0: (F.floor(F.col(c) / cell) + d).cast("long")  # noqa: B023, E731
+        near = F.explode(F.array(*(F.struct(square("_x", i).alias("a"), square("_y", j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        asked = left.select("_i", "_id", "_x", "_y", near.alias("s")).select("_i", F.col("s.a").alias("a"), F.col("s.b").alias("b"), "_id", "_x", "_y")
+        there = at.select("_i", square("_x").alias("a"), square("_y").alias("b"), F.col("_id").alias("_o"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
+        d = F.sqrt((F.col("_x") - F.col("_ox")) ** 2 + (F.col("_y") - F.col("_oy")) ** 2)
+        met = asked.join(there, ["_i", "a", "b"]).filter("_id <> _o").withColumn("d", d).filter(F.col("d") <= cell)
+        best = stored(met.groupBy("_i", "_id").agg(F.min(F.struct("d", "_o")).alias("m")), "nearest")
+        found = best if found is None else found.unionByName(best)
+        left = stored(left.join(best, ["_i", "_id"], "left_anti"), "left")
+        cell *= 2
+    if found is None:
+        found = at.select("_i", "_id", F.struct(F.lit(0.0).alias("d"), F.col("_id").alias("_o")).alias("m")).limit(0)
+    return found.select(F.col("_i").alias(image), F.col("_id").alias(ident), F.col("m._o").alias("neighbor"), F.round("m.d", 6).alias("distance"))
+
+
+def focus_flags(hist: DataFrame, least: float) -> DataFrame:
+    """image, contrast (standard deviation of the levels), blurred (below least) of hist(image, level, n)."""
+    n, m = F.sum("n"), F.sum(F.col("level") * F.col("n"))
+    x = hist.groupBy("image").agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("level") * F.col("level") * F.col("n")) / n - (m / n) * (m / n))).alias("c"))
+    return x.select("image", F.round("c", 6).alias("contrast"), (F.col("c") < least).alias("blurred"))
+
+
 def normalize_to_control(df: DataFrame, plate: str, value: str, control: Column) -> DataFrame:
     """df with normalized: the value over its plate's control median."""
-    m = df.filter(control).groupBy(plate).agg(F.median(value).alias("_m"))
+    m = medians(df.filter(control), [plate], value).select(plate, F.col("median").alias("_m"))
     return df.join(m, plate, "left").withColumn("normalized", F.round(F.col(value) / F.col("_m"), 6)).drop("_m")
 
 

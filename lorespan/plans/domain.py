@@ -47,11 +47,12 @@ def volcano_classes(s, d):
 
 
 @query(
-    "WITH r AS (SELECT l_linenumber, l_returnflag = 'R' AS l, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0 AS rk FROM lineitem), t AS (SELECT l_linenumber, sum(n ** 3 - n) AS t FROM (SELECT l_linenumber, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1), "
-    "x AS (SELECT l_linenumber, count(*) FILTER (l) AS n1, count(*) FILTER (NOT l) AS n2, sum(rk) FILTER (l) AS r, count(*) AS n FROM r GROUP BY 1), y AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1.0))) AS v FROM x JOIN t USING (l_linenumber)) SELECT l_linenumber, n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2) / sqrt(v), 6) AS z FROM y"
+    "WITH src AS (SELECT l_linenumber, l_returnflag, CASE WHEN l_quantity > 10 THEN l_quantity ELSE 0 END AS l_quantity FROM lineitem), r AS (SELECT l_linenumber, l_quantity AS q, l_returnflag = 'R' AS l, rank() OVER (PARTITION BY l_linenumber ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_linenumber, l_quantity) - 1) / 2.0 AS rk FROM src), t AS (SELECT l_linenumber, sum(n ** 3 - n) AS t FROM (SELECT l_linenumber, l_quantity, count(*) AS n FROM src GROUP BY ALL) GROUP BY 1), "
+    "x AS (SELECT l_linenumber, count(*) FILTER (l) AS n1, count(*) FILTER (NOT l) AS n2, sum(rk) FILTER (l) AS r, count(*) AS n, avg(q) FILTER (l) AS m1, avg(q) FILTER (NOT l) AS m2, avg(CASE WHEN q > 0 THEN 1.0 ELSE 0.0 END) FILTER (l) AS p1, avg(CASE WHEN q > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT l) AS p2 FROM r GROUP BY 1), y AS (SELECT *, r - n1 * (n1 + 1) / 2 AS u, n1 * n2 / 12.0 * ((n + 1) - t / (n * (n - 1.0))) AS v FROM x JOIN t USING (l_linenumber)) SELECT l_linenumber, n1, n2, round(u, 6) AS u, round((u - n1 * n2 / 2) / sqrt(v), 6) AS z, round(log2((m1 + 1) / (m2 + 1)), 6) AS log2_fc, round(p1, 6) AS pct1, round(p2, 6) AS pct2 FROM y"
 )
 def rank_sum_markers(s, d):
-    return D.rank_sum_markers(_line(s, d), "l_linenumber", "l_quantity", F.col("l_returnflag") == "R")
+    line = _line(s, d).withColumn("l_quantity", F.when(F.col("l_quantity") > 10, F.col("l_quantity")).otherwise(0.0))
+    return D.rank_sum_markers(line, "l_linenumber", "l_quantity", F.col("l_returnflag") == "R")
 
 
 @query(
@@ -69,10 +70,64 @@ def over_representation(s, d):
     "w AS (SELECT st, rank, sum(CASE WHEN hit = 1 THEN 1.0 / m ELSE -1.0 / (n - m) END) OVER (PARTITION BY st ORDER BY rank) AS s FROM c UNION ALL SELECT DISTINCT st, 0, 0.0 FROM c) SELECT st AS \"set\", round(s, 6) AS score, rank AS at FROM (SELECT *, row_number() OVER (PARTITION BY st ORDER BY round(abs(s), 9) DESC, rank) AS k FROM w) WHERE k = 1"
 )
 def running_enrichment(s, d):
+    ranked, sets = _ranked(s, d)
+    return D.running_enrichment(ranked, sets, "g")
+
+
+def _ranked(s, d):
     from lorespan.operators.identity import global_rank
 
     p = table(s, d, "part").select(F.col("p_partkey").alias("g"), F.col("p_brand").alias("set"), "p_retailprice")
-    return D.running_enrichment(global_rank(p, [F.desc("p_retailprice"), F.col("g")]).select("g", "rank"), p.select("g", "set"), "g")
+    return global_rank(p, [F.desc("p_retailprice"), F.col("g")]).select("g", "rank"), p.select("g", "set")
+
+
+_ES = "es AS (" + SQL["running_enrichment"] + ")"
+
+
+@query(f"WITH {_ES}, k AS (SELECT p_partkey AS g, p_brand AS st, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part) SELECT st AS \"set\", g, rank FROM k JOIN es ON es.set = st WHERE CASE WHEN score >= 0 THEN rank <= es.\"at\" ELSE rank > es.\"at\" END")
+def leading_edge(s, d):
+    ranked, sets = _ranked(s, d)
+    return D.leading_edge(ranked, sets, "g", D.running_enrichment(ranked, sets, "g"))
+
+
+@query(
+    f"WITH {_ES}, r AS (SELECT rep, p_partkey AS g, p_brand AS st, row_number() OVER (PARTITION BY rep ORDER BY md5(p_partkey || ':' || rep), p_partkey) AS rank, count(*) OVER (PARTITION BY rep) AS n, count(*) OVER (PARTITION BY rep, p_brand) AS m FROM part, range(10) t(rep)), "
+    "i AS (SELECT *, row_number() OVER (PARTITION BY rep, st ORDER BY rank) AS i FROM r), v AS (SELECT rep, st, i / m - (rank - i) / (n - m) AS s, rank AS ra FROM i UNION ALL SELECT rep, st, (i - 1) / m - (rank - i) / (n - m), rank - 1 FROM i), "
+    "b AS (SELECT rep, st, round(arg_max(s, (round(abs(s), 9), -ra)), 6) AS s FROM v GROUP BY ALL) SELECT es.set AS \"set\", score, round(avg(CASE WHEN abs(s) >= abs(score) THEN 1.0 ELSE 0.0 END), 6) AS p FROM es JOIN b ON st = es.set GROUP BY ALL"
+)
+def enrichment_pvalues(s, d):
+    ranked, sets = _ranked(s, d)
+    return D.enrichment_pvalues(ranked, sets, "g", D.running_enrichment(ranked, sets, "g"), 10)
+
+
+@query("SELECT l_partkey, n_cells, CASE WHEN n_cells < 25 THEN 'few_cells' END AS reason FROM (SELECT l_partkey, count(DISTINCT l_orderkey) FILTER (l_quantity > 0) AS n_cells FROM lineitem GROUP BY 1)")
+def gene_qc(s, d):
+    return D.gene_qc(_line(s, d), "l_orderkey", "l_partkey", "l_quantity", 25)
+
+
+@query(
+    "WITH px AS (SELECT l_suppkey AS image, l_partkey % 5 AS t, CASE WHEN l_partkey % 5 = 1 THEN 1 + l_orderkey % 2 WHEN l_partkey % 5 IN (2, 3) THEN 5 WHEN l_partkey % 5 = 0 AND l_orderkey % 3 = 0 THEN 7 ELSE 0 END AS p FROM lineitem), o AS (SELECT image, t, p, count(*) AS o FROM px GROUP BY ALL), ta AS (SELECT image, t, sum(o) AS ta FROM o WHERE t <> 0 GROUP BY ALL), pa AS (SELECT image, p, sum(o) AS pa FROM o WHERE p <> 0 GROUP BY ALL), "
+    "m AS (SELECT * FROM o JOIN ta USING (image, t) JOIN pa USING (image, p)), sp AS (SELECT image, count(*) AS k FROM (SELECT image, t FROM m WHERE o / pa > 0.5 GROUP BY ALL HAVING count(*) > 1) GROUP BY 1), me AS (SELECT image, count(*) AS k FROM (SELECT image, p FROM m WHERE o / ta > 0.5 GROUP BY ALL HAVING count(*) > 1) GROUP BY 1), "
+    "fp AS (SELECT image, count(*) AS k FROM pa WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image = pa.image AND m.p = pa.p) GROUP BY 1), mi AS (SELECT image, count(*) AS k FROM ta WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.image = ta.image AND m.t = ta.t) GROUP BY 1) "
+    "SELECT i.image, coalesce(sp.k, 0) AS split, coalesce(me.k, 0) AS merged, coalesce(fp.k, 0) AS false_positives, coalesce(mi.k, 0) AS missed FROM (SELECT DISTINCT image FROM px) i LEFT JOIN sp USING (image) LEFT JOIN me USING (image) LEFT JOIN fp USING (image) LEFT JOIN mi USING (image)"
+)
+def segmentation_errors(s, d):
+    t, o = F.col("l_partkey") % 5, F.col("l_orderkey")
+    p = F.when(t == 1, 1 + o % 2).when(t.isin(2, 3), 5).when((t == 0) & (o % 3 == 0), 7).otherwise(0)
+    return D.segmentation_errors(_line(s, d).select(F.col("l_suppkey").alias("image"), t.alias("t"), p.alias("p")))
+
+
+@query(
+    "WITH q AS (SELECT p_brand AS image, p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 10 AS y FROM part), d AS (SELECT a.image, a.id, b.id AS o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM q a JOIN q b ON a.image = b.image AND a.id <> b.id) SELECT image, id, o AS neighbor, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY image, id ORDER BY d, o) AS k FROM d) WHERE k = 1"
+)
+def nearest_neighbor(s, d):
+    p = table(s, d, "part").select(F.col("p_brand").alias("image"), F.col("p_partkey").alias("id"), "p_size", (F.col("p_retailprice") / 10).alias("y"))
+    return D.nearest_neighbor(p, "image", "id", "p_size", "y", 5.0)
+
+
+@query("SELECT image, round(c, 6) AS contrast, c < 14.4 AS blurred FROM (SELECT l_suppkey AS image, sqrt(sum(l_quantity * l_quantity) / count(*) - avg(l_quantity) * avg(l_quantity)) AS c FROM lineitem GROUP BY 1)")
+def focus_flags(s, d):
+    return D.focus_flags(_line(s, d).groupBy(F.col("l_suppkey").alias("image"), F.col("l_quantity").alias("level")).agg(F.count("*").alias("n")), 14.4)
 
 
 @query("SELECT l_suppkey AS sample, metric, passed FROM (SELECT l_suppkey, 'quantity' AS metric, avg(l_quantity) BETWEEN 25 AND 26 AS passed FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'discount', avg(l_discount) BETWEEN 0.045 AND 0.05 FROM lineitem GROUP BY 1)")

@@ -96,14 +96,25 @@ def _run(s, d, job, name):
     return out
 
 
+def _run_closed(s, d, job, name):
+    """A run over the events and, after them, the event that closes all windows."""
+    out, inbox = work_dir(s, name), work_dir(s, f"{name}-in")
+    e = table(s, d, "events")
+    e.select("event_id", "ts", "user_id", "event_type", "value", "props").write.parquet(inbox)
+    job(J.stream_events(s, inbox), out).awaitTermination()
+    J.close_stream(e, inbox)
+    job(J.stream_events(s, inbox), out).awaitTermination()
+    return out
+
+
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_counts(s, d):
-    return s.read.parquet(_run(s, d, J.stream_counts, "counts") + "/rows").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+    return s.read.parquet(_run_closed(s, d, J.stream_counts, "counts") + "/rows").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("WITH x AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 1 ELSE 0 END AS new FROM events), y AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x) SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM y GROUP BY user_id, k")
 def stream_sessions(s, d):
-    return s.read.parquet(_run(s, d, J.stream_sessions, "sessions") + "/rows").withColumn("start", F.unix_micros("start"))
+    return s.read.parquet(_run_closed(s, d, J.stream_sessions, "sessions") + "/rows").withColumn("start", F.unix_micros("start"))
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n_actions, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -119,12 +130,16 @@ def stream_activity_distinct(s, d):
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before = 'purchase'")
 def stream_debounce(s, d):
-    return s.read.schema("user_id long, event_id long").parquet(_run(s, d, J.stream_debounce, "debounce") + "/rows")
+    return s.read.schema("user_id long, event_id long").parquet(_run(s, d, J.stream_debounce, "debounce") + "/rows").select("user_id", "event_id")
 
 
-@query()
+@query(
+    " UNION ALL ".join(f"SELECT 'null_audit' AS \"check\", '{c}' AS \"column\", CAST(NULL AS VARCHAR) AS \"group\", round(count(*) FILTER ({c} IS NULL) / count(*), 6) AS observed, CAST(0 AS DOUBLE) AS expected, CASE WHEN count(*) FILTER ({c} IS NULL) > 0 THEN 'warning' ELSE 'ok' END AS severity, count(*) AS n FROM events" for c in ("value", "event_type"))
+    + " UNION ALL SELECT 'range_check', 'value', NULL, CAST(count(*) FILTER (value < 0 OR value > 50) AS DOUBLE), 0, CASE WHEN count(*) FILTER (value < 0 OR value > 50) > 0 THEN 'error' ELSE 'ok' END, count(value) FROM events"
+)
 def stream_profile_checks(s, d):
-    return s.read.parquet(_run(s, d, J.stream_profile_checks, "checks") + "/rows").drop("b")
+    """The table is one file, and so one batch."""
+    return s.read.parquet(_run(s, d, J.stream_profile_checks, "checks") + "/rows").drop("b", "batch")
 
 
 @query("SELECT user_id AS job, max(ts) AS last_run FROM events GROUP BY 1 HAVING epoch(TIMESTAMP '2024-01-31 12:00:00') - floor(epoch(max(ts))) >= 86400")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,16 +17,9 @@ def stream_events(spark: SparkSession, path: str, kind: str = "parquet") -> Data
     return spark.readStream.schema(SCHEMA).format(kind).load(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _start(df: DataFrame, out: str, mode: str, sink) -> StreamingQuery:
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
-    return (w.foreachBatch(sink) if sink else w.format("parquet").option("path", f"{out}/rows")).start()
-
-
-def _replace(out: str):
-    def sink(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows")
-
-    return sink
+def _start(df: DataFrame, out: str, mode: str, sink, name: str = "rows") -> StreamingQuery:
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/_checkpoint-{name}").trigger(availableNow=True)
+    return (w.foreachBatch(sink) if sink else w.format("parquet").option("path", f"{out}/{name}")).start()
 
 
 def _append_batch(out: str):
@@ -41,22 +31,37 @@ def _append_batch(out: str):
     return sink
 
 
-def stream_counts(events: DataFrame, out: str, window: str = "1 day") -> StreamingQuery:
-    """day, event_type, n, total in tumbling windows."""
-    agg = events.withWatermark("ts", LATE).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return _start(agg.select(F.col("window.start").alias("start"), "event_type", "n", "total"), out, "complete", _replace(out))
+def stream_counts(events: DataFrame, out: str, window: str = "1 day", late: str = LATE) -> StreamingQuery:
+    """start, event_type, n, total of tumbling windows, each written once, when the watermark has passed it; state holds open windows alone.
+
+    A window stays open until an event comes that is late after its end; close_stream() ends the input.
+    """
+    agg = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _start(agg.select(F.col("window.start").alias("start"), "event_type", "n", "total"), out, "append", None)
+
+
+def stream_sessions(events: DataFrame, out: str, gap: str = GAP, late: str = LATE) -> StreamingQuery:
+    """user_id, start, n of sessions that end after a quiet gap, each written once, when the watermark has passed its end."""
+    agg = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    return _start(agg.select("user_id", F.col("session_window.start").alias("start"), "n"), out, "append", None)
+
 
+#: The user and kind of the event that ends an input: its time lies after all windows, and its own is never written.
+END = "_end"
 
-def stream_sessions(events: DataFrame, out: str, gap: str = GAP) -> StreamingQuery:
-    """user_id, start, n of sessions that end after a quiet gap."""
-    agg = events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
-    return _start(agg.select("user_id", F.col("session_window.start").alias("start"), "n"), out, "complete", _replace(out))
 
+def close_stream(events: DataFrame, folder: str) -> None:
+    """Writes to folder, as one more file of the stream's input, an event a year after the last of events: the next run writes all windows still open."""
+    last = events.agg((F.max("ts") + F.expr("interval 365 days")).alias("ts"))
+    row = {"event_id": F.lit(-1).cast("long"), "ts": F.col("ts"), "user_id": F.lit(-1).cast("long"), "event_type": F.lit(END), "value": F.lit(None).cast("double"), "props": F.lit(None).cast("string")}
+    last.select(*(v.alias(k) for k, v in row.items())).coalesce(1).write.mode("append").parquet(folder)
 
-def stream_manifest(events: DataFrame, out: str) -> StreamingQuery:
-    """A running manifest of each session (user and day): counts and value so far, upserted by latest_manifest()."""
-    agg = events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_actions"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.sum("value").alias("total"))
-    return _start(agg, out, "update", _append_batch(out))
+
+def stream_manifest(events: DataFrame, out: str, late: str = "3 days") -> StreamingQuery:
+    """A running manifest of each session (user and day): counts and value so far, upserted by latest_manifest(). State of a day is dropped once the watermark has passed it."""
+    day = F.window("ts", "1 day")
+    agg = events.withWatermark("ts", late).groupBy(day, "user_id").agg(F.count("*").alias("n_actions"), F.min("ts").alias("started"), F.max("ts").alias("ended"), F.sum("value").alias("total"))
+    return _start(agg.select("user_id", F.to_date("window.start").alias("day"), "n_actions", "started", "ended", "total"), out, "update", _append_batch(out))
 
 
 def latest_manifest(spark: SparkSession, out: str) -> DataFrame:
@@ -71,21 +76,32 @@ def stream_activity_distinct(events: DataFrame, out: str) -> StreamingQuery:
 
 
 def stream_debounce(events: DataFrame, out: str, cycle_end: str = "purchase") -> StreamingQuery:
-    """The first event of each user's work cycle; an event of type cycle_end closes the cycle. The state is one flag for each user."""
-
-    def first(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        open_ = state.get[0] if state.exists else False
-        found = []
-        for pdf in [pd.concat(list(frames)).sort_values(["ts", "event_id"])]:
-            for event_id, kind in zip(pdf["event_id"], pdf["event_type"], strict=True):
-                if not open_:
-                    found.append(event_id)
-                open_ = kind != cycle_end
-        state.update((open_,))
-        yield pd.DataFrame({"user_id": [key[0]] * len(found), "event_id": found})
-
-    rows = events.select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandasWithState(first, "user_id long, event_id long", "open boolean", "append", "NoTimeout")
-    return _start(rows, out, "append", None)
+    """user_id, event_id of the first event of each user's work cycle; an event of type cycle_end closes the cycle.
+
+    Within a batch an event opens a cycle if the one before it closed one: a lag over the user's events. What a user's
+    last event was is kept between batches as a table of one row for each user, a new one for each batch, so that a
+    repeated batch starts from the same state. Events come in order from batch to batch.
+    """
+
+    def sink(batch: DataFrame, k: int) -> None:
+        spark = batch.sparkSession
+        kept = [f for f in _children(spark, f"{out}/state") if int(f.rsplit("=", 1)[1]) < k]
+        before = spark.read.schema("user_id long, last_type string").parquet(max(kept, key=lambda f: int(f.rsplit("=", 1)[1]))) if kept else spark.createDataFrame([], "user_id long, last_type string")
+        w = W.partitionBy("user_id").orderBy("ts", "event_id")
+        rows = batch.select("user_id", "event_id", "event_type", "ts").withColumn("_lag", F.lag("event_type").over(w))
+        rows = rows.join(before, "user_id", "left").withColumn("_before", F.coalesce("_lag", "last_type"))
+        rows.filter(F.col("_before").isNull() | (F.col("_before") == cycle_end)).select("user_id", "event_id").write.mode("overwrite").parquet(f"{out}/rows/b={k}")
+        now = batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("_now"))
+        state = before.join(now, "user_id", "full").select("user_id", F.coalesce("_now", "last_type").alias("last_type"))
+        state.write.mode("overwrite").parquet(f"{out}/state/b={k}")
+
+    return _start(events, out, "append", sink)
+
+
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().toString() for x in store.listStatus(path)] if store.exists(path) else []
 
 
 def stream_profile_checks(events: DataFrame, out: str) -> StreamingQuery:
