@@ -36,12 +36,15 @@ def concept_terms(concepts: DataFrame) -> DataFrame:
 def term_hits(entries: DataFrame, terms: DataFrame) -> DataFrame:
     """entry, slug, level, term of each term that an entry of entries(id, text) holds between word edges.
 
-    One-word terms meet the entries' distinct words by an equi join. Longer terms meet the word they begin with, and are
-    held against the text, so the regular expression never sees all pairs.
+    Terms meet the entries' distinct words by an equi join on the word that they begin with; longer terms are then held
+    against the text, so the regular expression never sees all pairs. While the terms are few enough to broadcast, that
+    happens in the scan, and no text is shuffled; else only words are, and the texts of longer hits.
     """
-    terms = _bounded(terms)
-    held = entries.select(F.col("id").alias("entry"), F.explode(F.array_distinct(words(F.col("text")))).alias("head"))
-    met = held.join(terms, "head")
+    found = F.explode_outer(F.array_distinct(words(F.col("text")))).alias("head")  # the outer form computes the words once
+    if terms.limit(CONCEPT_ROWS + 1).count() <= CONCEPT_ROWS:
+        met = entries.select(F.col("id").alias("entry"), "text", found).join(F.broadcast(terms), "head")
+        return met.filter((F.col("term") == F.col("head")) | ((F.col("term") != F.col("head")) & has_term(F.col("text"), F.col("term")))).select("entry", "slug", "level", "term")
+    met = entries.select(F.col("id").alias("entry"), found).join(terms, "head")
     single = met.filter(F.col("term") == F.col("head")).select("entry", "slug", "level", "term")
     several = met.filter(F.col("term") != F.col("head")).select("entry", "slug", "level", "term")
     texts = entries.select(F.col("id").alias("entry"), "text")

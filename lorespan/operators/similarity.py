@@ -18,7 +18,8 @@ BLOCK_ROWS = 2_000
 
 def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """id, term, tf, df, weight = tf * (ln((1 + N) / (1 + df)) + 1) of entries(id, text)."""
-    tf = entries.select("id", F.explode(tokens(F.col("text"), stop_words)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    found = F.explode_outer(tokens(F.col("text"), stop_words)).alias("term")  # the outer form computes the tokens once
+    tf = entries.select("id", found).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = entries.agg(F.count("*").alias("_n"))
     w = F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)
@@ -206,7 +207,7 @@ def cluster_terms(texts: DataFrame, members: DataFrame, stop_words: tuple[str, .
     word = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), 1), lambda t: ~t.isin(*stop_words) if stop_words else F.lit(True))
     words = texts.select("id", word.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    tf = stored(words.select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf")), "tf")
+    tf = stored(words.select("id", F.explode_outer(F.concat("w", pairs)).alias("term")).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf")), "tf")
     kept = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(features)
     many = texts.agg(F.count("*").alias("_n"))
     w = tf.join(F.broadcast(kept.drop("total")), "term").crossJoin(F.broadcast(many)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).alias("w"))  # features rows at most

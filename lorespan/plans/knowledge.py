@@ -274,8 +274,8 @@ def entry_text_fields(s, d):
 
 @query("SELECT doc_id AS id, t AS token, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]+')) AS t FROM (SELECT doc_id, regexp_replace(text, '\\*+|`+|_{1,2}|#+', ' ', 'g') AS text FROM documents)) WHERE length(t) > 2 AND t NOT IN ('the', 'and', 'for') GROUP BY ALL")
 def tokenize(s, d):
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"), ("the", "and", "for"))).alias("token"))
-    return rows.groupBy("id", "token").agg(F.count("*").alias("tf"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.explode_outer(T.tokens(F.col("text"), ("the", "and", "for"))).alias("token"))
+    return rows.filter("token is not null").groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 @query(
