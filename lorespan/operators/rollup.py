@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespan.functions.text import topic_of
+from lorespan.functions.text import stage_of, topic_of
 
 #: Fixed values, strongest first.
 STATUS_ORDER = ("contradicted", "robust", "supported", "preliminary")
@@ -31,6 +31,15 @@ def cross_family_concepts(status: DataFrame, edges: DataFrame, entries: DataFram
     return spans.join(counts, "slug").join(top, "slug")
 
 
+def with_stage(entries: DataFrame, curated: DataFrame | None = None) -> DataFrame:
+    """entries(id, path, title, tags) with stage and stage_source: what curated(id, stage) says, else by path and keywords."""
+    out = entries.withColumn("_s", stage_of(F.col("path"), F.col("title"), F.col("tags")))
+    if curated is None:
+        return out.select(*entries.columns, "_s.stage", "_s.stage_source")
+    out = out.join(curated.select("id", F.col("stage").alias("_c")), "id", "left")
+    return out.select(*entries.columns, F.coalesce("_c", "_s.stage").alias("stage"), F.when(F.col("_c").isNotNull(), "curated").otherwise(F.col("_s.stage_source")).alias("stage_source"))
+
+
 def lifecycle_matrix(entries: DataFrame, stages: tuple[str, ...]) -> DataFrame:
     """project_id and a count for each stage, in fixed order."""
     return entries.groupBy("project_id").pivot("stage", list(stages)).agg(F.count(F.lit(1))).fillna(0)

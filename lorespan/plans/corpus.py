@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespan.functions import text as T
 from lorespan.operators import pages as P
+from lorespan.operators import rollup as R
 from lorespan.operators import segment as G
 from lorespan.sources import trees as A
 from lorespan.sources.folders import work_dir
@@ -160,11 +161,9 @@ def template_entries(s, d):
 def stages(s, d):
     i = F.col("doc_id")
     pick = lambda *x: F.element_at(F.array(*(F.lit(v) for v in x)), (i % 9 + 1).cast("int"))
-    own = T.stage_of(pick("docs/Plans/x.md", "my/figures/y.md", "DATA/z.md", "src/Evaluate.md", "tests/t.md", *["notes/n.md"] * 4), pick("", "", "", "", "", "Pilot run", "A κ of", "LLMs", "plain"), F.array())
     docs = table(s, d, "documents")
-    curated = docs.filter(i % 11 == 0).select(i.alias("id"), F.lit("writing").alias("_stage"))
-    rows = docs.select(i.alias("id"), own.alias("o")).join(curated, "id", "left")
-    return rows.select("id", F.coalesce("_stage", "o.stage").alias("stage"), F.when(F.col("_stage").isNotNull(), "curated").otherwise(F.col("o.stage_source")).alias("stage_source"))
+    e = docs.select(i.alias("id"), pick("docs/Plans/x.md", "my/figures/y.md", "DATA/z.md", "src/Evaluate.md", "tests/t.md", *["notes/n.md"] * 4).alias("path"), pick("", "", "", "", "", "Pilot run", "A κ of", "LLMs", "plain").alias("title"), F.array().cast("array<string>").alias("tags"))
+    return R.with_stage(e, docs.filter(i % 11 == 0).select(i.alias("id"), F.lit("writing").alias("stage"))).select("id", "stage", "stage_source")
 
 
 @query("SELECT doc_id AS id, format('{:.1f}', (doc_id % 100) / 64.0 * 100 + 1e-9) || '%' AS percent, CASE WHEN doc_id % 2 = 0 THEN '3 × more' ELSE CAST(doc_id AS VARCHAR) END AS shown, CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE 'false' END AS flag, 'N' || translate(CAST(doc_id % 10 AS VARCHAR), '0123456789', '0123456789') AS kept, ['Zero', 'One', 'Two', 'Three', 'Four', 'Five', 'Six', 'Seven', 'Eight', 'Nine'][CAST(doc_id % 10 + 1 AS INT)] || 'ACCTestabTwo' AS macro FROM documents")
@@ -339,7 +338,6 @@ _PAGES = f"WITH {ENTRIES}, {CONCEPTS}, {EDGES}, {STATUS}, staged AS (SELECT *, [
 
 def _graph(s, d):
     from lorespan.operators import link as L
-    from lorespan.operators import rollup as R
 
     e, c = entries(s, d), concepts(s)
     x = L.link_entries(e.select("id", "project_id", "text"), c)

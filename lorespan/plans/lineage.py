@@ -123,6 +123,11 @@ def stream_manifest(s, d):
     return rows.select("user_id", "day", "n_actions", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), F.round("total", 4).alias("total"))
 
 
+@query("SELECT event_id, user_id, event_type, props FROM events")
+def stream_append(s, d):
+    return s.read.schema("event_id long, user_id long, event_type string, props string").json(_run(s, d, J.stream_append, "append") + "/rows")
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_activity_distinct(s, d):
     return s.read.parquet(_run(s, d, J.stream_activity_distinct, "distinct") + "/rows")

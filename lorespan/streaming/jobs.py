@@ -46,6 +46,12 @@ def stream_sessions(events: DataFrame, out: str, gap: str = GAP, late: str = LAT
     return _start(agg.select("user_id", F.col("session_window.start").alias("start"), "n"), out, "append", None)
 
 
+def stream_append(events: DataFrame, out: str) -> StreamingQuery:
+    """Every event as one JSON line, once, in files below out."""
+    w = events.writeStream.outputMode("append").option("checkpointLocation", f"{out}/_checkpoint-rows").trigger(availableNow=True)
+    return w.format("json").option("path", f"{out}/rows").start()
+
+
 #: The user and kind of the event that ends an input: its time lies after all windows, and its own is never written.
 END = "_end"
 
