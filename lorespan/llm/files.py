@@ -12,9 +12,14 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
 
 
-def make_dir(path: str) -> None:
+def make_dir(path: str, without: str | None = None) -> None:
+    """The folder, and in it no file whose name ends with `without`: what an earlier job has left there goes before this one starts."""
     store, at = _store(path)
     store.create_dir(at, recursive=True)
+    if without:
+        for info in store.get_file_info(fs.FileSelector(at)):
+            if info.type == fs.FileType.File and info.path.endswith(without):
+                store.delete_file(info.path)
 
 
 @contextmanager

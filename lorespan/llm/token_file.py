@@ -150,7 +150,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     The scan encodes; only packed ids are shuffled, to the shard of their doc_id's range. Ranges come from approximate
     quantiles of doc_id over all rows, by a sketch whose size follows from the number of shards. Rows of equal doc_id lie
     together in byte order of their ids. Rows without doc_id come first, in shards of their own: dealt by a hash of the
-    text, in byte order within each.
+    text, in byte order within each. Shards that folder holds from before are removed.
     """
     n_vocab = encoder(tokenizer).n_vocab
     bits = bits_for(max(n_vocab, (end_id or 0) + 1))
@@ -162,7 +162,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     bounds = []
     if n > 1 and least is not None:
         bounds = sorted(set(docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0]))
-    make_dir(folder)
+    make_dir(folder, without=".tkb")
     shard_of_nameless = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(max(1, first))).cast("int"))
     encoded = docs.select("doc_id", "text", shard_of_nameless.alias("shard")).mapInArrow(_encode(tokenizer, end_id, bounds, first, width), "shard int, doc_id long, ids binary")
     dealt = encoded.repartition(len(bounds) + 1 + first, "shard").sortWithinPartitions("shard", "doc_id", "ids")

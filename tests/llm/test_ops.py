@@ -191,6 +191,7 @@ def test_token_shards_of_nameless_rows(spark, tmp_path):
     assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(120)]
     ids = [r.doc_id for r in got]
     assert ids[:40] == [None] * 40 and ids[40:] == sorted(k % 40 for k in range(120) if k % 3)
+    T.write_token_shards(df.select("doc_id", F.lit("other").alias("text")), path, folder, 1, shard_text=30)  # other content in the same folder
     again = T.write_token_shards(df, path, folder, 1, shard_text=400)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, shards.collect()))
     assert sorted(map(tuple, T.read_token_shards(spark, folder, again).collect()), key=str) == sorted(map(tuple, got), key=str)
