@@ -23,7 +23,7 @@ from .flat import flat, pieces, shingles
 from .shared import first_copies, groups, lower_ascii, small, stored, trim, trimmed
 
 #: Documents of a block.
-BLOCK = 256
+BLOCK = 128
 #: Text hashed at once, and shingles sent on together.
 PIECE, HELD = 1_000_000, 600_000
 #: Documents of one packet that make a shingle hot, and the place of hot shingles in the order from rare to common.
