@@ -71,12 +71,15 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, power: float
     """
     spark = docs.sparkSession
     rates = stored(source_rates(docs, weights, power), "rates")
-    table = small(stored(rates.select("source", poisson_start(F.col("rate")).alias("low"), poisson_cdf(F.col("rate")).alias("cdf")), "distributions"))
-    # the row travels as one struct, so that no name of its columns can clash with those of the drawing
     names = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("doc")).select("doc", F.col("doc.doc_id").cast("string").alias("id"), hash_uniform(seed, F.col("doc.doc_id")).alias("u"))
-    drawn = rows.join(table, F.col("doc.source").eqNullSafe(F.col("source")))
-    n = F.col("low") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    copies = drawn.select("doc", "id", n.alias("n")).filter("n > 0").select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("mix_copy"))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce("id", F.lit("")), F.col("mix_copy"))))
-    return keyed.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key", "id").select("doc.*", "mix_copy", "mix_key")
+    own = "_"  # a beginning that no column's name has, so that none can clash with those of the drawing
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    u, n, low, cdf, source = (f"{own}{x}" for x in ("u", "n", "low", "cdf", "source"))
+    kept = [F.col(f"`{c}`") for c in names]
+    table = small(stored(rates.select(F.col("source").alias(source), poisson_start(F.col("rate")).alias(low), poisson_cdf(F.col("rate")).alias(cdf)), "distributions"))
+    drawn = docs.select(*kept, hash_uniform(seed, F.col("doc_id")).alias(u)).join(table, F.col("source").eqNullSafe(F.col(source)))
+    count = F.col(low) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    copies = drawn.select(*kept, count.alias(n)).filter(F.col(n) > 0).select(*kept, F.explode(F.sequence(F.lit(1), F.col(n))).alias("mix_copy"))
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mix_copy"))))
+    return keyed.repartition(partitions(spark), "mix_key").sortWithinPartitions("mix_key", "doc_id")
