@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.operators.identity import global_rank
 from lorespan.operators.stats import medians
-from lorespan.sources.folders import stored
+from lorespan.sources.folders import stored, tables
 
 
 def low_count_filter(counts: DataFrame, gene: str, n: str, least: float = 10) -> DataFrame:
@@ -149,29 +151,74 @@ def segmentation_errors(pixels: DataFrame, least: float = 0.5) -> DataFrame:
     return out.fillna(0)
 
 
-def nearest_neighbor(points: DataFrame, image: str, ident: str, x: str, y: str, cell: float) -> DataFrame:
+#: Levels of the quadtree: as many as a double can tell apart, with some to spare.
+DEEPEST = 48
+
+
+def nearest_neighbor(points: DataFrame, image: str, ident: str, x: str, y: str, leaf: int = 32) -> DataFrame:
     """image, id, neighbor, distance of each point with another in its image (ties: the smallest id), exactly.
 
-    Points are dealt to squares of side cell and meet those of the nine squares around; who has found none within cell
-    tries again with squares of twice the side, until all have. Choose cell near the usual distance.
+    Points at one place are each other's neighbours. The places of an image form a quadtree: a square of more than leaf
+    places is split, so a crowded one doesn't meet itself whole. All points go down it together, level by level: each
+    keeps the squares that are no farther from it than the nearest place that it knows of, or than the far corner of a
+    square that holds one.
+
+    Points without id, or with a coordinate that is null, NaN or infinite, have no row and are nobody's neighbour; of rows
+    that repeat an id in an image, the one with the least place stands.
     """
-    at = stored(points.select(F.col(image).alias("_i"), F.col(ident).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "points")
-    crowd = at.groupBy("_i").agg(F.count("*").alias("_n")).filter("_n > 1").select("_i")
-    left, found = stored(at.join(crowd, "_i", "left_semi"), "left"), None
-    while left.limit(1).count():
-        square = lambda c, d=0: (F.floor(F.col(c) / cell) + d).cast("long")  # noqa: B023, E731
-        near = F.explode(F.array(*(F.struct(square("_x", i).alias("a"), square("_y", j).alias("b")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        asked = left.select("_i", "_id", "_x", "_y", near.alias("s")).select("_i", F.col("s.a").alias("a"), F.col("s.b").alias("b"), "_id", "_x", "_y")
-        there = at.select("_i", square("_x").alias("a"), square("_y").alias("b"), F.col("_id").alias("_o"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy"))
-        d = F.sqrt((F.col("_x") - F.col("_ox")) ** 2 + (F.col("_y") - F.col("_oy")) ** 2)
-        met = asked.join(there, ["_i", "a", "b"]).filter("_id <> _o").withColumn("d", d).filter(F.col("d") <= cell)
-        best = stored(met.groupBy("_i", "_id").agg(F.min(F.struct("d", "_o")).alias("m")), "nearest")
-        found = best if found is None else found.unionByName(best)
-        left = stored(left.join(best, ["_i", "_id"], "left_anti"), "left")
-        cell *= 2
-    if found is None:
-        found = at.select("_i", "_id", F.struct(F.lit(0.0).alias("d"), F.col("_id").alias("_o")).alias("m")).limit(0)
-    return found.select(F.col("_i").alias(image), F.col("_id").alias(ident), F.col("m._o").alias("neighbor"), F.round("m.d", 6).alias("distance"))
+    with tables(points.sparkSession) as scope:
+        given = points.select(F.col(image).alias("_i"), F.col(ident).alias("_id"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+        given = given.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("_x", "_y"))).filter("_i is not null and _id is not null")
+        given = stored(given.groupBy("_i", "_id").agg(F.min(F.struct("_x", "_y")).alias("p")).select("_i", "_id", "p._x", "p._y"), "points")
+        two = given.withColumn("k", F.row_number().over(W.partitionBy("_i", "_x", "_y").orderBy("_id"))).filter("k <= 2")
+        places = stored(two.groupBy("_i", "_x", "_y").agg(F.min("_id").alias("_id"), F.max("_id").alias("second"), F.count("*").alias("k")), "places")
+        shared = places.filter("k = 2").select("_i", "_x", "_y", F.col("_id").alias("first"), "second")
+        none = F.lit(0.0).alias("d")
+        found = [given.join(shared, ["_i", "_x", "_y"]).select("_i", "_id", F.struct(none, F.when(F.col("_id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("o")).alias("m"))]
+        box = places.groupBy("_i").agg(F.min("_x").alias("x0"), F.min("_y").alias("y0"), F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).alias("side"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        at = places.join(box, "_i").select("_i", "_id", "_x", "_y", "k", "side", ((F.col("_x") - F.col("x0")) / F.col("side")).alias("u"), ((F.col("_y") - F.col("y0")) / F.col("side")).alias("v"))
+        at = stored(at, "placed")
+        levels = _quadtree(at.drop("k", "side"), leaf)
+        front = at.filter("k = 1").drop("k").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long"), "r": F.lit(float("inf"))})
+        for depth, (squares, held) in enumerate(levels):
+            here = front.join(squares.select("_i", "a", "b", "leaf"), ["_i", "a", "b"])
+            d = F.sqrt((F.col("_x") - F.col("_ox")) ** 2 + (F.col("_y") - F.col("_oy")) ** 2)
+            met = here.filter("leaf").join(held, ["_i", "a", "b"]).filter("_id <> _o").select("_i", "_id", "side", F.struct(d.alias("d"), F.col("_o").alias("o")).alias("m"))
+            met = stored(met.groupBy("_i", "_id").agg(F.min("m").alias("m"), F.first("side").alias("side")), "nearest")
+            found.append(met.select("_i", "_id", "m"))
+            if depth + 1 < len(levels):
+                front = stored(_down(here.filter(~F.col("leaf")).drop("leaf"), levels[depth + 1][0], met, depth + 1), "front")
+        best = reduce(DataFrame.unionByName, found).groupBy("_i", "_id").agg(F.min("m").alias("m"))
+        return scope.keep(best.select(F.col("_i").alias(image), F.col("_id").alias(ident), F.col("m.o").alias("neighbor"), F.round("m.d", 6).alias("distance")), "neighbors")
+
+
+def _quadtree(places: DataFrame, leaf: int) -> list[tuple[DataFrame, DataFrame]]:
+    """For each level: its squares (_i, a, b, n, one of its ids, leaf), and the places of those that aren't split. places(_i, _id, _x, _y, u, v) has u and v from 0 to 1."""
+    levels, left = [], places
+    for depth in range(DEEPEST + 1):
+        cell = lambda c, n=2**depth: F.least(F.floor(F.col(c) * n), F.lit(n - 1)).cast("long")
+        inside = left.withColumns({"a": cell("u"), "b": cell("v")})
+        squares = stored(inside.groupBy("_i", "a", "b").agg(F.count("*").alias("n"), F.min("_id").alias("one")).withColumn("leaf", (F.col("n") <= leaf) | F.lit(depth == DEEPEST)), "squares")
+        known = inside.join(squares.select("_i", "a", "b", "leaf"), ["_i", "a", "b"])
+        levels.append((squares, stored(known.filter("leaf").select("_i", "a", "b", F.col("_id").alias("_o"), F.col("_x").alias("_ox"), F.col("_y").alias("_oy")), "held")))
+        left = stored(known.filter(~F.col("leaf")).select(*places.columns), "crowded")
+        if not left.limit(1).count():
+            break
+    return levels
+
+
+def _down(front: DataFrame, squares: DataFrame, met: DataFrame, depth: int) -> DataFrame:
+    """front one level down: of the quarters of its squares, those that may hold a nearer place than any that is known of."""
+    below = squares.select("_i", F.floor(F.col("a") / 2).alias("pa"), F.floor(F.col("b") / 2).alias("pb"), "a", "b", "n", "one")
+    rows = front.withColumnsRenamed({"a": "pa", "b": "pb"}).join(below, ["_i", "pa", "pb"]).filter("n > 1 or one <> _id")
+    width = 2.0**-depth
+    gap = lambda p, c: F.greatest(F.col(c) * width - F.col(p), F.col(p) - (F.col(c) + 1) * width, F.lit(0.0))
+    far = lambda p, c: F.greatest(F.abs(F.col(p) - F.col(c) * width), F.abs(F.col(p) - (F.col(c) + 1) * width))
+    known = rows.join(met.select("_i", "_id", (F.col("m.d") / F.col("side")).alias("seen")), ["_i", "_id"], "left")
+    corner = F.sqrt(far("u", "a") ** 2 + far("v", "b") ** 2)
+    reach = F.least("r", F.coalesce("seen", "r"), F.min(corner).over(W.partitionBy("_i", "_id")))
+    kept = known.withColumn("r", reach).filter(F.sqrt(gap("u", "a") ** 2 + gap("v", "b") ** 2) <= F.col("r") + 1e-9)  # the slack is for rounding at the squares' edges
+    return kept.select(*front.columns)
 
 
 def focus_flags(hist: DataFrame, least: float) -> DataFrame:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import slugify, tokens
-from lorespan.sources.folders import stored
+from lorespan.operators.cosine import candidates, cosine_pairs, named, products, unit_vectors  # noqa: F401
+from lorespan.operators.vectors import cluster_vectors, knn_predict, vector_pairs  # noqa: F401
+from lorespan.sources.folders import stored, tables
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
-#: Vectors on a side of a block of distances, and clusters that one task links.
-BLOCK_ROWS = 2_000
+#: Up to which Jaccard of tags pairs are sought together.
+BANDS = (1 / 7, 1 / 3, 1 / 2)
 
 
 def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -26,88 +28,91 @@ def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select("id", "term", "tf", "df", w.alias("weight"))
 
 
-def cosine_pairs(weights: DataFrame, at_least: float) -> DataFrame:
-    """a < b and cosine of all pairs with a cosine of at least at_least (above 0), exactly.
-
-    Vectors are normalised and their terms ordered from rare to common. Two vectors that are similar enough share a term
-    among those before which the norm left is still at least at_least, so only these terms meet (a prefix filter); then
-    the candidates' full products are summed.
-    """
-    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
-    return _dots(stored(_term_candidates(unit, at_least), "candidates"), unit).filter(F.col("cosine") >= at_least)
-
-
 def tag_jaccard_pairs(entries: DataFrame, above: float = 0.0) -> DataFrame:
     """a < b and Jaccard of the lower-cased tag sets of all pairs with more than above. At 0 all pairs that share a tag come out, so a common tag makes many."""
-    sets = stored(_tag_sets(entries), "tag-sets")
-    pairs = _tag_candidates(sets, above).join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    return pairs.select("a", "b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).filter(F.col("jaccard") > above)
+    with tables(entries.sparkSession) as scope:
+        sets = stored(_tag_sets(entries), "tag-sets")
+        first = _tag_prefixes(sets.withColumnRenamed("id", "num"))(above)
+        pairs = first.select(F.col("num").alias("a"), "tag").join(first.select(F.col("num").alias("b"), "tag"), "tag").filter("a < b").select("a", "b").distinct()
+        pairs = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
+        alike = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+        return scope.keep(pairs.select("a", "b", alike.alias("jaccard")).filter(F.col("jaccard") > above), "tag-pairs")
 
 
 def _tag_sets(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.array_sort(F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: F.lower(t)))).alias("tags"))
 
 
-def _tag_candidates(sets: DataFrame, above: float) -> DataFrame:
-    """a < b of all pairs of tag sets with a Jaccard above `above`, and of others: of each set, tags from rare to common meet, so many that one of a similar set must be among them. A tag that nearly all entries have joins nothing."""
-    rows = sets.select("id", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
-    counts = stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "tag"))
-    first = rows.join(counts, "tag").withColumn("k", place).filter(F.col("k") <= F.col("n") - F.floor(F.col("n") * above)).select("id", "tag")
-    return first.select(F.col("id").alias("a"), "tag").join(first.select(F.col("id").alias("b"), "tag"), "tag").filter("a < b").select("a", "b").distinct()
-
-
-def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple[str, ...] = (), tags_above: float = 0.5) -> DataFrame:
+def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple[str, ...] = (), bands: tuple[float, ...] = BANDS) -> DataFrame:
     """a < b, jaccard, cosine, similarity = (jaccard + cosine) / 2 of all pairs of entries(id, text, tags) with at least threshold, exactly.
 
-    A pair whose tags have a Jaccard above tags_above comes from the entries' rarest tags; any other needs a cosine of at
-    least 2 * threshold - tags_above, and comes from their rarest terms. So neither a common tag nor a common term makes
-    pairs, and whole vectors meet for these candidates alone.
+    A pair needs a cosine of 2 * threshold less the Jaccard of its tags. Pairs are sought band by band of that Jaccard:
+    those of little meet at terms, and need much of a cosine; those of more meet at a tag among the rarest of each
+    and a term; those beyond the last band meet at such a tag alone. At a term, a pair must be able to reach its own bound
+    were the term its first in common (cosine.candidates). What is left gets its whole product, by blocks of vectors.
+    Neither a common tag nor a common term makes candidates by itself. Entries without terms or without tags have 0 there.
     """
-    sets = stored(_tag_sets(entries), "tag-sets")
-    weights = stored(tfidf(entries, stop_words), "weights")
-    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
-    unit = stored(weights.select("id", "term", "df", (F.col("weight") / norm).alias("u")), "unit-vectors")
-    pairs = _tag_candidates(sets, tags_above).unionByName(_term_candidates(unit, max(2 * threshold - tags_above, 1e-6))).distinct()
-    with_tags = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    all_ = F.size(F.array_union("ta", "tb"))
-    with_tags = with_tags.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
-    with_tags = stored(with_tags, "candidates")
-    out = with_tags.join(_dots(with_tags, unit), ["a", "b"], "left").fillna(0.0, ["cosine"])
-    return out.withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2).filter(F.col("similarity") >= threshold)
-
-
-def _term_candidates(unit: DataFrame, at_least: float) -> DataFrame:
-    """a < b of all pairs with a cosine of at least at_least, and of others (a prefix filter): terms from rare to common meet, as long as the norm that is left reaches at_least."""
-    left = F.sqrt(F.sum(F.col("u") ** 2).over(W.partitionBy("id").orderBy("df", "term").rowsBetween(0, W.unboundedFollowing)))
-    prefix = unit.withColumn("left", left).filter(F.col("left") >= at_least - 1e-9).select("id", "term")
-    return prefix.select(F.col("id").alias("a"), "term").join(prefix.select(F.col("id").alias("b"), "term"), "term").filter("a < b").select("a", "b").distinct()
+    with tables(entries.sparkSession) as scope:
+        sets = stored(_tag_sets(entries), "tag-sets")
+        names = stored(sets.select("id").distinct().withColumn("num", F.monotonically_increasing_id()), "numbers")
+        own = stored(sets.join(names, "id").select("num", F.transform("tags", lambda t: F.xxhash64(t)).alias("tags")), "tag-hashes")
+        unit = stored(unit_vectors(tfidf(entries, stop_words)).join(names, "id").drop("id"), "unit-vectors")
+        prefixes = _tag_prefixes(own)
+        edges = [e for e in bands if 2 * threshold - e >= 0.05] or [0.0]
+        found = []
+        for low, high in zip([-1.0, *edges], edges, strict=False):
+            rows = unit.join(own, "num")
+            if low < 0:
+                rows = rows.withColumn("key", F.col("h"))
+            else:
+                rows = rows.join(prefixes(low), "num").withColumn("key", F.xxhash64("tag", "h"))
+            found.append(stored(candidates(rows, max(2 * threshold - high, 1e-6), low, high, 2 * threshold), "candidates"))
+        first = prefixes(edges[-1])
+        alike = first.select(F.col("num").alias("a"), "tag").join(first.select(F.col("num").alias("b"), "tag"), "tag").filter("a < b").select("a", "b")
+        pairs = stored(reduce(DataFrame.unionByName, found, alike).distinct(), "candidates")
+        pairs = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
+        both, all_ = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
+        pairs = pairs.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
+        pairs = stored(pairs, "candidates")
+        out = pairs.join(products(pairs, unit, unit.count()), ["a", "b"]).withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2)
+        return scope.keep(named(out.filter(F.col("similarity") >= threshold), names, "jaccard", "cosine", "similarity"), "similar-pairs")
+
+
+def _tag_prefixes(sets: DataFrame):
+    """A function of low: num, tag of those tags of each of sets(num, tags), from rare to common, of which two sets with a Jaccard above low share one at least.
+
+    A set of n needs k tags in common with any other, where even the smallest set there is would give no more than low
+    with k - 1; so one of its n - k + 1 rarest is among them.
+    """
+    rows = sets.select("num", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
+    counts = stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
+    placed = stored(rows.join(counts, "tag").withColumn("place", F.row_number().over(W.partitionBy("num").orderBy("df", "tag"))), "tag-places")
+    least = rows.agg(F.min("n")).first()[0] or 1
 
+    def prefix(low: float) -> DataFrame:
+        n = F.col("n")
+        reach = F.filter(F.sequence(F.lit(1), n), lambda k: k / (n + F.greatest(F.lit(least), k) - k) > low)
+        return placed.filter(F.col("place") <= n - F.coalesce(F.try_element_at(reach, F.lit(1)), n + 1) + 1).select("num", "tag")
 
-def _dots(pairs: DataFrame, unit: DataFrame) -> DataFrame:
-    """a, b, cosine of pairs(a, b)."""
-    mine = pairs.select("a", "b").join(unit.select(F.col("id").alias("a"), "term", F.col("u").alias("ua")), "a")
-    both = mine.join(unit.select(F.col("id").alias("b"), "term", F.col("u").alias("ub")), ["b", "term"])
-    return both.groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("cosine"))
+    return prefix
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, root (the smallest id reached) of every end of edges(a, b): each round maps all vertices to their smallest neighbour and the edges with them."""
-    left = everyone = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    rounds = []
-    left = left.filter("a <> b")
-    while left.limit(1).count():
-        ends = left.select(F.col("a").alias("id"), F.col("a").alias("to")).unionAll(left.select(F.col("b"), F.col("a")))
-        rounds.append(stored(ends.groupBy("id").agg(F.min("to").alias("to")), "labels"))
-        to = rounds[-1]
-        moved = left.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b")
-        left = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
-    out = everyone.select(F.col("a").alias("id")).unionAll(everyone.select("b")).distinct().withColumn("root", F.col("id"))
-    for to in rounds:
-        out = out.join(to.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    return out
+    with tables(edges.sparkSession) as scope:
+        left = everyone = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        rounds = []
+        left = left.filter("a <> b")
+        while left.limit(1).count():
+            ends = left.select(F.col("a").alias("id"), F.col("a").alias("to")).unionAll(left.select(F.col("b"), F.col("a")))
+            rounds.append(stored(ends.groupBy("id").agg(F.min("to").alias("to")), "labels"))
+            to = rounds[-1]
+            moved = left.join(to.toDF("a", "x"), "a").join(to.toDF("b", "y"), "b")
+            left = stored(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
+        out = everyone.select(F.col("a").alias("id")).unionAll(everyone.select("b")).distinct().withColumn("root", F.col("id"))
+        for to in rounds:
+            out = out.join(to.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+        return scope.keep(out, "components")
 
 
 def _pair_sums(entries: DataFrame, roots: DataFrame, stop_words: tuple[str, ...]) -> DataFrame:
@@ -138,11 +143,11 @@ def recurrence_clusters(pairs: DataFrame, cohesion: float = COHESION, entries: D
     similarity, also those that pairs lacks; without them, these count 0. Clusters below cohesion are dropped. The band
     goes by the greatest similarity to the smallest id, which may be 1.
     """
-    return _clusters(pairs, connected_components(pairs.select("a", "b")), cohesion, entries, stop_words)
+    with tables(pairs.sparkSession) as scope:
+        return scope.keep(_clusters(pairs, connected_components(pairs.select("a", "b")), cohesion, entries, stop_words), "clusters")
 
 
 def _clusters(pairs, roots, cohesion, entries, stop_words) -> DataFrame:
-    roots = stored(roots, "roots")
     sizes = stored(roots.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     inner = pairs.join(roots.select(F.col("id").alias("a"), "root"), "a")
     sums = inner.groupBy("root").agg(F.sum("similarity").alias("s"), F.max(F.when(F.col("a") == F.col("root"), F.col("similarity"))).alias("m"), F.max("similarity").alias("p"))
@@ -156,11 +161,12 @@ def _clusters(pairs, roots, cohesion, entries, stop_words) -> DataFrame:
 
 def band_clusters(entries: DataFrame, cohesion: float = COHESION, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """id, cluster, band of each of entries(id, text, tags): those in no kept cluster stand alone (cluster null, band standalone)."""
-    pairs = stored(similar_pairs(entries, PAIR, stop_words), "pairs")
-    roots = stored(connected_components(pairs.select("a", "b")), "roots")
-    kept = _clusters(pairs, roots, cohesion, entries, stop_words).select(F.col("cluster").alias("root"), "band")
-    held = roots.join(kept, "root").select("id", F.col("root").alias("cluster"), "band")
-    return entries.select("id").join(held, "id", "left").select("id", "cluster", F.coalesce("band", F.lit("standalone")).alias("band"))
+    with tables(entries.sparkSession) as scope:
+        pairs = similar_pairs(entries, PAIR, stop_words)
+        roots = connected_components(pairs.select("a", "b"))
+        kept = _clusters(pairs, roots, cohesion, entries, stop_words).select(F.col("cluster").alias("root"), "band")
+        held = roots.join(kept, "root").select("id", F.col("root").alias("cluster"), "band")
+        return scope.keep(entries.select("id").join(held, "id", "left").select("id", "cluster", F.coalesce("band", F.lit("standalone")).alias("band")), "bands")
 
 
 def cluster_theme(members: DataFrame, entries: DataFrame, weights: DataFrame, n: int = 3) -> DataFrame:
@@ -240,162 +246,3 @@ def label_clusters(terms: DataFrame, summaries: DataFrame, keywords: int = 6) ->
     rows = summaries.join(own, "cluster", "left")
     two = F.when(F.size("t") > 0, F.slice("t", 1, 2)).otherwise(F.array(F.lit("concept")))
     return rows.select("cluster", slugify(F.array_join(two, "-")).alias("slug"), F.array_join(F.transform(two, lambda x: F.initcap(x)), " ").alias("label"), F.coalesce(F.slice("t", 1, keywords), F.array().cast("array<string>")).alias("keywords"), "size", "examples")
-
-
-def _blocks(df: DataFrame, least: int = 1) -> int:
-    """How many blocks of about BLOCK_ROWS rows df makes."""
-    return max(least, -(-df.count() // BLOCK_ROWS))
-
-
-def vector_pairs(vectors: DataFrame, at_most: float, blocks: int | None = None) -> DataFrame:
-    """a < b and cosine distance below at_most of vectors(id, embedding): exact products of blocks, one group for each pair of blocks. Their number follows from the rows unless given."""
-    blocks = blocks or _blocks(vectors, 8)
-    x = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
-    dealt = x.withColumn("t", F.explode(F.array_distinct(others))).select("t.i", "t.j", "k", "id", "embedding")
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.asarray(pdf["embedding"].tolist(), np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        ids, k = pdf["id"].to_numpy(), pdf["k"].to_numpy()
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
-        d = 1 - m[left] @ m[right].T
-        a, b = np.nonzero(d < at_most)
-        p, q = ids[left[a]], ids[right[b]]
-        keep = (p < q) if i == j else np.ones(len(p), bool)
-        return pd.DataFrame({"a": np.minimum(p, q)[keep], "b": np.maximum(p, q)[keep], "distance": d[a, b][keep]})
-
-    return dealt.groupBy("i", "j").applyInPandas(near, "a long, b long, distance double")
-
-
-def _average_linkage(m: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Labels of average-linkage clusters below threshold of unit vectors, or of means of as many as sizes has; the closest pair merges first, ties by place."""
-    n = len(m)
-    d = 1 - m @ m.T
-    np.fill_diagonal(d, np.inf)
-    size, label = np.ones(n) if sizes is None else sizes.astype(np.float64), np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
-        i, j = divmod(int(np.argmin(d)), n)
-        if d[i, j] >= threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
-        d[i], d[:, i] = row, row
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
-        size[i] += size[j]
-        alive[j] = False
-        label[label == j] = i
-    return label
-
-
-def _nearest(state: DataFrame, threshold: float) -> DataFrame:
-    """id, other: the nearest cluster (ties: the smallest id) of each of state(id, n, c) that has one below threshold.
-
-    The mean distance between members is 1 less the product of the mean vectors c. Each pair is measured once, in the
-    group of its two blocks, so the closest pair of all is always mutual.
-    """
-    blocks = _blocks(state)
-    x = state.select("id", "c", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("k"))
-    others = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("k", j).alias("i"), F.greatest("k", j).alias("j")))
-    dealt = x.withColumn("t", F.explode(F.array_distinct(others))).select("t.i", "t.j", "k", "id", "c")
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        m = np.asarray(pdf["c"].tolist(), np.float64)
-        ids, k = pdf["id"].to_numpy(), pdf["k"].to_numpy()
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        left, right = np.flatnonzero(k == i), np.flatnonzero(k == j)
-        found = []
-        if len(left) and len(right):
-            d = 1 - m[left] @ m[right].T
-            if i == j:
-                d = np.minimum(d, d.T)
-                np.fill_diagonal(d, np.inf)
-            for d, p, q in ((d, left, right), (d.T, right, left))[: 1 if i == j else 2]:
-                at = d.argmin(axis=1)
-                best = d[np.arange(len(p)), at]
-                found.append(pd.DataFrame({"id": ids[p], "other": ids[q[at]], "distance": best})[best < threshold])
-        return pd.concat(found) if found else pd.DataFrame({"id": ids[:0], "other": ids[:0], "distance": np.zeros(0)})
-
-    rows = dealt.groupBy("i", "j").applyInPandas(near, "id long, other long, distance double")
-    return rows.groupBy("id").agg(F.min(F.struct("distance", "other")).alias("b")).select("id", "b.other")
-
-
-def cluster_vectors(vectors: DataFrame, threshold: float = 0.55, least: int = 5) -> DataFrame:
-    """id, cluster (its smallest id), size of vectors(id, embedding): average linkage on cosine distance, clusters of at least `least`.
-
-    Equal vectors are one weighted point from the start. Then, in rounds, clusters that are each other's nearest merge:
-    average linkage is reducible, so that gives the clusters of merging the closest pair first, but for ties. A cluster
-    with none nearer than threshold is done. Once at most BLOCK_ROWS are left, one task links them. Vectors with no other
-    nearer than threshold are left out.
-    """
-    given = vectors.select("id", F.col("embedding").cast("array<double>").alias("embedding"))
-    points = stored(given.groupBy("embedding").agg(F.min("id").alias("root"), F.count("*").alias("n")), "points")
-    owner = stored(given.join(points.drop("n"), "embedding").select("id", "root"), "owner")
-    norm = F.greatest(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-300))
-    state = stored(points.withColumn("_norm", norm).select(F.col("root").alias("id"), "n", F.transform("embedding", lambda x: x / F.col("_norm")).alias("c")), "state")
-    near = stored(_nearest(state, threshold), "near")
-    met = near.select("id").unionByName(state.filter("n > 1").select("id")).distinct()
-    owner = owner.join(met.toDF("root"), "root", "left_semi").select("id", "root")
-    rounds = []
-    while near.limit(1).count():
-        state = state.join(near.select("id"), "id", "left_semi")
-        if state.limit(BLOCK_ROWS + 1).count() <= BLOCK_ROWS:
-
-            def link(pdf: pd.DataFrame) -> pd.DataFrame:
-                pdf = pdf.sort_values("id")
-                label = _average_linkage(np.asarray(pdf["c"].tolist(), np.float64), threshold, pdf["n"].to_numpy())
-                return pd.DataFrame({"root": pdf["id"], "to": pdf["id"].to_numpy()[label]})
-
-            rounds.append(stored(state.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(link, "root long, to long"), "links"))
-            break
-        back = near.select(F.col("other").alias("id"), F.col("id").alias("other"))
-        gone = stored(near.join(back, ["id", "other"]).filter("id > other").select(F.col("id").alias("root"), F.col("other").alias("to")), "links")
-        rounds.append(gone)
-        taken = state.join(gone.select(F.col("root").alias("id"), "to"), "id").select(F.col("to").alias("id"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-        both = state.join(gone.select(F.col("root").alias("id")), "id", "left_anti").join(taken, "id", "left")
-        n = F.col("n") + F.coalesce("n2", F.lit(0))
-        mean = F.when(F.col("n2").isNull(), F.col("c")).otherwise(F.zip_with("c", "c2", lambda x, y: (x * F.col("n") + y * F.col("n2")) / (F.col("n") + F.col("n2"))))
-        state = stored(both.withColumn("c", mean).withColumn("n", n).select("id", "n", "c"), "state")
-        near = stored(_nearest(state, threshold), "near")
-    for k, to in enumerate(rounds, 1):
-        owner = owner.join(to, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-        if k % 10 == 0:
-            owner = stored(owner, "owner")
-    out = owner.select("id", F.col("root").alias("cluster"))
-    sizes = out.groupBy("cluster").agg(F.count("*").alias("size")).filter(F.col("size") >= least)
-    return out.join(sizes, "cluster").select("id", "cluster", "size")
-
-
-def knn_predict(train: DataFrame, test: DataFrame, k: int = 15, blocks: int | None = None) -> DataFrame:
-    """id, predicted of test(id, embedding): the commonest label among the k nearest of train(id, embedding, label) by cosine; ties to the least label.
-
-    train and test are dealt to blocks, as many as their rows need; each block of train gives its k nearest for every test
-    row, and the k best of all are kept, so no pair beyond k times blocks leaves a task.
-    """
-    blocks, parts = blocks or _blocks(train, 8), _blocks(test)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    a = train.select(F.lit(0).alias("side"), dealt(blocks).alias("block"), every(parts).alias("part"), "id", "embedding", F.col("label").cast("long").alias("label"))
-    b = test.select(F.lit(1).alias("side"), every(blocks).alias("block"), dealt(parts).alias("part"), "id", "embedding", F.lit(None).cast("long").alias("label"))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda x: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.asarray(x.tolist(), np.float64))
-        known, ask = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1]
-        if known.empty or ask.empty:
-            return pd.DataFrame({"id": [], "label": [], "other": [], "cosine": []}).astype({"id": "int64", "label": "int64", "other": "int64", "cosine": "float64"})
-        m, out = unit(known["embedding"]), []
-        for s in range(0, len(ask), 1024):
-            part = ask.iloc[s : s + 1024]
-            cos = np.round(unit(part["embedding"]) @ m.T, 9)
-            top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), top.shape[1]), "label": known["label"].to_numpy()[top].ravel(), "other": known["id"].to_numpy()[top].ravel(), "cosine": np.take_along_axis(cos, top, axis=1).ravel()}))
-        return pd.concat(out)
-
-    rows = a.unionByName(b).groupBy("block", "part").applyInPandas(near, "id long, label long, other long, cosine double")
-    best = rows.withColumn("r", F.row_number().over(W.partitionBy("id").orderBy(F.desc("cosine"), "other"))).filter(F.col("r") <= k)
-    votes = best.groupBy("id", "label").agg(F.count("*").alias("n"))
-    return votes.groupBy("id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("predicted"))

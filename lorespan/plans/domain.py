@@ -122,7 +122,7 @@ def segmentation_errors(s, d):
 )
 def nearest_neighbor(s, d):
     p = table(s, d, "part").select(F.col("p_brand").alias("image"), F.col("p_partkey").alias("id"), "p_size", (F.col("p_retailprice") / 10).alias("y"))
-    return D.nearest_neighbor(p, "image", "id", "p_size", "y", 5.0)
+    return D.nearest_neighbor(p, "image", "id", "p_size", "y", 8)
 
 
 @query("SELECT image, round(c, 6) AS contrast, c < 14.4 AS blurred FROM (SELECT l_suppkey AS image, sqrt(sum(l_quantity * l_quantity) / count(*) - avg(l_quantity) * avg(l_quantity)) AS c FROM lineitem GROUP BY 1)")

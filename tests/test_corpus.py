@@ -141,7 +141,7 @@ def test_similar_pairs_with_hot_tags(spark):
     texts = ["common alpha beta", "common alpha beta gamma", "common delta", "common omega psi", "common omega psi", "common"]
     tags = [["hot", "t1"], ["HOT", "t1"], ["hot", "t2"], ["hot"], ["hot", "t3", "t4"], []]
     df = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(zip(texts, tags, strict=True))], "id long, text string, tags array<string>")
-    every = similarity.similar_pairs(df, 1e-9, tags_above=0.0).collect()
+    every = similarity.similar_pairs(df, 1e-9).collect()
     want = {(r.a, r.b): round(r.similarity, 9) for r in every if r.similarity >= 0.45}
     assert {(r.a, r.b): round(r.similarity, 9) for r in similarity.similar_pairs(df).collect()} == want and want
     for a, b in itertools.combinations(range(6), 2):
