@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorespan.functions.text import slugify, tokens
 from lorespan.operators.cosine import candidates, cosine_pairs, named, products, unit_vectors  # noqa: F401
 from lorespan.operators.vectors import cluster_vectors, knn_predict, vector_pairs  # noqa: F401
-from lorespan.sources.folders import stored, tables
+from lorespan.sources.folders import spread, stored, tables
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
 #: Up to which Jaccard of tags pairs are sought together.
@@ -21,7 +21,7 @@ BANDS = (1 / 7, 1 / 3, 1 / 2)
 def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """id, term, tf, df, weight = tf * (ln((1 + N) / (1 + df)) + 1) of entries(id, text)."""
     found = F.explode_outer(tokens(F.col("text"), stop_words)).alias("term")  # the outer form computes the tokens once
-    tf = entries.select("id", found).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = spread(entries.select("id", "text")).select("id", found).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = entries.agg(F.count("*").alias("_n"))
     w = F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)
@@ -48,7 +48,8 @@ def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple
 
     A pair needs a cosine of 2 * threshold less the Jaccard of its tags. Pairs are sought band by band of that Jaccard:
     those of little meet at terms, and need much of a cosine; those of more meet at a tag among the rarest of each
-    and a term; those beyond the last band meet at such a tag alone. At a term, a pair must be able to reach its own bound
+    and a term; those beyond the last band, or
+    from that band on in which few pairs share such a tag, meet at it alone. At a term, a pair must be able to reach its own bound
     were the term its first in common (cosine.candidates). What is left gets its whole product, by blocks of vectors.
     Neither a common tag nor a common term makes candidates by itself. Entries without terms or without tags have 0 there.
     """
@@ -59,25 +60,33 @@ def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple
         unit = stored(unit_vectors(tfidf(entries, stop_words)).join(names, "id").drop("id"), "unit-vectors")
         prefixes = _tag_prefixes(own)
         edges = [e for e in bands if 2 * threshold - e >= 0.05] or [0.0]
-        found = []
+        n, found, rest = unit.count(), [], edges[-1]
         for low, high in zip([-1.0, *edges], edges, strict=False):
             rows = unit.join(own, "num")
             if low < 0:
                 rows = rows.withColumn("key", F.col("h"))
+            elif _meetings(prefixes(low)) <= n:  # fewer pairs share such a tag than there are terms to pair by
+                rest = low
+                break
             else:
                 rows = rows.join(prefixes(low), "num").withColumn("key", F.xxhash64("tag", "h"))
             found.append(stored(candidates(rows, max(2 * threshold - high, 1e-6), low, high, 2 * threshold), "candidates"))
-        first = prefixes(edges[-1])
+        first = prefixes(rest)
         alike = first.select(F.col("num").alias("a"), "tag").join(first.select(F.col("num").alias("b"), "tag"), "tag").filter("a < b").select("a", "b")
         pairs = stored(reduce(DataFrame.unionByName, found, alike).distinct(), "candidates")
         pairs = pairs.join(own.toDF("a", "ta"), "a").join(own.toDF("b", "tb"), "b")
         both, all_ = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
         pairs = pairs.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
         pairs = stored(pairs, "candidates")
-        out = pairs.join(products(pairs, unit, unit.count()), ["a", "b"]).withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2)
+        out = pairs.join(products(pairs, unit, n), ["a", "b"]).withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2)
         return scope.keep(named(out.filter(F.col("similarity") >= threshold), names, "jaccard", "cosine", "similarity"), "similar-pairs")
 
 
+def _meetings(rows: DataFrame) -> int:
+    """How many pairs of rows(num, tag) have a tag in common, counted for each tag."""
+    return rows.groupBy("tag").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+
+
 def _tag_prefixes(sets: DataFrame):
     """A function of low: num, tag of those tags of each of sets(num, tags), from rare to common, of which two sets with a Jaccard above low share one at least.
 
@@ -86,7 +95,8 @@ def _tag_prefixes(sets: DataFrame):
     """
     rows = sets.select("num", F.size("tags").alias("n"), F.explode("tags").alias("tag"))
     counts = stored(rows.groupBy("tag").agg(F.count("*").alias("df")), "tag-counts")
-    placed = stored(rows.join(counts, "tag").withColumn("place", F.row_number().over(W.partitionBy("num").orderBy("df", "tag"))), "tag-places")
+    placed = rows.join(counts, "tag").withColumn("place", F.row_number().over(W.partitionBy("num").orderBy("df", "tag")))
+    placed = stored(placed.filter("df > 1"), "tag-places")
     least = rows.agg(F.min("n")).first()[0] or 1
 
     def prefix(low: float) -> DataFrame:

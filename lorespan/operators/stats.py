@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.operators.identity import global_rank
-from lorespan.sources.folders import stored
+from lorespan.sources.folders import stored, tables
 
 Z95 = 1.959963984540054
 
@@ -65,36 +70,143 @@ def seed_stability(df: DataFrame, ident: str, value: str, label: Column, seeds:
     return rows.agg(F.count("d").alias("n"), *(F.round(f("d"), 6).alias(k) for k, f in (("mean", F.avg), ("sd", F.stddev_samp), ("low", F.min), ("high", F.max))))
 
 
+#: A prime: hashes are polynomials modulo it, so all products fit 64 bits.
+PRIME = 2**31 - 1
+#: Replicas whose sums a task holds at once, with all their bins.
+REPLICAS_AT_ONCE = 250
+
+
+def unit_place(ident: Column) -> Column:
+    """A number below PRIME from the MD5 of a unit's id."""
+    return F.conv(F.substring(F.md5(ident.cast("string")), 1, 13), 16, 10).cast("long") % PRIME
+
+
+def coefficients(seed: str, replica: int) -> list[int]:
+    """Four numbers below PRIME from the MD5 of seed and replica."""
+    digest = hashlib.md5(f"{seed}:{replica}".encode()).hexdigest()
+    return [int(digest[8 * k : 8 * k + 8], 16) % PRIME for k in range(4)]
+
+
+def replica_hashes(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """A hash below PRIME for each replica (rows) and unit: a cubic polynomial of the unit's number, so any four units are independent over replicas."""
+    h = np.broadcast_to(coef[:, :1], (len(coef), len(x)))
+    for k in (1, 2, 3):
+        h = (h * x[None, :] + coef[:, k : k + 1]) % PRIME
+    return h
+
+
+def _hash_sums(units: DataFrame, coef: np.ndarray, bits: int, above: int, within: dict[int, int] | None = None) -> DataFrame:
+    """rep, bin, n, s, c: sums of units(x, s, c) by bins of each replica's hash: `bits` bits of it, below `above` others, which are within[rep] where given.
+
+    A task adds up all replicas of its units in arrays; what leaves it is a row for each replica and bin, however many units there are.
+    """
+    shift = 31 - above - bits
+    reps = sorted(within) if within is not None else list(range(len(coef)))
+    want = None if within is None else np.array([within[r] for r in reps], np.int64)
+
+    def add(batches):
+        held = [b.to_pandas() for b in batches]
+        rows = {c: np.concatenate([h[c].to_numpy() for h in held]) if held else np.zeros(0) for c in ("x", "s", "c")}
+        x, s, c = rows["x"].astype(np.int64), rows["s"].astype(np.float64), rows["c"].astype(np.float64)
+        for at in range(0, len(reps) if len(x) else 0, REPLICAS_AT_ONCE):
+            some = np.array(reps[at : at + REPLICAS_AT_ONCE])
+            total = np.zeros((3, len(some) << bits))
+            for i in range(0, len(x), 2_000):
+                part = slice(i, i + 2_000)
+                h = replica_hashes(x[part], coef[some])
+                r, u = np.nonzero((h >> (31 - above)) == want[at : at + REPLICAS_AT_ONCE, None]) if above else np.nonzero(h >= 0)
+                where = (r << bits) + ((h[r, u] >> shift) & ((1 << bits) - 1))
+                for k, w in enumerate((None, s[part][u], c[part][u])):
+                    total[k] += np.bincount(where, w, len(some) << bits)
+            full = np.flatnonzero(total[0])
+            yield pa.RecordBatch.from_arrays([pa.array(some[full >> bits].astype(np.int32)), pa.array((full & ((1 << bits) - 1)).astype(np.int64)), pa.array(total[0][full].astype(np.int64)), pa.array(total[1][full]), pa.array(total[2][full])], names=["rep", "bin", "n", "s", "c"])
+
+    sums = units.select("x", "s", "c").mapInArrow(add, "rep int, bin long, n long, s double, c double")
+    return sums.groupBy("rep", "bin").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+
+
+def _least_hashes(sums: DataFrame, need: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of _hash_sums(), what the bins that are wholly among the need(rep, k) least hashes add up to (rep, s, c), and the bin at the border (rep, bin, k: how many of it)."""
+    before = F.coalesce(F.sum("n").over(W.partitionBy("rep").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    bins = stored(sums.withColumn("before", before).join(need, "rep"), "hash-bins")
+    whole = bins.filter(F.col("before") + F.col("n") <= F.col("k")).groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    border = bins.filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("n") > F.col("k"))).select("rep", "bin", (F.col("k") - F.col("before")).alias("k"))
+    return whole, border
+
+
 def permutation_test(df: DataFrame, unit: str, value: str, label: Column, n: int = 1_000) -> DataFrame:
     """observed, p_value, n: labels dealt anew by the order of hashes within each replica, at the level of units.
 
-    Rows are first summed to units, so a replica holds units only. The units with the k least hashes of a replica get the
-    label: whole ranges of hashes by their counts, and only the range at the border is put in order.
+    Rows are first summed to units. The units with the least hashes of a replica get the label, as many as have it. Which
+    these are is found by sums over ranges of the hash: 256 of all, then 4,096 of the one at the border, then the few units
+    of that border by their order (ties by id). So tasks send replicas times ranges, and not units times replicas.
     """
-    units = stored(df.groupBy(unit).agg(F.sum(value).alias("s"), F.count("*").alias("c"), F.max(label).alias("l")), "units")
-    k = units.agg(F.count_if("l").alias("k"))
-    rep = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("h", F.md5(F.concat(F.col(unit).cast("string"), F.lit(":"), F.col("rep").cast("string")))).withColumn("range", F.substring("h", 1, 2))
-    sums = rep.groupBy("rep", "range").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum("c").alias("c"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("rep").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = stored(sums.withColumn("before", before).crossJoin(F.broadcast(k)), "hash-ranges")
-    border = ranges.filter((F.col("before") < F.col("k")) & (F.col("before") + F.col("n") > F.col("k"))).select("rep", "range", (F.col("k") - F.col("before")).alias("need"))
-    order = F.row_number().over(W.partitionBy("rep").orderBy("h", unit))
-    some = rep.join(border, ["rep", "range"]).withColumn("o", order).filter(F.col("o") <= F.col("need")).select("rep", "s", "c")
-    chosen = ranges.filter(F.col("before") + F.col("n") <= F.col("k")).select("rep", "s", "c").unionByName(some).groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
-    whole = units.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
-    mean = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("c")))
-    seen = units.agg((mean(F.col("l")) - mean(~F.col("l"))).alias("obs"))
-    null = chosen.crossJoin(F.broadcast(whole)).select((F.col("s") / F.col("c") - (F.col("_s") - F.col("s")) / (F.col("_c") - F.col("c"))).alias("d"))
-    return null.crossJoin(F.broadcast(seen)).groupBy("obs").agg(F.avg((F.abs("d") >= F.abs("obs") - 1e-12).cast("double")).alias("p"), F.count("*").alias("n")).select(F.round("obs", 6).alias("observed"), F.round("p", 6).alias("p_value"), "n")
+    with tables(df.sparkSession) as scope:
+        units = df.groupBy(unit).agg(F.sum(value).cast("double").alias("s"), F.count("*").cast("double").alias("c"), F.max(label).alias("l"))
+        units = stored(units.withColumn("x", unit_place(F.col(unit))), "units")
+        coef = np.array([coefficients("perm", r) for r in range(n)], np.int64).reshape(n, 4)
+        k = units.agg(F.count_if("l").alias("k"))
+        reps = df.sparkSession.range(n).select(F.col("id").cast("int").alias("rep"))
+        parts, border = _least_hashes(_hash_sums(units, coef, 8, 0), reps.crossJoin(F.broadcast(k)))  # one row
+        chosen = [parts]
+        border = stored(border, "border")
+        top = {r.rep: r.bin for r in border.collect()}  # a row for each replica
+        parts, below = _least_hashes(_hash_sums(units, coef, 12, 8, top), border.select("rep", "k"))
+        chosen.append(parts)
+        below = stored(below, "border")
+        last = {r.rep: (top[r.rep] << 12) | r.bin for r in below.collect()}
+
+        def few(batches):
+            some = np.array(sorted(last), np.int64)
+            want = np.array([last[r] for r in some.tolist()], np.int64)
+            for batch in batches:
+                x, ident = batch.column("x").to_numpy(), batch.column("ident")
+                h = replica_hashes(x, coef[some]) if len(some) else np.zeros((0, len(x)), np.int64)
+                r, u = np.nonzero((h >> 11) == want[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(some[r].astype(np.int32)), pa.array(h[r, u]), ident.take(pa.array(u)), batch.column("s").take(pa.array(u)), batch.column("c").take(pa.array(u))], names=["rep", "h", "ident", "s", "c"])
+
+        kind = units.schema[unit].dataType.simpleString()
+        rows = units.select("x", F.col(unit).alias("ident"), "s", "c").mapInArrow(few, f"rep int, h long, ident {kind}, s double, c double")
+        order = F.row_number().over(W.partitionBy("rep").orderBy("h", "ident"))
+        chosen.append(rows.withColumn("o", order).join(below.select("rep", "k"), "rep").filter(F.col("o") <= F.col("k")).select("rep", "s", "c"))
+        sums = reduce(DataFrame.unionByName, chosen).groupBy("rep").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+        whole = units.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
+        mean = lambda c: F.sum(F.when(c, F.col("s"))) / F.sum(F.when(c, F.col("c")))
+        seen = units.agg((mean(F.col("l")) - mean(~F.col("l"))).alias("obs"))
+        null = sums.crossJoin(F.broadcast(whole)).select((F.col("s") / F.col("c") - (F.col("_s") - F.col("s")) / F.nullif(F.col("_c") - F.col("c"), F.lit(0.0))).alias("d"))
+        out = null.crossJoin(F.broadcast(seen)).groupBy("obs").agg(F.avg((F.abs("d") >= F.abs("obs") - 1e-12).cast("double")).alias("p"), F.count("*").alias("n"))
+        return scope.keep(out.select(F.round("obs", 6).alias("observed"), F.round("p", 6).alias("p_value"), "n"), "permutation")
+
+
+#: The distribution function of Poisson(1) at 0, 1, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)
 
 
 def poisson_bootstrap(df: DataFrame, unit: str, value: str, n: int = 2_000) -> DataFrame:
-    """replica and mean under Poisson(1) weights of the units, drawn by hash: the scalable bootstrap, which is not the fixed-size one. Rows are first summed to units."""
-    cdf = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]
-    units = df.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("c"))
-    rep = units.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", hash_share(F.col(unit), F.col("replica")))
-    weight = sum((F.col("u") >= c).cast("int") for c in cdf)
-    return rep.withColumn("w", weight).groupBy("replica").agg(F.round(F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("c")), 6).alias("mean"))
+    """replica and mean under Poisson(1) weights of the units, drawn by hash: the scalable bootstrap, which is not the fixed-size one.
+
+    Rows are first summed to units. Each task weighs its units for all replicas in arrays and sends one row for each
+    replica, however many units there are.
+    """
+    units = df.groupBy(unit).agg(F.sum(value).cast("double").alias("s"), F.count(value).cast("double").alias("c"))
+    coef = np.array([coefficients("boot", r) for r in range(n)], np.int64).reshape(n, 4)
+    steps = np.array(POISSON) * PRIME
+
+    def weigh(batches):
+        total, any_ = np.zeros((2, n)), False
+        for batch in batches:
+            any_ = any_ or batch.num_rows > 0
+            x, s, c = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("x", "s", "c"))
+            s = np.nan_to_num(s.astype(np.float64))  # a unit without values has no sum
+            for i in range(0, len(x), 500):
+                w = np.searchsorted(steps, replica_hashes(x[i : i + 500], coef), "right").astype(np.float64)
+                total[0] += w @ s[i : i + 500]
+                total[1] += w @ c[i : i + 500]
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["replica", "s", "c"])
+
+    sums = units.select(unit_place(F.col(unit)).alias("x"), "s", "c").mapInArrow(weigh, "replica int, s double, c double")
+    return sums.groupBy("replica").agg(F.round(F.sum("s") / F.nullif(F.sum("c"), F.lit(0.0)), 6).alias("mean"))
 
 
 def bootstrap_ci(means: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:

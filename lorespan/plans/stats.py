@@ -60,9 +60,15 @@ def subsample_stability(s, d):
     return S.subsample_stability(_line(s, d), "l_orderkey", "l_quantity", _returned())
 
 
+#: A cubic polynomial, modulo a prime, of a number from a unit's MD5; its four coefficients come from the MD5 of the replica.
+_PLACE = "CAST('0x' || substr(md5(CAST({i} AS VARCHAR)), 1, 13) AS BIGINT) % 2147483647"
+_COEF = "SELECT r AS rep, " + ", ".join(f"CAST('0x' || substr(md5('{{seed}}:' || r), {8 * k + 1}, 8) AS BIGINT) % 2147483647 AS k{k}" for k in range(4)) + " FROM range({n}) t(r)"
+_POLY = "(((k0 * x + k1) % 2147483647 * x + k2) % 2147483647 * x + k3) % 2147483647"
+
+
 @query(
-    "WITH u AS (SELECT l_suppkey AS unit, sum(l_quantity) AS s, count(*) AS c, l_suppkey % 2 = 0 AS l FROM lineitem GROUP BY ALL), k AS (SELECT count(*) FILTER (l) AS k FROM u), "
-    "r AS (SELECT u.*, rep, row_number() OVER (PARTITION BY rep ORDER BY md5(CAST(unit AS VARCHAR) || ':' || CAST(rep AS VARCHAR)), unit) AS o FROM u, range(1000) t(rep)), "
+    f"WITH u AS (SELECT l_suppkey AS unit, {_PLACE.format(i='l_suppkey')} AS x, sum(l_quantity) AS s, count(*) AS c, l_suppkey % 2 = 0 AS l FROM lineitem GROUP BY ALL), k AS (SELECT count(*) FILTER (l) AS k FROM u), co AS ({_COEF.format(seed='perm', n=1000)}), "
+    f"r AS (SELECT u.*, rep, row_number() OVER (PARTITION BY rep ORDER BY {_POLY}, unit) AS o FROM u, co), "
     "n AS (SELECT rep, sum(s) FILTER (o <= k) / sum(c) FILTER (o <= k) - sum(s) FILTER (o > k) / sum(c) FILTER (o > k) AS d FROM r, k GROUP BY rep), b AS (SELECT sum(s) FILTER (l) / sum(c) FILTER (l) - sum(s) FILTER (NOT l) / sum(c) FILTER (NOT l) AS obs FROM u) "
     "SELECT round(obs, 6) AS observed, round(avg(CASE WHEN abs(d) >= abs(obs) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_value, count(*) AS n FROM n, b GROUP BY obs"
 )
@@ -70,7 +76,7 @@ def permutation_test(s, d):
     return S.permutation_test(_line(s, d), "l_suppkey", "l_quantity", F.col("l_suppkey") % 2 == 0, 1_000)
 
 
-_BOOT = "SELECT replica, round(sum(w * s) / sum(w * c), 6) AS mean FROM (SELECT replica, s, c, " + " + ".join(f"CASE WHEN u >= {c!r} THEN 1 ELSE 0 END" for c in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712)) + " AS w FROM (SELECT replica, s, c, " + _U.format(i="o_custkey", r="replica") + " AS u FROM (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS c FROM orders GROUP BY 1), range(2000) t(replica))) GROUP BY replica"
+_BOOT = f"SELECT replica, round(sum(w * s) / sum(w * c), 6) AS mean FROM (SELECT rep AS replica, s, c, " + " + ".join(f"CASE WHEN h >= CAST({c!r} AS DOUBLE) * 2147483647 THEN 1 ELSE 0 END" for c in S.POISSON) + f" AS w FROM (SELECT rep, s, c, {_POLY} AS h FROM (SELECT o_custkey, {_PLACE.format(i='o_custkey')} AS x, sum(o_totalprice) AS s, count(*) AS c FROM orders GROUP BY ALL), ({_COEF.format(seed='boot', n=2000)}))) GROUP BY replica"
 
 
 @query(f"SELECT CAST(replica AS INTEGER) AS replica, mean FROM ({_BOOT})")

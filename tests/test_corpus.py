@@ -127,7 +127,13 @@ def test_permutation_takes_the_k_least_hashes(spark):
     mean = lambda us: sum(vals[u] for u in us) / len(us)
     diff = lambda us: mean(us) - mean([u for u in vals if u not in us])
     obs = diff([u for u in vals if u % 4 == 0])
-    null = [diff(sorted(vals, key=lambda u: hashlib.md5(f"{u}:{rep}".encode()).hexdigest())[:k]) for rep in range(50)]  # noqa: B023
+    place = {u: int(hashlib.md5(str(u).encode()).hexdigest()[:13], 16) % stats.PRIME for u in vals}
+
+    def order(u, rep):
+        a, b, c, d = stats.coefficients("perm", rep)
+        return (((a * place[u] + b) * place[u] + c) * place[u] + d) % stats.PRIME, u
+
+    null = [diff(sorted(vals, key=lambda u: order(u, rep))[:k]) for rep in range(50)]  # noqa: B023
     assert (r.observed, r.p_value, r.n) == (pytest.approx(obs, abs=1e-6), pytest.approx(sum(abs(d) >= abs(obs) - 1e-12 for d in null) / 50), 50)
 
 
