@@ -23,13 +23,15 @@ from pyspark.sql import types as T
 
 from .encoder import batches, encoder
 from .files import make_dir, written
-from .shared import arrow_rows, new_dir, stored
+from .shared import arrow_rows, new_dir, small, stored
 
 MAGIC = b"TKB1"
 BLOCK = 65_536
-#: Bytes of text whose ids go to one shard, on average, and shards at most: beyond so many, each holds more. A task writes
-#: its shard block by block, whatever its size; what is kept for each shard, on the driver too, is one bound and one row.
+#: Bytes of text whose ids go to one shard, on average, and shards at most, as the driver keeps a bound for each: beyond so
+#: many, each holds more. A task writes its shard block by block and file by file, whatever its size.
 SHARD_TEXT, MOST_SHARDS = 24_000_000, 20_000
+#: Bytes of packed ids at which a shard goes on in another file, before its next document: files stay small enough to be read whole.
+FILE_BYTES = 32_000_000
 NO_ID = -(2**63)
 _DOCS = np.dtype([("doc_id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 
@@ -126,31 +128,33 @@ def _encode(tokenizer: str, end_id: int | None, bounds: list[int], first: int, w
     return run
 
 
-def _write(folder: str, bits: int, width: str):
+def _write(folder: str, bits: int, width: str, file_bytes: int):
     def run(rows):
         rows = ((s, i, x) for b in rows for s, i, x in zip(*(b.column(k).to_pylist() for k in ("shard", "doc_id", "ids")), strict=True))
-        row, done = next(rows, None), []
+        row, done, part = next(rows, None), [], 0
         while row is not None:
             shard = row[0]
-            with written(f"{folder}/shard-{shard:07d}.tkb") as out:
+            part = part + 1 if done and done[-1][0] == shard else 0
+            with written(f"{folder}/shard-{shard:07d}-{part:06d}.tkb") as out:
                 w = ShardWriter(out, bits)
-                while row is not None and row[0] == shard:
+                while row is not None and row[0] == shard and w.ids * bits < 8 * file_bytes:
                     w.add(row[1], np.frombuffer(row[2], width))
                     row = next(rows, None)
                 w.close()
-            done.append((shard, w.ids, len(w.docs)))
-        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64()))], names=["shard", "n_ids", "n_docs"])
+            done.append((shard, part, w.ids, len(w.docs)))
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=["shard", "part", "n_ids", "n_docs"])
 
     return run
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, shard_text: int = SHARD_TEXT) -> DataFrame:
-    """Encodes docs(doc_id, text) and writes shards of ascending doc_id to folder. Returns shard, n_ids, n_docs of each (an action has run).
+def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, shard_text: int = SHARD_TEXT, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Encodes docs(doc_id, text) and writes shards of ascending doc_id to folder. Returns shard, part, n_ids, n_docs of each file (an action has run).
 
     The scan encodes; only packed ids are shuffled, to the shard of their doc_id's range. Ranges come from approximate
     quantiles of doc_id over all rows, by a sketch whose size follows from the number of shards. Rows of equal doc_id lie
     together in byte order of their ids. Rows without doc_id come first, in shards of their own: dealt by a hash of the
-    text, in byte order within each. Shards that folder holds from before are removed.
+    text, in byte order within each. A shard is one file or several, each of about file_bytes at most or one document: so
+    files stay bounded where shards grow, and the rows of one doc_id may go on in the next file. Shards that folder holds from before are removed.
     """
     n_vocab = encoder(tokenizer).n_vocab
     bits = bits_for(max(n_vocab, (end_id or 0) + 1))
@@ -167,7 +171,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int
     encoded = docs.select("doc_id", "text", shard_of_nameless.alias("shard")).mapInArrow(_encode(tokenizer, end_id, bounds, first, width), "shard int, doc_id long, ids binary")
     dealt = encoded.repartition(len(bounds) + 1 + first, "shard").sortWithinPartitions("shard", "doc_id", "ids")
     with arrow_rows(docs.sparkSession, 1_000):
-        return stored(dealt.mapInArrow(_write(folder, bits, width), "shard int, n_ids long, n_docs long"), "shards")
+        return stored(dealt.mapInArrow(_write(folder, bits, width, file_bytes), "shard int, part int, n_ids long, n_docs long"), "shards")
 
 
 def _read(rows):
@@ -175,7 +179,7 @@ def _read(rows):
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             data = data.as_buffer()
             r = ShardReader(memoryview(data))
-            shard = int(path.rsplit("-", 1)[1].split(".")[0])
+            shard, part = (int(x) for x in path.rsplit("/", 1)[1].removesuffix(".tkb").split("-")[1:])
             for k in range(0, len(r.docs), 4096):
                 docs = r.docs[k : k + 4096]
                 first = int(docs["first"][0])
@@ -184,21 +188,20 @@ def _read(rows):
                 crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(at, docs["n"].tolist(), strict=True)]
                 own = [None if i == NO_ID else i for i in docs["doc_id"].tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(docs), pa.int32()), pa.array(own, pa.int64()), pa.array(docs["first"].astype("i8")), pa.array(docs["n"].astype("i8")), pa.array(crc, pa.int64())],
-                    names=["shard", "doc_id", "first", "n_tokens", "ids_crc32"],
+                    [pa.array([shard] * len(docs), pa.int32()), pa.array([part] * len(docs), pa.int32()), pa.array(own, pa.int64()), pa.array(docs["first"].astype("i8")), pa.array(docs["n"].astype("i8")), pa.array(crc, pa.int64())],
+                    names=["shard", "part", "doc_id", "first", "n_tokens", "ids_crc32"],
                 )
 
 
 def read_token_shards(spark, folder: str, shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document in the shards of folder, read back from the files.
 
-    start counts the ids of all documents before it; the totals come from shards, one row for each file (MOST_SHARDS at
-    most). Files that shards doesn't list, left by another job, give no row.
+    start counts the ids of all documents before it; the totals come from shards, one row for each file. Files that shards doesn't list, left by another job, give no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.tkb").load(folder)
-    rows = files.select("path", "content").mapInArrow(_read, "shard int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    base = shards.select("shard", (F.sum("n_ids").over(W.orderBy("shard")) - F.col("n_ids")).alias("base"))
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.select("path", "content").mapInArrow(_read, "shard int, part int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    base = shards.select("shard", "part", (F.sum("n_ids").over(W.orderBy("shard", "part")) - F.col("n_ids")).alias("base"))
+    return rows.join(small(base), ["shard", "part"]).select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_file(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str | None = None) -> DataFrame:
@@ -206,8 +209,8 @@ def token_file(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder:
 
     Null and empty text: only the end id. Repeated rows, and several texts of one doc_id, are documents of their own,
     in byte order of their ids. Rows without doc_id come first, in an order of their own that hangs on their texts alone.
-    An empty table writes no shard and gives no row. Other columns are left out. One document's ids, and the rows of one
-    doc_id, are written by one task, block by block.
+    An empty table writes no shard and gives no row. Other columns are left out. One document's ids are in one
+    file; the rows of one doc_id are written by one task, file by file.
     """
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")

@@ -172,7 +172,7 @@ def test_token_file(docs, texts, empty, tmp_path):
     folder = f"file://{tmp_path}/tokens"
     got = by_id(token_file(docs, path, 1, folder))
     assert {i: (r.start, r.n_tokens, r.ids_crc32) for i, r in got.items()} == want
-    r = ShardReader((tmp_path / "tokens/shard-0000000.tkb").read_bytes())
+    r = ShardReader((tmp_path / "tokens/shard-0000000-000000.tkb").read_bytes())
     assert r.ids(70, 900).tolist() == all_ids[70:970]
     assert token_file(empty, path).count() == 0
 
@@ -197,6 +197,22 @@ def test_token_shards_of_nameless_rows(spark, tmp_path):
     assert sorted(map(tuple, T.read_token_shards(spark, folder, again).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_token_shards_go_on_in_other_files(spark, tmp_path):
+    """A shard beyond file_bytes is several files, also within the rows of one doc_id; what is read is the same."""
+    from lorespan.llm import token_file as T
+
+    rows = [(k // 3 if k < 60 else 7, f"some words of row {k} " * (1 + k % 5)) for k in range(150)] + [(None, "x y z")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = TOKENIZERS.path("word_bpe_49k.json")
+    one = T.write_token_shards(df, path, str(tmp_path / "one"), 1)
+    many = T.write_token_shards(df, path, str(tmp_path / "many"), 1, file_bytes=300)
+    assert many.count() > 5 * one.count() and many.agg(F.max("part")).first()[0] > 3
+    read = lambda f, s: sorted(map(tuple, T.read_token_shards(spark, str(tmp_path / f), s).collect()), key=str)
+    assert read("many", many) == read("one", one)
+    sizes = [p.stat().st_size for p in (tmp_path / "many").glob("*.tkb")]
+    assert max(sizes) < 300 + 2 * 200 + 24 * 40
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 15, 16, 17, 32])
 def test_bit_packing(bits):
     from lorespan.llm.token_file import pack, unpack
