@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespan.operators.identity import global_rank
-from lorespan.operators.stats import medians
+from lorespan.operators.stats import PRIME, coefficients, medians
 from lorespan.sources.folders import stored, tables
 
 
@@ -83,19 +84,21 @@ def _log_factorial(n: Column) -> Column:
     return F.when(n < 15, F.log(F.factorial(F.greatest(F.lit(0), n.cast("int"))).cast("double"))).otherwise(series)
 
 
-def running_enrichment(ranked: DataFrame, sets: DataFrame, gene: str, total: int | None = None) -> DataFrame:
-    """set, score (the running sum's greatest excursion), at (its rank) of sets(set, gene) along ranked(rank, gene), of total genes (counted if not given)."""
-    n_all = ranked.agg(F.count("*").alias("n_all")) if total is None else ranked.sparkSession.range(1).select(F.lit(total).alias("n_all"))
-    # only the members' ranks matter: the sum falls evenly between them, so extremes are at members or just before them
-    rows = sets.join(ranked.select(gene, "rank"), gene)
-    sized = rows.groupBy("set").agg(F.count("*").alias("m"))
-    rows = rows.join(sized, "set").crossJoin(F.broadcast(n_all))  # one row
-    rows = rows.withColumn("i", F.row_number().over(W.partitionBy("set").orderBy("rank")))
+def running_enrichment(ranked: DataFrame, sets: DataFrame, gene: str) -> DataFrame:
+    """set, score (the running sum's greatest excursion), at (its rank) of sets(set, gene) along ranked(rank, gene)."""
+    n_all = ranked.agg(F.count("*").alias("n_all"))
+    return _excursions(sets.join(ranked.select(gene, "rank"), gene).crossJoin(F.broadcast(n_all)), ["set"])  # one row
+
+
+def _excursions(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, score, at of the members' rows(by, rank, n_all). Only their ranks matter: the sum falls evenly between them, so extremes are at members or just before them."""
+    sized = rows.groupBy(*by).agg(F.count("*").alias("m"))
+    rows = rows.join(sized, by).withColumn("i", F.row_number().over(W.partitionBy(*by).orderBy("rank")))
     after = F.col("i") / F.col("m") - (F.col("rank") - F.col("i")) / (F.col("n_all") - F.col("m"))
     before = (F.col("i") - 1) / F.col("m") - (F.col("rank") - F.col("i")) / (F.col("n_all") - F.col("m"))
-    points = rows.select("set", F.explode(F.array(F.struct(after.alias("s"), F.col("rank").alias("at")), F.struct(before.alias("s"), (F.col("rank") - 1).alias("at")))).alias("p"))
-    best = points.groupBy("set").agg(F.max_by("p", F.struct(F.round(F.abs("p.s"), 9), -F.col("p.at"))).alias("p"))
-    return best.select("set", F.round("p.s", 6).alias("score"), F.col("p.at").alias("at"))
+    points = rows.select(*by, F.explode(F.array(F.struct(after.alias("s"), F.col("rank").alias("at")), F.struct(before.alias("s"), (F.col("rank") - 1).alias("at")))).alias("p"))
+    best = points.groupBy(*by).agg(F.max_by("p", F.struct(F.round(F.abs("p.s"), 9), -F.col("p.at"))).alias("p"))
+    return best.select(*by, F.round("p.s", 6).alias("score"), F.col("p.at").alias("at"))
 
 
 def leading_edge(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame) -> DataFrame:
@@ -104,17 +107,48 @@ def leading_edge(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFram
     return rows.filter(F.when(F.col("score") >= 0, F.col("rank") <= F.col("at")).otherwise(F.col("rank") > F.col("at"))).select("set", gene, "rank")
 
 
-def enrichment_pvalues(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame, n: int = 100) -> DataFrame:
-    """set, score, p: the share of n hash-drawn orders of the genes whose score is at least as far from 0."""
+#: Rounds in which an order's bijection swaps places.
+ROUNDS = 32
+
+
+def order_keys(replica: int) -> list[int]:
+    """Four numbers below PRIME for each round of an order, from MD5."""
+    return [x for r in range(ROUNDS) for x in coefficients("order", replica * ROUNDS + r)]
+
+
+def shuffled(places: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+    """Where an order of n things puts those at places: a bijection on 0 ... n - 1 that needs no other thing's place.
+
+    In each round, a place and its partner (a key less it, modulo n) swap or not, by a bit of the hash of the greater of
+    the two.
+    """
+    x = places
+    for k, a, b, c in np.array(keys, np.int64).reshape(-1, 4):
+        y = (k % n + n - x) % n
+        g = np.maximum(x, y)
+        x = np.where(((a * g + b) % PRIME * g + c) % PRIME % 2 == 1, y, x)
+    return x
+
+
+def enrichment_pvalues(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame, n: int = 1_000) -> DataFrame:
+    """set, score, p: the share of n orders of the genes in which the set's score is at least as far from 0.
+
+    An order is a keyed bijection on ranks, so the members' ranks in it follow from their own alone: there are members
+    times orders rows, and no gene outside the sets is moved or sorted.
+    """
     total = ranked.count()
-    order = F.md5(F.concat(F.col(gene).cast("string"), F.lit(":"), F.col("rep").cast("string")))
-    reps = ranked.select(gene, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    dealt = global_rank(reps.withColumn("h", order), [F.col("rep"), F.col("h"), F.col(gene)], "_r")
-    key = lambda c: F.concat(F.col("rep").cast("string"), F.lit("~"), F.col(c).cast("string"))
-    mixed = dealt.select(key(gene).alias("g"), (F.col("_r") - F.col("rep") * total).alias("rank"))
-    many = sets.select("set", gene, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).select(key("set").alias("set"), key(gene).alias("g"))
-    null = running_enrichment(mixed, many, "g", total).select(F.substring_index("set", "~", -1).alias("_s"), F.col("score").alias("_n"))
-    x = scores.join(null, F.col("set").cast("string") == F.col("_s"))
+    members = sets.join(ranked.select(gene, "rank"), gene).select("set", "rank")
+
+    def mix(batches):
+        for batch in batches:
+            at = batch.column("rank").to_numpy().astype(np.int64) - 1
+            for rep in range(n if len(at) else 0):
+                yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(np.full(len(at), rep, np.int32)), pa.array(shuffled(at, total, order_keys(rep)) + 1)], names=["set", "rep", "rank"])
+
+    kind = members.schema["set"].dataType.simpleString()
+    mixed = members.mapInArrow(mix, f"`set` {kind}, rep int, rank long").withColumn("n_all", F.lit(total))
+    null = _excursions(mixed, ["set", "rep"]).select("set", F.col("score").alias("_n"))
+    x = scores.select("set", "score").join(null, "set")
     return x.groupBy("set", "score").agg(F.round(F.avg((F.abs("_n") >= F.abs("score")).cast("double")), 6).alias("p"))
 
 

@@ -90,14 +90,24 @@ def leading_edge(s, d):
     return D.leading_edge(ranked, sets, "g", D.running_enrichment(ranked, sets, "g"))
 
 
+def _order_sql() -> str:
+    """x of r(st, rep, n, x, c), through the rounds of an order's bijection: c holds four numbers for each."""
+    sql = "r"
+    for k in range(D.ROUNDS):
+        y = f"((c[{4 * k + 1}] % n + n - x) % n)"
+        sql = f"(SELECT st, rep, n, c, CASE WHEN ((c[{4 * k + 2}] * greatest(x, {y}) + c[{4 * k + 3}]) % 2147483647 * greatest(x, {y}) + c[{4 * k + 4}]) % 2147483647 % 2 = 1 THEN {y} ELSE x END AS x FROM {sql})"
+    return sql
+
+
 @query(
-    f"WITH {_ES}, r AS (SELECT rep, p_partkey AS g, p_brand AS st, row_number() OVER (PARTITION BY rep ORDER BY md5(p_partkey || ':' || rep), p_partkey) AS rank, count(*) OVER (PARTITION BY rep) AS n, count(*) OVER (PARTITION BY rep, p_brand) AS m FROM part, range(10) t(rep)), "
-    "i AS (SELECT *, row_number() OVER (PARTITION BY rep, st ORDER BY rank) AS i FROM r), v AS (SELECT rep, st, i / m - (rank - i) / (n - m) AS s, rank AS ra FROM i UNION ALL SELECT rep, st, (i - 1) / m - (rank - i) / (n - m), rank - 1 FROM i), "
+    f"WITH {_ES}, co AS (SELECT rep, [CAST('0x' || substr(md5('order:' || (rep * {D.ROUNDS} + j // 4)), CAST(8 * (j % 4) + 1 AS INT), 8) AS BIGINT) % 2147483647 for j in range({4 * D.ROUNDS})] AS c FROM range(1000) t(rep)), "
+    "r AS (SELECT p_brand AS st, rep, count(*) OVER (PARTITION BY rep) AS n, row_number() OVER (PARTITION BY rep ORDER BY p_retailprice DESC, p_partkey) - 1 AS x, c FROM part, co), "
+    f"i AS (SELECT st, rep, n, x + 1 AS rank, row_number() OVER (PARTITION BY rep, st ORDER BY x) AS i, count(*) OVER (PARTITION BY rep, st) AS m FROM {_order_sql()}), v AS (SELECT rep, st, i / m - (rank - i) / (n - m) AS s, rank AS ra FROM i UNION ALL SELECT rep, st, (i - 1) / m - (rank - i) / (n - m), rank - 1 FROM i), "
     "b AS (SELECT rep, st, round(arg_max(s, (round(abs(s), 9), -ra)), 6) AS s FROM v GROUP BY ALL) SELECT es.set AS \"set\", score, round(avg(CASE WHEN abs(s) >= abs(score) THEN 1.0 ELSE 0.0 END), 6) AS p FROM es JOIN b ON st = es.set GROUP BY ALL"
 )
 def enrichment_pvalues(s, d):
     ranked, sets = _ranked(s, d)
-    return D.enrichment_pvalues(ranked, sets, "g", D.running_enrichment(ranked, sets, "g"), 10)
+    return D.enrichment_pvalues(ranked, sets, "g", D.running_enrichment(ranked, sets, "g"), 1_000)
 
 
 @query("SELECT l_partkey, n_cells, CASE WHEN n_cells < 25 THEN 'few_cells' END AS reason FROM (SELECT l_partkey, count(DISTINCT l_orderkey) FILTER (l_quantity > 0) AS n_cells FROM lineitem GROUP BY 1)")

@@ -61,9 +61,9 @@ def open_questions(s, d):
     return G.open_questions(docs.select("id", F.regexp_replace("text", r"(?m)^### .*$", "### Open Questions").alias("text")))
 
 
-@query(f"WITH {ENTRIES}, r AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id) AS rank, count(*) OVER () AS t FROM entries) SELECT id, rank FROM r WHERE rank <= 30 OR (rank - 31) % greatest(1, (t - 30) // 30) = 0")
+@query(f"WITH {ENTRIES}, r AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id) AS rank, count(*) OVER () AS t FROM entries) SELECT id, rank FROM r WHERE rank <= 250 OR (rank - 251) % greatest(1, (t - 250) // 250) = 0")
 def sample_newest(s, d):
-    return G.sample_newest(entries(s, d).select("id", "date"), 60).select("id", "rank")
+    return G.sample_newest(entries(s, d).select("id", "date")).select("id", "rank")
 
 
 @query(

@@ -114,7 +114,7 @@ def suggest_action(s, d):
 
 _CT = """wo AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), lambda x: x NOT IN ('the', 'and')) AS w FROM documents),
 te AS (SELECT id, unnest(list_concat(w, [w[k] || ' ' || w[k + 1] for k in range(1, len(w))])) AS term FROM wo), tf AS (SELECT id, term, count(*) AS tf FROM te GROUP BY ALL),
-ke AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 500),
+ke AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 5000),
 we AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN ke USING (term)), un AS (SELECT id, term, w / sqrt(sum(w ** 2) OVER (PARTITION BY id)) AS u FROM we),
 sz AS (SELECT doc_id % 4 AS cluster, count(*) AS size FROM documents GROUP BY 1), me AS (SELECT id % 4 AS cluster, term, round(sum(u) / any_value(size), 6) AS score FROM un JOIN sz ON cluster = id % 4 GROUP BY ALL),
 ct AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS INT) AS k, term, score FROM me QUALIFY k <= 10)"""
@@ -122,7 +122,7 @@ ct AS (SELECT cluster, CAST(row_number() OVER (PARTITION BY cluster ORDER BY sco
 
 def _terms(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return S.cluster_terms(docs, docs.select("id", (F.col("id") % 4).alias("cluster")), ("the", "and"), features=500)
+    return S.cluster_terms(docs, docs.select("id", (F.col("id") % 4).alias("cluster")), ("the", "and"))
 
 
 @query(f"WITH {_CT} SELECT cluster, k, term, score FROM ct")
