@@ -205,9 +205,42 @@ def excel_damage(df: DataFrame, column: str) -> DataFrame:
     return _exploded(a, [_row("excel_damage", column, k, F.col(k), F.lit(0), F.col(k) > 0, F.col("n")) for k in ("date", "exponent")])
 
 
-def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, n_null, n_unique, min, max, mean, std, n_outside (beyond 3 SD) of numeric columns; two passes over all of them at once."""
-    stats = df.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("u", F.countDistinct), ("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))), F.count("*").alias("_all"))
+#: Gene symbols that spreadsheets take for dates, by family, and the families' names since.
+RENAMED_FAMILIES = {"MARCH": ("MARCHF", 11), "SEPT": ("SEPTIN", 14)}
+RENAMED_SINGLE = {"DEC1": "DELEC1"}
+#: Rows and columns of a worksheet.
+SHEET_ROWS, SHEET_COLUMNS = 1_048_576, 16_384
+
+
+def renamed_symbols(df: DataFrame, column: str) -> DataFrame:
+    """symbol, current, n: old symbols in the column, whatever their case, with the names they have now."""
+    names = [(f"{old}{k}", f"{new}{k}") for old, (new, most) in RENAMED_FAMILIES.items() for k in range(1, most + 1)] + list(RENAMED_SINGLE.items())
+    table = df.sparkSession.createDataFrame(names, "symbol string, current string")  # a few rows
+    found = df.groupBy(F.upper(F.trim(column)).alias("symbol")).agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(table), "symbol").select("symbol", "current", "n")
+
+
+def sheet_limits(df: DataFrame, n_columns: int | None = None) -> DataFrame:
+    """Whether a table of so many rows (with its heading) and columns fits a worksheet, as it stands and turned on its side. A table that just fills one may have been cut there."""
+    width = len(df.columns) if n_columns is None else n_columns
+    a = df.agg((F.count("*") + 1).alias("n")).withColumn("w", F.lit(width).cast("long"))
+    over = lambda rows, columns: (rows >= SHEET_ROWS) | (columns >= SHEET_COLUMNS)
+    n, w = F.col("n"), F.col("w")
+    return _exploded(a, [_row("sheet_limits", None, "rows", n, F.lit(SHEET_ROWS), n >= SHEET_ROWS, n), _row("sheet_limits", None, "columns", w, F.lit(SHEET_COLUMNS), w >= SHEET_COLUMNS, n), _row("sheet_limits", None, "either way", F.greatest(n, w), F.lit(SHEET_ROWS), over(n, w) & over(w, n), n)])
+
+
+def profile(df: DataFrame, columns: list[str], sketch: bool = False) -> DataFrame:
+    """column, n, n_null, n_unique, min, max, mean, std, n_outside (beyond 3 SD) of numeric columns; two passes over all of them at once.
+
+    n_unique is exact, from a pass over each column alone, so no row is multiplied by the columns; with sketch it comes
+    from the first pass, by a mergeable sketch of bounded size (within some 5 %).
+    """
+    unique = F.approx_count_distinct if sketch else lambda c: F.lit(None).cast("long")
+    stats = df.agg(*(f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("n", F.count), ("u", unique), ("lo", F.min), ("hi", F.max), ("m", F.avg), ("s", F.stddev_samp))), F.count("*").alias("_all"))
+    if not sketch:
+        one = lambda c: df.select(F.col(c).cast("double").alias("_v")).filter("_v is not null").groupBy("_v").agg(F.lit(1)).agg(F.count("*").alias("n")).select(F.lit(c).alias("c"), "n")
+        counts = reduce(DataFrame.unionByName, map(one, columns)).groupBy().pivot("c", columns).agg(F.first("n"))  # a row
+        stats = stats.drop(*(f"u_{c}" for c in columns)).crossJoin(counts.select(*(F.col(f"`{c}`").alias(f"u_{c}") for c in columns)))
     far = df.crossJoin(F.broadcast(stats)).agg(*(F.count_if(F.abs(F.col(c).cast("double") - F.col(f"m_{c}")) > 3 * F.col(f"s_{c}")).alias(f"far_{c}") for c in columns))
     rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n"), (F.col("_all") - F.col(f"n_{c}")).alias("n_null"), F.col(f"u_{c}").alias("n_unique"), F.col(f"lo_{c}").alias("min"), F.col(f"hi_{c}").alias("max"), F.round(f"m_{c}", 5).alias("mean"), F.round(f"s_{c}", 5).alias("std"), F.col(f"far_{c}").alias("n_outside")) for c in columns))
     return stats.crossJoin(far).select(F.explode(rows).alias("r")).select("r.*")

@@ -37,6 +37,13 @@ def pseudobulk(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum(n).alias("total"))
 
 
+def volcano_labels(df: DataFrame, gene: str, fc: str, p: str, n: int = 10, min_fc: float = 1.0, max_p: float = 0.05) -> DataFrame:
+    """class, k, gene: the n surest of those up and of those down, by p, then by the size of the change, then by name."""
+    sure = volcano_classes(df, fc, p, min_fc, max_p).filter(F.col("class") != "none")
+    place = F.row_number().over(W.partitionBy("class").orderBy(F.col(p), F.desc(F.abs(fc)), F.col(gene)))
+    return sure.withColumn("k", place).filter(F.col("k") <= n).select("class", "k", gene)
+
+
 def volcano_classes(df: DataFrame, fc: str, p: str, min_fc: float = 1.0, max_p: float = 0.05) -> DataFrame:
     """df with class: up, down or none."""
     sure = F.col(p) < max_p

@@ -98,6 +98,19 @@ def quick_reference(entries: DataFrame, logs: DataFrame | None = None, large: in
     return out.drop("_p")
 
 
+def findings_summary(findings: DataFrame, shown: int = 5) -> DataFrame:
+    """project, n_findings, n_topics, updated, topics of findings(project, topic, text, changed), a row for each topic's file.
+
+    Findings are the second-level headings with an id (F-). topics names the last changed ones (ties by name) and how many more.
+    """
+    own = findings.select("project", "topic", "changed", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: F.startswith(x, F.lit("## F-")))).alias("n"))
+    rows = own.withColumn("k", F.row_number().over(W.partitionBy("project").orderBy(F.desc_nulls_last("changed"), "topic")))
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= shown, F.struct("k", "topic")))), lambda x: x["topic"]), ", ")  # nulls are not collected
+    out = rows.groupBy("project").agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_topics"), F.date_format(F.max("changed"), "yyyy-MM-dd").alias("updated"), first.alias("topics"))
+    more = F.when(F.col("n_topics") > shown, F.concat(F.lit(", +"), F.col("n_topics") - shown, F.lit(" more"))).otherwise("")
+    return out.withColumn("topics", F.concat("topics", more))
+
+
 def session_stats(events: DataFrame, shown: int = 3) -> DataFrame:
     """session, minutes, n_files, files of events(session, ts, path): the first names and how many more."""
     stats = events.groupBy("session").agg(F.floor((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 60_000_000).alias("minutes"), F.countDistinct("path").alias("n_files"))
@@ -121,10 +134,14 @@ def read_telemetry(reads: DataFrame) -> DataFrame:
     return reads.groupBy("path", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-def corpus_summary(entries: DataFrame) -> DataFrame:
-    """One row: how many entries of each kind, and the newest date."""
+def corpus_summary(entries: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """One row: how many entries of each kind, and the newest date; with sessions(name, date) also how many, and the last one's name and date."""
     of = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
-    return entries.agg(*(of(k) for k in ("learning", "decision", "finding", "convention")), F.max("date").alias("newest"), F.count("*").alias("n_entries"))
+    out = entries.agg(*(of(k) for k in ("learning", "decision", "finding", "convention")), F.max("date").alias("newest"), F.count("*").alias("n_entries"))
+    if sessions is not None:
+        last = F.max(F.struct("date", "name"))
+        out = out.crossJoin(sessions.agg(F.count("*").alias("n_sessions"), last["name"].alias("last_session"), last["date"].alias("last_date")))  # a row each
+    return out
 
 
 def projected_coverage(entries: DataFrame, edges: DataFrame) -> DataFrame:
@@ -155,8 +172,12 @@ def lineage_manifest(events: DataFrame) -> DataFrame:
 
     Missing agents are 'main'. total_wall is null when nothing was timed, and rounded half to even. inputs, outputs and
     scripts list each once, in the order in which they first came; first_script is that of the earliest event. If events
-    has git_sha or warnings, the first sha and the distinct warnings are there too. A session is held by one task.
+    has git_sha or warnings, the first sha and the distinct warnings are there too. Scripts without a name that have a
+    script_sha256 (source given on the command line) are named by it. Each value's first place is found before a
+    session's lists are put together, so a task holds what is different in a session and not all its events.
     """
+    if "script_sha256" in events.columns:
+        events = events.withColumn("script", F.coalesce("script", F.concat(F.lit("(inline "), F.substring("script_sha256", 1, 12), F.lit(")"))))
     base = events.groupBy("session").agg(
         F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n_actions"),
         F.array_join(F.array_sort(F.collect_set(F.coalesce("agent", F.lit("main")))), ",").alias("agents"),
@@ -164,14 +185,22 @@ def lineage_manifest(events: DataFrame) -> DataFrame:
         F.count_if(F.col("exit_code") == 0).alias("n_passed"), F.count_if(F.col("exit_code") != 0).alias("n_failed"), F.count_if(F.col("exit_code").isNull()).alias("n_unknown"),
         F.min_by("script", F.struct("ts", "seq")).alias("first_script"),
     )
-    once = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", c.alias("x")))), lambda e: F.coalesce(e["x"], F.array().cast("array<string>")))))
+
+    def once(values: Column, name: str) -> DataFrame:
+        each = events.select("session", "ts", "seq", F.posexplode(values).alias("j", "x")).filter("x is not null")
+        first = each.groupBy("session", "x").agg(F.min(F.struct("ts", "seq", "j")).alias("at"))
+        return first.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias(name))
+
     more = []
     if "git_sha" in events.columns:
         more.append(F.min_by("git_sha", F.when(F.col("git_sha").isNotNull(), F.struct("ts", "seq"))).alias("git_sha"))
     if "warnings" in events.columns:
-        more.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"))
-    lists = events.groupBy("session").agg(once(F.col("inputs")).alias("inputs"), once(F.col("outputs")).alias("outputs"), once(F.array("script")).alias("scripts"), *more)
-    rows = base.join(lists, "session")
+        found = events.select("session", F.explode("warnings").alias("x")).filter("x is not null").groupBy("session").agg(F.array_sort(F.collect_set("x")).alias("warnings"))
+    rows = base if not more else base.join(events.groupBy("session").agg(*more), "session")
+    lists = [once(F.col("inputs"), "inputs"), once(F.col("outputs"), "outputs"), once(F.array("script"), "scripts"), *([found] if "warnings" in events.columns else [])]
+    for part in lists:
+        name = part.columns[1]
+        rows = rows.join(part, "session", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return rows.select("*", F.size("inputs").cast("long").alias("n_inputs"), F.size("outputs").cast("long").alias("n_outputs"))
 
 

@@ -217,6 +217,13 @@ def bootstrap_ci(means: DataFrame, low: float = 0.025, high: float = 0.975) -> D
     return ranked.agg(at(low).alias("lo"), at(high).alias("hi"))
 
 
+def outlier_removed_rerun(df: DataFrame, label: Column, value: str, sds: float = 3.0) -> DataFrame:
+    """effect_size() of the rows whose value lies within so many standard deviations of the mean, and how many others (and rows without value) there were."""
+    c = df.agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
+    marked = df.crossJoin(F.broadcast(c)).withColumn("_in", F.coalesce(F.abs(F.col(value) - F.col("_m")) <= sds * F.col("_s"), F.lit(False)))  # one row
+    return effect_size(marked.filter("_in"), label, value).crossJoin(marked.agg(F.count_if(~F.col("_in")).alias("n_removed")))
+
+
 def effect_size(df: DataFrame, label: Column, value: str) -> DataFrame:
     """mean_diff, cohens_d, hedges_g, log2_fc of value where label, against the others."""
     a, b = F.when(label, F.col(value)), F.when(~label, F.col(value))

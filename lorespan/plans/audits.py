@@ -166,6 +166,26 @@ def statcheck(s, d):
     return U.statcheck(o, "o_orderkey", "z", "p", 0.00051)
 
 
+#: Statistics whose p has a closed form: t with 1 and 2 degrees of freedom, chi-squared with 2 and 4, F with 2 and any, r of 4 pairs.
+_CLOSED = {
+    "t1": ("t", "v", 1, 0, "1 - 2 / pi() * atan(v)"), "t2": ("t", "v", 2, 0, "1 - v / sqrt(2 + v * v)"), "c2": ("chi2", "v * 4", 2, 0, "exp(-v * 2)"), "c4": ("chi2", "v * 4", 4, 0, "exp(-v * 2) * (1 + v * 2)"),
+    "f": ("F", "v", 2, 9, "pow(1 + 2 * v / 9, -4.5)"), "r": ("r", "v / 4", 2, 0, "1 - v / 4"),
+}
+
+
+@query(
+    "WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey % 400 AS DOUBLE) / 100 AS v FROM orders), s AS (" + " UNION ALL ".join(f"SELECT '{n}-' || k AS id, k, {p} AS own FROM o" for n, (_, _, _, _, p) in _CLOSED.items()) + ") SELECT "
+    + sel("statcheck", "'p'", "id", "round(round(own, 4) + CASE WHEN k % 9 = 0 THEN 0.01 ELSE 0 END, 6)", "round(own, 6)", "k % 9 = 0", "1") + " FROM s"
+)
+def statistic_check(s, d):
+    from lorespan.operators import tails
+
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("k"), ((F.col("o_orderkey") % 400).cast("double") / 100).alias("v"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(kind).alias("kind"), F.expr(f"CAST({stat} AS DOUBLE)").alias("stat"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.expr(p).alias("own")) for n, (kind, stat, a, b, p) in _CLOSED.items()))
+    rows = o.withColumn("x", F.explode(kinds)).select(F.concat_ws("-", "x.name", F.col("k").cast("string")).alias("id"), "x.kind", "x.stat", "x.a", "x.b", (F.round("x.own", 4) + F.when(F.col("k") % 9 == 0, 0.01).otherwise(0.0)).alias("p"))
+    return tails.statistic_check(rows, "id", "kind", "stat", "a", "b", "p")
+
+
 @query("WITH x AS (SELECT p_partkey % 10 AS a, p_size % 10 AS b FROM part) " + _union(*(sel("intervals", "'a,b'", f"'{k}'", f"count(*) FILTER ({c})", "0", f"count(*) FILTER ({c}) > 0", "count(*)", v) + " FROM x" for k, c, v in (("reversed", "a > b", "error"), ("empty", "a = b", "warning"), ("zero_based", "a = 0", "warning")))))
 def interval_check(s, d):
     return U.interval_check(table(s, d, "part").select((F.col("p_partkey") % 10).alias("a"), (F.col("p_size") % 10).alias("b")), "a", "b")

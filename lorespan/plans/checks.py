@@ -344,6 +344,18 @@ def excel_damage(s, d):
     return C.excel_damage(table(s, d, "part").select(F.when(k % 9 == 0, F.concat(F.col("p_size").cast("string"), F.lit("-Mar"))).when(k % 11 == 0, "2.3E+05").otherwise(F.col("p_brand")).alias("gene")), "gene")
 
 
+@query("WITH x AS (SELECT CASE WHEN p_partkey % 7 = 0 THEN 'Sept' || (p_size % 20) WHEN p_partkey % 11 = 0 THEN 'MARCH' || (p_size % 13) WHEN p_partkey % 13 = 0 THEN 'DEC1' ELSE p_brand END AS g FROM part), y AS (SELECT upper(g) AS symbol, count(*) AS n FROM x GROUP BY 1) SELECT symbol, CASE WHEN symbol = 'DEC1' THEN 'DELEC1' WHEN symbol LIKE 'SEPT%' THEN 'SEPTIN' || substr(symbol, 5) ELSE 'MARCHF' || substr(symbol, 6) END AS current, n FROM y WHERE symbol = 'DEC1' OR regexp_matches(symbol, '^(SEPT([1-9]|1[0-4])|MARCH([1-9]|1[01]))$')")
+def renamed_symbols(s, d):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    g = F.when(k % 7 == 0, F.concat(F.lit("Sept"), (n % 20).cast("string"))).when(k % 11 == 0, F.concat(F.lit("MARCH"), (n % 13).cast("string"))).when(k % 13 == 0, "DEC1").otherwise(F.col("p_brand"))
+    return C.renamed_symbols(table(s, d, "part").select(g.alias("g")), "g")
+
+
+@query("WITH a AS (SELECT count(*) + 1 AS n, 20000 AS w FROM lineitem) " + " UNION ALL ".join("SELECT " + sel("sheet_limits", "NULL", f"'{k}'", v, e, b, "n") + " FROM a" for k, v, e, b in (("rows", "n", "1048576", "n >= 1048576"), ("columns", "w", "16384", "w >= 16384"), ("either way", "greatest(n, w)", "1048576", "(n >= 1048576 OR w >= 16384) AND (w >= 1048576 OR n >= 16384)"))))
+def sheet_limits(s, d):
+    return C.sheet_limits(_line(s, d), 20_000)
+
+
 _P = ("l_quantity", "l_discount", "l_suppkey")
 
 

@@ -40,6 +40,14 @@ def pseudobulk(s, d):
     return D.pseudobulk(_line(s, d), ["l_suppkey", "l_returnflag"], "l_quantity")
 
 
+@query(
+    "WITH x AS (SELECT l_partkey, avg(l_discount) AS p, log2(avg(l_quantity) / 25) AS fc FROM lineitem GROUP BY 1), c AS (SELECT *, CASE WHEN fc > 0 THEN 'up' ELSE 'down' END AS class FROM x WHERE p < 0.05 AND abs(fc) >= 0.1) SELECT class, CAST(k AS INT) AS k, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p, abs(fc) DESC, l_partkey) AS k FROM c) WHERE k <= 10"
+)
+def volcano_labels(s, d):
+    x = _line(s, d).groupBy("l_partkey").agg(F.avg("l_discount").alias("p"), F.log2(F.avg("l_quantity") / 25).alias("fc"))
+    return D.volcano_labels(x, "l_partkey", "fc", "p", 10, 0.1)
+
+
 @query("SELECT l_partkey, CASE WHEN p < 0.05 AND fc >= 0.2 THEN 'up' WHEN p < 0.05 AND fc <= -0.2 THEN 'down' ELSE 'none' END AS class FROM (SELECT l_partkey, avg(l_discount) AS p, log2(avg(l_quantity) / 25) AS fc FROM lineitem GROUP BY 1)")
 def volcano_classes(s, d):
     x = _line(s, d).groupBy("l_partkey").agg(F.avg("l_discount").alias("p"), F.log2(F.avg("l_quantity") / 25).alias("fc"))

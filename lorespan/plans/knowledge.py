@@ -207,9 +207,22 @@ def quick_reference(s, d):
     return R.quick_reference(entries(s, d), logs).withColumn("topics", F.md5("topics"))
 
 
-@query(f"WITH {ENTRIES} SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("learning", "decision", "finding", "convention")) + ", max(date) AS newest, count(*) AS n_entries FROM entries")
+@query(f"WITH {ENTRIES} SELECT " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("learning", "decision", "finding", "convention")) + ", max(date) AS newest, count(*) AS n_entries, (SELECT count(DISTINCT conv_id) FROM conversations) AS n_sessions, (SELECT arg_max('s' || conv_id, (conv_id % 97, 's' || conv_id)) FROM conversations) AS last_session, (SELECT max(conv_id % 97) FROM conversations) AS last_date FROM entries")
 def corpus_summary(s, d):
-    return R.corpus_summary(entries(s, d))
+    c = F.col("conv_id")
+    return R.corpus_summary(entries(s, d), table(s, d, "conversations").select(F.concat(F.lit("s"), c.cast("string")).alias("name"), (c % 97).alias("date")).distinct())
+
+
+@query(
+    "WITH f AS (SELECT source AS project, lang || (doc_id % 9) AS topic, max(doc_id) AS m, sum(1 + doc_id % 3) AS n FROM documents GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY DATE '2024-01-01' + CAST(m % 365 AS INT) DESC, topic) AS k, count(*) OVER (PARTITION BY project) AS t FROM f) "
+    "SELECT project, CAST(sum(n) AS BIGINT) AS n_findings, count(*) AS n_topics, strftime(max(DATE '2024-01-01' + CAST(m % 365 AS INT)), '%Y-%m-%d') AS updated, string_agg(topic, ', ' ORDER BY k) FILTER (k <= 5) || CASE WHEN any_value(t) > 5 THEN ', +' || (any_value(t) - 5) || ' more' ELSE '' END AS topics FROM r GROUP BY project"
+)
+def findings_summary(s, d):
+    i = F.col("doc_id")
+    line = F.concat(F.repeat(F.concat(F.lit("## F-"), i.cast("string"), F.lit("\nbody ## F-no\n")), (1 + i % 3).cast("int")), F.lit("### F-9\n"))
+    docs = table(s, d, "documents").select(F.col("source").alias("project"), F.concat("lang", (i % 9).cast("string")).alias("topic"), i, line.alias("line"))
+    topics = docs.groupBy("project", "topic").agg(F.concat_ws("", F.collect_list("line")).alias("text"), F.date_add(F.lit("2024-01-01").cast("date"), (F.max("doc_id") % 365).cast("int")).alias("changed"))
+    return R.findings_summary(topics)
 
 
 @query(f"WITH {ENTRIES} SELECT id, path, date FROM entries ORDER BY date DESC NULLS LAST, path, id LIMIT 10")

@@ -83,9 +83,7 @@ def sequence_gaps(s, d):
     return G.sequence_gaps(table(s, d, "documents").select(F.col("source").alias("report"), F.col("doc_id").alias("id")))
 
 
-@query("WITH c AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) SELECT round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F'), 4) AS mean_diff FROM orders, c WHERE abs(o_totalprice - m) <= 1.5 * s")
+@query("WITH c AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders) SELECT round(avg(o_totalprice) FILTER (o_orderstatus = 'F') - avg(o_totalprice) FILTER (o_orderstatus <> 'F'), 4) AS mean_diff, (SELECT count(*) FROM orders, c WHERE abs(o_totalprice - m) > 1.5 * s) AS n_removed FROM orders, c WHERE abs(o_totalprice - m) <= 1.5 * s")
 def outlier_removed_rerun(s, d):
     o = table(s, d, "orders")
-    c = o.agg(F.avg("o_totalprice").alias("m"), F.stddev_samp("o_totalprice").alias("s"))
-    kept = o.crossJoin(F.broadcast(c)).filter(F.abs(F.col("o_totalprice") - F.col("m")) <= 1.5 * F.col("s"))
-    return S.effect_size(kept, F.col("o_orderstatus") == "F", "o_totalprice").select(F.round("mean_diff", 4).alias("mean_diff"))
+    return S.outlier_removed_rerun(o, F.col("o_orderstatus") == "F", "o_totalprice", 1.5).select(F.round("mean_diff", 4).alias("mean_diff"), "n_removed")
