@@ -159,11 +159,14 @@ def fill_middle(docs: DataFrame, rate: int = 100, spm: int = 50, seed: int = 7,
     return docs.sparkSession.createDataFrame(restored, schema, verifySchema=False)
 
 
-def _parse(rows):
-    """((digest, place in the text), piece) of outputs."""
-    for i, row in enumerate(rows):
+def _parse(split: int, rows):
+    """((digest, place in the text), piece) of outputs. Rows that are alike have keys of their own, by their number in the task."""
+    seen: dict[bytes, int] = {}
+    for row in rows:
         text, form = row["output"] or "", row["form"]
-        key = hashlib.blake2b(f"{i}:{row['doc_id']}:{form}:{text}".encode(), digest_size=16).digest()
+        same = hashlib.blake2b(f"{row['doc_id']}:{form}:{text}".encode(), digest_size=16).digest()
+        seen[same] = seen.get(same, 0) + 1
+        key = hashlib.blake2b(f"{split}:{seen[same]}:".encode() + same, digest_size=16).digest()
         parts = re.split("<([PSM])>", text) if form in ORDER else ["", "P", text]
         whole = form not in ORDER or "".join(parts[1::2]) == ORDER[form] and not parts[0]
         yield (key, HEAD), (row["doc_id"], whole)
@@ -179,7 +182,7 @@ def restore(outputs: DataFrame) -> DataFrame:
     empty. Rows that are alike in all three columns keep a row each.
     """
     rows = outputs.select(F.col("doc_id").cast("long").alias("doc_id"), "form", "output")
-    pieces = rows.rdd.mapPartitions(_parse)
+    pieces = rows.rdd.mapPartitionsWithIndex(_parse)
     sorted_ = pieces.repartitionAndSortWithinPartitions(_homes(rows, "output"), _home)
     found = sorted_.mapPartitions(lambda it: _restored(it, True)).map(lambda r: (r[0], r[2], r[3]) if r[1] else (r[0], None, None))
     return outputs.sparkSession.createDataFrame(found, "doc_id long, restored_sha256 string, text string", verifySchema=False)
