@@ -137,8 +137,8 @@ def test_pii_context_and_checksums(spark):
     assert spans[8] == [("ssn", "123-45-6789", 75)]  # words count up to the match before, so the second has none
     assert spans[9] == [("iban", "DE89 3704 0044 0532 0130 00", 95), ("iban", "GB82WEST12345698765432", 60)]
     assert spans[10] == [("short_card", "378282246310005", 65)]
-    assert spans[11] == [("phone", "+1 555-123-4567", 50), ("local_phone", "555-123-4567", 65)]
-    assert spans[12] == [("birth_date", "1999-12-31", 55)]
+    assert spans[11] == [("phone", "+1 555-123-4567", 85), ("local_phone", "555-123-4567", 65)]
+    assert spans[12] == [("birth_date", "1999-12-31", 55)] * 2  # the second by the word after it; the third has no such month
 
 
 def test_redaction(spark):
