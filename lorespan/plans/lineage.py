@@ -128,14 +128,14 @@ def stream_append(s, d):
     return s.read.schema("event_id long, user_id long, event_type string, props string").json(_run(s, d, J.stream_append, "append") + "/rows")
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events")
 def stream_activity_distinct(s, d):
     return s.read.parquet(_run(s, d, J.stream_activity_distinct, "distinct") + "/rows")
 
 
-@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NULL OR before = 'purchase'")
+@query("SELECT user_id, event_id FROM (SELECT user_id, event_id, lag(event_type) OVER w AS before, ts - lag(ts) OVER w AS quiet FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE before IS NULL OR before = 'purchase' OR quiet > INTERVAL 7 DAY")
 def stream_debounce(s, d):
-    return s.read.schema("user_id long, event_id long").parquet(_run(s, d, J.stream_debounce, "debounce") + "/rows").select("user_id", "event_id")
+    return s.read.parquet(_run(s, d, J.stream_debounce, "debounce") + "/rows")
 
 
 @query(

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 SCHEMA = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 #: Quiet time after which a session is over, and how late events may come.
@@ -76,38 +80,85 @@ def latest_manifest(spark: SparkSession, out: str) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(W.partitionBy("user_id", "day").orderBy(F.desc("batch")))).filter("k = 1").drop("k", "batch", "b")
 
 
-def stream_activity_distinct(events: DataFrame, out: str) -> StreamingQuery:
-    """user_id, event_type, each pair once."""
-    return _start(events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]), out, "append", None)
-
-
-def stream_debounce(events: DataFrame, out: str, cycle_end: str = "purchase") -> StreamingQuery:
-    """user_id, event_id of the first event of each user's work cycle; an event of type cycle_end closes the cycle.
-
-    Within a batch an event opens a cycle if the one before it closed one: a lag over the user's events. What a user's
-    last event was is kept between batches as a table of one row for each user, a new one for each batch, so that a
-    repeated batch starts from the same state. Events come in order from batch to batch.
+def stream_activity_distinct(events: DataFrame, out: str, late: str = LATE) -> StreamingQuery:
+    """user_id, day, event_type: each kind of event once in a session (user and day). Days that the watermark has passed leave the state; events later than that are dropped."""
+    rows = events.withWatermark("ts", late).select(F.window("ts", "1 day"), "user_id", "event_type").dropDuplicates(["window", "user_id", "event_type"])
+    return _start(rows.select("user_id", F.to_date("window.start").alias("day"), "event_type"), out, "append", None)
+
+
+#: Quiet time after which a user's work cycle is over without an event that ends it.
+QUIET = "7 days"
+#: The state store that keyed state with timers needs.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Cycles(StatefulProcessor):
+    """A user's open cycle: the time of its last event, while it is open. An event that ends the cycle clears it, and so does a timer once the watermark is past the quiet time."""
+
+    def __init__(self, cycle_end: str, quiet_us: int):
+        self.cycle_end, self.quiet = cycle_end, quiet_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts_us long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # a user's events of one micro-batch as three arrays: 17 bytes an event
+        parts = [(r["ts_us"].to_numpy(), r["event_id"].to_numpy(), (r["event_type"] == self.cycle_end).to_numpy(bool)) for r in rows]
+        ts, ids, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ids, ts))
+        ts, ids, ends = ts[order], ids[order], ends[order]
+        first = np.empty(len(ts), bool)
+        first[1:] = ends[:-1] | (np.diff(ts) > self.quiet)
+        before = self.last.get() if self.last.exists() else None
+        first[0] = before is None or int(ts[0]) - before[0] > self.quiet
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if ends[-1]:
+            self.last.clear()
+        else:
+            self.last.update((int(ts[-1]),))
+            self.handle.registerTimer((int(ts[-1]) + self.quiet) // 1000 + 1)
+        if first.any():
+            yield pd.DataFrame({"user_id": np.full(int(first.sum()), key[0]), "event_id": ids[first]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_debounce(events: DataFrame, out: str, cycle_end: str = "purchase", quiet: str = QUIET, late: str = LATE) -> StreamingQuery:
+    """user_id, event_id of the first event of each user's work cycle.
+
+    A cycle ends with an event of type cycle_end, or when the user's next event comes more than quiet later. State is one
+    time for each user with an open cycle, touched only for the users of a batch, and goes by a timer once the watermark has
+    passed it by quiet: no event still let in could go on with that cycle, so rows don't depend on when the timer fires.
+    Events come in order from batch to batch; those later than late are dropped, and so are those without user_id, ts or
+    event_id. A task holds one user's events of one micro-batch (17 bytes each): maxFilesPerTrigger bounds the batch.
     """
-
-    def sink(batch: DataFrame, k: int) -> None:
-        spark = batch.sparkSession
-        kept = [f for f in _children(spark, f"{out}/state") if int(f.rsplit("=", 1)[1]) < k]
-        before = spark.read.schema("user_id long, last_type string").parquet(max(kept, key=lambda f: int(f.rsplit("=", 1)[1]))) if kept else spark.createDataFrame([], "user_id long, last_type string")
-        w = W.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = batch.select("user_id", "event_id", "event_type", "ts").withColumn("_lag", F.lag("event_type").over(w))
-        rows = rows.join(before, "user_id", "left").withColumn("_before", F.coalesce("_lag", "last_type"))
-        rows.filter(F.col("_before").isNull() | (F.col("_before") == cycle_end)).select("user_id", "event_id").write.mode("overwrite").parquet(f"{out}/rows/b={k}")
-        now = batch.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("_now"))
-        state = before.join(now, "user_id", "full").select("user_id", F.coalesce("_now", "last_type").alias("last_type"))
-        state.write.mode("overwrite").parquet(f"{out}/state/b={k}")
-
-    return _start(events, out, "append", sink)
-
-
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return [x.getPath().toString() for x in store.listStatus(path)] if store.exists(path) else []
+    quiet_us = int(events.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP_SECONDS(0) + INTERVAL {quiet})").head()[0])
+    rows = events.filter("user_id IS NOT NULL AND ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", late)
+    rows = rows.select("ts", "user_id", "event_id", F.unix_micros("ts").alias("ts_us"), F.coalesce("event_type", F.lit("")).alias("event_type"))
+    firsts = rows.groupBy("user_id").transformWithStateInPandas(_Cycles(cycle_end, quiet_us), "user_id long, event_id long", "append", "EventTime")
+    with _setting(events.sparkSession, "spark.sql.streaming.stateStore.providerClass", ROCKS):
+        return _start(firsts, out, "append", None)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    """A setting while a stream is started, which takes a copy of the session's."""
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
 
 
 def stream_profile_checks(events: DataFrame, out: str) -> StreamingQuery:

@@ -191,3 +191,28 @@ def test_debounce_keeps_its_state(spark, tmp_path):
     put([(4, "2024-01-01 01:00:00", 1, "view", 1.0, ""), (5, "2024-01-01 01:01:00", 1, "view", 1.0, ""), (6, "2024-01-01 01:02:00", 2, "view", 1.0, ""), (7, "2024-01-01 01:02:00", 3, "view", 1.0, "")])
     J.stream_debounce(J.stream_events(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out/rows"), "event_id") == [(1,), (3,), (4,), (7,)]
+    # a third run, eight days on: user 2's cycle is over by quiet, user 3's new event is too early to open one; nulls and ties
+    put([(10, "2024-01-09 02:00:00", 2, "view", 1.0, ""), (9, "2024-01-09 02:00:00", 2, "purchase", 1.0, ""), (11, "2024-01-08 01:02:00", 3, None, 1.0, ""), (12, "2024-01-09 03:00:00", None, "view", 1.0, "")])
+    J.stream_debounce(J.stream_events(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out/rows"), "event_id") == [(1,), (3,), (4,), (7,), (9,), (10,)]
+    # by now user 1 has been quiet for longer than a cycle lasts, and the watermark says so: only open cycles have state
+    state = spark.read.format("statestore").option("operatorId", "0").option("stateVarName", "last").load(f"{tmp_path}/out/_checkpoint-rows")
+    assert {r["key"][0] for r in state.collect()} == {2, 3}
+
+
+def test_activity_once_in_a_session(spark, tmp_path):
+    """Across runs a kind of event counts once for a user and day; a day that the watermark has passed has no state left."""
+    from lorespan.streaming import jobs as J
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.to_timestamp("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        J.stream_activity_distinct(J.stream_events(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/out").awaitTermination()
+
+    run([(1, "2024-01-01 10:00:00", 1, "view", 1.0, ""), (2, "2024-01-01 11:00:00", 1, "view", 1.0, ""), (3, "2024-01-01 11:00:00", 1, None, 1.0, "")])
+    run([(4, "2024-01-01 12:00:00", 1, "view", 1.0, ""), (5, "2024-01-02 12:00:00", 1, "view", 1.0, "")])
+    run([(6, "2024-01-05 12:00:00", 2, "click", 1.0, "")])
+    got = sorted((r.user_id, str(r.day), str(r.event_type)) for r in spark.read.parquet(f"{tmp_path}/out/rows").collect())
+    assert got == [(1, "2024-01-01", "None"), (1, "2024-01-01", "view"), (1, "2024-01-02", "view"), (2, "2024-01-05", "click")]
+    state = spark.read.format("statestore").load(f"{tmp_path}/out/_checkpoint-rows")
+    assert state.count() == 1
