@@ -325,12 +325,23 @@ def scan_source_io(s, d):
     return out.select(F.col("script").alias("id"), *(F.array_join(c, "|").alias(c) for c in ("inputs", "outputs", "filters")), F.array_join("seeds", ",").alias("seeds"))
 
 
-@query("SELECT doc_id AS id, ['python_script', 'python_module', NULL, 'python_inline', 'r_script', 'r_inline', 'notebook', NULL, NULL][CAST(doc_id % 9 + 1 AS INT)] AS kind, ['a/' || source || '.py', 'pkg.run', NULL, NULL, 'fit.R', NULL, 'n.ipynb', NULL, NULL][CAST(doc_id % 9 + 1 AS INT)] AS target FROM documents")
+#: Command lines ({} is a document's source) and the programs that they start.
+_COMMANDS = (
+    ("FOO=1 python -u a/{}.py arg", "python_script=a/{}.py"), ("python -m pkg.run --x 1", "python_module=pkg.run"), ("python3 -m pytest -q", ""), ("python3.11 -c 'import {}'", "python_inline"), ("cd x && Rscript --vanilla fit.R 3", "r_script=fit.R"),
+    ("R -e 'print(1)'", "r_inline"), ("jupyter nbconvert --to html n.ipynb", "notebook=n.ipynb"), ("ls -la {}", ""), ("python skills/core/scripts/{}.py", ""), ("echo 'python {}.py'", ""), ("python '{} 1.py' | tee x; Rscript {}.R # python no.py", "python_script={} 1.py|r_script={}.R"),
+    ('python -c "a = \'x; python no.py\'" && python "{}".py', "python_inline|python_script={}.py"), ("python {}.py 'open", ""), ("for x in *; do python {}.py; done", ""), ("# python no.py\n(env A=1 python {}.py) > out", "python_script={}.py"),
+)
+
+
+@query(
+    f"WITH t AS (SELECT doc_id AS id, replace({_sql_array(tuple(p for _, p in _COMMANDS))}[CAST(doc_id % {len(_COMMANDS)} + 1 AS INT)], '{{}}', source) AS programs FROM documents) "
+    "SELECT id, programs, nullif(regexp_extract(programs, '^([^=|]*)', 1), '') AS kind, nullif(regexp_extract(programs, '^[^=|]*=([^|]*)', 1), '') AS target FROM t"
+)
 def classify_invocation(s, d):
-    cmd = ["", "python -m pkg.run --x 1", "python3 -m pytest -q", "python3.11 -c 'import a'", "cd x && Rscript --vanilla fit.R 3", "R -e 'print(1)'", "jupyter nbconvert --to html n.ipynb", "ls -la", "python skills/core/scripts/tool.py"]
-    c = F.element_at(F.array(F.concat(F.lit("FOO=1 python -u a/"), "source", F.lit(".py arg")), *(F.lit(x) for x in cmd[1:])), (F.col("doc_id") % 9 + 1).cast("int"))
-    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), c.alias("command"))
-    return G.classify_invocation(rows, managed="skills/core/scripts/").select("id", "kind", "target")
+    c = F.element_at(F.array(*(F.lit(x) for x, _ in _COMMANDS)), (F.col("doc_id") % len(_COMMANDS) + 1).cast("int"))
+    rows = table(s, d, "documents").select(F.col("doc_id").alias("id"), F.replace(c, F.lit("{}"), F.col("source")).alias("command"))
+    programs = F.array_join(F.transform("programs", lambda p: F.concat_ws("=", p["kind"], p["target"])), "|")
+    return G.classify_invocation(rows, managed="skills/core/scripts/").select("id", programs.alias("programs"), "kind", "target")
 
 
 _PAGES = f"WITH {ENTRIES}, {CONCEPTS}, {EDGES}, {STATUS}, staged AS (SELECT *, ['planning', 'analysis', 'figure_generation', 'unassigned'][CAST(id % 4 + 1 AS INT)] AS stage FROM entries)"

@@ -81,6 +81,18 @@ def test_script_scan_and_commands(spark):
     assert got == cmds
 
 
+def test_commands_with_quotes_comments_and_several_programs(spark):
+    long = 'python -c "' + 'x=\\"1\\"\n' * 20_000 + '"; python ok.py'
+    cmds = {
+        "echo 'python a.py'": [], "# python a.py\npython b.py": ["b.py"], "python 'my dir/a b.py' && Rscript f.R": ["my dir/a b.py", "f.R"], "python a.py 'open": [], 'python a.py "open': [], "python a.py \\": [],
+        "for f in *; do python a.py; done": [], "cat <<EOF\npython a.py\nEOF": [], "FOO=1 env B=2 time python -u a.py": ["a.py"], "python run.py#1.py x # python z.py": ["run.py#1.py"], "echo a#b; python c.py": ["c.py"],
+        "R --no-save -e 'x; python y.py'": [None], 'python -c "a=\'x; python b.py\' # \\" " && python d.py': [None, "d.py"], "(python e.py)": ["e.py"], "python a.py > o 2>&1": ["a.py"], "pyth\\on z.py": ["z.py"],
+        "python \\\n  a.py": ["a.py"], "env": [], "python": [], "": [], None: [], long: [None, "ok.py"], "'" * 99_999: [],
+    }
+    got = {r.command: [p.target for p in r.programs] for r in segment.classify_invocation(spark.createDataFrame([(c,) for c in cmds], "command string")).collect()}
+    assert got == cmds
+
+
 def test_rename_match_is_greedy_and_one_to_one(spark):
     base = [f"w{k}" for k in range(40)]
     change = lambda *at: " ".join("new" + w if k in at else w for k, w in enumerate(base))
