@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from functools import reduce
 
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespan.sources.folders import stored, tables
+
 #: Schema of a line of an event log.
 FILE = "STRUCT<path: STRING, sha256: STRING, size_bytes: BIGINT, n_rows: BIGINT>"
 EVENT_SCHEMA = f"ts STRING, agent_id STRING, agent_type STRING, bash_cmd STRING, bash_exit INT, bash_wall_s DOUBLE, script STRING, script_sha256 STRING, script_source STRING, git_sha STRING, inputs ARRAY<{FILE}>, outputs ARRAY<{FILE}>, io_detection STRING, lineage_warnings ARRAY<STRING>, filters_detected ARRAY<STRING>, seeds_detected ARRAY<BIGINT>, session_id STRING"
@@ -58,19 +61,68 @@ def inclusion_flags(files: DataFrame, projects: DataFrame | None = None, kinds:
     return df.withColumn("included", on & F.coalesce("_has", F.lit(False))).drop("_has")
 
 
-def living_folders(spark: SparkSession, root: str) -> list[str]:
-    """The `.living` folders under root, however deep, but those within another one: a listing of folders, level by level."""
-    jvm, found, level = spark._jvm, [], [root.rstrip("/")]
-    store = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    while level:
-        below = []
-        for folder in level:
-            for status in store.listStatus(jvm.org.apache.hadoop.fs.Path(folder)):
-                if status.isDirectory():
-                    path = status.getPath().toString()
-                    (found if path.endswith("/.living") else below).append(path)
-        level = below
-    return found
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a root, as tasks open it, and the root's path there."""
+    store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+    return store, at.rstrip("/")
+
+
+#: Bytes of files that a task reads, about, and rows of a listing that travel together.
+READ_BYTES, LISTED = 32 << 20, 10_000
+_LISTING = "path string, inside boolean, hidden boolean, folder boolean, bytes long"
+
+
+def tree_files(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path (below the root, beginning with a slash) and bytes of the files under root whose names end with suffix, as a stored table.
+
+    Folders are listed level by level, each level's folders dealt to tasks: the driver sees their number alone. `.living`
+    folders are entered wherever they lie, but for those within another one; names that begin with a dot or an underscore
+    are passed over elsewhere, and within a `.living` folder. Linked folders of a local file system are not followed.
+    """
+    store, at = _open(root)
+    local = isinstance(store, fs.LocalFileSystem)
+
+    def listing(rows):
+        for batch in rows:
+            for path, inside, hidden in zip(*(batch.column(k).to_pylist() for k in ("path", "inside", "hidden")), strict=True):
+                out = []
+                for info in store.get_file_info(fs.FileSelector(f"{at}{path}/")):
+                    name, folder = info.base_name, info.type == fs.FileType.Directory
+                    dark = name.startswith((".", "_"))
+                    living = name == ".living"
+                    if folder and not (inside and dark) and not (local and os.path.islink(f"{at}{path}/{name}")):
+                        out.append((f"{path}/{name}", inside or living, not (inside or living) and (hidden or dark), True, 0))
+                    elif info.type == fs.FileType.File and name.endswith(suffix) and not (hidden or dark):
+                        out.append((f"{path}/{name}", inside, hidden, False, info.size))
+                for k in range(0, len(out), LISTED):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + LISTED], strict=True), types, strict=True)], names=names)
+
+    types, names = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64()), [c.split(" ")[0] for c in _LISTING.split(", ")]
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    level, n, levels = spark.createDataFrame([("", False, False, True, 0)], _LISTING), 1, []
+    with tables(spark) as scope:
+        while n:
+            level = stored(level.repartition(min(n, tasks), "path").mapInArrow(listing, _LISTING), "level")
+            levels.append(level.filter("NOT folder"))
+            level = level.filter("folder")
+            n = level.count()
+        return scope.keep(reduce(DataFrame.unionByName, levels).select("path", "bytes"), "files")
+
+
+def tree_texts(spark: SparkSession, root: str, suffix: str = ".md") -> DataFrame:
+    """path and text of the files of tree_files(), read in tasks that share the bytes, a file at a time; bytes that aren't UTF-8 become replacement marks."""
+    files, (store, at) = tree_files(spark, root, suffix), _open(root)
+    n, size = files.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).head()
+
+    def read(rows):
+        for batch in rows:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{at}{path}") as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text])], names=["path", "text"])
+
+    tasks = max(1, min(n, max(spark.sparkContext.defaultParallelism, -(-size // READ_BYTES))))
+    return files.select("path").repartition(tasks, "path").mapInArrow(read, "path string, text string")
 
 
 def scan_entries(spark: SparkSession, *roots: str) -> DataFrame:
@@ -80,15 +132,8 @@ def scan_entries(spark: SparkSession, *roots: str) -> DataFrame:
     Files of a plain tree, outside of every such folder, go by names and folders alone; its hidden folders and manifests
     are left out.
     """
-    files = None
-    for root in roots:
-        folders = living_folders(spark, root)
-        for paths in ([root], folders):  # the reader passes hidden folders over unless it is given them
-            if paths:
-                df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-                bare = F.regexp_replace("path", "^file:/+", "/")
-                df = df.withColumn("_in", F.concat(F.lit("/"), F.regexp_replace(F.replace(bare, F.lit(file_prefix(root).removeprefix("file://")), F.lit("")), "^/+", "")))
-                files = df if files is None else files.unionByName(df)
+    each = (tree_texts(spark, root).select(F.concat(F.lit(file_prefix(root)), "path").alias("path"), "text", F.col("path").alias("_in")) for root in roots)
+    files = reduce(DataFrame.unionByName, each)
     living = inclusion_flags(files.withColumnRenamed("path", "_path").withColumnRenamed("_in", "path")).filter("included").select(F.col("_path").alias("path"), F.regexp_replace("project", "^/+", "").alias("project"), "rel", "kind", "shape", "text")
     plain = files.filter(~F.contains("_in", F.lit("/.living/")) & ~F.regexp_like("_in", F.lit(r"/\.[^/]+/")) & ~F.endswith("path", F.lit("_MANIFEST.md")))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
@@ -113,7 +158,7 @@ def scan_logs(spark: SparkSession, root: str, least: int = 150) -> DataFrame:
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Writes files(path, text) as files below root, a task its own rows; paths are relative. A repeated task writes the same again."""
-    store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root.removeprefix("file:"))
+    store, at = _open(root)
 
     def run(rows):
         n = 0

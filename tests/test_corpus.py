@@ -24,11 +24,22 @@ def test_living_folders(spark, tmp_path):
         put(f"fam/p1/.living/{p}")
     put("p2/.living/findings.md")
     put("p2/readme.md")
+    put(".cache/deep/p3/.living/decisions.md")
+    put(".cache/readme.md")
+    put("p2/.living/.draft/learnings/x.md")
+    (tmp_path / "p2/loop").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "p2/.living/learnings").mkdir()
+    (tmp_path / "p2/.living/learnings/odd.md").write_bytes(b"a\xff")
     got = {(r.project, r.rel): (r.kind, r["shape"]) for r in trees.scan_entries(spark, str(tmp_path)).collect() if r.project}
     assert got == {
         ("fam/p1", "learnings.md"): ("learning", "aggregate_section"), ("fam/p1", "decisions.md"): ("decision", "aggregate_section"), ("fam/p1", "learnings/one.md"): ("learning", "per_entry_file"),
         ("fam/p1", "findings/F.md"): ("finding", "standalone_finding_file"), ("fam/p1", "deep/conventions.md"): ("convention", "aggregate_section"), ("p2", "findings.md"): ("finding", "aggregate_section"),
+        (".cache/deep/p3", "decisions.md"): ("decision", "aggregate_section"), ("p2", "learnings/odd.md"): ("learning", "per_entry_file"),
     }
+    plain = {(r.rel, r.path, r.text) for r in trees.scan_entries(spark, f"file://{tmp_path}", str(tmp_path / "empty")).collect() if not r.project}
+    assert plain == {("p2/readme.md", f"file://{tmp_path}/p2/readme.md", "x")}
+    assert trees.tree_files(spark, str(tmp_path / "empty")).count() == 0 and trees.scan_entries(spark, str(tmp_path / "empty")).count() == 0
 
 
 def test_registers(spark):
