@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta, timezone
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -15,14 +17,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .files import make_dir, written
-from .shared import new_dir, partitions, small, stored
+from .shared import arrow_rows, new_dir, partitions, small, stored
 
 #: Bytes of payload in one archive file; a file ends with the record that reaches it.
 FILE_PAYLOAD = 64_000_000
 #: Payloads below this are always written whole.
 LEAST_REVISIT = 1_000
-#: Captures of a range of the merged index, and those of one run that are unpacked at once.
-RANGE_ROWS, READ = 1_000_000, 1_000
+#: Captures of a range of the merged index, those of a packet, packets that go to a Python worker at once, and runs of one merge.
+RANGE_ROWS, READ, PACKETS, FAN_IN = 1_000_000, 1_000, 64, 64
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 RUN_SCHEMA = "run string, urlkey string, ts string, page_id long, offset long, length long"
 
@@ -146,60 +148,134 @@ class LoserTree:
             self._play(i)
 
 
+def merge_tree(runs: list[Iterable[tuple]], fan_in: int) -> LoserTree:
+    """One loser tree over at most fan_in runs; where there are more, over trees of at most fan_in each."""
+    while len(runs) > fan_in:
+        runs = [LoserTree(runs[k : k + fan_in]) for k in range(0, len(runs), fan_in)]
+    return LoserTree(runs)
+
+
+_PACKET = "source string, slot long, urlkey array<string>, ts array<string>, page_id array<long>, run array<string>, offset array<long>, length array<long>"
+_FIELDS = ("urlkey", "ts", "page_id", "run", "offset", "length")
+_FIELD_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+
+def _cut(source: str, captures: Iterable[tuple], bounds: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """Packets of at most READ sorted captures of one run, none over the edge of a slot: width ranges side by side."""
+
+    def packet():
+        lists = [pa.array([c], pa.list_(t)) for c, t in zip(zip(*held, strict=True), _FIELD_KINDS, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([source]), pa.array([slot], pa.int64()), *lists], names=["source", "slot", *_FIELDS])
+
+    held, slot = [], 0
+    for x in captures:
+        here = bisect_right(bounds, x) // width
+        if held and (here != slot or len(held) == READ):
+            yield packet()
+            held = []
+        slot = here
+        held.append(x)
+    if held:
+        yield packet()
+
+
+def _pack(bounds: list[tuple], width: int):
+    """The runs as the archives' writers left them, rows of a run in order, as packets."""
+
+    def captures(rows):
+        for b in rows:
+            for run, key, ts, page_id, offset, length in zip(*(b.column(k).to_pylist() for k in _RUN_NAMES), strict=True):
+                yield key, ts, -1 if page_id is None else page_id, run, offset, length
+
+    def work(rows):
+        for run, own in groupby(captures(rows), key=lambda x: x[3]):
+            yield from _cut(run, own, bounds, width)
+
+    return work
+
+
 class _Run:
-    """One run's share of a range: Arrow columns, of which READ rows at a time are turned to Python values."""
+    """One run's share of a slot: packets, of which one at a time is turned to Python values."""
 
     def __init__(self):
-        self.parts: list[pa.RecordBatch] = []
+        self.packets: list[pa.RecordBatch] = []
 
     def __iter__(self):
-        for part in self.parts:
-            for a in range(0, part.num_rows, READ):
-                few = part.slice(a, READ)
-                for run, key, ts, page_id, offset, length in zip(*(few.column(k).to_pylist() for k in _RUN_NAMES), strict=True):
-                    yield key, ts, -1 if page_id is None else page_id, run, offset, length
-
-
-def _merge(rows):
-    """One range of the keys: its rows come run by run, each run sorted; out come all in order."""
-    part, runs, last = TaskContext.get().partitionId(), [], None
-    for b in rows:
-        names = b.column("run")
-        a = 0
-        while a < b.num_rows:
-            name = names[a].as_py()
-            end = a + 1 + next((k for k, x in enumerate(names.slice(a + 1).to_pylist()) if x != name), b.num_rows - a - 1)
-            if name != last:
-                runs.append(_Run())
-                last = name
-            runs[-1].parts.append(b.slice(a, end - a))
-            a = end
-    out = []
-
-    def batch():
-        cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(out), pa.int64()), pa.array(cols[6], pa.int64()), *(pa.array(cols[k], pa.string() if k in (0, 1, 3) else pa.int64()) for k in (0, 1, 3, 4, 5))], names=["part", "row", "urlkey", "ts", "run", "offset", "length"])
-
-    for n, x in enumerate(LoserTree(runs)):
-        out.append((*x, n))
-        if len(out) == 10_000:
-            yield batch()
-            out.clear()
-    if out:
-        yield batch()
-
-
-def merge_runs(runs: DataFrame) -> DataFrame:
+        for p in self.packets:
+            yield from zip(*(p.column(k)[0].as_py() for k in _FIELDS), strict=True)
+
+
+def _merged(rows, fan_in: int) -> Iterator[tuple[int, int, LoserTree]]:
+    """group, slot and the merged captures of each slot of a group, whose packets come run by run, each run in order."""
+    one = ((b.column("group")[k].as_py(), b.column("slot")[k].as_py(), b.column("source")[k].as_py(), b.slice(k, 1)) for b in rows for k in range(b.num_rows))
+    for (group, slot), packets in groupby(one, key=lambda x: x[:2]):
+        runs = []
+        for _, own in groupby(packets, key=lambda x: x[2]):
+            runs.append(_Run())
+            runs[-1].packets += [x[3] for x in own]
+        yield group, slot, merge_tree(runs, fan_in)
+
+
+def _merge_pass(bounds: list[tuple], width: int, fan_in: int):
+    """A pass: each group's runs become one run, named by the group, cut for the next pass."""
+
+    def work(rows):
+        for group, _, captures in _merged(rows, fan_in):
+            yield from _cut(str(group), captures, bounds, width)
+
+    return work
+
+
+def _last_pass(fan_in: int):
+    """The last pass: each range's captures in order, numbered within it."""
+
+    def work(rows):
+        for _, slot, captures in _merged(rows, fan_in):
+            numbered = enumerate(captures)
+            while out := list(islice(numbered, 10_000)):
+                cols = list(zip(*(x for _, x in out), strict=True))
+                kept = [pa.array(cols[k], _FIELD_KINDS[k]) for k in (0, 1, 3, 4, 5)]
+                yield pa.RecordBatch.from_arrays([pa.array([slot] * len(out), pa.int64()), pa.array([n for n, _ in out], pa.int64()), *kept], names=["part", "row", "urlkey", "ts", "run", "offset", "length"])
+
+    return work
+
+
+def range_bounds(runs: DataFrame, n: int, total: int) -> list[tuple]:
+    """Where n ranges of about equally many captures begin, but the first: from a sample of 200 a range, one row of each range to the driver."""
+    keys = ("urlkey", "ts", "page_id", "run", "offset")
+    some = runs.select("urlkey", "ts", F.coalesce("page_id", F.lit(-1)).alias("page_id"), "run", "offset").sample(fraction=min(1.0, 200 * n / max(1, total)), seed=7)
+    firsts = some.repartitionByRange(n, *keys).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*keys)).alias("first")).select("first.*").collect()
+    return sorted(tuple(r) for r in firsts)[1:]
+
+
+def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in one global order of URL key, time and page: position, urlkey, ts, run, offset, length.
 
-    Rows are dealt to ranges of that order of about RANGE_ROWS rows; a task merges the runs' shares of its range, which it
-    holds as packed columns, and of which it unpacks READ rows of each run at a time. A URL with very many captures is cut
-    by time, so no range grows with it. Runs without rows, and no runs, give no rows.
+    An external merge in passes over stored runs. The order is cut to ranges of about range_rows captures (a URL with very
+    many captures is cut by time, page and place, so none grows with it). In each pass groups of at most fan_in runs become
+    one run each; a task merges what a group has of as many neighbouring ranges as make about range_rows captures, so
+    its rows from each run are about range_rows / fan_in however many runs there are. Runs are grouped by a hash of their
+    names, so that a group's captures spread over the ranges as all do. Only packets of up to READ captures are shuffled
+    and sorted, never single captures; a task holds its packets and unpacks one of each run at a time. The rows
+    of a run must come in order, as write_archives gives them. Runs without rows, and no runs, give no rows.
     """
     spark = runs.sparkSession
-    n = max(partitions(spark), -(-runs.count() // RANGE_ROWS))
-    dealt = runs.repartitionByRange(n, "urlkey", "ts", "page_id", "run", "offset").sortWithinPartitions("run", "urlkey", "ts", "page_id", "offset")
-    merged = stored(dealt.mapInArrow(_merge, "part long, row long, urlkey string, ts string, run string, offset long, length long"), "captures")
+    total, n_runs = runs.agg(F.count("*"), F.count_distinct("run")).head()
+    n, passes = max(partitions(spark), -(-total // range_rows)), 1
+    while fan_in**passes < 2 * n_runs:  # twice: groups by hash differ in size in the first pass, later ones have fan_in runs each
+        passes += 1
+    bounds = range_bounds(runs, n, total)
+    group = F.xxhash64("source")
+    packets = stored(runs.select(*_RUN_NAMES).mapInArrow(_pack(bounds, fan_in ** (passes - 1)), _PACKET), "packets")
+    for left in range(passes - 1, -1, -1):
+        n_groups = fan_in**left  # each has that share of the captures, and a slot as many ranges
+        keys = [F.get(k, F.lit(0)) for k in _FIELDS[:5]]
+        dealt = packets.withColumn("group", F.pmod(group, F.lit(n_groups))).repartition(n_groups * -(-n // n_groups), "group", "slot").sortWithinPartitions("group", "slot", "source", *keys)
+        with arrow_rows(spark, PACKETS):
+            if left:
+                packets, group = stored(dealt.mapInArrow(_merge_pass(bounds, fan_in ** (left - 1), fan_in), _PACKET), "runs"), F.col("source").cast("long")
+            else:
+                merged = stored(dealt.mapInArrow(_last_pass(fan_in), "part long, row long, urlkey string, ts string, run string, offset long, length long"), "captures")
     sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
     base = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))  # a row for each range
     return merged.join(F.broadcast(base), "part").select((F.col("base") + F.col("row")).alias("position"), "urlkey", "ts", "run", "offset", "length")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -384,6 +385,33 @@ def test_loser_tree():
     check()
 
 
+def test_runs_merge_in_passes(spark):
+    """More runs than a range has rows, more than one merge takes: the passes give the order of all, ties and rows without page_id too."""
+    from lorespan.llm.warc import RUN_SCHEMA, merge_runs
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        name = f"run-{k % 7}-{k:03d}"
+        own = [(f"k{rng.randrange(5)}" if k % 3 else "hot", f"2024-01-0{rng.randrange(1, 4)}", rng.choice([None, 3, 4]), at) for at in range(rng.choice([1, 2, 9]))]
+        rows += [(name, key, ts, page, at, 10) for key, ts, page, at in sorted(own, key=lambda x: (x[0], x[1], -1 if x[2] is None else x[2], x[3]))]
+    runs = spark.createDataFrame(rows, RUN_SCHEMA).coalesce(2)
+    want = sorted((key, ts, -1 if page is None else page, name, at) for name, key, ts, page, at, _ in rows)
+    for fan_in, range_rows in ((3, 20), (64, 50), (2, 1_000)):
+        got = merge_runs(runs, fan_in, range_rows).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(len(rows)))
+        assert [(r.urlkey, r.ts, r.run, r.offset) for r in got] == [(w[0], w[1], w[3], w[4]) for w in want]
+
+
+def test_no_merge_takes_more_runs_than_it_may():
+    from lorespan.llm.warc import merge_tree
+
+    runs = [[(k,), (k + 100,)] for k in range(50)]
+    tree = merge_tree(runs, 4)
+    assert list(tree) == sorted(x for r in runs for x in r)
+    assert tree.k <= 4 and merge_tree([], 4).k == 1 and list(merge_tree([], 4)) == []
+
+
 # 7
 def removal(rows):
     seen, out = set(), {}
