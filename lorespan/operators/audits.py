@@ -118,8 +118,8 @@ def row_order_invariance(pipeline: Pipeline, df: DataFrame, ident: str, digits:
 def fault_injection(checks: Pipeline, df: DataFrame, key: str) -> DataFrame:
     """For each fault (no rows, the least key's rows dropped, the least key doubled): how many checks other than ok the caller's checks find. None is an error: the fault would pass unseen."""
     least = df.agg(F.min(key).alias("_k"))
-    first = df.join(F.broadcast(least), F.col(key) == F.col("_k"), "left_semi")
-    rest = df.join(F.broadcast(least), F.col(key) == F.col("_k"), "left_anti")
+    first = df.join(least, F.col(key) == F.col("_k"), "left_semi")
+    rest = df.join(least, F.col(key) == F.col("_k"), "left_anti")
     parts = []
     for name, broken in (("empty", df.limit(0)), ("dropped", rest), ("doubled", df.unionByName(first))):
         found = checks(broken).agg(F.count_if(F.col("severity") != "ok").alias("k"), F.count("*").alias("n"))

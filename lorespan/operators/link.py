@@ -12,12 +12,19 @@ from lorespan.sources.folders import stored
 
 #: Edges of one trigger beyond which it is reported.
 MASS_LINK = 50
-CONCEPT_ROWS = 100_000
+#: Rows, and bytes of their text, that are broadcast at most.
+CONCEPT_ROWS, CONCEPT_BYTES = 100_000, 16_000_000
 
 
-def _bounded(df: DataFrame, limit: int = CONCEPT_ROWS) -> DataFrame:
-    """df, to be broadcast if it was counted and is small; joins shuffle beyond that."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def _few(df: DataFrame) -> bool:
+    """Whether df's rows and bytes, counted, are few enough to broadcast."""
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).head()
+    return rows <= CONCEPT_ROWS and size <= CONCEPT_BYTES
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small; joins shuffle beyond that."""
+    return F.broadcast(df) if _few(df) else df
 
 
 def concept_terms(concepts: DataFrame) -> DataFrame:
@@ -41,7 +48,7 @@ def term_hits(entries: DataFrame, terms: DataFrame) -> DataFrame:
     happens in the scan, and no text is shuffled; else only words are, and the texts of longer hits.
     """
     found = F.explode_outer(F.array_distinct(words(F.col("text")))).alias("head")  # the outer form computes the words once
-    if terms.limit(CONCEPT_ROWS + 1).count() <= CONCEPT_ROWS:
+    if _few(terms):
         met = entries.select(F.col("id").alias("entry"), "text", found).join(F.broadcast(terms), "head")
         return met.filter((F.col("term") == F.col("head")) | ((F.col("term") != F.col("head")) & has_term(F.col("text"), F.col("term")))).select("entry", "slug", "level", "term")
     met = entries.select(F.col("id").alias("entry"), found).join(terms, "head")

@@ -77,7 +77,7 @@ def tag_clusters(entries: DataFrame, least: int = 2, top: int = 6, last: int = 5
     """tag, n_entries, last_ids: the top most frequent tags with at least `least` entries, and their last ids."""
     rows = entries.select("id", F.explode(F.array_distinct("tags")).alias("tag"))
     counts = rows.groupBy("tag").agg(F.count("*").alias("n_entries")).filter(F.col("n_entries") >= least).orderBy(F.desc("n_entries"), "tag").limit(top)
-    recent = rows.join(F.broadcast(counts), "tag").withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("id")))).filter(F.col("k") <= last)
+    recent = rows.join(counts, "tag").withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("id")))).filter(F.col("k") <= last)
     return recent.groupBy("tag", "n_entries").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ",").alias("last_ids"))
 
 

@@ -229,7 +229,7 @@ def cluster_terms(texts: DataFrame, members: DataFrame, stop_words: tuple[str, .
     w = tf.join(F.broadcast(kept.drop("total")), "term").crossJoin(F.broadcast(many)).select("id", "term", (F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)).alias("w"))  # features rows at most
     unit = w.withColumn("u", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(W.partitionBy("id"))))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    mean = members.join(unit, "id").groupBy("cluster", "term").agg(F.sum("u").alias("s")).join(F.broadcast(sizes), "cluster").select("cluster", "term", F.round(F.col("s") / F.col("size"), 6).alias("score"))
+    mean = members.join(unit, "id").groupBy("cluster", "term").agg(F.sum("u").alias("s")).join(sizes, "cluster").select("cluster", "term", F.round(F.col("s") / F.col("size"), 6).alias("score"))
     return mean.withColumn("k", F.row_number().over(W.partitionBy("cluster").orderBy(F.desc("score"), "term"))).filter(F.col("k") <= n).select("cluster", "k", "term", "score")
 
 
