@@ -460,6 +460,9 @@ def _merge_levels(key, table):
     return pa.Table.from_batches([_rows(_LEVEL, [_level_row(out, key[0].as_py())])])
 
 
+_STEP = "number int, n_buckets int, n_homes int, level string, suffixes long, bytes long, since int"
+
+
 class StoredFamily:
     """Texts, grams and suffix arrays of earlier batches in a folder that all executors reach.
 
@@ -469,11 +472,13 @@ class StoredFamily:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        steps = self.read("step=*", "number int, n_buckets int, n_homes int, level string, suffixes long")
+        steps = self.read("step=*", _STEP)
         last = [] if steps is None else steps.collect()  # a row for each level of each step: a logarithm of the batches each
         self.number = max((r.number for r in last), default=0)
         now = [r for r in last if r.number == self.number]
-        self.n_buckets, self.n_homes = (now[0].n_buckets, now[0].n_homes) if now else (None, None)
+        self.n_homes = now[0].n_homes if now else None
+        #: Bytes of text so far, and the batch since which grams count.
+        self.bytes, self.since = (now[0].bytes, now[0].since) if now else (0, 1)
         self.levels = sorted(((r.level, r.suffixes) for r in now), key=lambda x: -x[1])
 
     def read(self, what: str, schema: str) -> DataFrame | None:
@@ -481,9 +486,14 @@ class StoredFamily:
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(path)
         return self.spark.read.schema(schema).parquet(f"{self.folder}/{what}") if found is not None and len(found) else None
 
-    def batches(self, what: str, schema: str) -> DataFrame | None:
-        """The tables of that name of all finished batches, as one."""
-        return self.read(f"{what}-{{{','.join(f'{k:06d}' for k in range(1, self.number + 1))}}}", schema) if self.number else None
+    def batches(self, what: str, schema: str, since: int = 1) -> DataFrame | None:
+        """The tables of that name of all finished batches, or of those since one, as one."""
+        names = [f"{k:06d}" for k in range(since, self.number + 1)]
+        return self.read(f"{what}-{{{','.join(names)}}}", schema) if names else None
+
+    def regroup(self) -> None:
+        """From here on earlier grams and levels don't count: the batch under way makes both anew, of all texts."""
+        self.levels, self.since = [], self.number + 1
 
     def write(self, df: DataFrame, what: str) -> DataFrame:
         """A table of the batch under way; what an unfinished attempt at it has left is replaced."""
@@ -491,7 +501,7 @@ class StoredFamily:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def finish(self, n_buckets: int, n_homes: int, level: str, suffixes: int) -> None:
+    def finish(self, n_buckets: int, n_homes: int, level: str, suffixes: int, n_bytes: int) -> None:
         """Takes the batch's level in; levels of about equal size merge, bucket by bucket, each level at least doubling the next."""
         levels = [*self.levels, (level, suffixes)]
         while len(levels) > 1 and levels[-1][1] * 2 > levels[-2][1]:
@@ -500,8 +510,8 @@ class StoredFamily:
             path = f"{self.folder}/merged-{self.number + 1:06d}-{len(levels)}"
             both.groupBy("bucket").applyInArrow(_merge_levels, _LEVEL).write.mode("overwrite").parquet(path)
             levels.append((path, n + m))
-        rows = [(self.number + 1, n_buckets, n_homes, path, n) for path, n in levels]
-        self.spark.createDataFrame(rows, "number int, n_buckets int, n_homes int, level string, suffixes long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/step={self.number + 1}")
+        rows = [(self.number + 1, n_buckets, n_homes, path, n, self.bytes + n_bytes, self.since) for path, n in levels]
+        self.spark.createDataFrame(rows, _STEP).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/step={self.number + 1}")
 
 
 _RESULT = "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -547,7 +557,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, family: str | None =
 
     family is a folder in which the suffix arrays of this batch are kept. A later call with it judges its docs against all
     batches before as well, as if all had been one table. Their doc_ids must be there, have one text each, and be above
-    those of earlier batches (else ValueError). Without it, the arrays are gone after the call.
+    those of earlier batches (else ValueError). Once the texts of a family would fill more than twice the groups that it
+    has, the call deals all of them to as many groups as they then need and makes grams and arrays anew, so no group grows
+    with the family, and texts are dealt again only as often as they double. Without it, the arrays are gone after the call.
 
     Null, empty and short texts lose nothing. Of equal texts, which are settled by their digests at the start, the
     smallest doc_id counts as first and all others lose every byte; rows that repeat a doc_id and its text get that
@@ -562,8 +574,11 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, family: str | None =
     odd = slim.groupBy("own_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("own_id is null or a <> b")
     odd = odd.limit(1).count() > 0
     past = StoredFamily(spark, family) if family else None
-    n_homes = past.n_homes if past and past.n_homes else 2 * groups(spark, total) | 1
-    n_buckets = past.n_buckets if past and past.n_buckets else n_homes - 1
+    n_homes = 2 * groups(spark, total + (past.bytes if past else 0)) | 1
+    regroup = bool(past and past.n_homes and n_homes > 2 * past.n_homes)
+    if past and past.n_homes and not regroup:
+        n_homes = past.n_homes
+    n_buckets = n_homes - 1
     if odd and past:
         raise ValueError("a batch for a stored family needs a doc_id for each text")
     if odd:
@@ -589,14 +604,17 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, family: str | None =
     levels = None
     if past:
         reps = texts = past.write(reps, "texts")
-        sent = stored(sent, "sent")
-        grams = past.batches("grams", _GRAMS)
+        old = past.batches("texts", "doc_id long, text string")
+        if regroup:
+            past.regroup()
+            texts, old = reps.unionByName(old), None
+        sent = stored(texts.mapInArrow(_send(n_buckets, n_homes), _GRAMS), "sent")
+        grams = past.batches("grams", _GRAMS, past.since)
         if grams is None:
             grams = spark.createDataFrame([], _GRAMS)
         live = stored(sent.groupBy("bucket").cogroup(grams.groupBy("bucket")).applyInArrow(_repeated(n_homes, True), _LIVE), "live")
         past.write(live.filter(F.col("home") == KEPT).select("bucket", "hashes", "ids", "starts", "near", "more"), "grams")
         live = live.filter(F.col("home") != KEPT)
-        old = past.batches("texts", "doc_id long, text string")
         if old is not None:  # of earlier batches, the texts that a gram of this one has woken
             woken = stored(live.mapInArrow(_ids, "doc_id long").distinct(), "woken")
             texts = reps.unionByName(old.join(small(woken), "doc_id", "left_semi"))
@@ -620,7 +638,7 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False, family: str | None =
         result = stored(result if with_text else result.drop("kept"), "removed")
     if past:
         past.write(slim.select("doc_id", "digest").distinct(), "digests")
-        past.finish(n_buckets, n_homes, f"{past.folder}/level-{past.number + 1:06d}", suffixes)
+        past.finish(n_buckets, n_homes, f"{past.folder}/level-{past.number + 1:06d}", suffixes, total)
     # stored before the join, so that a join by the digest of very many copies can be split
     all_ids = slim.select("doc_id", "digest") if known is None else slim.select("doc_id", "digest").unionByName(known)
     first = all_ids.groupBy("digest").agg(F.min("doc_id").alias("_first")).join(result.withColumnRenamed("doc_id", "_first"), "_first", "left")

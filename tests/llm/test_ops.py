@@ -486,6 +486,29 @@ def test_suffix_family_meets_earlier_batches(spark, tmp_path, monkeypatch):
         S.suffix_dedup(spark.createDataFrame([(5, "x")], "doc_id long, text string"), family=folder)
 
 
+def test_suffix_family_grows_its_groups(spark, tmp_path, monkeypatch):
+    """A first batch of three texts, a much larger second one, and a small third: the same as their union, in groups that the texts of all ask for."""
+    from lorespan.llm import shared
+    from lorespan.llm import suffix_dedup as S
+
+    monkeypatch.setattr(shared, "GROUP_TEXT", 1_500)
+    rng = np.random.default_rng(9)
+    pool = ["".join(rng.choice(list("abcdef \x00é"), 170)) for _ in range(14)]
+    rows = [(i, "".join(pool[k][rng.integers(0, 40) :] for k in rng.integers(0, 4 + i // 8, 3))) for i in range(80)]
+    rows[45], rows[70] = (45, rows[1][1]), (70, None)
+    want, folder, got, seen = removal(rows), f"file://{tmp_path}/family", {}, []
+    for a, b in ((0, 3), (3, 60), (60, 80)):
+        got |= by_id(S.suffix_dedup(spark.createDataFrame(rows[a:b], "doc_id long, text string").repartition(3), family=folder))
+        family = S.StoredFamily(spark, folder)
+        seen.append((family.n_homes, family.since))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in got.items()} == {i: (*v[:3], hashlib.sha256(v[3]).hexdigest()) for i, v in want.items()}
+    assert seen[0][1] == 1 and seen[1][0] > 2 * seen[0][0] and seen[1][1] == 2 and seen[2] == seen[1]
+    level = spark.read.parquet(*(path for path, _ in family.levels))
+    assert level.filter(f"bucket >= {family.n_homes - 1}").count() == 0
+    total = sum(len((t or "").encode()) for _, t in rows)
+    assert total / family.n_homes <= 1_500 and family.bytes == total
+
+
 def test_suffix_arrays_are_in_byte_order():
     from lorespan.llm import suffix_dedup as S
 
