@@ -44,9 +44,9 @@ def has_term(text: Column, term: Column) -> Column:
 
 def tokens(text: Column, stop_words: tuple[str, ...] = ()) -> Column:
     """Terms for weighting, repeats kept: comments and mark-up gone, [a-z][a-z0-9-]+, over two long, no stop words."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)<!--.*?-->", " "), r"\*+|`+|_{1,2}|#+", " ")
-    found = F.regexp_extract_all(F.lower(bare), F.lit(r"([a-z][a-z0-9\-]+)"), 1)
-    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*stop_words) if stop_words else F.length(t) > 2)
+    bare = F.when(F.contains(text, F.lit("<!--")), F.regexp_replace(text, r"(?s)<!--.*?-->", " ")).otherwise(text)
+    found = F.regexp_extract_all(F.lower(bare), F.lit(r"([a-z][a-z0-9\-]{2,})"), 1)  # signs of mark-up end a term as any other sign does
+    return F.filter(found, lambda t: ~t.isin(*stop_words)) if stop_words else found
 
 
 def first_line(text: Column) -> Column:

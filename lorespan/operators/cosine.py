@@ -21,7 +21,7 @@ def unit_vectors(weights: DataFrame) -> DataFrame:
     """id, h (the term's 64-bit hash), df, u (weight by the vector's length), after (the length of what follows in the order from rare to common) of weights(id, term, df, weight)."""
     norm = F.sqrt(F.sum(F.col("weight") ** 2).over(W.partitionBy("id")))
     unit = weights.select("id", F.xxhash64("term").alias("h"), "df", (F.col("weight") / norm).alias("u"))
-    rest = F.sum(F.col("u") ** 2).over(W.partitionBy("id").orderBy("df", "h").rowsBetween(1, W.unboundedFollowing))
+    rest = F.sum(F.col("u") ** 2).over(W.partitionBy("id").orderBy(F.desc("df"), F.desc("h")).rowsBetween(W.unboundedPreceding, -1))  # a running sum: linear in the terms
     return unit.withColumn("after", F.sqrt(F.coalesce(rest, F.lit(0.0))))
 
 
@@ -34,10 +34,11 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs_of(batches, need: float, low: float, high: float, twice: float):
-    """Candidates among rows that come sorted by key: id pairs that may reach their bound at this term, were it their first in common.
+    """Candidates among rows that come sorted by key, then by reach from high to low: id pairs that may reach their bound at this term, were it their first in common.
 
-    Before the first term in common nothing adds to the product, so it is at most u * u' + after * after'. A pair of
-    enough likeness passes this at its first term, whatever it does at others.
+    Before the first term in common nothing adds to the product, so it is at most u * u' + after * after', which the
+    product of the reaches, the lengths of (u, after), bounds in turn: a row meets its key's rows down to the reach that
+    it needs of them. A pair of enough likeness passes this at its first term, whatever it does at others.
     """
 
     def emit(rows: pd.DataFrame):
@@ -45,7 +46,9 @@ def _pairs_of(batches, need: float, low: float, high: float, twice: float):
         tags = None
         begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         end = np.repeat(np.r_[begin[1:], len(key)], np.diff(np.r_[begin, len(key)]))
-        many = end - np.arange(len(key)) - 1
+        reach, segment = np.sqrt(u**2 + after**2), 2.0 * np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
+        feasible = np.searchsorted(segment - reach, segment - need / reach + EPS, "right")
+        many = np.maximum(np.minimum(end, feasible) - np.arange(len(key)) - 1, 0)
         at = np.r_[0, np.cumsum(many)]
         s = 0
         while s < len(key):
@@ -88,7 +91,7 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
     """a < b (numbers), distinct: of postings(key, num, u, after, tags), rows of one key that may reach a cosine of need.
 
     With twice, a pair's own bound is twice less the Jaccard of its tags, and only pairs with one in (low, high] count.
-    Rows go sorted by key through tasks that pair them; only pairs that pass leave a task. Lists of more than LIST_ROWS
+    Rows go sorted by key and reach through tasks that pair them; only pairs that pass leave a task. Lists of more than LIST_ROWS
     rows are dealt to parts, and each two parts meet in a task, so no list is too long for one.
     """
     reach = postings.filter(F.sqrt(F.col("u") ** 2 + F.col("after") ** 2) >= need - EPS)
@@ -103,7 +106,7 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
         rows = rows.join(long, "key", "left_anti").withColumn("side", F.lit(2)).unionByName(dealt)
     else:
         rows = rows.withColumn("side", F.lit(2))
-    ordered = rows.repartition("key").sortWithinPartitions("key")
+    ordered = rows.repartition("key").sortWithinPartitions("key", F.desc(F.sqrt(F.col("u") ** 2 + F.col("after") ** 2)))
     return ordered.mapInArrow(lambda b: _pairs_of(b, need, low, high, twice), "a long, b long").distinct()
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorespan.functions.text import slugify, tokens
 from lorespan.operators.cosine import candidates, cosine_pairs, named, products, unit_vectors  # noqa: F401
 from lorespan.operators.vectors import cluster_vectors, knn_predict, vector_pairs  # noqa: F401
-from lorespan.sources.folders import spread, stored, tables
+from lorespan.sources.folders import stored, tables
 
 PAIR, STRONG, COHESION = 0.45, 0.65, 0.4
 #: Up to which Jaccard of tags pairs are sought together.
@@ -19,9 +19,12 @@ BANDS = (1 / 7, 1 / 3, 1 / 2)
 
 
 def tfidf(entries: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """id, term, tf, df, weight = tf * (ln((1 + N) / (1 + df)) + 1) of entries(id, text)."""
+    """id, term, tf, df, weight = tf * (ln((1 + N) / (1 + df)) + 1) of entries(id, text).
+
+    Texts, not terms, are dealt by id: counts by text, and what is asked by id later, need no further exchange.
+    """
     found = F.explode_outer(tokens(F.col("text"), stop_words)).alias("term")  # the outer form computes the tokens once
-    tf = spread(entries.select("id", "text")).select("id", found).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
+    tf = entries.select("id", "text").repartition("id").select("id", found).filter("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = entries.agg(F.count("*").alias("_n"))
     w = F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1)

@@ -64,9 +64,3 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_path = path
     return out
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as tasks run at once, if it has fewer (a small file, say); large inputs stay where they are."""
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
