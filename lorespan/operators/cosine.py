@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lorespan.sources.folders import stored, tables
 
 #: Rows of a list that one task pairs, pairs weighed at once, and terms of a block of whole vectors.
-LIST_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS = 2_000, 2_000_000, 250_000
+LIST_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS = 2_000, 2_000_000, 500_000
 #: Slack for sums in another order.
 EPS = 1e-9
 
@@ -111,21 +111,23 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
 
 
 def products(pairs: DataFrame, unit: DataFrame, n_terms: int) -> DataFrame:
-    """a, b, cosine of pairs(a, b), exactly: vectors of unit(num, h, u) are dealt to blocks, and a block meets another with the vectors that their pairs need."""
+    """pairs(a, b, ...) with their cosine, exactly: vectors of unit(num, h, u) are dealt to blocks, and a block meets another with the vectors that their pairs need. Other columns of pairs go along."""
     blocks = max(1, -(-n_terms // BLOCK_TERMS))
     home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.select("a", "b", home("a").alias("i"), home("b").alias("j"))
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pairs.schema.fields) + "cosine double"
+    placed = pairs.select("*", F.least(home("a"), home("b")).alias("i"), F.greatest(home("a"), home("b")).alias("j"))
     vectors = unit.groupBy("num").agg(F.collect_list(F.struct("h", "u")).alias("v")).select("num", F.col("v.h").alias("h"), F.col("v.u").alias("u"))
     needed = placed.select("i", "j", F.explode(F.array("a", "b")).alias("num")).distinct().join(vectors, "num").select(F.col("i").alias("bi"), F.col("j").alias("bj"), "num", "h", "u")
 
     def dot(found: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if found.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []}).astype({"a": "int64", "b": "int64", "cosine": "float64"})
+            return found.drop(columns=["i", "j"]).assign(cosine=np.empty(0))
         place = {n: k for k, n in enumerate(vectors["num"])}
         bare = ~(found["a"].isin(place) & found["b"].isin(place))  # vectors without terms
-        none, found = found[bare], found[~bare]
+        found = found.drop(columns=["i", "j"])
+        none, found = found[bare].assign(cosine=0.0), found[~bare]
         if found.empty:
-            return none[["a", "b"]].assign(cosine=0.0)
+            return none
         size = vectors["h"].map(len).to_numpy()
         at = np.r_[0, np.cumsum(size)]
         term = np.unique(np.concatenate(vectors["h"].to_list()), return_inverse=True)[1]
@@ -142,9 +144,10 @@ def products(pairs: DataFrame, unit: DataFrame, n_terms: int) -> DataFrame:
             rows = np.repeat(at[b[s:e]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             out[s:e] = np.add.reduceat(wide[term[rows]] * u[rows], np.cumsum(n) - n)
             wide[term[mine]] = 0
-        return pd.concat([pd.DataFrame({"a": found["a"], "b": found["b"], "cosine": out}), none[["a", "b"]].assign(cosine=0.0)])
+        found = found.assign(cosine=out)
+        return pd.concat([found, none]) if len(none) else found
 
-    return placed.groupBy("i", "j").cogroup(needed.groupBy("bi", "bj")).applyInPandas(dot, "a long, b long, cosine double")
+    return placed.groupBy("i", "j").cogroup(needed.groupBy("bi", "bj")).applyInPandas(dot, schema)
 
 
 def numbered(unit: DataFrame) -> tuple[DataFrame, DataFrame, int]:

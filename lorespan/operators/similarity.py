@@ -81,7 +81,7 @@ def similar_pairs(entries: DataFrame, threshold: float = PAIR, stop_words: tuple
         both, all_ = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
         pairs = pairs.select("a", "b", F.when(all_ > 0, both / all_).otherwise(0.0).alias("jaccard")).filter(F.col("jaccard") + 1 >= 2 * threshold - 1e-9)
         pairs = stored(pairs, "candidates")
-        out = pairs.join(products(pairs, unit, n), ["a", "b"]).withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2)
+        out = products(pairs, unit, n).withColumn("similarity", (F.col("jaccard") + F.col("cosine")) / 2)
         return scope.keep(named(out.filter(F.col("similarity") >= threshold), names, "jaccard", "cosine", "similarity"), "similar-pairs")
 
 
