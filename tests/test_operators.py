@@ -212,3 +212,12 @@ def test_sources(spark, tmp_path):
     lines = spark.createDataFrame([("d", k, x) for k, x in enumerate(["| A | B |", "|---|---|", "| 1 | 2 |", "| ragged |", "text", "| 3 | 4 |"])], "doc string, pos long, line string")
     assert [r.cells for r in trees.parse_pipe_table(lines).orderBy("pos").collect()] == [["1", "2"], ["3", "4"]]
     assert [r.json for r in trees.canonical_json(spark.createDataFrame([(2, None), (1, "x")], "b int, a string")).collect()] == ['{"a":"x","b":1}', '{"a":null,"b":2}']
+
+
+def test_beyond_sd_judges_before_rounding(spark):
+    from lorespan.operators.stats import beyond_sd
+
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate((-1, 0, 0, 0, 1))], "id int, v double")
+    sd = 0.5**0.5
+    assert {r.id for r in beyond_sd(df, "id", "v", 1 / sd - 2e-7).collect()} == {0, 4}  # the bound rounds up to the rounded z
+    assert not beyond_sd(df, "id", "v", 1 / sd + 2e-7).collect()
