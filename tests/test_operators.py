@@ -221,3 +221,11 @@ def test_beyond_sd_judges_before_rounding(spark):
     sd = 0.5**0.5
     assert {r.id for r in beyond_sd(df, "id", "v", 1 / sd - 2e-7).collect()} == {0, 4}  # the bound rounds up to the rounded z
     assert not beyond_sd(df, "id", "v", 1 / sd + 2e-7).collect()
+
+
+def test_resolve_ids_with_an_id_twice_in_the_ledger(spark):
+    ledger = spark.createDataFrame([("e-00001", ["p|1"], "h1", "active"), ("e-00001", ["p|2"], "h2", "active"), ("e-00002", ["p|3"], "h3", "active"), ("e-00002", ["p|4"], "h4", "active")], "id string, fingerprints array<string>, content_hash string, status string")
+    records = spark.createDataFrame([("p|9", "e-00001", "h9"), ("p|2", None, "h2")], "fingerprint string, explicit_id string, content_hash string")
+    out, after = identity.resolve_ids(records, ledger)
+    assert sorted((r.fingerprint, r.id) for r in out.collect()) == [("p|2", "e-00001"), ("p|9", "e-00001")]
+    assert sorted((r.id, r.status, sorted(r.fingerprints)) for r in after.collect()) == [("e-00001", "active", ["p|1", "p|2"]), ("e-00002", "tombstone", ["p|3", "p|4"])]
