@@ -115,7 +115,7 @@ def rename_match(new: DataFrame, old: DataFrame, keys: list[str], least: float =
     rows = both.select("side", "id", "block", F.size("words").alias("n"), F.explode("words").alias("w"))
     df = stored(rows.groupBy("block", "w").agg(F.count("*").alias("df")), "word-counts")
     place = F.row_number().over(W.partitionBy("side", "id").orderBy("df", "w"))
-    first = rows.join(df, ["block", "w"]).withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    first = rows.join(df, ["block", "w"]).withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
     side = lambda name: first.filter(F.col("side") == name).select("block", "w", F.col("id").alias(f"{name}_id"))
     pairs = side("new").join(side("old"), ["block", "w"]).select("new_id", "old_id").distinct()
     words = lambda name: both.filter(F.col("side") == name).select(F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
@@ -130,7 +130,7 @@ def rename_match(new: DataFrame, old: DataFrame, keys: list[str], least: float =
             won = stored(left.orderBy(F.desc("jaccard"), "new_id", "old_id").limit(1), "renamed")
         taken = taken.unionByName(won)
         left = stored(left.join(won.select("new_id"), "new_id", "left_anti").join(won.select("old_id"), "old_id", "left_anti"), "rename-pairs")
-    return taken.withColumn("unsure", F.col("jaccard") < least + 0.05)
+    return taken.withColumn("unsure", F.col("jaccard") < round(least + 0.05, 12))  # 0.8 + 0.05 is above 0.85
 
 
 def committed_paths(log: DataFrame, since: Column, tree: DataFrame) -> DataFrame:

@@ -229,3 +229,11 @@ def test_resolve_ids_with_an_id_twice_in_the_ledger(spark):
     out, after = identity.resolve_ids(records, ledger)
     assert sorted((r.fingerprint, r.id) for r in out.collect()) == [("p|2", "e-00001"), ("p|9", "e-00001")]
     assert sorted((r.id, r.status, sorted(r.fingerprints)) for r in after.collect()) == [("e-00001", "active", ["p|1", "p|2"]), ("e-00002", "tombstone", ["p|3", "p|4"])]
+
+
+def test_rename_match_at_the_bound_of_unsure(spark):
+    old = " ".join(f"w{i}" for i in range(17))
+    rows = lambda x: spark.createDataFrame(x, "id int, path string, text string, status string")
+    new = rows([(1, "p", old + " a b c", "active"), (2, "q", old + " a b c d", "active")])  # 17 of 20, 17 of 21
+    got = identity.rename_match(new, rows([(11, "p", old, "active"), (12, "q", old, "active")]), ["path"]).collect()
+    assert sorted((r.new_id, r.old_id, r.unsure) for r in got) == [(1, 11, False), (2, 12, True)]
