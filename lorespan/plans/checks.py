@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lorespan.operators import checks as C
 from lorespan.operators import identity as I
+from lorespan.operators import stats as S
 
-from .base import ENTRIES, entries, table
+from .base import ENTRIES, PLACE, entries, placed, table
 
 Q, SQL = {}, {}
 
@@ -65,8 +66,8 @@ def tombstone(s, d):
 def upsert(s, d):
     o, i = table(s, d, "orders"), F.col("o_orderkey")
     base = o.filter(i % 5 != 0).select(i.cast("string").alias("k"), F.col("o_orderstatus").alias("status"), F.when(i % 3 == 0, F.col("o_orderpriority")).otherwise("").alias("note"))
-    upd = table(s, d, "lineitem").filter(F.col("l_orderkey") % 4 == 0).select(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("note"), "l_linenumber")
-    return I.upsert(base, upd, "k", preserve=("note",), order="l_linenumber")
+    upd = placed(s, d, "lineitem").filter(F.col("l_orderkey") % 4 == 0).select(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("note"), "l_linenumber", *PLACE)
+    return I.upsert(base, upd, "k", preserve=("note",), order="l_linenumber", ties=PLACE)
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT c_custkey, upper(c_name), 'NEW' FROM customer WHERE c_custkey % 3 = 0")

@@ -237,3 +237,9 @@ def test_rename_match_at_the_bound_of_unsure(spark):
     new = rows([(1, "p", old + " a b c", "active"), (2, "q", old + " a b c d", "active")])  # 17 of 20, 17 of 21
     got = identity.rename_match(new, rows([(11, "p", old, "active"), (12, "q", old, "active")]), ["path"]).collect()
     assert sorted((r.new_id, r.old_id, r.unsure) for r in got) == [(1, 11, False), (2, 12, True)]
+
+
+def test_upsert_takes_the_first_of_updates_alike(spark):
+    base = spark.createDataFrame([("a", "old")], "k string, v string")
+    new = spark.createDataFrame([("a", "late", 7, i) for i in range(9, 1, -1)] + [("a", "first", 7, 1), ("a", "early", 6, 0)], "k string, v string, o int, place int")
+    assert one(identity.upsert(base, new, "k", order="o", ties=("place",))).v == "first"
