@@ -190,10 +190,15 @@ def value_freshness(registry: DataFrame, recomputed: DataFrame, key: str, tolera
     return rows.select(*_row("value_freshness", "value", F.col(key), F.round("_a", 6), F.round("_b", 6), bad, F.lit(1)))
 
 
+def half_away(x: Column, digits: int) -> Column:
+    """x rounded as a float: of x times a power of ten, halves go away from 0. F.round goes by the decimal digits that print, where 1.005 is a half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def grim_check(df: DataFrame, key: str, mean: str, n: str, digits: int = 2) -> DataFrame:
     """Means of n whole numbers that cannot be: no total rounds to them."""
     total = F.round(F.col(mean) * F.col(n))
-    off = F.abs(F.round(total / F.col(n), digits) - F.round(F.col(mean), digits))
+    off = F.abs(half_away(total / F.col(n), digits) - half_away(F.col(mean), digits))
     return df.select(*_row("grim", mean, F.col(key), F.round(off, 6), F.lit(0.0), off > 10.0 ** -(digits + 2), F.col(n)))
 
 

@@ -335,7 +335,8 @@ def value_freshness(s, d):
 
 @query("SELECT " + sel("grim", "'mean'", "k", "round(off, 6)", "0", "off > 0.0001", "n") + " FROM (SELECT *, abs(round(round(mean * n) / n, 2) - round(mean, 2)) AS off FROM (SELECT o_custkey AS k, count(*) AS n, round(avg(o_totalprice) / 1000, 2) AS mean FROM orders GROUP BY 1))")
 def grim_check(s, d):
-    o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice") / 1000, 2).alias("mean"))
+    o = S.means_in_order(placed(s, d, "orders").withColumnRenamed("o_custkey", "k"), "k", {"mean": "o_totalprice"}, PLACE)
+    o = o.withColumn("mean", C.half_away(F.col("mean") / 1000, 2))
     return C.grim_check(o, "k", "mean", "n")
 
 

@@ -243,3 +243,17 @@ def test_upsert_takes_the_first_of_updates_alike(spark):
     base = spark.createDataFrame([("a", "old")], "k string, v string")
     new = spark.createDataFrame([("a", "late", 7, i) for i in range(9, 1, -1)] + [("a", "first", 7, 1), ("a", "early", 6, 0)], "k string, v string, o int, place int")
     assert one(identity.upsert(base, new, "k", order="o", ties=("place",))).v == "first"
+
+
+def test_means_in_order_and_rounding_as_floats(spark):
+    values = [0.1, 0.7, 0.3, 0.2, 0.6, 0.05, 1e16, 1.0, -1e16]
+    df = spark.createDataFrame([("g", v, i) for i, v in enumerate(values)] + [("h", None, 0)], "g string, v double, i int").repartition(5)
+    total = 0.0
+    for v in values:
+        total += v
+    got = {r.g: (r.n, r.m) for r in stats.means_in_order(df, "g", {"m": "v"}, ("i",)).collect()}
+    assert got == {"g": (9, total / 9), "h": (1, None)}
+    halves = spark.createDataFrame([(1.005,), (0.125,), (-0.125,), (2.0,)], "x double")
+    assert [r[0] for r in halves.select(checks.half_away(F.col("x"), 2)).collect()] == [1.0, 0.13, -0.13, 2.0]
+    wrong = spark.createDataFrame([("a", 1.0, 200), ("b", 1.01, 200)], "k string, m double, n int")
+    assert [r.severity for r in checks.grim_check(wrong, "k", "m", "n").collect()] == ["ok", "ok"]
