@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lorespan.operators import domain as D
+from lorespan.operators import stats as S
 
-from .base import table
+from .base import PLACE, placed, table
 
 Q, SQL = {}, {}
 
@@ -25,6 +26,11 @@ def _line(s, d):
     return table(s, d, "lineitem")
 
 
+def _changes(s, d):
+    x = S.means_in_order(placed(s, d, "lineitem"), "l_partkey", {"p": "l_discount", "fc": "l_quantity"}, PLACE)
+    return x.withColumn("fc", F.log2(F.col("fc") / 25))
+
+
 @query("SELECT l_orderkey, l_partkey, l_quantity FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING sum(l_quantity) >= 800)")
 def low_count_filter(s, d):
     return D.low_count_filter(_line(s, d), "l_partkey", "l_quantity", 800).select("l_orderkey", "l_partkey", "l_quantity")
@@ -44,13 +50,13 @@ def pseudobulk(s, d):
     "WITH x AS (SELECT l_partkey, avg(l_discount) AS p, log2(avg(l_quantity) / 25) AS fc FROM lineitem GROUP BY 1), c AS (SELECT *, CASE WHEN fc > 0 THEN 'up' ELSE 'down' END AS class FROM x WHERE p < 0.05 AND abs(fc) >= 0.1) SELECT class, CAST(k AS INT) AS k, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY p, abs(fc) DESC, l_partkey) AS k FROM c) WHERE k <= 10"
 )
 def volcano_labels(s, d):
-    x = _line(s, d).groupBy("l_partkey").agg(F.avg("l_discount").alias("p"), F.log2(F.avg("l_quantity") / 25).alias("fc"))
+    x = _changes(s, d)
     return D.volcano_labels(x, "l_partkey", "fc", "p", 10, 0.1)
 
 
 @query("SELECT l_partkey, CASE WHEN p < 0.05 AND fc >= 0.2 THEN 'up' WHEN p < 0.05 AND fc <= -0.2 THEN 'down' ELSE 'none' END AS class FROM (SELECT l_partkey, avg(l_discount) AS p, log2(avg(l_quantity) / 25) AS fc FROM lineitem GROUP BY 1)")
 def volcano_classes(s, d):
-    x = _line(s, d).groupBy("l_partkey").agg(F.avg("l_discount").alias("p"), F.log2(F.avg("l_quantity") / 25).alias("fc"))
+    x = _changes(s, d)
     return D.volcano_classes(x, "fc", "p", 0.2).select("l_partkey", "class")
 
 
@@ -150,7 +156,7 @@ def focus_flags(s, d):
 
 @query("SELECT l_suppkey AS sample, metric, passed FROM (SELECT l_suppkey, 'quantity' AS metric, avg(l_quantity) BETWEEN 25 AND 26 AS passed FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, 'discount', avg(l_discount) BETWEEN 0.045 AND 0.05 FROM lineitem GROUP BY 1)")
 def sample_qc_summary(s, d):
-    x = _line(s, d).groupBy(F.col("l_suppkey").alias("sample")).agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount")).unpivot("sample", ["quantity", "discount"], "metric", "value")
+    x = S.means_in_order(placed(s, d, "lineitem").withColumnRenamed("l_suppkey", "sample"), "sample", {"quantity": "l_quantity", "discount": "l_discount"}, PLACE).unpivot("sample", ["quantity", "discount"], "metric", "value")
     return D.sample_qc_summary(x, s.createDataFrame([("quantity", 25.0, 26.0), ("discount", 0.045, 0.05)], "metric string, low double, high double"))
 
 
