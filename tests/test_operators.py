@@ -257,3 +257,19 @@ def test_means_in_order_and_rounding_as_floats(spark):
     assert [r[0] for r in halves.select(checks.half_away(F.col("x"), 2)).collect()] == [1.0, 0.13, -0.13, 2.0]
     wrong = spark.createDataFrame([("a", 1.0, 200), ("b", 1.01, 200)], "k string, m double, n int")
     assert [r.severity for r in checks.grim_check(wrong, "k", "m", "n").collect()] == ["ok", "ok"]
+
+
+def test_poisson_bootstrap_draws_for_each_unit_and_replica(spark):
+    import hashlib
+
+    rows = [(u, float(v)) for u in range(40) for v in range(u % 3 + 1)] + [(99, None)]
+    want = {}
+    for rep in range(20):
+        s = c = 0.0
+        for u in range(40):
+            share = int(hashlib.md5(f"{u}:{rep}".encode()).hexdigest()[:8], 16) / 2**32
+            w = sum(share >= x for x in stats.POISSON)
+            s, c = s + w * sum(range(u % 3 + 1)), c + w * (u % 3 + 1)
+        want[rep] = round(s / c, 6)
+    got = {r.replica: r["mean"] for r in stats.poisson_bootstrap(spark.createDataFrame(rows, "u int, v double"), "u", "v", 20).collect()}
+    assert got == pytest.approx(want, abs=1.1e-6)
