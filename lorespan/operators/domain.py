@@ -129,34 +129,75 @@ def shuffled(places: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
     In each round, a place and its partner (a key less it, modulo n) swap or not, by a bit of the hash of the greater of
     the two.
     """
-    x = places
-    for k, a, b, c in np.array(keys, np.int64).reshape(-1, 4):
-        y = (k % n + n - x) % n
-        g = np.maximum(x, y)
-        x = np.where(((a * g + b) % PRIME * g + c) % PRIME % 2 == 1, y, x)
-    return x
+    out = np.empty(len(places), np.int64)
+    rounds = [(k % n, a, b, c) for k, a, b, c in np.array(keys, np.int64).reshape(-1, 4).tolist()]
+    fold = lambda v: (v & PRIME) + (v >> 31)  # noqa: E731  # the same modulo PRIME, without division
+    for at in range(0, len(places), 16_384):
+        x = places[at : at + 16_384].astype(np.int64)
+        for k, a, b, c in rounds:
+            y = k - x
+            y += n * (y < 0)
+            g = np.maximum(x, y)
+            h = fold(fold(fold(fold(a * g + b)) * g + c))
+            x = np.where((h & 1).astype(bool) & (h != PRIME), y, x)
+        out[at : at + 16_384] = x
+    return out
+
+
+#: Orders of one set that a task takes, and members up to which it holds the set's ranks (8 bytes each); larger sets go through a sorted window.
+ORDERS_AT_ONCE, SET_ROWS = 50, 4_000_000
+
+
+def _farthest(ranks: np.ndarray, n_all: int) -> float:
+    """The running sum's greatest excursion along ranks in order, as in _excursions()."""
+    m, i = len(ranks), np.arange(1, len(ranks) + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        down = (ranks - i) / (n_all - m)
+        s = np.stack([(i - 1) / m - down, i / m - down], axis=1).ravel()  # by place: just before a member, then at it
+    r = np.round(np.abs(s), 9)
+    return float(s[int(r.argmax())])
 
 
 def enrichment_pvalues(ranked: DataFrame, sets: DataFrame, gene: str, scores: DataFrame, n: int = 1_000) -> DataFrame:
     """set, score, p: the share of n orders of the genes in which the set's score is at least as far from 0.
 
-    An order is a keyed bijection on ranks, so the members' ranks in it follow from their own alone: there are members
-    times orders rows, and no gene outside the sets is moved or sorted.
+    An order is a keyed bijection on ranks, so the members' ranks in it follow from their own alone, and no gene outside the
+    sets is moved or sorted. A task takes a set's ranks for ORDERS_AT_ONCE orders and gives a number for each; only for sets
+    of more than SET_ROWS members are there rows of members times orders.
     """
     total = ranked.count()
     members = sets.join(ranked.select(gene, "rank"), gene).select("set", "rank")
-
-    def mix(batches):
-        for batch in batches:
-            at = batch.column("rank").to_numpy().astype(np.int64) - 1
-            for rep in range(n if len(at) else 0):
-                yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(np.full(len(at), rep, np.int32)), pa.array(shuffled(at, total, order_keys(rep)) + 1)], names=["set", "rep", "rank"])
-
     kind = members.schema["set"].dataType.simpleString()
-    mixed = members.mapInArrow(mix, f"`set` {kind}, rep int, rank long").withColumn("n_all", F.lit(total))
-    null = _excursions(mixed, ["set", "rep"]).select("set", F.col("score").alias("_n"))
-    x = scores.select("set", "score").join(null, "set")
-    return x.groupBy("set", "score").agg(F.round(F.avg((F.abs("_n") >= F.abs("score")).cast("double")), 6).alias("p"))
+    with tables(ranked.sparkSession) as scope:
+        members = stored(members, "members")
+        sizes = stored(members.groupBy("set").agg((F.count("*") > SET_ROWS).alias("large")), "set-sizes")
+        rows = members.join(sizes, "set")
+
+        def orders(key, table):
+            at, low = table.column("rank").to_numpy().astype(np.int64) - 1, key[1].as_py() * ORDERS_AT_ONCE
+            far = [_farthest(np.sort(shuffled(at, total, order_keys(rep))) + 1, total) for rep in range(low, min(n, low + ORDERS_AT_ONCE))]
+            return pa.table({"set": pa.array([key[0].as_py()] * len(far), table.schema.field("set").type), "s": pa.array(far, pa.float64())})
+
+        chunks = F.explode(F.sequence(F.lit(0), F.lit((n - 1) // ORDERS_AT_ONCE))).alias("chunk")
+        held = rows.filter("not large").select("set", chunks, "rank").repartition(max(len(range(0, n, ORDERS_AT_ONCE)), _tasks(ranked)), "set", "chunk")
+        null = held.groupBy("set", "chunk").applyInArrow(orders, f"`set` {kind}, s double").select("set", F.round("s", 6).alias("_n"))
+
+        def mix(batches):
+            for batch in batches:
+                at = batch.column("rank").to_numpy().astype(np.int64) - 1
+                for rep in range(n if len(at) else 0):
+                    yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(np.full(len(at), rep, np.int32)), pa.array(shuffled(at, total, order_keys(rep)) + 1)], names=["set", "rep", "rank"])
+
+        if sizes.filter("large").limit(1).count():
+            mixed = rows.filter("large").select("set", "rank").mapInArrow(mix, f"`set` {kind}, rep int, rank long").withColumn("n_all", F.lit(total))
+            null = null.unionByName(_excursions(mixed, ["set", "rep"]).select("set", F.col("score").alias("_n")))
+        x = scores.select("set", "score").join(null, "set")
+        return scope.keep(x.groupBy("set", "score").agg(F.round(F.avg((F.abs("_n") >= F.abs("score")).cast("double")), 6).alias("p")), "pvalues")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for work that is long for its bytes, so that it is not coalesced."""
+    return max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sample_qc_summary(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:

@@ -273,3 +273,15 @@ def test_poisson_bootstrap_draws_for_each_unit_and_replica(spark):
         want[rep] = round(s / c, 6)
     got = {r.replica: r["mean"] for r in stats.poisson_bootstrap(spark.createDataFrame(rows, "u int, v double"), "u", "v", 20).collect()}
     assert got == pytest.approx(want, abs=1.1e-6)
+
+
+def test_enrichment_pvalues_by_arrays_and_by_rows(spark, monkeypatch):
+    from lorespan.operators import domain as D
+
+    ranked = spark.createDataFrame([(i, i + 1) for i in range(60)], "g int, rank long")
+    sets = spark.createDataFrame([("low", g) for g in range(0, 24, 3)] + [("all over", g) for g in range(0, 60, 7)], "`set` string, g int")
+    scores = D.running_enrichment(ranked, sets, "g")
+    got = {r["set"]: r.p for r in D.enrichment_pvalues(ranked, sets, "g", scores, 60).collect()}
+    monkeypatch.setattr(D, "SET_ROWS", 8)  # "all over" has 9 members and goes through the window
+    assert got == {r["set"]: r.p for r in D.enrichment_pvalues(ranked, sets, "g", scores, 60).collect()}
+    assert 0 <= got["low"] < got["all over"] <= 1
