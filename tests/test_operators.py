@@ -285,3 +285,15 @@ def test_enrichment_pvalues_by_arrays_and_by_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "SET_ROWS", 8)  # "all over" has 9 members and goes through the window
     assert got == {r["set"]: r.p for r in D.enrichment_pvalues(ranked, sets, "g", scores, 60).collect()}
     assert 0 <= got["low"] < got["all over"] <= 1
+
+
+def test_tfidf_deals_by_the_length_of_texts(spark, monkeypatch):
+    from lorespan.operators import similarity as SIM
+
+    entries = spark.createDataFrame([(i, f"alpha beta w{i} w{i}") for i in range(40)], "id int, text string")
+    few = {(r.id, r.term, r.tf, r.df) for r in SIM.tfidf(entries).collect()}
+    monkeypatch.setattr(SIM, "PART_CHARS", 40)
+    many = SIM.tfidf(entries)
+    assert few == {(r.id, r.term, r.tf, r.df) for r in many.collect()}
+    length = sum(len(f"alpha beta w{i} w{i}") for i in range(40))
+    assert "hashpartitioning(id#" in many._jdf.queryExecution().toString() and f", {-(-length // 40)})" in many._jdf.queryExecution().toString()
