@@ -184,3 +184,19 @@ def test_nearest_neighbor_of_a_crowd(spark):
         d = np.sqrt(((xy - xy[i]) ** 2).sum(axis=1))
         d[i] = np.inf
         assert got[i] == int(d.argmin())
+
+
+def test_nearest_clusters_by_parts(spark, monkeypatch):
+    """GRID parts of each side meet, and no more where rows grow; shorter vectors end in zeros, ties go to the smallest id, nothing is stored."""
+    monkeypatch.setattr(vectors, "GRID", 3)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(vectors, "stored", lambda *_: 1 / 0)
+    m = _vectors(5, 150, 5, 0.5)
+    m[40:45, 4] = 0
+    rows = [(3 * i, (v[:4] if 40 <= i < 45 else v).tolist()) for i, v in enumerate(m)]
+    state = spark.createDataFrame(rows, "id long, c array<double>").withColumn("n", F.lit(1))
+    asked = state.filter("id % 2 = 0")
+    d = np.round(1 - m @ m.T, 12)
+    np.fill_diagonal(d, np.inf)
+    want = {3 * i: (3 * int(d[i].argmin()), float(d[i].min())) for i in range(0, 150, 2) if d[i].min() < 0.3}
+    assert {r.id: (r.other, r.distance) for r in vectors.nearest_clusters(asked, state, 0.3).collect()} == want and want
