@@ -200,3 +200,14 @@ def test_nearest_clusters_by_parts(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     want = {3 * i: (3 * int(d[i].argmin()), float(d[i].min())) for i in range(0, 150, 2) if d[i].min() < 0.3}
     assert {r.id: (r.other, r.distance) for r in vectors.nearest_clusters(asked, state, 0.3).collect()} == want and want
+
+
+def test_blocks_grow_with_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(vectors, "BLOCKS", 8)
+    m = _vectors(4, 400)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    assert vectors.skipped(df, 0.1).collect()[0].blocks <= 8 + vectors.PIVOTS
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    assert {(r.a, r.b) for r in vectors.vector_pairs(df, 0.1).collect()} == {(a, b) for a in range(400) for b in range(a + 1, 400) if d[a, b] < 0.1}
