@@ -211,3 +211,23 @@ def test_blocks_grow_with_the_vectors(spark, monkeypatch):
     u = m / np.linalg.norm(m, axis=1, keepdims=True)
     d = 1 - u @ u.T
     assert {(r.a, r.b) for r in vectors.vector_pairs(df, 0.1).collect()} == {(a, b) for a in range(400) for b in range(a + 1, 400) if d[a, b] < 0.1}
+
+
+def test_tag_pairs_meet_at_several_tags(spark, monkeypatch):
+    """Sets that share common tags only never meet where three are needed; all sizes, thresholds and null tags against brute force; pairs are not stored."""
+    written, real = [], folders.stored
+    monkeypatch.setattr(folders, "stored", lambda df, name: written.append(name) or real(df, name))
+    monkeypatch.setattr(similarity, "stored", folders.stored)
+    rng = random.Random(2)
+    for sizes in ([4], [3, 4, 5], [1, 2, 7], [0, 4, 9]):
+        rows = [(i, [rng.choice(["A", "a"]) if t == "a" else t for t in rng.sample([*"abcdefghij"], rng.choice(sizes))]) for i in range(80)]
+        df = spark.createDataFrame(rows, "id long, tags array<string>")
+        sets = {i: {t.lower() for t in g} for i, g in rows}
+        for above in (0.0, 0.3, 0.5):
+            got = Counter((r.a, r.b, round(r.jaccard, 9)) for r in similarity.tag_jaccard_pairs(df, above).collect())
+            want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+            assert got == Counter((a, b, round(j, 9)) for (a, b), j in want.items() if j > above) and got
+    assert "tag-pairs" not in written
+    keys = similarity.tag_jaccard_pairs(spark.createDataFrame([(i, ["x", "y", f"p{i}", f"q{i}"]) for i in range(50)], "id long, tags array<string>"), 0.5)
+    assert keys.count() == 0
+    assert similarity.tag_jaccard_pairs(df.limit(0), 0.5).count() == 0
