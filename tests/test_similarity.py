@@ -231,3 +231,31 @@ def test_tag_pairs_meet_at_several_tags(spark, monkeypatch):
     keys = similarity.tag_jaccard_pairs(spark.createDataFrame([(i, ["x", "y", f"p{i}", f"q{i}"]) for i in range(50)], "id long, tags array<string>"), 0.5)
     assert keys.count() == 0
     assert similarity.tag_jaccard_pairs(df.limit(0), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("features", [3, 12, 500])
+def test_cluster_terms_of_common_words(spark, monkeypatch, features):
+    """Pairs are sought among common words only, and give the features of counting all; terms of texts are not stored."""
+    written, real = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: written.append(name) or real(df, name))
+    rng = random.Random(features)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(20)], weights=[1 / (k + 1) ** 1.5 for k in range(20)], k=rng.randint(0, 25)))) for i in range(40)] + [(7, "w1 w2 w1 w2"), (90, None)]
+    tf, df, total = Counter(), Counter(), Counter()
+    for i, text in rows:
+        w = (text or "").split()
+        tf.update((i, t) for t in w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+    for (_, t), k in tf.items():
+        df[t] += 1
+        total[t] += k
+    kept = sorted((t for t in df if df[t] > 1), key=lambda t: (-total[t], t))[:features]
+    weight = {(i, t): k * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for (i, t), k in tf.items() if t in kept}
+    norm = {i: math.sqrt(sum(x * x for (j, _), x in weight.items() if j == i)) for i, _ in weight}
+    want = Counter()
+    for (i, t), x in weight.items():
+        want[i % 2, t] += x / norm[i]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    members = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(90, 0)], "id long, cluster int")
+    got = {(r.cluster, r.term): r.score for r in similarity.cluster_terms(texts, members, features=features, n=10_000).collect()}
+    size = {0: 21, 1: 20}
+    assert set(got) == set(want) and all(abs(got[k] - want[k] / size[k[0]]) < 2e-6 for k in want)
+    assert "tf" not in written
