@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from lorespan.sources.folders import stored, tables
 
-#: Rows of a list that one task pairs, pairs weighed at once, and terms of a block of whole vectors.
-LIST_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS = 2_000, 2_000_000, 500_000
+#: Rows of a list that one task pairs, parts of a longer one at most, rows of a key from which on products are by blocks,
+#: pairs weighed at once, and terms of a block of whole vectors.
+LIST_ROWS, LIST_PARTS, DENSE_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS = 2_000, 12, 128, 2_000_000, 500_000
 #: Slack for sums in another order.
 EPS = 1e-9
 
@@ -33,7 +34,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return n
 
 
-def _pairs_of(batches, need: float, low: float, high: float, twice: float):
+def _pairs_of(batches, need: float, low: float, high: float, twice: float, dense: int):
     """Candidates among rows that come sorted by key, then by reach from high to low: id pairs that may reach their bound at this term, were it their first in common.
 
     Before the first term in common nothing adds to the product, so it is at most u * u' + after * after', which the
@@ -48,15 +49,42 @@ def _pairs_of(batches, need: float, low: float, high: float, twice: float):
         end = np.repeat(np.r_[begin[1:], len(key)], np.diff(np.r_[begin, len(key)]))
         reach, segment = np.sqrt(u**2 + after**2), 2.0 * np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(key)]))
         feasible = np.searchsorted(segment - reach, segment - need / reach + EPS, "right")
-        many = np.maximum(np.minimum(end, feasible) - np.arange(len(key)) - 1, 0)
-        at = np.r_[0, np.cumsum(many)]
-        s = 0
-        while s < len(key):
-            e = max(s + 1, int(np.searchsorted(at, at[s] + PAIRS_AT_ONCE, "right")) - 1)
-            i = np.repeat(np.arange(s, e), many[s:e])
-            j = i + 1 + np.arange(len(i)) - np.repeat(at[s:e] - at[s], many[s:e])
-            ok = (u[i] * u[j] + after[i] * after[j] >= need - EPS) & (num[i] != num[j]) & ((side[i] != side[j]) | (side[i] == 2))
-            i, j = i[ok], j[ok]
+        ends = np.minimum(end, feasible)
+        both_ = np.stack([u, after], axis=1)
+
+        def by_blocks(first: int, last: int):
+            """Pairs of one key's rows that pass, from products of blocks of them."""
+            rows_, at_once = 512, []
+            for s in range(first, last, rows_):
+                e, stop = min(s + rows_, last), int(ends[s])  # later rows reach no further
+                for c in range(s, stop, 4096):
+                    i, j = np.nonzero(both_[s:e] @ both_[c : min(c + 4096, stop)].T >= need - EPS)
+                    i, j = i + s, j + c
+                    ok = (j > i) & (j < ends[i]) & (num[i] != num[j]) & ((side[i] != side[j]) | (side[i] == 2))
+                    at_once.append((i[ok], j[ok]))
+                    if sum(len(x) for x, _ in at_once) > PAIRS_AT_ONCE // 4:
+                        yield tuple(np.concatenate(x) for x in zip(*at_once, strict=True))
+                        at_once = []
+            if at_once:
+                yield tuple(np.concatenate(x) for x in zip(*at_once, strict=True))
+
+        def weighed():
+            """Places i < j of pairs that pass at a key."""
+            long = np.diff(np.r_[begin, len(key)]) > dense
+            for first, last in zip(begin[long], np.r_[begin[1:], len(key)][long], strict=True):
+                yield from by_blocks(int(first), int(last))
+            many = np.where(np.repeat(long, np.diff(np.r_[begin, len(key)])), 0, np.maximum(ends - np.arange(len(key)) - 1, 0))
+            at = np.r_[0, np.cumsum(many)]
+            s = 0
+            while s < len(key):
+                e = max(s + 1, int(np.searchsorted(at, at[s] + PAIRS_AT_ONCE, "right")) - 1)
+                i = np.repeat(np.arange(s, e), many[s:e])
+                j = i + 1 + np.arange(len(i)) - np.repeat(at[s:e] - at[s], many[s:e])
+                ok = (u[i] * u[j] + after[i] * after[j] >= need - EPS) & (num[i] != num[j]) & ((side[i] != side[j]) | (side[i] == 2))
+                yield i[ok], j[ok]
+                s = e
+
+        for i, j in weighed():
             if twice and len(i):
                 if tags is None:
                     size = rows["tags"].map(len).to_numpy()
@@ -69,9 +97,13 @@ def _pairs_of(batches, need: float, low: float, high: float, twice: float):
                 ok = (u[i] * u[j] + after[i] * after[j] >= twice - alike - EPS) & (alike > low) & (alike <= high)
                 i, j = i[ok], j[ok]
             if len(i):
-                pairs = np.unique(np.stack([np.minimum(num[i], num[j]), np.maximum(num[i], num[j])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-            s = e
+                a, b = np.minimum(num[i], num[j]), np.maximum(num[i], num[j])
+                if key[i[0]] != key[i[-1]]:  # within one key no pair comes twice, but for equal hashes, and those go later
+                    order = np.lexsort((b, a))
+                    a, b = a[order], b[order]
+                    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+                    a, b = a[new], b[new]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     held: list[pd.DataFrame] = []
     for batch in batches:
@@ -92,11 +124,12 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
 
     With twice, a pair's own bound is twice less the Jaccard of its tags, and only pairs with one in (low, high] count.
     Rows go sorted by key and reach through tasks that pair them; only pairs that pass leave a task. Lists of more than LIST_ROWS
-    rows are dealt to parts, and each two parts meet in a task, so no list is too long for one.
+    rows are dealt to parts, LIST_PARTS at most, and each two parts meet in a task: a row goes to no more tasks than that,
+    and its task works by blocks.
     """
     reach = postings.filter(F.sqrt(F.col("u") ** 2 + F.col("after") ** 2) >= need - EPS)
     rows = stored(reach.select("key", "num", "u", "after", "tags"), "postings")
-    long = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS).select("key", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("parts")), "long-lists")
+    long = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_ROWS).select("key", F.least(F.ceil(F.col("n") / LIST_ROWS), F.lit(LIST_PARTS)).cast("int").alias("parts")), "long-lists")
     if long.limit(1).count():
         mine = F.pmod(F.xxhash64("num"), F.col("parts")).cast("int")
         others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j")))
@@ -106,8 +139,9 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
         rows = rows.join(long, "key", "left_anti").withColumn("side", F.lit(2)).unionByName(dealt)
     else:
         rows = rows.withColumn("side", F.lit(2))
+    dense = DENSE_ROWS
     ordered = rows.repartition("key").sortWithinPartitions("key", F.desc(F.sqrt(F.col("u") ** 2 + F.col("after") ** 2)))
-    return ordered.mapInArrow(lambda b: _pairs_of(b, need, low, high, twice), "a long, b long").distinct()
+    return ordered.mapInArrow(lambda b: _pairs_of(b, need, low, high, twice, dense), "a long, b long").distinct()
 
 
 def products(pairs: DataFrame, unit: DataFrame, n_terms: int) -> DataFrame:

@@ -259,3 +259,12 @@ def test_cluster_terms_of_common_words(spark, monkeypatch, features):
     size = {0: 21, 1: 20}
     assert set(got) == set(want) and all(abs(got[k] - want[k] / size[k[0]]) < 2e-6 for k in want)
     assert "tf" not in written
+
+
+def test_long_lists_by_blocks(spark, monkeypatch):
+    """A row of a long list goes to LIST_PARTS tasks at most, and keys of more than DENSE_ROWS rows are paired by blocks."""
+    for name, value in (("LIST_ROWS", 4), ("LIST_PARTS", 3), ("DENSE_ROWS", 2)):
+        monkeypatch.setattr(cosine, name, value)
+    df, given = entries(spark, 11, 60, [3])
+    got = {(r.a, r.b): round(r.similarity, 7) for r in similarity.similar_pairs(df, 0.45).collect()}
+    assert got == brute_pairs(given, 0.45) and got
