@@ -6,10 +6,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lorespan.operators import cosine, domain, similarity, vectors
+from lorespan.operators import blocks, cosine, domain, similarity, vectors
 from lorespan.sources import folders
 
 
@@ -268,3 +269,70 @@ def test_long_lists_by_blocks(spark, monkeypatch):
     df, given = entries(spark, 11, 60, [3])
     got = {(r.a, r.b): round(r.similarity, 7) for r in similarity.similar_pairs(df, 0.45).collect()}
     assert got == brute_pairs(given, 0.45) and got
+
+
+def test_similar_pairs_leave_tasks_once(spark, monkeypatch):
+    """Candidates and pairs are neither stored nor shuffled, whatever blocks they meet in, and every pair comes."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(blocks, "BLOCK_SIZE", 90)
+    names, new = [], folders.work_dir
+    monkeypatch.setattr(folders, "work_dir", lambda s, name: names.append(name) or new(s, name))
+    df, given = entries(spark, 5, 80, [0, 2, 4])
+    out = similarity.similar_pairs(df, 0.4)
+    assert {(r.a, r.b): round(r.similarity, 7) for r in out.collect()} == brute_pairs(given, 0.4)
+    assert names == ["tag-sets", "places", "similar-vectors"]
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def packed(vectors, tags, rows):
+    """Blocks of dense vectors in this process."""
+    lists = [[int(k) for k in np.flatnonzero(v)] for v in vectors]
+    weights = [[float(v[k]) for k in own] for v, own in zip(vectors, lists, strict=True)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(vectors))), pa.array(lists, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.float64())), pa.array(tags, pa.list_(pa.int64()))], names=["id", "h", "w", "tags"])
+    out = list(blocks._packed([batch], rows, 10**6))
+    return [(b.column(0)[0].as_py(), blocks.Block(*(np.frombuffer(b.column(c)[0].as_buffer(), k) for c, k in zip(blocks.Block._fields, blocks._KINDS, strict=True)))) for b in out]
+
+
+@pytest.mark.parametrize(("slots", "own", "strip", "at_once"), [(1_024, 256, 512, 10**6), (8, 3, 5, 7), (2, 1, 1, 1)])
+def test_two_blocks_by_any_sketch(monkeypatch, slots, own, strip, at_once):
+    """However coarse the sketch, no pair is lost and none comes twice."""
+    for name, value in (("SLOTS", slots), ("OWN", own), ("STRIP", strip), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(blocks, name, value)
+    rng = np.random.default_rng(3)
+    m = rng.random((40, 30)) ** 3 * (rng.random((40, 30)) < 0.3)
+    m[7], m[9] = m[8], 0
+    tags = [sorted(rng.choice(9, rng.integers(0, 5), False).tolist()) for _ in m]
+    tags[9] = tags[11] = [1, 2]
+    u = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    want = {}
+    for a in range(40):
+        for b in range(a + 1, 40):
+            both, all_ = len({*tags[a]} & {*tags[b]}), len({*tags[a]} | {*tags[b]})
+            want[a, b] = (both / all_ if all_ else 0.0, float(u[a] @ u[b]))
+    made = packed(m, tags, 13)
+    assert len(made) == 4
+    for tagged, need, score in ((True, 0.35, lambda j, c: (j + c) / 2), (False, 0.4, lambda j, c: c)):
+        got = []
+        for p, (ids, x) in enumerate(made):
+            for other, y in made[p:]:
+                for i, j, jac, cos in blocks._met(x, y, x is y, need, tagged):
+                    got += [((ids[s], other[t]), round(float(g if tagged else 0.0), 9), round(float(c), 9)) for s, t, g, c in zip(i, j, jac, cos, strict=True)]
+        assert len(got) == len({k for k, _, _ in got})
+        assert sorted(got) == sorted((k, round(j if tagged else 0.0, 9), round(c, 9)) for k, (j, c) in want.items() if score(j, c) >= need)
+
+
+def test_links_join_what_pairs_join(spark):
+    """Links are few where all is alike; components, each entry's greatest similarity and clusters are those of all pairs."""
+    df, _ = entries(spark, 8, 60, [2, 3])
+    copies = spark.range(1_000, 1_060).selectExpr("id", "'one and the same text' AS text", "array('x') AS tags")
+    df = df.unionByName(copies).localCheckpoint()
+    pairs, links = similarity.similar_pairs(df, 0.4).localCheckpoint(), similarity.similar_links(df, 0.4)
+    assert pairs.filter("a >= 1000").count() == 60 * 59 / 2 and pairs.exceptAll(links).count() > 0 and links.exceptAll(pairs).count() == 0
+    many = blocks.parts(120, 0, 1)
+    assert links.count() < (many + 1) * 120
+    found = lambda p: {tuple(r) for r in similarity.connected_components(p.select("a", "b")).collect()}
+    assert found(links) == found(pairs)
+    best = lambda p: {tuple(r) for r in p.selectExpr("explode(array(a, b)) AS id", "similarity").groupBy("id").agg(F.max("similarity")).collect()}
+    assert best(links) == best(pairs)
+    clusters = lambda p: {tuple(r) for r in similarity.recurrence_clusters(p, 0.2, df).collect()}
+    assert clusters(links) == clusters(pairs) and clusters(links)
