@@ -336,3 +336,22 @@ def test_links_join_what_pairs_join(spark):
     assert best(links) == best(pairs)
     clusters = lambda p: {tuple(r) for r in similarity.recurrence_clusters(p, 0.2, df).collect()}
     assert clusters(links) == clusters(pairs) and clusters(links)
+
+
+@pytest.mark.parametrize("most", [4, 11])
+def test_jaccards_of_clusters_without_pairs(spark, monkeypatch, most):
+    """Sums over all pairs are right for sets of any sizes, and sets of few tags never meet."""
+    if most <= similarity.MEET_SIZE:
+        monkeypatch.setattr(similarity, "_jaccard_sums_by_pairs", lambda sets: sets.filter("false").select("root", F.lit(0.0).alias("s")))
+    rng = random.Random(most)
+    rows = [(i, None, None if i == 3 else [f"T{t}" for t in rng.sample(range(12), rng.randint(0, most if i % 3 == 1 else 4))] + (["t1"] if i % 5 == 0 else [])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string, tags array<string>")
+    roots = df.select("id", (F.col("id") % 3).alias("root"))
+    want = Counter()
+    for a, _, x in rows:
+        for b, _, y in rows:
+            x_, y_ = ({t.lower() for t in z or []} for z in (x, y))
+            if a < b and a % 3 == b % 3 and x_ | y_:
+                want[a % 3] += len(x_ & y_) / len(x_ | y_) / 2
+    got = {r.root: r.s for r in similarity._pair_sums(df, roots, ()).collect()}
+    assert got == pytest.approx(dict(want), abs=1e-9)
