@@ -321,6 +321,22 @@ def test_two_blocks_by_any_sketch(monkeypatch, slots, own, strip, at_once):
         assert sorted(got) == sorted((k, round(j if tagged else 0.0, 9), round(c, 9)) for k, (j, c) in want.items() if score(j, c) >= need)
 
 
+@pytest.mark.parametrize("column", [1, 1_000])
+def test_terms_of_many_pairs_are_multiplied_at_once(monkeypatch, column):
+    """Whatever terms are columns, no pair is lost; and pairs that are alike aren't weighed term by term, one after the other."""
+    monkeypatch.setattr(blocks, "COLUMN", column)
+    monkeypatch.setattr(blocks, "OWN", 4)
+    rng = np.random.default_rng(6)
+    m = np.c_[1 + rng.random((120, 300)) / 10, (rng.random((120, 80)) < 0.02) * 3.0]  # all alike, and some rare terms
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    (_, x), (_, y) = packed(m, [[1, 2, k + 9] for k in range(120)], 60)
+    made, real = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda v, *a, **b: made.append(len(v)) or real(v, *a, **b))
+    got = {(i, 60 + j): round(c, 9) for found in blocks._met(x, y, False, 0.5, True) for i, j, c in zip(found[0], found[1], found[3], strict=True)}
+    assert got == {(i, j): round(float(u[i] @ u[j]), 9) for i in range(60) for j in range(60, 120)}
+    assert column == 1 or sum(made) < 60 * 60 * 300 / 5
+
+
 def test_links_join_what_pairs_join(spark):
     """Links are few where all is alike; components, each entry's greatest similarity and clusters are those of all pairs."""
     df, _ = entries(spark, 8, 60, [2, 3])
