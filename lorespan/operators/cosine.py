@@ -1,19 +1,20 @@
-"""Pairs of weighted term vectors with a cosine above a bound: an inverted index with residual bounds, and exact products by blocks."""
+"""Pairs of weighted term vectors with a cosine above a bound: blocks of vectors that meet, and an inverted index with residual bounds."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespan.operators.blocks import block_pairs, in_blocks, parts
 from lorespan.sources.folders import stored, tables
 
 #: Rows of a list that one task pairs, parts of a longer one at most, rows of a key from which on products are by blocks,
-#: pairs weighed at once, and terms of a block of whole vectors.
-LIST_ROWS, LIST_PARTS, DENSE_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS = 2_000, 12, 128, 2_000_000, 500_000
+#: pairs weighed at once, terms of a block of whole vectors on average, and how many of the commonest order the vectors.
+LIST_ROWS, LIST_PARTS, DENSE_ROWS, PAIRS_AT_ONCE, BLOCK_TERMS, COMMONEST = 2_000, 12, 128, 2_000_000, 1_200_000, 3
 #: Slack for sums in another order.
 EPS = 1e-9
 
@@ -144,67 +145,19 @@ def candidates(postings: DataFrame, need: float, low: float = -1.0, high: float
     return ordered.mapInArrow(lambda b: _pairs_of(b, need, low, high, twice, dense), "a long, b long").distinct()
 
 
-def products(pairs: DataFrame, unit: DataFrame, n_terms: int) -> DataFrame:
-    """pairs(a, b, ...) with their cosine, exactly: vectors of unit(num, h, u) are dealt to blocks, and a block meets another with the vectors that their pairs need. Other columns of pairs go along."""
-    blocks = max(1, -(-n_terms // BLOCK_TERMS))
-    home = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pairs.schema.fields) + "cosine double"
-    placed = pairs.select("*", F.least(home("a"), home("b")).alias("i"), F.greatest(home("a"), home("b")).alias("j"))
-    vectors = unit.groupBy("num").agg(F.collect_list(F.struct("h", "u")).alias("v")).select("num", F.col("v.h").alias("h"), F.col("v.u").alias("u"))
-    needed = placed.select("i", "j", F.explode(F.array("a", "b")).alias("num")).distinct().join(vectors, "num").select(F.col("i").alias("bi"), F.col("j").alias("bj"), "num", "h", "u")
-
-    def dot(found: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if found.empty:
-            return found.drop(columns=["i", "j"]).assign(cosine=np.empty(0))
-        place = {n: k for k, n in enumerate(vectors["num"])}
-        bare = ~(found["a"].isin(place) & found["b"].isin(place))  # vectors without terms
-        found = found.drop(columns=["i", "j"])
-        none, found = found[bare].assign(cosine=0.0), found[~bare]
-        if found.empty:
-            return none
-        size = vectors["h"].map(len).to_numpy()
-        at = np.r_[0, np.cumsum(size)]
-        term = np.unique(np.concatenate(vectors["h"].to_list()), return_inverse=True)[1]
-        u = np.concatenate(vectors["u"].to_list())
-        wide = np.zeros(term.max(initial=0) + 1)
-        found = found.sort_values("a", kind="stable").reset_index(drop=True)
-        a, b = (np.array([place[n] for n in found[c]]) for c in ("a", "b"))
-        begin = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        out = np.empty(len(a))
-        for s, e in zip(begin, np.r_[begin[1:], len(a)], strict=True):
-            mine = slice(at[a[s]], at[a[s] + 1])
-            wide[term[mine]] = u[mine]
-            n = size[b[s:e]]
-            rows = np.repeat(at[b[s:e]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[s:e] = np.add.reduceat(wide[term[rows]] * u[rows], np.cumsum(n) - n)
-            wide[term[mine]] = 0
-        found = found.assign(cosine=out)
-        return pd.concat([found, none]) if len(none) else found
-
-    return placed.groupBy("i", "j").cogroup(needed.groupBy("bi", "bj")).applyInPandas(dot, schema)
-
-
-def numbered(unit: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Numbers for the ids of unit (num, id), unit with them instead, and its rows."""
-    names = stored(unit.select("id").distinct().withColumn("num", F.monotonically_increasing_id()), "numbers")
-    rows = stored(unit.join(names, "id").drop("id"), "unit-vectors")
-    return names, rows, rows.count()
-
-
-def named(pairs: DataFrame, names: DataFrame, *columns: str | Column) -> DataFrame:
-    """pairs(a, b, ...) of numbers with ids instead, a < b."""
-    both = pairs.join(names.select(F.col("num").alias("a"), F.col("id").alias("ia")), "a").join(names.select(F.col("num").alias("b"), F.col("id").alias("ib")), "b")
-    return both.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), *columns)
-
-
 def cosine_pairs(weights: DataFrame, at_least: float) -> DataFrame:
     """a < b and cosine of all pairs of weights(id, term, df, weight) with a cosine of at least at_least (above 0), exactly.
 
-    Terms are ordered from rare to common. Where two vectors have their first term in common, their cosine is at most the
-    product there and that of the lengths of what follows; pairs that reach at_least at some term are candidates, and get
-    their whole product. Terms are told apart by 64-bit hashes.
+    Every two blocks of vectors meet in a task (blocks.block_pairs); vectors with the same commonest terms are in one block,
+    so that most vectors of two blocks of other languages can't reach the bound. Candidates and pairs are neither shuffled nor stored, so
+    asking twice finds the pairs twice. Terms are told apart by 64-bit hashes.
     """
     with tables(weights.sparkSession) as scope:
-        names, unit, n = numbered(unit_vectors(weights))
-        found = stored(candidates(unit.select(F.col("h").alias("key"), "num", "u", "after", F.array().cast("array<long>").alias("tags")), at_least), "candidates")
-        return scope.keep(named(products(found, unit, n).filter(F.col("cosine") >= at_least), names, "cosine"), "cosine-pairs")
+        held = weights.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", F.xxhash64("term").alias("h"), "weight")), False).alias("v"))
+        columns = (F.col(f"v.{c}").alias(x) for c, x in (("h", "h"), ("weight", "w")))
+        vectors = stored(held.select("id", *columns).withColumn("order", F.slice("h", 1, COMMONEST)), "vectors")
+        n, terms = vectors.agg(F.count("*"), F.sum(F.size("h").cast("long"))).first()
+        many = parts(n, terms or 0, BLOCK_TERMS)
+        ordered = vectors.repartitionByRange(many, "order", "id").withColumn("tags", F.array().cast("array<long>"))
+        packed = scope.keep(in_blocks(ordered, "order", "id"), "cosine-vectors")
+        return block_pairs(packed, at_least, tagged=False).select("a", "b", "cosine")

@@ -284,6 +284,20 @@ def test_similar_pairs_leave_tasks_once(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cosine_pairs_leave_tasks_once(spark, monkeypatch):
+    """Only vectors are stored, whatever blocks they meet in; neither candidates nor pairs are, and every pair comes once."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 7)
+    names, new = [], folders.work_dir
+    monkeypatch.setattr(folders, "work_dir", lambda s, name: names.append(name) or new(s, name))
+    df, given = entries(spark, 12, 80, [0])
+    out = cosine.cosine_pairs(similarity.tfidf(df), 0.6)
+    want = brute_pairs([(i, t, []) for i, t, _ in given], 0.3)
+    assert Counter((r.a, r.b, round(r.cosine / 2, 7)) for r in out.collect()) == Counter((*k, v) for k, v in want.items()) and want
+    assert names == ["vectors", "cosine-vectors"]
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert cosine.cosine_pairs(similarity.tfidf(df.limit(0)), 0.6).count() == 0
+
+
 def packed(vectors, tags, rows):
     """Blocks of dense vectors in this process."""
     lists = [[int(k) for k in np.flatnonzero(v)] for v in vectors]
