@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespan.functions.text import token_set
-from lorespan.sources.folders import stored
+from lorespan.sources.folders import stored, tables
+
+#: Rows of the smaller side of a block up to which all its pairs meet.
+FEW = 16
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -106,31 +111,47 @@ def rename_match(new: DataFrame, old: DataFrame, keys: list[str], least: float =
 
     Both have the same keys (null-safe), old is active, and the sets of their normalized words have a Jaccard of at least
     `least`. Pairs are taken one to one, the most alike first, ties by the smaller ids: in rounds, every pair that is the
-    best for both of its sides, until none is left. unsure marks those within 0.05 of the bound. Of each set the rarest
-    words meet, so many that one of a similar set must be among them: a block of any size makes no pairs beyond these.
+    best for both of its sides, until none is left. unsure marks those within 0.05 of the bound. Where a side of a block has
+    at most FEW rows, all pairs of the block meet, and the sets move once. In larger blocks the rarest words of each set
+    meet, so many that one of a similar set must be among them: a block of any size makes no pairs beyond these.
     """
-    block = F.concat_ws("\x00", *(F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in keys))
-    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", block.alias("block"), token_set(F.col("text")).alias("words"))
-    both = stored(side(new, "new").unionByName(side(old.filter("status = 'active'"), "old")), "renames")
-    rows = both.select("side", "id", "block", F.size("words").alias("n"), F.explode("words").alias("w"))
+    with tables(new.sparkSession) as scope:
+        block = F.concat_ws("\x00", *(F.coalesce(F.col(k).cast("string"), F.lit("\x01")) for k in keys))
+        sides = {"new": new.withColumn("_block", block), "old": old.filter("status = 'active'").withColumn("_block", block)}
+        counts = reduce(DataFrame.unionByName, [df.select(F.col("_block").alias("block"), F.lit(name).alias("side")) for name, df in sides.items()]).groupBy("block").agg(*(F.count_if(F.col("side") == name).alias(name) for name in sides))
+        large = stored(counts.filter(F.least(*sides) > FEW).select("block"), "large-blocks")
+        some_large = large.limit(1).count() > 0
+        # as one string: an array of them takes three times the room
+        words = lambda name: sides[name].select(F.col("_block").alias("block"), F.col("id").alias(f"{name}_id"), F.array_join(token_set(F.col("text")), " ").alias(f"{name}_words"))
+        rest = lambda df: df.join(large, "block", "left_anti") if some_large else df
+        split = lambda c: F.split(c, " ").alias(c)
+        pairs = rest(words("new")).join(rest(words("old")), "block").filter("new_words <> '' and old_words <> ''").select("new_id", "old_id", split("new_words"), split("old_words"))
+        if some_large:
+            pairs = pairs.unionByName(_pairs_by_words({name: words(name).join(large, "block", "left_semi") for name in sides}, least))
+        both = F.size(F.array_intersect("new_words", "old_words"))
+        jaccard = both / (F.size("new_words") + F.size("old_words") - both)
+        left = stored(pairs.select("new_id", "old_id", jaccard.alias("jaccard")).filter((F.col("jaccard") >= least) & (F.col("jaccard") > 0)), "rename-pairs")
+        taken = left.limit(0)
+        while left.limit(1).count():
+            best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("jaccard"), other))
+            won = stored(left.withColumn("a", best("new_id", "old_id")).withColumn("b", best("old_id", "new_id")).filter("a = 1 and b = 1").drop("a", "b"), "renamed")
+            if not won.limit(1).count():  # only ties in a ring: the smallest ids break it
+                won = stored(left.orderBy(F.desc("jaccard"), "new_id", "old_id").limit(1), "renamed")
+            taken = taken.unionByName(won)
+            left = stored(left.join(won.select("new_id"), "new_id", "left_anti").join(won.select("old_id"), "old_id", "left_anti"), "rename-pairs")
+        return scope.keep(taken.withColumn("unsure", F.col("jaccard") < round(least + 0.05, 12)), "renames")  # 0.8 + 0.05 is above 0.85
+
+
+def _pairs_by_words(sides: dict[str, DataFrame], least: float) -> DataFrame:
+    """new_id, old_id, new_words, old_words of the pairs that share one of their rarest words, of sides new and old (block, id and words of each)."""
+    held = {name: stored(df.select("block", f"{name}_id", F.split(f"{name}_words", " ").alias(f"{name}_words")).filter(f"{name}_words <> array('')"), f"{name}-words") for name, df in sides.items()}
+    rows = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("side"), F.col(f"{name}_id").alias("id"), "block", F.size(f"{name}_words").alias("n"), F.explode(f"{name}_words").alias("w")) for name, df in held.items()])
     df = stored(rows.groupBy("block", "w").agg(F.count("*").alias("df")), "word-counts")
     place = F.row_number().over(W.partitionBy("side", "id").orderBy("df", "w"))
     first = rows.join(df, ["block", "w"]).withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1)
     side = lambda name: first.filter(F.col("side") == name).select("block", "w", F.col("id").alias(f"{name}_id"))
     pairs = side("new").join(side("old"), ["block", "w"]).select("new_id", "old_id").distinct()
-    words = lambda name: both.filter(F.col("side") == name).select(F.col("id").alias(f"{name}_id"), F.col("words").alias(f"{name}_words"))
-    pairs = pairs.join(words("new"), "new_id").join(words("old"), "old_id")
-    jaccard = F.size(F.array_intersect("new_words", "old_words")) / F.size(F.array_union("new_words", "old_words"))
-    left = stored(pairs.select("new_id", "old_id", jaccard.alias("jaccard")).filter(F.col("jaccard") >= least), "rename-pairs")
-    taken = left.limit(0)
-    while left.limit(1).count():
-        best = lambda side, other: F.row_number().over(W.partitionBy(side).orderBy(F.desc("jaccard"), other))
-        won = stored(left.withColumn("a", best("new_id", "old_id")).withColumn("b", best("old_id", "new_id")).filter("a = 1 and b = 1").drop("a", "b"), "renamed")
-        if not won.limit(1).count():  # only ties in a ring: the smallest ids break it
-            won = stored(left.orderBy(F.desc("jaccard"), "new_id", "old_id").limit(1), "renamed")
-        taken = taken.unionByName(won)
-        left = stored(left.join(won.select("new_id"), "new_id", "left_anti").join(won.select("old_id"), "old_id", "left_anti"), "rename-pairs")
-    return taken.withColumn("unsure", F.col("jaccard") < round(least + 0.05, 12))  # 0.8 + 0.05 is above 0.85
+    return pairs.join(held["new"].drop("block"), "new_id").join(held["old"].drop("block"), "old_id").select("new_id", "old_id", "new_words", "old_words")
 
 
 def committed_paths(log: DataFrame, since: Column, tree: DataFrame) -> DataFrame:

@@ -239,6 +239,45 @@ def test_rename_match_at_the_bound_of_unsure(spark):
     assert sorted((r.new_id, r.old_id, r.unsure) for r in got) == [(1, 11, False), (2, 12, True)]
 
 
+@pytest.mark.parametrize("few", [0, 2, 16])
+def test_rename_match_in_blocks_of_few_rows(spark, monkeypatch, few):
+    """Words are counted and stored only for blocks with many rows on both sides; matches are the same by either way, and only the result stays."""
+    import os
+    import random
+
+    from lorespan.sources import folders
+
+    monkeypatch.setattr(identity, "FEW", few, raising=False)
+    names, paths, real = [], [], folders.work_dir
+    monkeypatch.setattr(folders, "work_dir", lambda s, name: names.append(name) or paths.append(real(s, name)) or paths[-1])
+    rng = random.Random(7)
+    texts = [[f"w{rng.randint(0, 60)}" for _ in range(30)] for _ in range(9)]
+    text = lambda k: " ".join(w for w in texts[k % 9] if rng.random() < 0.95)
+    old = [(k, "many" if k % 4 else f"p{k}", text(k), "active") for k in range(60)] + [(80, "none", " ", "active"), (81, "few", text(1), "gone")]
+    new = [(-k, "many" if k % 4 else f"p{k}", text(k)) for k in range(60)] + [(-80, "none", ""), (-81, "few", text(1))]
+    got = {(r.new_id, r.old_id): r.jaccard for r in identity.rename_match(spark.createDataFrame(new, "id int, path string, text string"), spark.createDataFrame(old, "id int, path string, text string, status string"), ["path"]).collect()}
+    pairs = []
+    for a, p, x in new:
+        for b, q, y, active in old:
+            x_, y_ = {*x.split()}, {*y.split()}
+            if p == q and active == "active" and x_ and len(x_ & y_) / len(x_ | y_) >= 0.8:
+                pairs.append((-len(x_ & y_) / len(x_ | y_), a, b))
+    want = {}
+    for j, a, b in sorted(pairs):
+        if a not in {k for k, _ in want} and b not in {k for _, k in want}:
+            want[a, b] = -j
+    assert got == want and len(got) > 20
+    assert [p for p in paths if "renames" not in p and os.path.exists(p.removeprefix("file://"))] == []
+
+
+def test_rename_match_of_single_rows_moves_texts_once(spark, monkeypatch):
+    names, real = [], identity.stored
+    monkeypatch.setattr(identity, "stored", lambda df, name: names.append(name) or real(df, name))
+    old = spark.range(30).selectExpr("id", "id AS path", "concat('a b c d e ', id) AS text", "'active' AS status")
+    assert identity.rename_match(old.drop("status").withColumn("id", -F.col("id")), old, ["path"]).count() == 30
+    assert not {"renames", "word-counts", "new-words"} & {*names}
+
+
 def test_upsert_takes_the_first_of_updates_alike(spark):
     base = spark.createDataFrame([("a", "old")], "k string, v string")
     new = spark.createDataFrame([("a", "late", 7, i) for i in range(9, 1, -1)] + [("a", "first", 7, 1), ("a", "early", 6, 0)], "k string, v string, o int, place int")
