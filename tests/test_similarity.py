@@ -152,6 +152,21 @@ def test_vector_clusters_keep_neighbours(spark, monkeypatch):
     assert all(a < b for a, b in sought[1:]) and sought[-1][1] < sought[0][1]
 
 
+def test_the_last_clusters_link_in_one_task(spark, monkeypatch):
+    """Some 10,000 clusters are no matter of many jobs: one task links them in rounds, as merging the closest pair first does."""
+    m = _vectors(9, 900, 6, 0.5)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    u = u[np.sort(np.unique(u, axis=0, return_index=True)[1])]
+    want = vectors._average_linkage(u, 0.3)
+    assert len(set(want)) < 300
+    assert (vectors._in_rounds(u, np.ones(len(u)), 0.3, 40) == want).all()
+    grid = np.array([[math.cos(k), math.sin(k)] for k in np.arange(24) * math.pi / 12])  # ties all around
+    assert len(set(vectors._in_rounds(grid, np.ones(24), 0.2, 3).tolist())) < 24
+    monkeypatch.setattr(vectors, "nearest_clusters", lambda *_: 1 / 0)
+    df = spark.createDataFrame([(7 * i, v.tolist()) for i, v in enumerate(_vectors(2, 2_500, 4, 0.3))], "id long, embedding array<double>")
+    assert vectors.cluster_vectors(df, 0.2, 2).count() > 2_000
+
+
 def brute_neighbors(points):
     best = {}
     for i, p, x, y in points:
