@@ -313,6 +313,25 @@ def test_cosine_pairs_leave_tasks_once(spark, monkeypatch):
     assert cosine.cosine_pairs(similarity.tfidf(df.limit(0)), 0.6).count() == 0
 
 
+def test_transfers_with_projects_carried(spark, monkeypatch):
+    """Pairs that carry their projects and dates give what pairs joined with them give, and what brute force gives."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
+    df, given = entries(spark, 21, 90, [2, 3])
+    df = df.withColumn("project_id", F.when(F.col("id") % 21 != 0, F.concat(F.lit("p"), F.col("id") % 4))).withColumn("date", F.when(F.col("id") % 33 != 0, F.concat(F.lit("2024-0"), 1 + F.col("id") % 6)))
+    base = df.filter("id % 15 = 0")
+    out = similarity.similar_transfers(df, 0.3, base, "2024-03", 0.6)
+    want = Counter(map(tuple, similarity.transfer_candidates(df, similarity.similar_pairs(df, 0.3), base, "2024-03", 0.6).collect()))
+    assert Counter(map(tuple, out.collect())) == want and want
+    pairs = brute_pairs(given, 0.3)
+    p, d = (lambda i: f"p{i % 4}" if i % 21 else None), (lambda i: f"2024-0{1 + i % 6}" if i % 33 else "")
+    best = {}
+    for (a, b), sim in [*pairs.items(), *(((b, a), v) for (a, b), v in pairs.items())]:
+        if p(a) and p(b) and p(a) != p(b) and d(a) >= "2024-03":
+            best.setdefault((a, p(b)), []).append((sim, -b, d(b) >= "2024-03"))
+    kept = {k: max(v)[0] for k, v in best.items() if k[0] % 15 and not any(s >= 0.6 and x for s, _, x in v)}
+    assert {(e, t): s for e, t, s, _ in want} == pytest.approx(kept, abs=2e-6)
+
+
 def packed(vectors, tags, rows):
     """Blocks of dense vectors in this process."""
     lists = [[int(k) for k in np.flatnonzero(v)] for v in vectors]
